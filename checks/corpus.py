@@ -1,0 +1,158 @@
+"""Inputs of the registered queries, derived from the given tables.
+
+Each corpus is a pure projection of one table (every row is used) and is
+written twice: as a Spark DataFrame here and as a SQL common table expression
+for the SQL counterpart. Snippet texts and paths are shared fixture values.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# ------------------------------------------------------------ fixture values
+SNIPPETS = [
+    "const a = 1;",
+    "const k = 'sk-" + "a1B2" * 12 + "';",
+    'const api_key = "' + "k9" * 10 + '";',
+    'const api_key = "your_' + "k9" * 10 + '";',
+    '// api_key = "' + "k9" * 10 + '"',
+    "id = 'AKIA" + "Z9" * 8 + "'",
+    'db_password: "Hunter2Hunter2"',
+    "return eval(input);",
+    "// never call eval(input)",
+    "x = retrieval(1)",
+    "q = `SELECT * FROM t WHERE id = $" + "{userId}`",
+    "s = \"SELECT * FROM p WHERE n = '\" + term",
+    "res.setHeader('Access-Control-Allow-Origin', '*');",
+    'fetch("http://api.shop.invalid/v1/items")',
+    'fetch("http://localhost:3000/v1/items")',
+    'get("http://localhost:3000/v1", "http://api.shop.invalid/v1")',
+    "localStorage.setItem('auth_token', t);",
+    "console.log('k', process.env.STRIPE_KEY);",
+    "const r = createClient(u, SERVICE_ROLE, 'service_role');",
+    "app.get('/api/users', (req, res) => {});",
+    "app.get('/api/users', requireAuth, (req, res) => {});",
+    "// guard below\nrouter.post('/payment/new', h);",
+    "@app.get('/api/items')\ndef items():\n    return []",
+    "@app.get('/api/items')\ndef items(u=Depends(get_user)):\n    return []",
+    "app.get('/admin/settings', (req, res) => {});",
+    "app.get('/admin/settings', requireAdmin, (req, res) => {});",
+    "app.post('/x/internal/job', run); // 'auth'",
+    "-----BEGIN RSA PRIVATE KEY-----",
+    'token = "' + "0a1b" * 10 + '"',
+]
+PACKAGE_JSON = (
+    '{"dependencies":{"react":"1","acme-internal-ui":"{X}","@acme/core":"2","@types/node":"3"},'
+    '"devDependencies":{"react":"2","x-core-y":"workspace:*"}}'
+)
+ROOT_PACKAGE_JSON = (
+    '{"dependencies":{"react":"1","express":"4"},'
+    '"devDependencies":{"vitest":"1","@playwright/test":"2"}}'
+)
+# Valid in both SQL dialects.
+PATH_SQL = """CASE doc_id % 16
+ WHEN 0 THEN concat('src/d', doc_id, '.js') WHEN 1 THEN concat('src/d', doc_id, '.ts')
+ WHEN 2 THEN concat('app/d', doc_id, '.tsx') WHEN 3 THEN concat('lib/d', doc_id, '.py')
+ WHEN 4 THEN concat('routes/d', doc_id, '.js') WHEN 5 THEN concat('api/d', doc_id, '.py')
+ WHEN 6 THEN concat('tests/test_d', doc_id, '.js')
+ WHEN 7 THEN concat('node_modules/p/d', doc_id, '.js')
+ WHEN 8 THEN concat('pages/d', doc_id, '.jsx') WHEN 9 THEN concat('cfg/.env.d', doc_id)
+ WHEN 10 THEN concat('cfg/d', doc_id, '/.env') WHEN 11 THEN concat('docs/d', doc_id, '.md')
+ WHEN 12 THEN concat('cfg/.env.d', doc_id, '.example')
+ WHEN 13 THEN concat('infra/d', doc_id, '.tf')
+ WHEN 14 THEN concat('pkg/d', doc_id, '/package.json')
+ ELSE concat('pkg/d', doc_id, '/build/d.js') END"""
+PROJECT_SQL = "concat('proj', lpad(cast({n} as varchar(20)), 2, '0'))"
+# (file, condition on project number p, content)
+ROOT_FILES = [
+    (".gitignore", "p % 3 = 0", ".env\nnode_modules/\n"),
+    (".gitignore", "p % 3 = 1", "# .env\n*.log\n"),
+    (".npmrc", "p % 2 = 0", "registry=https://npm.acme.invalid\n"),
+    ("package.json", "p % 2 = 0", ROOT_PACKAGE_JSON),
+    ("tsconfig.json", "p % 4 = 1", "{}"),
+    ("requirements.txt", "p % 5 = 0", "fastapi\npytest\n"),
+    ("pyproject.toml", "p % 3 = 1", "[tool.ruff]\nline-length = 100\n[tool.pytest.ini_options]\n"),
+    ("biome.json", "p % 5 = 2", "{}"),
+    ("Dockerfile", "p % 7 = 0", "FROM scratch\n"),
+]
+
+
+# --------------------------------------------------------------- Spark side
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snippet = F.element_at(
+        F.array(*[F.lit(s) for s in SNIPPETS]), (F.col("doc_id") % len(SNIPPETS) + 1).cast("int")
+    )
+    package = F.replace(F.lit(PACKAGE_JSON), F.lit("{X}"), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select(
+        F.expr(PROJECT_SQL.format(n="doc_id % 21")).alias("project"),
+        F.lit("").alias("root"),
+        F.expr(PATH_SQL).alias("path"),
+        F.when(F.col("doc_id") % 16 == 14, package)
+        .otherwise(F.concat(F.col("text"), F.lit("\n"), snippet))
+        .alias("content"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, doc_id)").alias(
+            "mtime"
+        ),
+    )
+
+
+def root_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root-level side files of every project that occurs in ``documents``."""
+    projects = table(spark, sf_dir, "documents").select((F.col("doc_id") % 21).alias("p")).distinct()
+    rows = F.array_compact(
+        F.array(
+            *[
+                F.when(F.expr(cond), F.struct(F.lit(path).alias("path"), F.lit(text).alias("content")))
+                for path, cond, text in ROOT_FILES
+            ]
+        )
+    )
+    return projects.select(
+        F.expr(PROJECT_SQL.format(n="p")).alias("project"),
+        F.lit("").alias("root"),
+        F.explode(rows).alias("f"),
+    ).select(
+        "project", "root", "f.path", "f.content",
+        F.expr("timestamp_ntz'2024-01-01 00:00:00'").alias("mtime"),
+    )
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_files(spark, sf_dir).unionByName(root_files(spark, sf_dir))
+
+
+# ----------------------------------------------------------------- SQL side
+def q(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def lit_list(values: list[str]) -> str:
+    return "[" + ", ".join(q(v) for v in values) + "]"
+
+
+def _duck_text(text: str) -> str:
+    """Literal whose line breaks are spelled ``chr(10)``."""
+    return " || chr(10) || ".join(q(t) for t in text.split("\n"))
+
+
+FILES_CTE = f"""
+doc_files AS (
+  SELECT {PROJECT_SQL.format(n="doc_id % 21")} AS project, '' AS root, {PATH_SQL} AS path,
+    CASE WHEN doc_id % 16 = 14 THEN replace({q(PACKAGE_JSON)}, '{{X}}', cast(doc_id AS varchar))
+      ELSE text || chr(10) || ([{", ".join(_duck_text(s) for s in SNIPPETS)}])[doc_id % {len(SNIPPETS)} + 1]
+    END AS content,
+    timestamp '2024-01-01 00:00:00' + to_seconds(doc_id) AS mtime
+  FROM documents),
+root_files AS (
+  {" UNION ALL ".join(
+      f"SELECT {PROJECT_SQL.format(n='p')} AS project, '' AS root, {q(path)} AS path, "
+      f"{_duck_text(text)} AS content, timestamp '2024-01-01 00:00:00' AS mtime "
+      f"FROM (SELECT DISTINCT doc_id % 21 AS p FROM documents) WHERE {cond}"
+      for path, cond, text in ROOT_FILES)}),
+files AS (SELECT * FROM doc_files UNION ALL SELECT * FROM root_files)"""
