@@ -2,6 +2,7 @@
 
 * ``salted_lookup``: fact-to-dimension join that spreads a hot key over many
   tasks (dimension rows are replicated, fact rows are not).
+* ``small_side``: broadcast hint behind a counted size check.
 * ``running_total``: exclusive running sum whose windows never hold more than a
   fixed number of rows, whatever the key distribution.
 * ``ordinals``: 1-based position of each row inside its group for a total
@@ -53,6 +54,20 @@ def salted_filter(
     return salted_lookup(facts, dim.select(*keys).distinct(), keys, spread_by, how)
 
 
+MAX_BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast if a count shows that ``df`` is small; else leave it alone.
+
+    For key-only sides that meet rows with large texts: a shuffle join would
+    move every text, and adaptive execution learns the small side's size only
+    after the large side was written. The count stops after ``max_rows`` rows.
+    """
+    fits = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if fits else df
+
+
 BLOCK_BITS = 16
 SEQ_BITS = 48
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import text as tx
+from auditlake.functions.scale import small_side
 
 
 def file_lines(files: DataFrame) -> DataFrame:
@@ -65,8 +66,8 @@ def numbered_context(
                        F.greatest(F.col("line") + after, F.lit(1)))
         ).alias("line"),
     )
-    lines = file_lines(files.join(wants.select("project", "path").distinct(),
-                                  ["project", "path"], "left_semi"))
+    paths = small_side(wants.select("project", "path").distinct())
+    lines = file_lines(files.join(paths, ["project", "path"], "left_semi"))
     shown = (
         F.format_string("%4d | %s", F.col("line"), F.col("text")) if numbered else F.col("text")
     )

@@ -251,7 +251,9 @@ def _unit_type(rules: Sequence[Rule]) -> str:
     )
 
 
-def _scan_units(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def _scan_units(
+    files: DataFrame, rules: Sequence[Rule], carry: Sequence[str] = ()
+) -> DataFrame:
     """Explode eligible files into candidate units."""
     is_json = F.col("suffix") == ".json"
     name = F.col("name")
@@ -290,7 +292,7 @@ def _scan_units(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     # the array expression is exploded in place: naming it first would make the
     # optimizer evaluate it a second time for an inferred "not empty" filter
     exploded = F.inline(F.concat(*units) if len(units) > 1 else units[0])
-    return df.select("project", "root", "path", "name", "suffix", exploded)
+    return df.select("project", "root", "path", "name", "suffix", *carry, exploded)
 
 
 # ----------------------------------------------------------------- unit -> hits
@@ -437,15 +439,17 @@ def scan(
     tool: str = "builtin",
     domain: str = "security",
     preselected: bool = False,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Findings of the given rules over a ``files`` table, in no particular order.
 
     ``root_files`` may name a smaller table holding the root ``.gitignore`` /
-    ``.npmrc`` rows; by default they are looked up in ``files``.
+    ``.npmrc`` rows; by default they are looked up in ``files``. ``carry`` names
+    further file columns to keep with each finding. Works on streams too.
     """
     rules = [*rules, *extra_rules]
     chosen = files if preselected else eligible_files(files, skipped_dirs)
-    units = _scan_units(chosen, rules)
+    units = _scan_units(chosen, rules, carry)
     spanning = _spanning(rules)
 
     singles, lists = [], []
@@ -481,7 +485,9 @@ def scan(
             .otherwise(no_hits)
         )
     all_hits = F.concat(*lists) if len(lists) > 1 else lists[0]
-    hits = units.select("project", "path", "name", "line", "text", F.inline(all_hits))
+    hits = units.select(
+        "project", "path", "name", *carry, "line", "text", F.inline(all_hits)
+    )
 
     catalogue = F.array(
         *[
@@ -498,6 +504,7 @@ def scan(
     findings = hits.select(
         "project",
         "name",
+        *carry,
         *[entry[c].alias(c) for c in ("rule_id", "severity", "sev_rank")],
         F.col("path").alias("file"),
         "line",
@@ -515,7 +522,7 @@ def scan(
         findings = _settle_with_side_inputs(
             findings, side_inputs(files if root_files is None else root_files)
         )
-    return findings.select(*FINDING_COLUMNS)
+    return findings.select(*FINDING_COLUMNS, *carry)
 
 
 def _settle_with_side_inputs(findings: DataFrame, side: DataFrame) -> DataFrame:
