@@ -17,6 +17,7 @@ WORD = r"[\p{L}\p{N}_]"
 NOT_AFTER_WORD = r"(?<![\p{L}\p{N}_])"
 RARE_BREAK = r"[\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
 ANY_BREAK = r"\r\n|" + RARE_BREAK
+LINE_BREAK = r"\r\n|\n|" + RARE_BREAK
 
 SNIPPET_CHARS = 80
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from auditlake import catalog
 from auditlake.functions.scale import small_side
-from auditlake.functions.text import ANY_BREAK, cut, text_or
+from auditlake.functions.text import LINE_BREAK, cut, text_or
 from auditlake.operators.findings import merge, severity_rank
 from auditlake.operators.selection import with_path_columns
 from auditlake.schemas import FINDING_COLUMNS
@@ -149,7 +149,7 @@ def biome(reports: DataFrame) -> DataFrame:
 
 def _report_lines(reports: DataFrame, tool: str) -> DataFrame:
     return _of(reports, tool).select(
-        "project", F.posexplode(F.split("payload", ANY_BREAK)).alias("pos", "raw")
+        "project", F.posexplode(F.split("payload", LINE_BREAK)).alias("pos", "raw")
     )
 
 

@@ -156,3 +156,230 @@ root_files AS (
       f"FROM (SELECT DISTINCT doc_id % 21 AS p FROM documents) WHERE {cond}"
       for path, cond, text in ROOT_FILES)}),
 files AS (SELECT * FROM doc_files UNION ALL SELECT * FROM root_files)"""
+
+
+# ------------------------------------------------------------- change lists
+BASE_REF_SQL = "CASE WHEN doc_id % 2 = 0 THEN 'origin/main' ELSE 'origin/dev' END"
+# Git state of every document file; project 20 is clean.
+KIND_SQL = {
+    "staged": "doc_id % 5 = 0 AND doc_id % 21 <> 20",
+    "unstaged": "doc_id % 7 = 0 AND doc_id % 21 <> 20",
+    "untracked": "doc_id % 11 = 0 AND doc_id % 21 <> 20",
+    "committed": "doc_id % 3 = 0 AND doc_id % 21 <> 20",
+}
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(k)) for k, c in KIND_SQL.items()]))
+    return table(spark, sf_dir, "documents").select(
+        F.expr(PROJECT_SQL.format(n="doc_id % 21")).alias("project"),
+        F.expr(BASE_REF_SQL).alias("base_ref"),
+        F.explode(kinds).alias("kind"),
+        F.expr(PATH_SQL).alias("path"),
+        F.col("doc_id").alias("seq"),
+    )
+
+
+CHANGES_CTE = "changes AS (" + " UNION ALL ".join(
+    f"SELECT {PROJECT_SQL.format(n='doc_id % 21')} AS project, {BASE_REF_SQL} AS base_ref, "
+    f"'{kind}' AS kind, {PATH_SQL} AS path, doc_id AS seq FROM documents WHERE {cond}"
+    for kind, cond in KIND_SQL.items()
+) + ")"
+
+# ------------------------------------------------------------------ run history
+RUN_SEVERITY_SQL = """CASE WHEN event_id % 40 = 0 THEN 'CRITICAL' WHEN event_id % 40 <= 2 THEN 'HIGH'
+ WHEN event_id % 40 <= 9 THEN 'MEDIUM' WHEN event_id % 40 <= 24 THEN 'LOW' ELSE 'INFO' END"""
+
+
+def run_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of past runs: a run is a six-hour bucket of a project's events."""
+    return table(spark, sf_dir, "events").select(
+        F.expr(PROJECT_SQL.format(n="user_id % 21")).alias("project"),
+        F.expr("timestampdiff(HOUR, timestamp_ntz'1970-01-01 00:00:00', ts) div 6").alias("run_seq"),
+        F.col("event_type").alias("domain"),
+        F.expr(RUN_SEVERITY_SQL).alias("severity"),
+        "ts",
+        "user_id",
+    )
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_findings(spark, sf_dir).groupBy("project", "run_seq").agg(
+        F.min("ts").alias("ts"), F.count_distinct("user_id").alias("scanned_files")
+    )
+
+
+RUNS_CTE = f"""
+run_findings AS (
+  SELECT {PROJECT_SQL.format(n='user_id % 21')} AS project,
+    cast(floor(epoch(ts) / 21600) AS bigint) AS run_seq, event_type AS domain,
+    {RUN_SEVERITY_SQL} AS severity, ts, user_id FROM events),
+snaps AS (
+  SELECT project, run_seq, min(ts) AS ts, count(DISTINCT user_id) AS scanned_files,
+    count(*) AS total_findings,
+    count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high,
+    count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low
+  FROM run_findings GROUP BY ALL),
+scored AS (
+  SELECT *, cast(greatest(0, 100 - 20 * critical - 10 * high - 3 * medium - low) AS double) / 10.0
+    AS health_score, critical = 0 AND high = 0 AS passed FROM snaps),
+aged AS (
+  SELECT *, row_number() OVER (PARTITION BY project ORDER BY run_seq DESC) AS age FROM scored)"""
+
+# ----------------------------------------------------------------------- usage
+USAGE_SQL = {
+    "registry": "concat('team', cast(conv_id % 3 as varchar(20)))",
+    "seq": "conv_id * 10000 + turn",
+    "provider": "CASE WHEN conv_id % 2 = 0 THEN 'anthropic' ELSE 'openai' END",
+    "input_tokens": "CASE WHEN role IN ('user', 'system') THEN length(text) {div} 4 ELSE 0 END",
+    "output_tokens": "CASE WHEN role = 'assistant' THEN length(text) {div} 4 ELSE 0 END",
+}
+
+
+def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(
+        *[
+            F.expr(sql.format(div="div")).cast("string" if c in ("registry", "provider") else "bigint").alias(c)
+            for c, sql in USAGE_SQL.items()
+        ]
+    )
+
+
+USAGE_CTE = (
+    "usage AS (SELECT "
+    + ", ".join(f"{sql.format(div='//')} AS {c}" for c, sql in USAGE_SQL.items())
+    + """ FROM conversations),
+costed AS (
+  SELECT *, CASE provider WHEN 'anthropic'
+      THEN input_tokens / 1000.0::double * 0.003::double + output_tokens / 1000.0::double * 0.015::double
+      ELSE input_tokens / 1000.0::double * 0.00015::double + output_tokens / 1000.0::double * 0.0006::double
+    END AS cost_usd,
+    CASE provider WHEN 'anthropic' THEN input_tokens * 3000 + output_tokens * 15000
+      ELSE input_tokens * 150 + output_tokens * 600 END AS nano_usd
+  FROM usage)"""
+)
+
+# --------------------------------------------------------------- file versions
+VERSION_PATH_SQL = "concat('src/f', cast(user_id % 50 as varchar(20)), '.js')"
+VERSION_OP_SQL = "CASE WHEN event_type = 'signup' THEN 'remove' ELSE 'write' END"
+
+
+def versions_of(events: DataFrame) -> DataFrame:
+    """File versions from an events table or stream: one version per event."""
+    snippet = F.element_at(
+        F.array(*[F.lit(s) for s in SNIPPETS]), (F.col("event_id") % len(SNIPPETS) + 1).cast("int")
+    )
+    return events.select(
+        F.expr(PROJECT_SQL.format(n="user_id % 21")).alias("project"),
+        F.lit("").alias("root"),
+        F.expr(VERSION_PATH_SQL).alias("path"),
+        F.col("event_id").alias("version"),
+        F.expr(VERSION_OP_SQL).alias("op"),
+        snippet.alias("content"),
+    )
+
+
+VERSIONS_CTE = f"""
+versions AS (
+  SELECT {PROJECT_SQL.format(n='user_id % 21')} AS project, '' AS root, {VERSION_PATH_SQL} AS path,
+    event_id AS version, {VERSION_OP_SQL} AS op,
+    ([{", ".join(_duck_text(s) for s in SNIPPETS)}])[event_id % {len(SNIPPETS)} + 1] AS content
+  FROM events)"""
+
+# ---------------------------------------------------------------- tool reports
+# Payload templates; each {{...}} is an expression over `part`.
+_BAD = {0: "not json", 1: None}
+REPORTS = {
+    "ruff": '[{"code":"{{if(p_size % 2 = 0, \'E\', \'F\')}}{{p_size}}","filename":"src/p{{p_partkey}}.py",'
+            '"location":{"row":{{p_size}},"column":1},"message":"{{p_type}}",'
+            '"fix":{{if(p_size % 3 = 0, \'null\', concat(\'{"message":"Use \', p_name, \'"}\'))}}}]',
+    "eslint": '[{"filePath":"/work/{{project}}/src/p{{p_partkey}}.js","messages":['
+              '{"ruleId":"no-{{lower(p_type)}}","severity":{{p_size % 2 + 1}},"line":{{p_size}},'
+              '"message":"{{p_name}}","source":"{{repeat(concat(p_name, \';\'), 12)}}",'
+              '"fix":{"range":[1,2],"text":"{{p_brand}}"}},'
+              '{"ruleId":null,"severity":2,"line":1,"message":"Parsing error"}]}]',
+    "biome": '{"diagnostics":[{"category":"lint/{{lower(p_type)}}","file":{"path":"src/p{{p_partkey}}.js"},'
+             '"location":{{if(p_size % 4 = 0, \'null\', concat(\'{"span":[\', p_size, \',99]}\'))}},'
+             '"description":"{{p_name}}"}]}',
+    "clippy": '{"reason":"compiler-artifact"}\n'
+              '{"reason":"compiler-message","message":{"level":"{{if(p_size % 2 = 0, \'error\', \'warning\')}}",'
+              '"code":{"code":"clippy::{{lower(p_type)}}"},"message":"{{p_name}}","spans":[{"file_name":"src/p{{p_partkey}}.rs",'
+              '"line_start":{{p_size}},"text":[{"text":"let {{p_brand}} = 1;"}]}]}}\n'
+              'broken line\n{"reason":"compiler-message","message":{"level":"note","message":"skip"}}',
+    "golangci-lint": '{"Issues":[{"FromLinter":"{{lower(p_type)}}","Text":"{{p_name}}",'
+                     '"SourceLines":["{{p_brand}} := 1","next"],"Pos":{"Filename":"p{{p_partkey}}.go","Line":{{p_size}}}}]}',
+    "mypy": 'src/p{{p_partkey}}.py:{{p_size}}:4: {{if(p_size % 3 = 0, \'note\', \'error\')}}: {{p_name}}\n'
+            'Found 1 error in 1 file',
+    "pyright": '{"generalDiagnostics":[{"rule":"report{{p_type}}","severity":"{{if(p_size % 2 = 0, \'error\', \'warning\')}}",'
+               '"file":"src/p{{p_partkey}}.py","message":"{{p_name}}","range":{"start":{"line":{{p_size}},"character":0}}}]}',
+    "tsc": 'src/p{{p_partkey}}.ts({{p_size}},7): {{if(p_size % 3 = 0, \'warning\', \'error\')}} TS{{2000 + p_size}}: {{p_name}}\n'
+           'Found 1 error.',
+    "semgrep": '{"results":[{"check_id":"rules.{{lower(p_type)}}","path":"src/p{{p_partkey}}.py","start":{"line":{{p_size}}},'
+               '"extra":{"severity":"{{element_at(array(\'ERROR\',\'WARNING\',\'INFO\',\'OTHER\'), p_size % 4 + 1)}}",'
+               '"message":"{{p_name}}","lines":"{{repeat(p_brand, 15)}}",'
+               '"fix":"{{if(p_size % 2 = 0, p_brand, \'\')}}",'
+               '"metadata":{"impact":"{{if(p_size % 5 = 0, \'HIGH\', \'\')}}","fix":"meta","references":["https://r.invalid/{{p_partkey}}"]}}}],'
+               '"errors":[{"message":"skipped {{p_partkey}}"}]}',
+    "trivy": '{"Results":[{"Target":"lock{{p_partkey}}","Vulnerabilities":[{"VulnerabilityID":"CVE-{{p_partkey}}",'
+             '"Severity":"{{element_at(array(\'CRITICAL\',\'HIGH\',\'MEDIUM\',\'LOW\',\'UNKNOWN\'), p_size % 5 + 1)}}",'
+             '"PkgName":"{{p_name}}","InstalledVersion":"{{p_size}}.0"{{if(p_size % 2 = 0, concat(\',"FixedVersion":"\', p_size, \'.1"\'), \'\')}}'
+             '{{if(p_size % 3 = 0, concat(\',"Title":"\', p_type, \'"\'), concat(\',"Description":"\', repeat(p_brand, 20), \'"\'))}},'
+             '"PrimaryURL":"https://v.invalid/{{p_partkey}}"}]},{"Target":"clean"}]}',
+    "checkov": '{{if(p_size % 2 = 0, \'[\', \'\')}}{"check_type":"terraform","results":{"failed_checks":[{"check_id":"CKV_{{p_size}}",'
+               '"severity":{{if(p_size % 3 = 0, \'null\', \'"HIGH"\')}},"file_path":"/p{{p_partkey}}.tf","file_line_range":[{{p_size}},99],'
+               '"check_name":"{{p_name}}","resource":"{{p_brand}}","guideline":"https://g.invalid/{{p_size}}"}]}}{{if(p_size % 2 = 0, \']\', \'\')}}',
+    "trivy-config": '{"Results":[{"Misconfigurations":[{"ID":"DS{{p_size}}"{{element_at(array(\',"Severity":"CRITICAL"\',\',"Severity":"UNKNOWN"\',\'\',\',"Severity":"ODD"\'), p_size % 4 + 1)}},'
+                    '"Title":"{{p_name}}","Message":"{{repeat(p_brand, 15)}}","Resolution":"fix {{p_type}}","PrimaryURL":"https://c.invalid/{{p_size}}",'
+                    '"CauseMetadata":{"StartLine":{{p_size}}}}]}]}',
+}
+# Payload of a report whose list is null.
+NULL_LIST = {
+    "ruff": "null", "eslint": "null", "biome": '{"diagnostics":null}', "clippy": "null",
+    "golangci-lint": '{"Issues":null}', "mypy": "", "pyright": '{"generalDiagnostics":null}',
+    "tsc": "", "semgrep": '{"results":null,"errors":null}', "trivy": '{"Results":null}',
+    "checkov": '{"results":{"failed_checks":null}}', "trivy-config": '{"Results":null}',
+}
+
+
+def _fill(template: str):
+    """Column that fills the ``{{expression}}`` holes of a template."""
+    pieces = []
+    for i, part in enumerate(template.split("{{")):
+        text = part
+        if i:
+            # the hole ends at its last "}}" that leaves balanced braces
+            end = part.index("}}")
+            while part[: end].count("'") % 2:
+                end = part.index("}}", end + 1)
+            pieces.append(F.expr(part[:end]).cast("string"))
+            text = part[end + 2:]
+        if text:
+            pieces.append(F.lit(text))
+    return F.concat(*pieces)
+
+
+def reports(spark: SparkSession, sf_dir: str, *tools: str) -> DataFrame:
+    """One report per part and tool; some payloads are broken or hold null lists."""
+    part = table(spark, sf_dir, "part").withColumn(
+        "project", F.expr(PROJECT_SQL.format(n="p_partkey % 21"))
+    )
+    one = F.array(
+        *[
+            F.struct(
+                F.lit(tool).alias("tool"),
+                F.when(F.col("p_partkey") % 50 == 0, F.lit("not json"))
+                .when(F.col("p_partkey") % 50 == 1, F.lit(NULL_LIST[tool]))
+                .otherwise(_fill(REPORTS[tool]))
+                .alias("payload"),
+            )
+            for tool in (tools or REPORTS)
+        ]
+    )
+    return part.select(
+        "project",
+        F.concat(F.lit("/work/"), "project").alias("root"),
+        F.explode(one).alias("r"),
+        F.concat(F.lit("docker/Dockerfile."), F.col("p_partkey").cast("string")).alias("target"),
+        F.concat(F.lit("stderr of "), "p_name").alias("stderr"),
+        (F.col("p_size") % 4).cast("int").alias("returncode"),
+    ).select("project", "root", "r.tool", "target", "r.payload", "stderr", "returncode")
