@@ -12,32 +12,31 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake import catalog
 from auditlake.functions import text as tx
 from auditlake.functions.scale import salted_lookup
-from auditlake.operators.lines import window_of
+from auditlake.functions.sql import all_of, any_of, array, has_any, matches, quote, strings
 from auditlake.operators.selection import eligible_files
 from auditlake.schemas import FINDING_COLUMNS
 
 LINE, ENV_FILE, PACKAGE = 0, 1, 2
-_HIT = "struct<rule:int,pos:bigint,message:string,snippet:string>"
-_NO_HITS = f"array<{_HIT}>"
+_NO_HITS = "cast(array() AS array<struct<rule:int,pos:bigint,message:string,snippet:string>>)"
 
-
-# (line, lower-cased line) -> may the rule flag this line?
-Trigger = Callable[[Column, Column], Column]
+# (line, lower-cased line) as SQL -> SQL test: may the rule flag this line?
+Trigger = Callable[[str, str], str]
 
 
 @dataclass(frozen=True)
 class Rule:
     """One catalogue entry.
 
-    ``trigger`` is a cheap test that every flagged line passes; ``test``
-    builds the boolean for line rules; ``pattern`` marks match rules (one
-    finding per match, comment lines and placeholder values dropped).
+    ``trigger`` is a cheap test that every flagged line passes. ``test`` is the
+    SQL condition of a line rule over the unit columns (text, around, ahead,
+    suffix, root, path). ``pattern`` marks match rules: one finding per match,
+    comment lines and placeholder values dropped.
     """
 
     rule_id: str
@@ -47,10 +46,15 @@ class Rule:
     message: str
     fix: str
     trigger: Trigger | None = None
-    test: Callable[[], Column] | None = None
+    test: str | None = None
     pattern: str | None = None
 
 
+def any_word(*words: str) -> Trigger:
+    """Trigger: the line holds one of these lower-case words."""
+    return lambda text, low: has_any(low, words)
+
+
 def pattern_rule(
     rule_id: str,
     pattern: str,
@@ -62,8 +66,10 @@ def pattern_rule(
     sub: int = 1,
 ) -> Rule:
     """A user rule that behaves like the built-in secret patterns."""
-    return Rule(rule_id, seq, sub, severity, f"{label} detected", fix,
-                trigger or (lambda text, low: text.rlike(pattern)), pattern=pattern)
+    return Rule(
+        rule_id, seq, sub, severity, f"{label} detected", fix,
+        trigger or (lambda text, low: matches(text, pattern)), pattern=pattern,
+    )
 
 
 # ------------------------------------------------------------- rule catalogue
@@ -75,100 +81,83 @@ _SECRET_WORDS = [
     ["sk_live_"], ["rk_live_"], ["sg."], ["sk-"], ["sk-ant-"],
     ["password", "passwd", "pwd"],
 ]
-_ROUTE_WORDS = ["app.", "router."]
-
-
-def any_word(*words: str) -> Trigger:
-    return lambda text, low: tx.contains_any(low, list(words))
-
-
-def _sql_trigger(text: Column, low: Column) -> Column:
-    verbs = ["select", "insert", "update", "delete", "drop", "truncate"]
-    return (tx.contains_any(low, ["+", "{"]) & tx.contains_any(low, verbs)) | low.contains(
-        "execute("
-    )
-
-
-def _has(pattern: str) -> Callable[[], Column]:
-    return lambda: F.col("text").rlike(pattern)
-
-
-def _eval_call() -> Column:
-    return F.col("text").rlike(catalog.EVAL_CALL) & ~tx.starts_with_mark(F.col("text"), "//", "#")
-
-
-def _express_route() -> Column:
-    return (
-        F.col("suffix").isin(*catalog.ROUTE_SUFFIXES)
-        & F.col("text").rlike(catalog.EXPRESS_ROUTE)
-        & ~tx.starts_with_mark(F.col("text"), "@")
-        & ~F.col("around").rlike(catalog.EXPRESS_AUTH)
-    )
+_SQL_VERBS = ["select", "insert", "update", "delete", "drop", "truncate"]
 
 
-def _decorator_route() -> Column:
-    return (
-        F.col("suffix").isin(*catalog.ROUTE_SUFFIXES)
-        & F.col("text").rlike(catalog.DECORATOR_ROUTE)
-        & ~F.col("ahead").rlike(catalog.DECORATOR_AUTH)
-    )
-
-
-def _plain_http() -> Column:
-    return F.col("text").rlike(catalog.PLAIN_HTTP) & F.col("text").rlike(catalog.LONG_URL)
-
-
-def _admin_route() -> Column:
-    unquoted = F.regexp_replace(F.col("around"), catalog.QUOTED_RUN, "")
-    return (
-        F.col("suffix").isin(*catalog.ROUTE_SUFFIXES)
-        & F.col("text").rlike(catalog.ADMIN_ROUTE)
-        & ~unquoted.rlike(catalog.ADMIN_AUTH)
+def _sql_trigger(text: str, low: str) -> str:
+    return any_of(
+        all_of(has_any(low, ["+", "{"]), has_any(low, _SQL_VERBS)), has_any(low, ["execute("])
     )
 
 
-def _service_role() -> Column:
-    full = F.concat_ws("/", F.nullif(F.col("root"), F.lit("")), F.col("path"))
-    return F.col("text").rlike(catalog.SERVICE_ROLE) & tx.contains_any(full, catalog.CLIENT_FOLDERS)
-
-
-def _texts(key: str) -> tuple[str, int, str, str, str]:
+def _begins(*marks: str) -> str:
+    """The line's first visible characters are one of the (escaped) marks."""
+    return matches("text", f"^{tx.SPACE}*(?:{'|'.join(marks)})")
+
+
+_ROUTE_FILE = f"suffix IN ({strings(catalog.ROUTE_SUFFIXES)})"
+_ROUTE_METHOD = r"(?i)(?:app|router)\.(?:get|post|put|delete|patch)"
+_UNQUOTED = f"regexp_replace(around, {quote(catalog.QUOTED_RUN)}, '')"
+# the project root is part of the path these folders are looked up in
+_FULL_PATH = "concat_ws('/', nullif(root, ''), path)"
+
+_TESTS = {
+    "SEC-003": all_of(matches("text", catalog.EVAL_CALL), f"NOT {_begins('//', '#')}"),
+    "SEC-004": matches("text", catalog.SQL_TEXT),
+    "SEC-005/express": all_of(
+        _ROUTE_FILE, matches("text", catalog.EXPRESS_ROUTE), f"NOT {_begins('@')}",
+        f"NOT {matches('around', catalog.EXPRESS_AUTH)}",
+    ),
+    "SEC-005/decorator": all_of(
+        _ROUTE_FILE, matches("text", catalog.DECORATOR_ROUTE),
+        f"NOT {matches('ahead', catalog.DECORATOR_AUTH)}",
+    ),
+    "SEC-006": matches("text", catalog.CORS_HEADER),
+    "SEC-007": all_of(matches("text", catalog.PLAIN_HTTP), matches("text", catalog.LONG_URL)),
+    "SEC-008": all_of(
+        _ROUTE_FILE, matches("text", catalog.ADMIN_ROUTE),
+        f"NOT {matches(_UNQUOTED, catalog.ADMIN_AUTH)}",
+    ),
+    "SEC-009": matches("text", catalog.STORED_TOKEN),
+    "SEC-010": matches("text", catalog.LOGGED_ENV),
+    "SEC-011": all_of(
+        matches("text", catalog.SERVICE_ROLE), has_any(_FULL_PATH, catalog.CLIENT_FOLDERS)
+    ),
+}
+_route_trigger = any_word("app.", "router.")
+_TRIGGERS = {
+    "SEC-003": any_word("eval", "exec"),
+    "SEC-004": _sql_trigger,
+    "SEC-005/express": _route_trigger,
+    "SEC-005/decorator": _route_trigger,
+    "SEC-006": any_word("access-control-allow-origin"),
+    "SEC-007": any_word("http://"),
+    "SEC-008": _route_trigger,
+    "SEC-009": any_word("localstorage.set"),
+    "SEC-010": any_word("console."),
+    "SEC-011": any_word("service_role"),
+}
+
+
+def _catalogued(key: str) -> Rule:
+    """Rule of a RULE_TEXTS key; the second rule of an id has sub number 1."""
     severity, message, fix = catalog.RULE_TEXTS[key]
     rule_id = key.split("/")[0]
-    return rule_id, int(rule_id[-3:]), severity, message, fix
-
-
-def _line_rule(key: str, trigger: Trigger, test: Callable[[], Column], sub: int = 0) -> Rule:
-    rule_id, seq, severity, message, fix = _texts(key)
-    return Rule(rule_id, seq, sub, severity, message, fix, trigger, test)
-
-
-def _file_rule(key: str, sub: int = 0) -> Rule:
-    rule_id, seq, severity, message, fix = _texts(key)
-    return Rule(rule_id, seq, sub, severity, message, fix)
+    sub = int(key in ("SEC-005/decorator", "SEC-012/scopes"))
+    return Rule(
+        rule_id, int(rule_id[-3:]), sub, severity, message, fix,
+        _TRIGGERS.get(key), _TESTS.get(key),
+    )
 
 
-_METHOD = r"(?i)(?:app|router)\.(?:get|post|put|delete|patch)"
-_ROUTE = any_word(*_ROUTE_WORDS)
 SECRET_RULES = [
     pattern_rule("SEC-001", pattern, label, trigger=any_word(*words), seq=1, sub=i)
     for i, ((pattern, label), words) in enumerate(zip(catalog.SECRETS, _SECRET_WORDS), 1)
 ]
-ENV_RULE = _file_rule("SEC-002")
-NAMES_RULE = _file_rule("SEC-012/names")
-SCOPES_RULE = _file_rule("SEC-012/scopes", sub=1)
-LINE_RULES = [
-    _line_rule("SEC-003", any_word("eval", "exec"), _eval_call),
-    _line_rule("SEC-004", _sql_trigger, _has(catalog.SQL_TEXT)),
-    _line_rule("SEC-005/express", _ROUTE, _express_route),
-    _line_rule("SEC-005/decorator", _ROUTE, _decorator_route, sub=1),
-    _line_rule("SEC-006", any_word("access-control-allow-origin"), _has(catalog.CORS_HEADER)),
-    _line_rule("SEC-007", any_word("http://"), _plain_http),
-    _line_rule("SEC-008", _ROUTE, _admin_route),
-    _line_rule("SEC-009", any_word("localstorage.set"), _has(catalog.STORED_TOKEN)),
-    _line_rule("SEC-010", any_word("console."), _has(catalog.LOGGED_ENV)),
-    _line_rule("SEC-011", any_word("service_role"), _service_role),
-]
+ENV_RULE = _catalogued("SEC-002")
+NAMES_RULE = _catalogued("SEC-012/names")
+SCOPES_RULE = _catalogued("SEC-012/scopes")
+LINE_RULES = [_catalogued(key) for key in _TESTS]
 ALL_RULES = [*SECRET_RULES, ENV_RULE, *LINE_RULES, NAMES_RULE, SCOPES_RULE]
 
 
@@ -179,28 +168,20 @@ def rules_of(*rule_ids: str, sub: int | None = None) -> list[Rule]:
 
 
 # ----------------------------------------------------------------- scan units
-def _is_candidate(rules: Sequence[Rule], text: Column, low: Column) -> Column:
-    cond = F.lit(False)
-    for trigger in dict.fromkeys(r.trigger for r in rules if r.trigger):
-        cond = cond | trigger(text, low)
-    return cond
-
-
 def _spanning(rules: Sequence[Rule]) -> list[int]:
     return [r.sub for r in rules if r.seq == 1 and r.sub in catalog.SPANNING_SECRETS]
 
 
-def _moved_space(text: Column, sub: int) -> Column:
-    """Copy of a text with the white space inside matches moved behind them.
+def _moved_space(sub: int) -> str:
+    """Copy of ``_text`` with the white space inside matches moved behind them.
 
     Every match then sits on the line it starts on and the number of line
     breaks before any position outside a match stays the same.
     """
     keyword, value = catalog.SPANNING_SECRETS[sub]
     sp = tx.SPACE
-    return F.regexp_replace(
-        text, f"(?i)({keyword})({sp}*)([=:])({sp}*)({value})", "$1$3$5$2$4"
-    )
+    pattern = f"(?i)({keyword})({sp}*)([=:])({sp}*)({value})"
+    return f"regexp_replace(_text, {quote(pattern)}, '$1$3$5$2$4')"
 
 
 def _broken_match(subs: Sequence[int]) -> str:
@@ -210,202 +191,170 @@ def _broken_match(subs: Sequence[int]) -> str:
     return rf"(?i)(?:{words})(?:{sp}*?\n{sp}*[=:]|{sp}*[=:]{sp}*?\n)"
 
 
-def _candidates(rules: Sequence[Rule]) -> Column:
-    """Array of candidate line units of one file (column ``_lines``)."""
-    lines = F.col("_lines")
-    routes = any(r.seq in (5, 8) for r in rules)
-    spans = _spanning(rules)
+def _window(first: str, last: str) -> str:
+    """Lines ``first .. last`` of the file joined by line breaks."""
+    return f"array_join(slice(_lines, {first}, {last} - {first} + 1), '\\n')"
 
-    def around(i: Column, text: Column, before: int, after: int) -> Column:
-        if not routes:
-            return F.lit(None).cast("string")
-        joined = F.array_join(window_of(lines, i, before, after), "\n")
-        return F.when(text.rlike(_METHOD), joined)
-
-    def unit(i: Column) -> Column:
-        text = F.element_at(lines, i)
-        return F.struct(
-            F.lit(LINE).alias("kind"),
-            i.alias("line"),
-            text.alias("text"),
-            around(i, text, 1, 1).alias("around"),
-            around(i, text, 0, 5).alias("ahead"),
-            *[
-                F.element_at(F.col(f"_span{s}"), i).alias(f"span{s}")
-                for s in spans
-            ],
-        )
 
-    numbers = F.filter(
-        F.sequence(F.lit(1), F.size(lines)),
-        lambda i: _is_candidate(rules, F.element_at(lines, i), F.element_at(F.col("_lows"), i)),
+def _line_units(rules: Sequence[Rule]) -> str:
+    """SQL: array of candidate line units of one file."""
+    triggers = dict.fromkeys(r.trigger for r in rules if r.trigger)
+    candidate = any_of(
+        *[t("element_at(_lines, i)", "element_at(_lows, i)") for t in triggers]
     )
-    return F.when(F.size(lines) > 0, F.transform(numbers, unit))
-
-
-def _unit_type(rules: Sequence[Rule]) -> str:
-    spans = "".join(f",span{s}:string" for s in _spanning(rules))
-    return (
-        "array<struct<kind:int,line:int,text:string,around:string,ahead:string"
-        f"{spans}>>"
+    line = "element_at(_lines, i)"
+    around = ahead = "cast(null AS string)"
+    if any(r.seq in (5, 8) for r in rules):
+        route = matches(line, _ROUTE_METHOD)
+        around = f"CASE WHEN {route} THEN {_window('greatest(i - 1, 1)', '(i + 1)')} END"
+        ahead = f"CASE WHEN {route} THEN {_window('i', '(i + 5)')} END"
+    spans = "".join(f", element_at(_span{s}, i) AS span{s}" for s in _spanning(rules))
+    numbers = f"filter(sequence(1, size(_lines)), i -> {candidate})"
+    unit = (
+        f"struct({LINE} AS kind, i AS line, {line} AS text, {around} AS around, "
+        f"{ahead} AS ahead{spans})"
     )
+    return f"CASE WHEN size(_lines) > 0 THEN transform({numbers}, i -> {unit}) END"
 
 
 def _scan_units(
     files: DataFrame, rules: Sequence[Rule], carry: Sequence[str] = ()
 ) -> DataFrame:
     """Explode eligible files into candidate units."""
-    is_json = F.col("suffix") == ".json"
-    name = F.col("name")
-    unit_type = _unit_type(rules)
     spans = _spanning(rules)
-    groups: list[Column] = []
+    span_fields = "".join(f",span{s}:string" for s in spans)
+    unit_type = (
+        "array<struct<kind:int,line:int,text:string,around:string,ahead:string"
+        f"{span_fields}>>"
+    )
+    groups: list[str] = []
     df = files
     if any(r.trigger for r in rules):
         # one column per step: an expression used several times is evaluated
         # once only if it is a column of its own
-        df = df.withColumn("_text", F.when(~is_json, tx.unify_breaks(F.col("content"))))
-        df = df.withColumn("_low", F.lower("_text"))
-        df = df.withColumn("_lines", tx.lines_of(F.col("_text")))
-        df = df.withColumn("_lows", F.split("_low", "\n"))
+        df = df.withColumn(
+            "_text", F.when(F.col("suffix") != ".json", tx.unify_breaks(F.col("content")))
+        )
+        df = df.withColumns({"_low": F.lower("_text"), "_lines": tx.lines_of(F.col("_text"))})
+        steps = {"_lows": F.split("_low", "\n")}
         if spans:
             words = [w for s in spans for w in _SECRET_WORDS[s - 1]]
-            df = df.withColumn(
-                "_broken",
-                tx.contains_any(F.col("_low"), words)
-                & F.col("_text").rlike(_broken_match(spans)),
+            steps["_broken"] = F.expr(
+                all_of(has_any("_low", words), matches("_text", _broken_match(spans)))
+            )
+        df = df.withColumns(steps)
+        if spans:
+            df = df.withColumns(
+                {
+                    f"_span{s}": F.expr(f"CASE WHEN _broken THEN split({_moved_space(s)}, '\\n') END")
+                    for s in spans
+                }
             )
-            for s in spans:
-                moved = F.split(_moved_space(F.col("_text"), s), "\n")
-                df = df.withColumn(f"_span{s}", F.when(F.col("_broken"), moved))
-        groups.append(_candidates(rules).cast(unit_type))
-    blanks = [F.lit(None).cast("string")] * (2 + len(spans))
+        groups.append(_line_units(rules))
+    blanks = ", null" * (2 + len(spans))
     if ENV_RULE in rules:
-        env = ~is_json & name.startswith(".env") & (F.col("suffix") != ".example")
-        unit = F.struct(F.lit(ENV_FILE), F.lit(1), F.lit(""), *blanks)
-        groups.append(F.when(env, F.array(unit)).cast(unit_type))
+        groups.append(
+            "CASE WHEN suffix NOT IN ('.json', '.example') AND name LIKE '.env%' "
+            f"THEN array(struct({ENV_FILE}, 1, ''{blanks})) END"
+        )
     if NAMES_RULE in rules or SCOPES_RULE in rules:
-        unit = F.struct(F.lit(PACKAGE), F.lit(0), F.col("content"), *blanks)
-        groups.append(F.when(name == "package.json", F.array(unit)).cast(unit_type))
-    empty = F.array().cast(unit_type)
-    units = [F.coalesce(g, empty) for g in groups]
+        groups.append(
+            f"CASE WHEN name = 'package.json' THEN array(struct({PACKAGE}, 0, content{blanks})) END"
+        )
+    units = ", ".join(
+        f"coalesce(cast({g} AS {unit_type}), cast(array() AS {unit_type}))" for g in groups
+    )
     # the array expression is exploded in place: naming it first would make the
     # optimizer evaluate it a second time for an inferred "not empty" filter
-    exploded = F.inline(F.concat(*units) if len(units) > 1 else units[0])
-    return df.select("project", "root", "path", "name", "suffix", *carry, exploded)
-
-
-# ----------------------------------------------------------------- unit -> hits
-def _hit(rule: int, pos: Column, message: Column | None = None,
-         snippet: Column | None = None) -> Column:
-    none = F.lit(None).cast("string")
-    return F.struct(
-        F.lit(rule).alias("rule"),
-        pos.cast("bigint").alias("pos"),
-        (none if message is None else message).alias("message"),
-        (none if snippet is None else snippet).alias("snippet"),
+    return df.select(
+        "project", "root", "path", "name", "suffix", *carry, F.expr(f"inline(concat({units}))")
     )
 
 
-def _match_hits(index: int, rule: Rule, spanning: Sequence[int]) -> Column:
-    """One hit per kept match of a pattern rule on the unit's line."""
+# --------------------------------------------------------------- units -> hits
+def _hit(rule: int, pos: str, message: str = "null", snippet: str = "null") -> str:
+    return (
+        f"struct({rule} AS rule, cast({pos} AS bigint) AS pos, "
+        f"cast({message} AS string) AS message, cast({snippet} AS string) AS snippet)"
+    )
+
+
+def _match_hits(index: int, rule: Rule, spanning: Sequence[int]) -> str:
+    """SQL: one hit per kept match of a pattern rule on the unit's line."""
     spans = rule.seq == 1 and rule.sub in spanning
-    text = F.coalesce(F.col(f"span{rule.sub}"), F.col("text")) if spans else F.col("text")
+    text = f"coalesce(span{rule.sub}, text)" if spans else "text"
     placeholder = "|".join(w.replace(".", r"\.") for w in catalog.PLACEHOLDERS)
-    kept = F.filter(
-        F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)),
-        lambda m: ~F.lower(m).rlike(placeholder),
+    kept = (
+        f"filter(regexp_extract_all({text}, {quote(rule.pattern)}, 0), "
+        f"m -> NOT {matches('lower(m)', placeholder)})"
     )
-    return F.when(
-        text.rlike(rule.pattern), F.transform(kept, lambda m, j: _hit(index, j))
+    return (
+        f"CASE WHEN {matches(text, rule.pattern)} "
+        f"THEN transform({kept}, (m, j) -> {_hit(index, 'j')}) ELSE {_NO_HITS} END"
     )
 
 
-def _unreadable_sections(content: Column) -> Column:
-    """Dependency sections that are present but are not JSON objects."""
-    keys = F.json_object_keys(content)
-    values = F.from_json(content, "map<string,string>")
-    return F.filter(
-        F.array(*[F.lit(s) for s in catalog.DEPENDENCY_SECTIONS]),
-        lambda s: F.array_contains(keys, s)
-        & ~F.coalesce(F.element_at(values, s), F.lit("")).startswith("{"),
+def _unreadable_sections(content: str) -> str:
+    """SQL: dependency sections that are present but are not JSON objects."""
+    return (
+        f"filter({array(catalog.DEPENDENCY_SECTIONS)}, s -> "
+        f"array_contains(json_object_keys({content}), s) AND NOT startswith("
+        f"coalesce(element_at(from_json({content}, 'map<string,string>'), s), ''), '{{'))"
     )
 
 
-def _package_entries(content: Column) -> Column:
-    """Entries of the dependency sections in order, duplicates included.
+def _package_entries(content: str) -> str:
+    """SQL: entries of the dependency sections in order, duplicates included.
 
     Null for a text that is not JSON or has an unreadable section.
     """
-    entries = F.concat(
-        *[
-            F.coalesce(
-                F.map_entries(
-                    F.from_json(F.get_json_object(content, f"$.{s}"), "map<string,string>")
-                ),
-                F.array().cast("array<struct<key:string,value:string>>"),
-            )
-            for s in catalog.DEPENDENCY_SECTIONS
-        ]
+    sections = ", ".join(
+        f"coalesce(map_entries(from_json(get_json_object({content}, '$.{s}'), "
+        "'map<string,string>')), cast(array() AS array<struct<key:string,value:string>>))"
+        for s in catalog.DEPENDENCY_SECTIONS
     )
-    readable = F.try_parse_json(content).isNotNull() & (
-        F.size(_unreadable_sections(content)) == 0
+    readable = all_of(
+        f"try_parse_json({content}) IS NOT NULL", f"size({_unreadable_sections(content)}) = 0"
     )
-    return F.when(readable, entries)
+    return f"CASE WHEN {readable} THEN concat({sections}) END"
 
 
-def _package_hits(index: dict[str, int], public_scopes: Sequence[str]) -> Column:
-    """Hits of the dependency rules.
+def _package_hits(index: dict[str, int], public_scopes: Sequence[str]) -> list[str]:
+    """SQL: hits of the dependency rules over the entries in ``_deps``.
 
     A later section overrides a version but a name keeps its first position.
     Versions are looked up only for names that a rule may flag.
     """
-    entries = F.col("_deps")
-    scope = "|".join(public_scopes)
-    names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    internal = "|".join(catalog.INTERNAL_NAME_PARTS)
-    scoped_name = f"^@(?!{'|'.join(s[1:] for s in public_scopes)})" if scope else "^@"
-
-    def value_of(n: Column) -> Column:
-        return F.element_at(F.filter(entries, lambda e: e["key"] == n), -1)["value"]
-
-    def from_workspace(n: Column) -> Column:
-        value = F.coalesce(value_of(n), F.lit(""))
-        return value.contains("workspace:") & ~value.rlike(r"^[\[{]")
-
+    names = "array_distinct(transform(_deps, e -> e.key))"
+    value = "element_at(filter(_deps, e -> e.key = n), -1).value"
+    workspace = (
+        f"(contains(coalesce({value}, ''), 'workspace:') AND NOT "
+        f"{matches(f'coalesce({value}, {quote(str())})', r'^[{\[]')})"
+    )
     parts = []
     if "names" in index:
-        kept = F.filter(
-            names,
-            lambda n: ~n.startswith("@") & n.rlike(internal) & ~from_workspace(n),
+        kept = (
+            f"filter({names}, n -> NOT startswith(n, '@') AND "
+            f"{has_any('n', catalog.INTERNAL_NAME_PARTS)} AND NOT {workspace})"
         )
-        parts.append(
-            F.transform(
-                kept,
-                lambda n, j: _hit(
-                    index["names"],
-                    j,
-                    F.concat(F.lit("Package '"), n,
-                             F.lit("' looks like an internal package — dependency confusion risk")),
-                    F.concat(n, F.lit(": "), F.coalesce(value_of(n), F.lit("None"))),
-                ),
-            )
+        message = (
+            "concat('Package \\'', n, "
+            + quote("' looks like an internal package — dependency confusion risk") + ")"
         )
+        hit = _hit(index["names"], "j", message, f"concat(n, ': ', coalesce({value}, 'None'))")
+        parts.append(f"transform({kept}, (n, j) -> {hit})")
     if "scopes" in index:
-        kept = F.filter(names, lambda n: n.rlike(scoped_name) & ~from_workspace(n))
-        parts.append(
-            F.transform(
-                F.filter(F.array(kept), lambda k: F.size(k) > 0),
-                lambda k: _hit(
-                    index["scopes"],
-                    F.lit(0),
-                    F.concat(F.lit("Scoped packages found ("), F.size(k).cast("string"),
-                             F.lit(") but no .npmrc — ensure registry is correct")),
-                    F.array_join(F.slice(k, 1, 5), ", "),
-                ),
-            )
+        public = any_of(*[f"startswith(n, {quote(s)})" for s in public_scopes] or ["false"])
+        kept = (
+            f"filter({names}, n -> startswith(n, '@') AND NOT {public} AND NOT {workspace})"
+        )
+        message = (
+            "concat('Scoped packages found (', size(k), "
+            + quote(") but no .npmrc — ensure registry is correct") + ")"
         )
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+        hit = _hit(index["scopes"], "0", message, "array_join(slice(k, 1, 5), ', ')")
+        parts.append(f"transform(filter(array({kept}), k -> size(k) > 0), k -> {hit})")
+    return parts
 
 
 def side_inputs(files: DataFrame) -> DataFrame:
@@ -429,6 +378,17 @@ def side_inputs(files: DataFrame) -> DataFrame:
     )
 
 
+def _catalogue(rules: Sequence[Rule]) -> str:
+    """SQL: literal array of the rules' fixed fields, looked up by position."""
+    rows = ", ".join(
+        f"struct({quote(r.rule_id)} AS rule_id, {quote(r.severity)} AS severity, "
+        f"{catalog.SEVERITIES.index(r.severity)} AS sev_rank, {quote(r.message)} AS fixed_message, "
+        f"{quote(r.fix)} AS fix, {r.seq} AS rule_seq, {r.sub} AS sub_seq)"
+        for r in rules
+    )
+    return f"array({rows})"
+
+
 def scan(
     files: DataFrame,
     root_files: DataFrame | None = None,
@@ -438,7 +398,6 @@ def scan(
     skipped_dirs: Sequence[str] = tuple(catalog.SKIPPED_DIRS),
     tool: str = "builtin",
     domain: str = "security",
-    preselected: bool = False,
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """Findings of the given rules over a ``files`` table, in no particular order.
@@ -448,75 +407,51 @@ def scan(
     further file columns to keep with each finding. Works on streams too.
     """
     rules = [*rules, *extra_rules]
-    chosen = files if preselected else eligible_files(files, skipped_dirs)
-    units = _scan_units(chosen, rules, carry)
     spanning = _spanning(rules)
+    units = _scan_units(eligible_files(files, skipped_dirs), rules, carry)
 
-    singles, lists = [], []
+    singles, match_lists = [], []
     package_index: dict[str, int] = {}
-    plain_line = (F.col("kind") == LINE)
-    not_comment = ~tx.starts_with_mark(F.col("text"), "//", "#", r"\*")
-    secret_file = ~tx.contains_any(F.col("name"), catalog.SECRET_FREE_NAMES)
-    match_lists = []
     for i, rule in enumerate(rules, 1):
         if rule.pattern is not None:
             match_lists.append(_match_hits(i, rule, spanning))
         elif rule.test is not None:
-            singles.append(F.when(plain_line & rule.test(), _hit(i, F.lit(0))))
+            singles.append(f"CASE WHEN kind = {LINE} AND {rule.test} THEN {_hit(i, '0')} END")
         elif rule == ENV_RULE:
-            singles.append(F.when(F.col("kind") == ENV_FILE, _hit(i, F.lit(0))))
+            singles.append(f"CASE WHEN kind = {ENV_FILE} THEN {_hit(i, '0')} END")
         else:
             package_index["names" if rule == NAMES_RULE else "scopes"] = i
-    no_hits = F.array().cast(_NO_HITS)
+    lists = []
     if singles:
-        lists.append(F.array_compact(F.array(*singles)))
+        lists.append(f"array_compact(array({', '.join(singles)}))")
     if match_lists:
-        found = F.concat(*[F.coalesce(m, no_hits) for m in match_lists])
+        kept_line = all_of(
+            f"kind = {LINE}", f"NOT {has_any('name', catalog.SECRET_FREE_NAMES)}",
+            "NOT " + _begins("//", "#", r"\*"),
+        )
         lists.append(
-            F.when(plain_line & secret_file & not_comment, found).otherwise(no_hits)
+            f"CASE WHEN {kept_line} THEN concat({', '.join(match_lists)}) ELSE {_NO_HITS} END"
         )
     if package_index:
-        is_package = F.col("kind") == PACKAGE
         units = units.withColumn(
-            "_deps", F.when(is_package, _package_entries(F.col("text")))
+            "_deps", F.expr(f"CASE WHEN kind = {PACKAGE} THEN {_package_entries('text')} END")
         )
-        lists.append(
-            F.when(F.col("_deps").isNotNull(), _package_hits(package_index, public_scopes))
-            .otherwise(no_hits)
-        )
-    all_hits = F.concat(*lists) if len(lists) > 1 else lists[0]
+        found = ", ".join(_package_hits(package_index, public_scopes))
+        lists.append(f"CASE WHEN _deps IS NOT NULL THEN concat({found}) ELSE {_NO_HITS} END")
     hits = units.select(
-        "project", "path", "name", *carry, "line", "text", F.inline(all_hits)
+        "project", "path", "name", *carry, "line", "text",
+        F.expr(f"inline(concat({', '.join(lists)}))"),
+    ).withColumn("_rule", F.expr(f"element_at({_catalogue(rules)}, rule)"))
+    snippet = (
+        f"coalesce(snippet, substring(regexp_replace(text, "
+        f"{quote(f'^{tx.SPACE}+|{tx.SPACE}+$')}, ''), 1, {tx.SNIPPET_CHARS}))"
     )
-
-    catalogue = F.array(
-        *[
-            F.struct(
-                F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"),
-                F.lit(catalog.SEVERITIES.index(r.severity)).alias("sev_rank"),
-                F.lit(r.message).alias("message"), F.lit(r.fix).alias("fix"),
-                F.lit(r.seq).alias("rule_seq"), F.lit(r.sub).alias("sub_seq"),
-            )
-            for r in rules
-        ]
-    )
-    entry = F.element_at(catalogue, F.col("rule"))
-    findings = hits.select(
-        "project",
-        "name",
-        *carry,
-        *[entry[c].alias(c) for c in ("rule_id", "severity", "sev_rank")],
-        F.col("path").alias("file"),
-        "line",
-        F.coalesce(F.col("message"), entry["message"]).alias("message"),
-        F.coalesce(F.col("snippet"), tx.snippet(F.col("text"))).alias("snippet"),
-        entry["fix"].alias("fix"),
-        F.lit(domain).alias("domain"),
-        F.lit(tool).alias("tool"),
-        F.lit("").alias("category"),
-        F.lit("").alias("url"),
-        *[entry[c].alias(c) for c in ("rule_seq", "sub_seq")],
-        F.col("pos").alias("match_start"),
+    findings = hits.selectExpr(
+        "project", "name", *carry,
+        "_rule.rule_id", "_rule.severity", "_rule.sev_rank", "path AS file", "line",
+        "coalesce(message, _rule.fixed_message) AS message", f"{snippet} AS snippet",
+        "_rule.fix", f"{quote(domain)} AS domain", f"{quote(tool)} AS tool",
+        "'' AS category", "'' AS url", "_rule.rule_seq", "_rule.sub_seq", "pos AS match_start",
     )
     if ENV_RULE in rules or SCOPES_RULE in rules:
         findings = _settle_with_side_inputs(
@@ -528,34 +463,27 @@ def scan(
 def _settle_with_side_inputs(findings: DataFrame, side: DataFrame) -> DataFrame:
     """Drop findings that a root ``.gitignore`` or ``.npmrc`` makes void."""
     joined = salted_lookup(findings, side, ["project"], ["file", "line"])
-    ignored = F.coalesce(F.col("ignored_env"), F.array().cast("array<string>"))
-    env_void = (F.col("rule_id") == "SEC-002") & F.arrays_overlap(
-        ignored,
-        F.array(*[F.lit(x) for x in catalog.ENV_IGNORE_LINES], F.col("name")),
+    ignored = (
+        "arrays_overlap(coalesce(ignored_env, cast(array() AS array<string>)), "
+        f"array({strings(catalog.ENV_IGNORE_LINES)}, name))"
     )
-    scopes_void = (
-        (F.col("rule_id") == "SEC-012")
-        & (F.col("sub_seq") == SCOPES_RULE.sub)
-        & F.coalesce(F.col("has_npmrc"), F.lit(False))
+    return joined.where(
+        f"NOT (rule_id = 'SEC-002' AND {ignored}) AND NOT (rule_id = 'SEC-012' "
+        f"AND sub_seq = {SCOPES_RULE.sub} AND coalesce(has_npmrc, false))"
     )
-    return joined.where(~(env_void | scopes_void))
 
 
 def dependency_errors(files: DataFrame) -> DataFrame:
     """One error row per package.json whose shape the rules cannot read."""
     packages = eligible_files(files).where(F.col("name") == "package.json")
-    doc = F.try_parse_json(F.col("content"))
-    kind = F.schema_of_variant(doc)
-    bad_sections = _unreadable_sections(F.col("content"))
-    not_object = doc.isNotNull() & ~kind.startswith("OBJECT")
+    bad = _unreadable_sections("content")
+    error = (
+        "CASE WHEN try_parse_json(content) IS NULL THEN null "
+        "WHEN NOT startswith(schema_of_variant(try_parse_json(content)), 'OBJECT') "
+        "THEN 'package.json is not an object' "
+        f"WHEN size({bad}) > 0 THEN concat('unreadable dependency section: ', "
+        f"array_join({bad}, ', ')) END"
+    )
     return packages.select(
-        "project",
-        F.col("path").alias("file"),
-        F.when(not_object, F.lit("package.json is not an object"))
-        .when(
-            doc.isNotNull() & (F.size(bad_sections) > 0),
-            F.concat(F.lit("unreadable dependency section: "),
-                     F.array_join(bad_sections, ", ")),
-        )
-        .alias("error"),
+        "project", F.col("path").alias("file"), F.expr(error).alias("error")
     ).where(F.col("error").isNotNull())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from auditlake import catalog
 from auditlake.functions import text as tx
+from auditlake.functions.sql import array
 
 
 def with_path_columns(files: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def with_path_columns(files: DataFrame) -> DataFrame:
 
 def in_skipped_dir(path: Column, dirs: Sequence[str] = tuple(catalog.SKIPPED_DIRS)) -> Column:
     """True if any path part, the file name included, is a skipped name."""
-    return F.arrays_overlap(tx.path_parts(path), F.array(*[F.lit(d) for d in dirs]))
+    return F.arrays_overlap(tx.path_parts(path), F.expr(array(dirs)))
 
 
 def is_source(name: Column, suffix: Column) -> Column:

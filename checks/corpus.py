@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.functions.sql import quote
+
 # ------------------------------------------------------------ fixture values
 SNIPPETS = [
     "const a = 1;",
@@ -83,10 +85,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    snippet = F.element_at(
-        F.array(*[F.lit(s) for s in SNIPPETS]), (F.col("doc_id") % len(SNIPPETS) + 1).cast("int")
+def _snippet(number: str):
+    """Snippet of a row, chosen by its number (its dollar sign is kept apart
+    from the brace: SQL text would read the pair as a variable)."""
+    texts = ", ".join(
+        "concat(" + ", '$', ".join(quote(piece) for piece in text.split("$")) + ")"
+        for text in SNIPPETS
     )
+    return F.expr(f"element_at(array({texts}), cast({number} % {len(SNIPPETS)} + 1 AS int))")
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snippet = _snippet("doc_id")
     package = F.replace(F.lit(PACKAGE_JSON), F.lit("{X}"), F.col("doc_id").cast("string"))
     return table(spark, sf_dir, "documents").select(
         F.expr(PROJECT_SQL.format(n="doc_id % 21")).alias("project"),
@@ -104,20 +114,16 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def root_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Root-level side files of every project that occurs in ``documents``."""
     projects = table(spark, sf_dir, "documents").select((F.col("doc_id") % 21).alias("p")).distinct()
-    rows = F.array_compact(
-        F.array(
-            *[
-                F.when(F.expr(cond), F.struct(F.lit(path).alias("path"), F.lit(text).alias("content")))
-                for path, cond, text in ROOT_FILES
-            ]
-        )
+    rows = ", ".join(
+        f"CASE WHEN {cond} THEN struct({quote(path)} AS path, {quote(text)} AS content) END"
+        for path, cond, text in ROOT_FILES
     )
     return projects.select(
         F.expr(PROJECT_SQL.format(n="p")).alias("project"),
         F.lit("").alias("root"),
-        F.explode(rows).alias("f"),
+        F.expr(f"inline(array_compact(array({rows})))"),
     ).select(
-        "project", "root", "f.path", "f.content",
+        "project", "root", "path", "content",
         F.expr("timestamp_ntz'2024-01-01 00:00:00'").alias("mtime"),
     )
 
@@ -266,9 +272,7 @@ VERSION_OP_SQL = "CASE WHEN event_type = 'signup' THEN 'remove' ELSE 'write' END
 
 def versions_of(events: DataFrame) -> DataFrame:
     """File versions from an events table or stream: one version per event."""
-    snippet = F.element_at(
-        F.array(*[F.lit(s) for s in SNIPPETS]), (F.col("event_id") % len(SNIPPETS) + 1).cast("int")
-    )
+    snippet = _snippet("event_id")
     return events.select(
         F.expr(PROJECT_SQL.format(n="user_id % 21")).alias("project"),
         F.lit("").alias("root"),
