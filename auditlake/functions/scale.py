@@ -5,12 +5,14 @@
 * ``small_side``: broadcast hint behind a counted size check.
 * ``running_total``: exclusive running sum whose windows never hold more than a
   fixed number of rows, whatever the key distribution.
+* ``stored``: cut a lineage that is used several times by writing a table.
 * ``ordinals``: 1-based position of each row inside its group for a total
   order, without gathering the group in one task.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -54,6 +56,30 @@ def salted_filter(
     return salted_lookup(facts, dim.select(*keys).distinct(), keys, spread_by, how)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a result once to the shared checkpoint folder and read it back.
+
+    For results that cost a scan of all texts and are used more than once. The
+    table survives lost executors and keeps columnar pruning.
+    """
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/auditlake-table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Spread a stored table over all cores if it has far fewer splits than cores.
+
+    Texts are expensive to scan, so one big row group must not keep a single
+    core busy. Large tables have many more splits than cores and stay as they
+    are, without a shuffle. For plain table reads only.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    splits = table.rdd.getNumPartitions()
+    return table.repartition(cores) if splits * 2 <= cores else table
+
+
 MAX_BROADCAST_ROWS = 500_000
 
 
@@ -114,19 +140,17 @@ def ordinals(
     """Add each row's 1-based position inside its group.
 
     Rows are range-partitioned on (group, order), so a hot group spans many
-    partitions. The partition number is frozen with a reliable checkpoint
-    (sampled range bounds may differ between two runs of one plan); each
-    partition then numbers its own rows and adds the group's row count in the
-    partitions before it.
+    partitions. The partition number is frozen in a stored table (sampled range
+    bounds may differ between two runs of one plan); each partition then
+    numbers its own rows and adds the group's row count in the partitions
+    before it.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    ensure_checkpoint_dir(spark)
-    placed = (
+    placed = stored(
         df.repartitionByRange(n, *[F.col(g) for g in group], *order_cols)
         .withColumn("_pid", F.spark_partition_id())
-        .checkpoint()
     )
     before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(
         Window.unboundedPreceding, -1
@@ -166,6 +190,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured is None:
         import tempfile
 
+        # only where no cluster folder is named, as in tests
         configured = tempfile.mkdtemp(prefix="auditlake-checkpoint-")
     spark.sparkContext.setCheckpointDir(configured)
     return configured

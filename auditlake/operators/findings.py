@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake import catalog
-from auditlake.functions.scale import top_n
+from auditlake.functions.scale import stored, top_n
 from auditlake.operators.lines import numbered_context
 from auditlake.schemas import FINDING_COLUMNS, FINDING_ORDER
 
@@ -31,7 +31,11 @@ def merge(*parts: DataFrame) -> DataFrame:
 
 
 def sort_findings(findings: DataFrame) -> DataFrame:
-    """Severity, file, line per project; ties keep rule order. Range-partitioned."""
+    """Severity, file, line per project; ties keep rule order.
+
+    A range-partitioned global sort: its sampling reads ``findings`` once more,
+    so pass a stored table.
+    """
     return findings.orderBy("project", *FINDING_ORDER)
 
 
@@ -152,7 +156,11 @@ def file_results(findings: DataFrame, scanned_files: DataFrame | None = None) ->
 
 # -------------------------------------------------------------------- reports
 def top_findings(findings: DataFrame, n: int = 20) -> DataFrame:
-    """First ``n`` findings per project plus how many more there are."""
+    """First ``n`` findings per project plus how many more there are.
+
+    Reads ``findings`` twice (ranking and totals, each with a partial step
+    before its shuffle): pass a stored table.
+    """
     totals = findings.groupBy("project").agg(F.count("*").alias("_total"))
     return (
         top_n(findings, ["project"], FINDING_ORDER, n, out="position")
@@ -207,7 +215,7 @@ def explain(requests: DataFrame, findings: DataFrame, files: DataFrame) -> DataF
     key = ["project", "rule_id", "path", "line"]
     asked = requests.select(*key).distinct()
     fields = ["severity", "message", "fix", "snippet", "domain"]
-    located = (
+    located = stored(
         findings.withColumnRenamed("file", "path")
         .join(asked, key, "left_semi")
         .groupBy(*key)
@@ -256,9 +264,12 @@ def _message_findings(
     )
 
 
-def missing_tools(requested: DataFrame, available: DataFrame) -> DataFrame:
+def missing_tools(
+    requested: DataFrame, available: DataFrame, registered: Sequence[str] | None = None
+) -> DataFrame:
     """Strict mode: registered domains that were asked for but have no tool."""
-    known = requested.where(F.col("domain").isin(*catalog.DOMAINS))
+    names = catalog.DOMAINS if registered is None else registered
+    known = requested.where(F.col("domain").isin(*names))
     gone = known.select("project", "domain").distinct().join(
         available.select("project", "domain").distinct(), ["project", "domain"], "left_anti"
     )

@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import text as tx
 from auditlake.functions.scale import small_side
 
 
-def file_lines(files: DataFrame) -> DataFrame:
-    """One row per line, numbered from 1. No shuffle."""
-    return files.select(
-        "project", "path", F.posexplode(tx.split_lines(F.col("content"))).alias("_pos", "text")
-    ).select("project", "path", (F.col("_pos") + 1).alias("line"), "text")
+def with_lines(files: DataFrame) -> DataFrame:
+    """Add ``_lines``, the file's array of lines.
 
+    Two steps, so that the text with unified breaks is built once per file.
+    """
+    texts = files.withColumn("_text", tx.unify_breaks(F.col("content")))
+    return texts.withColumn("_lines", tx.lines_of(F.col("_text"))).drop("_text")
 
-def window_of(lines: Column, line: Column, before: int, after: int) -> Column:
-    """Lines ``line-before .. line+after`` of a line array, clipped at both ends."""
-    first = F.greatest(line - before, F.lit(1))
-    length = F.greatest(line + after - first + 1, F.lit(0))
-    return F.slice(lines, first, length)
+
+def file_lines(files: DataFrame) -> DataFrame:
+    """One row per line, numbered from 1. No shuffle.
+
+    Exploding an expression instead of the column itself keeps the optimizer
+    from splitting every text a second time for an inferred filter.
+    """
+    lines = F.coalesce("_lines", F.array().cast("array<string>"))
+    return (
+        with_lines(files)
+        .select("project", "path", F.posexplode(lines).alias("_pos", "text"))
+        .select("project", "path", (F.col("_pos") + 1).alias("line"), "text")
+    )
 
 
 def line_context(files: DataFrame, before: int, after: int) -> DataFrame:
@@ -29,21 +38,13 @@ def line_context(files: DataFrame, before: int, after: int) -> DataFrame:
     The neighbours are sliced inside each file's row and only small structs are
     exploded, so a long file is never copied once per line.
     """
-    lines = F.col("_lines")
-    with_lines = files.select(
-        "project", "path", tx.split_lines(F.col("content")).alias("_lines")
-    ).where(F.size("_lines") > 0)
-    unit = F.transform(
-        F.sequence(F.lit(1), F.size(lines)),
-        lambda i: F.struct(
-            i.alias("line"),
-            F.element_at(lines, i).alias("text"),
-            F.array_join(window_of(lines, i, before, after), "\n").alias("context"),
-        ),
-    )
-    return with_lines.select("project", "path", F.explode(unit).alias("u")).select(
-        "project", "path", "u.line", "u.text", "u.context"
+    first = f"greatest(i - {before}, 1)"
+    window = f"array_join(slice(_lines, {first}, i + {after} - {first} + 1), '\\n')"
+    units = (
+        "CASE WHEN size(_lines) > 0 THEN transform(sequence(1, size(_lines)), i -> "
+        f"struct(i AS line, element_at(_lines, i) AS text, {window} AS context)) END"
     )
+    return with_lines(files).select("project", "path", F.expr(f"inline({units})"))
 
 
 def numbered_context(

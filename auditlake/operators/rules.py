@@ -25,8 +25,27 @@ from auditlake.schemas import FINDING_COLUMNS
 LINE, ENV_FILE, PACKAGE = 0, 1, 2
 _NO_HITS = "cast(array() AS array<struct<rule:int,pos:bigint,message:string,snippet:string>>)"
 
-# (line, lower-cased line) as SQL -> SQL test: may the rule flag this line?
-Trigger = Callable[[str, str], str]
+
+@dataclass(frozen=True)
+class Trigger:
+    """Cheap test that every line a rule flags passes.
+
+    ``words``: lower-case texts of which the line holds at least one; ``needs``:
+    a text that must be on the line too. ``sql`` builds any other condition
+    from the names of the line and of its lower-case form.
+    """
+
+    words: tuple[str, ...] = ()
+    needs: str = ""
+    sql: Callable[[str, str], str] | None = None
+
+    def guarded_words(self) -> list[tuple[str, str]]:
+        """(guard, word): a rarer mark that is tested before the word."""
+        pairs = []
+        for word in self.words:
+            marks = [m for m in ("_", "-", "://") if m in word]
+            pairs.append((self.needs or (marks[0] if marks else ""), word))
+        return pairs
 
 
 @dataclass(frozen=True)
@@ -52,7 +71,7 @@ class Rule:
 
 def any_word(*words: str) -> Trigger:
     """Trigger: the line holds one of these lower-case words."""
-    return lambda text, low: has_any(low, words)
+    return Trigger(words)
 
 
 def pattern_rule(
@@ -68,7 +87,7 @@ def pattern_rule(
     """A user rule that behaves like the built-in secret patterns."""
     return Rule(
         rule_id, seq, sub, severity, f"{label} detected", fix,
-        trigger or (lambda text, low: matches(text, pattern)), pattern=pattern,
+        trigger or Trigger(sql=lambda text, low: matches(text, pattern)), pattern=pattern,
     )
 
 
@@ -78,8 +97,8 @@ def pattern_rule(
 _SECRET_WORDS = [
     ["api_key", "api-key", "apikey", "api_secret", "api-secret", "apisecret"],
     ["akia"], ["aws"], ["eyj"], ["-----begin"], ["ghp_"], ["github_pat_"],
-    ["sk_live_"], ["rk_live_"], ["sg."], ["sk-"], ["sk-ant-"],
-    ["password", "passwd", "pwd"],
+    ["sk_live_"], ["rk_live_"], ["sg."], ["sk-"], ["sk-"],
+    ["passw", "pwd"],
 ]
 _SQL_VERBS = ["select", "insert", "update", "delete", "drop", "truncate"]
 
@@ -124,17 +143,17 @@ _TESTS = {
         matches("text", catalog.SERVICE_ROLE), has_any(_FULL_PATH, catalog.CLIENT_FOLDERS)
     ),
 }
-_route_trigger = any_word("app.", "router.")
+_route_trigger = Trigger(("app.", "router."), needs="(")
 _TRIGGERS = {
-    "SEC-003": any_word("eval", "exec"),
-    "SEC-004": _sql_trigger,
+    "SEC-003": Trigger(("eval", "exec"), needs="("),
+    "SEC-004": Trigger(sql=_sql_trigger),
     "SEC-005/express": _route_trigger,
     "SEC-005/decorator": _route_trigger,
     "SEC-006": any_word("access-control-allow-origin"),
     "SEC-007": any_word("http://"),
     "SEC-008": _route_trigger,
-    "SEC-009": any_word("localstorage.set"),
-    "SEC-010": any_word("console."),
+    "SEC-009": Trigger(("localstorage.set",), needs="("),
+    "SEC-010": Trigger(("console.",), needs="("),
     "SEC-011": any_word("service_role"),
 }
 
@@ -196,12 +215,25 @@ def _window(first: str, last: str) -> str:
     return f"array_join(slice(_lines, {first}, {last} - {first} + 1), '\\n')"
 
 
+def _is_candidate(rules: Sequence[Rule], text: str, low: str) -> str:
+    """SQL: does any rule's trigger fire? Words are tested under shared guards."""
+    triggers = dict.fromkeys(r.trigger for r in rules if r.trigger)
+    by_guard: dict[str, dict[str, None]] = {}
+    tests = []
+    for trigger in triggers:
+        if trigger.sql is not None:
+            tests.append(trigger.sql(text, low))
+        for guard, word in trigger.guarded_words():
+            by_guard.setdefault(guard, {})[word] = None
+    for guard, words in by_guard.items():
+        found = has_any(low, words)
+        tests.append(all_of(has_any(low, [guard]), found) if guard else found)
+    return any_of(*tests)
+
+
 def _line_units(rules: Sequence[Rule]) -> str:
     """SQL: array of candidate line units of one file."""
-    triggers = dict.fromkeys(r.trigger for r in rules if r.trigger)
-    candidate = any_of(
-        *[t("element_at(_lines, i)", "element_at(_lows, i)") for t in triggers]
-    )
+    candidate = _is_candidate(rules, "element_at(_lines, i)", "element_at(_lows, i)")
     line = "element_at(_lines, i)"
     around = ahead = "cast(null AS string)"
     if any(r.seq in (5, 8) for r in rules):

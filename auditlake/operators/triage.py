@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake import catalog
 from auditlake.functions import text as tx
-from auditlake.functions.scale import ordinals, top_n
+from auditlake.functions.scale import ordinals, stored, top_n
 from auditlake.operators.lines import numbered_context
 from auditlake.schemas import FINDING_ORDER
 
@@ -96,7 +96,7 @@ def review(triaged: DataFrame, projects: DataFrame) -> DataFrame:
 
 def review_packet(findings: DataFrame, files: DataFrame, size: int = PACKET_SIZE) -> DataFrame:
     """First findings per project with their code lines, as reviewer input."""
-    first = top_n(findings, ["project"], FINDING_ORDER, size, out="number")
+    first = stored(top_n(findings, ["project"], FINDING_ORDER, size, out="number"))
     first = first.withColumnRenamed("file", "path")
     context = numbered_context(first, files, 2, 3, numbered=False)
     joined = first.join(context, ["project", "path", "line"], "left")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake import __version__, catalog
-from auditlake.functions.scale import salted_filter
+from auditlake.functions.scale import salted_filter, stored
 from auditlake.operators import findings as fd
 from auditlake.operators import normalise, profile, rules
 from auditlake.operators.selection import eligible_files
@@ -25,14 +25,22 @@ class ScanOutcome:
 
     findings: DataFrame
     errors: DataFrame
-    domain_results: DataFrame
+    executed: DataFrame
     scanned: DataFrame
     options: ScanOptions
 
+    def stored(self) -> ScanOutcome:
+        """Scan now, once: findings become a table that all rollups read."""
+        return replace(self, findings=stored(self.findings))
+
     @cached_property
     def summary(self) -> DataFrame:
         return fd.severity_summary(self.findings, self.scanned)
 
+    @cached_property
+    def domain_results(self) -> DataFrame:
+        return fd.domain_summary(self.findings, self.executed)
+
     @cached_property
     def gate(self) -> DataFrame:
         levels = fd.gate(self.findings, self.scanned)
@@ -44,12 +52,10 @@ def builtin_scan(
 ) -> DataFrame:
     """Sorted findings of the built-in rules only."""
     opts = options or ScanOptions()
-    return fd.sort_findings(
-        rules.scan(
-            files, root_files, public_scopes=opts.public_scopes,
-            skipped_dirs=opts.exclude_patterns,
-        )
+    found = rules.scan(
+        files, root_files, public_scopes=opts.public_scopes, skipped_dirs=opts.exclude_patterns
     )
+    return fd.sort_findings(stored(found))
 
 
 def requested_domains(
@@ -131,7 +137,7 @@ def scan_projects(
         found = salted_filter(found, wanted, ["project", "domain"], ["file", "line"])
 
     if opts.strict:
-        found = found.unionByName(fd.missing_tools(wanted, available))
+        found = found.unionByName(fd.missing_tools(wanted, available, reg.names()))
         if opts.domains:
             found = found.unionByName(fd.unknown_domains(asked, reg.names()))
 
@@ -156,7 +162,7 @@ def scan_projects(
     return ScanOutcome(
         findings=found,
         errors=errors,
-        domain_results=fd.domain_summary(found, executed),
+        executed=executed,
         scanned=fd.scanned_total(zero, *counted),
         options=opts,
     )

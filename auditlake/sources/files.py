@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake import catalog
 from auditlake.functions import text as tx
+from auditlake.functions.scale import spread
 from auditlake.operators.selection import in_skipped_dir, is_source, with_path_columns
 
 
@@ -72,7 +72,7 @@ def write_files(files: DataFrame, folder: str, mode: str = "overwrite") -> None:
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(folder)
+    return spread(spark.read.parquet(folder))
 
 
 def root_only(files: DataFrame) -> DataFrame:
@@ -97,6 +97,3 @@ def registry_configs(files: DataFrame) -> DataFrame:
     """Projects with a root ``.npmrc``."""
     return root_only(files).where(F.col("path") == ".npmrc").select("project")
 
-
-def source_suffixes() -> list[str]:
-    return list(catalog.SOURCE_SUFFIXES)

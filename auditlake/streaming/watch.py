@@ -91,6 +91,22 @@ def start_rescan(
     return writer.start()
 
 
+def start_scanned_total(
+    versions: DataFrame, folder: str, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """Keep the rescan counts of all projects as a small table in ``folder``."""
+
+    def write_totals(totals: DataFrame, batch_id: int) -> None:
+        totals.write.mode("overwrite").parquet(folder)
+
+    writer = (
+        scanned_total(versions).writeStream.outputMode("complete")
+        .foreachBatch(write_totals).option("checkpointLocation", checkpoint)
+    )
+    writer = writer.trigger(availableNow=True) if available_now else writer
+    return writer.start()
+
+
 def current_findings(
     changes: DataFrame, rescanned: DataFrame, base: DataFrame | None = None
 ) -> DataFrame:

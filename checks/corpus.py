@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.functions.scale import spread
 from auditlake.functions.sql import quote
 
 # ------------------------------------------------------------ fixture values
@@ -85,6 +86,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def _snippet(number: str):
     """Snippet of a row, chosen by its number (its dollar sign is kept apart
     from the brace: SQL text would read the pair as a variable)."""
@@ -98,7 +103,7 @@ def _snippet(number: str):
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     snippet = _snippet("doc_id")
     package = F.replace(F.lit(PACKAGE_JSON), F.lit("{X}"), F.col("doc_id").cast("string"))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.expr(PROJECT_SQL.format(n="doc_id % 21")).alias("project"),
         F.lit("").alias("root"),
         F.expr(PATH_SQL).alias("path"),

@@ -728,6 +728,29 @@ UNION ALL SELECT project, 3, number, CASE WHEN number > 1 THEN ',' ELSE '' END |
   line || '}}}}}}]}}' FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY {ORDER}) AS number FROM sec)
 UNION ALL SELECT project, 4, 0, ']}}]}}' FROM summary""")
 
+oracle("report_compact", "merged executed", f""",
+totals AS (SELECT project, {COUNTS}, count(*) FILTER (severity IN ('CRITICAL', 'HIGH')) = 0 AS passed
+  FROM merged GROUP BY 1),
+doms AS (
+  SELECT e.project, e.domain, '"' || e.domain || '":{{"tool":"' || e.tool || '","version":"1","time":0.0,"findings":' ||
+    count(m.rule_id) || ',"passed":' || (count(*) FILTER (m.severity IN ('CRITICAL', 'HIGH')) = 0) || '}}' AS js
+  FROM executed e LEFT JOIN merged m ON m.project = e.project AND m.domain = e.domain
+  GROUP BY e.project, e.domain, e.tool),
+heads AS (SELECT s.project, s.scanned_files, t.*, (SELECT string_agg(js, ',' ORDER BY domain) FROM doms d
+    WHERE d.project = s.project) AS js FROM scanned s JOIN totals t USING (project))
+SELECT project, 0 AS section, 0::bigint AS number, '{{"status":"' || CASE WHEN passed THEN 'pass' ELSE 'fail' END ||
+  '","scanned":' || scanned_files || ',"summary":{{"critical":' || critical || ',"high":' || high || ',"medium":' ||
+  medium || ',"total":' || total || '}},"domains":{{' || js || '}}' AS text FROM heads
+UNION ALL SELECT project, 1, 0, ',"findings":[' FROM heads
+UNION ALL SELECT project, 2, number, CASE WHEN number > 1 THEN ',' ELSE '' END || '{{"rule":"' || rule_id ||
+  '","sev":"' || severity[1] || '","file":"' || file || '","line":' || line || ',"msg":' ||
+  cast(to_json(message) AS varchar) || CASE WHEN fix <> '' THEN ',"fix":' || cast(to_json(fix) AS varchar) ELSE '' END ||
+  CASE WHEN domain <> 'security' THEN ',"domain":"' || domain || '"' ELSE '' END || '}}'
+  FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY {ORDER}) AS number FROM merged)
+UNION ALL SELECT project, 3, 0, ']' FROM heads
+UNION ALL SELECT project, 4, 0, '}}' FROM heads""")
+ORACLE["report_compact"] = ORACLE["report_compact"].replace("\n,\ntotals", ",\ntotals")
+
 # ------------------------------------------------------------- compositions
 oracle("scan_pr", "sec changes", f""",
 picked AS (

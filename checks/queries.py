@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from auditlake import catalog
 from auditlake.functions import text as tx
-from auditlake.functions.scale import ensure_checkpoint_dir
+from auditlake.functions.scale import ensure_checkpoint_dir, spread, stored
 from auditlake.operators import findings as fd
 from auditlake.operators import (
     history, lines, normalise, planner, profile, rules, selection, triage, usage,
@@ -199,7 +199,7 @@ def merged_findings(spark, sf):
 
 @query
 def sorted_findings(spark, sf):
-    return fd.sort_findings(_merged(spark, sf)).select(
+    return fd.sort_findings(stored(_merged(spark, sf))).select(
         "project", "severity", "sev_rank", "file", "line", "domain", "rule_id"
     )
 
@@ -287,7 +287,7 @@ def scanned_total(spark, sf):
 
 @query
 def top_findings(spark, sf):
-    return fd.top_findings(_scan(spark, sf)).select(
+    return fd.top_findings(stored(_scan(spark, sf))).select(
         "project", "position", "rule_id", "file", "line", "message", "more"
     )
 
@@ -660,7 +660,7 @@ def snapshot_diff(spark, sf):
 
 
 def _events_versions(spark, sf):
-    return corpus.versions_of(corpus.table(spark, sf, "events"))
+    return corpus.versions_of(spread(corpus.table(spark, sf, "events")))
 
 
 @query
@@ -671,15 +671,16 @@ def rescan_changed(spark, sf):
     )
 
 
+def _event_stream(spark, sf):
+    schema = corpus.table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
 def _run_stream(spark, sf):
     """Drive the events table through the rescan stream; returns its output folder."""
     folder = f"{ensure_checkpoint_dir(spark)}/rescan-{uuid.uuid4().hex}"
-    schema = corpus.table(spark, sf, "events").schema
-    stream = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    )
     started = watch.start_rescan(
-        corpus.versions_of(stream), corpus.root_files(spark, sf), folder,
+        corpus.versions_of(_event_stream(spark, sf)), corpus.root_files(spark, sf), folder,
         f"{folder}/checkpoint", available_now=True,
     )
     started.awaitTermination()
@@ -706,13 +707,19 @@ def current_findings(spark, sf):
 
 @query
 def stream_scanned_total(spark, sf):
-    """Batch form of the running count; the stream form is tested against it."""
-    return watch.scanned_total(_events_versions(spark, sf))
+    """Running count of rescans, driven as a stream to its end."""
+    folder = f"{ensure_checkpoint_dir(spark)}/totals-{uuid.uuid4().hex}"
+    started = watch.start_scanned_total(
+        corpus.versions_of(_event_stream(spark, sf)), f"{folder}/totals",
+        f"{folder}/checkpoint", available_now=True,
+    )
+    started.awaitTermination()
+    return spark.read.parquet(f"{folder}/totals").select("project", "scanned_files")
 
 
 # ------------------------------------------------------------------- M sinks
 def _documents(make, spark, sf, **more):
-    found = _scan(spark, sf)
+    found = stored(_scan(spark, sf))
     summary = fd.severity_summary(found, _scanned(spark, sf))
     return make(found, summary, **more)
 
@@ -729,7 +736,7 @@ def report_sarif(spark, sf):
 
 @query
 def report_compact(spark, sf):
-    merged = _merged(spark, sf)
+    merged = stored(_merged(spark, sf))
     summary = fd.severity_summary(merged, _scanned(spark, sf))
     domains = fd.domain_summary(merged, _executed(spark, sf))
     return sink.compact_report(merged, summary, domains)
