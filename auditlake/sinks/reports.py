@@ -144,11 +144,18 @@ def compact_report(
     )
 
 
-def write_documents(fragments: DataFrame, folder: str, mode: str = "overwrite") -> None:
+def write_documents(
+    fragments: DataFrame, folder: str, mode: str = "overwrite", partitions: int | None = None
+) -> None:
     """One folder per project; its part files, in name order, are the document."""
+    keys = ["project", "section", "number"]
+    placed = (
+        fragments.repartitionByRange(partitions, *keys)
+        if partitions
+        else fragments.repartitionByRange(*keys)
+    )
     (
-        fragments.repartitionByRange("project", "section", "number")
-        .sortWithinPartitions("project", "section", "number")
+        placed.sortWithinPartitions("project", "section", "number")
         .select("project", "text")
         .write.mode(mode)
         .partitionBy("project")

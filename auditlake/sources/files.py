@@ -2,42 +2,121 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from functools import reduce
+
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions import text as tx
-from auditlake.functions.scale import spread
+from auditlake.functions.scale import spread, stored
 from auditlake.operators.selection import in_skipped_dir, is_source, with_path_columns
 
 
+_ENTRIES = "path string, is_dir boolean, size bigint, mtime_us bigint"
+_READ_BATCH_BYTES = 64 << 20
+
+
+def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries of each folder in the batches, one listing call per folder."""
+    for batch in batches:
+        for folder in batch["path"]:
+            filesystem, inner = pafs.FileSystem.from_uri(folder)
+            prefix = folder[: len(folder) - len(inner)] if folder.endswith(inner) else ""
+            found = filesystem.get_file_info(pafs.FileSelector(inner, allow_not_found=True))
+            yield pd.DataFrame(
+                {
+                    "path": [prefix + i.path for i in found],
+                    "is_dir": [i.type == pafs.FileType.Directory for i in found],
+                    "size": [i.size or 0 for i in found],
+                    "mtime_us": [(i.mtime_ns or 0) // 1000 for i in found],
+                }
+            )
+
+
+def _read_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts of the listed files, in batches of bounded size."""
+    for batch in batches:
+        start = held = 0
+        texts: list[str] = []
+        for i, (path, wanted, size) in enumerate(zip(batch["path"], batch["wanted"], batch["size"])):
+            text = ""
+            if wanted:
+                try:
+                    filesystem, inner = pafs.FileSystem.from_uri(path)
+                    with filesystem.open_input_file(inner) as handle:
+                        text = handle.read().decode("utf-8", errors="replace")
+                except OSError:
+                    pass  # an unreadable file counts as empty
+            texts.append(text)
+            held += size if wanted else 0
+            if held >= _READ_BATCH_BYTES:
+                yield batch.iloc[start : i + 1].assign(content=texts)
+                start, held, texts = i + 1, 0, []
+        if texts:
+            yield batch.iloc[start:].assign(content=texts)
+
+
+def list_tree(spark: SparkSession, folder: str, prune: Sequence[str] = ()) -> DataFrame:
+    """All files below a folder, dot files and underscore names included.
+
+    Spark's own file sources leave out names that start with a dot or an
+    underscore (``.env``, ``.gitignore``, ``__init__.py``), so folders are
+    listed level by level: each round is one job over all folders of a level,
+    which splits even one very large project over all tasks. ``prune`` names
+    folders that are not entered.
+    """
+    parallel = spark.sparkContext.defaultParallelism
+    frontier = spark.createDataFrame([(folder.rstrip("/"),)], "path string")
+    levels = []
+    while True:
+        entries = stored(frontier.repartition(parallel).mapInPandas(_list_folders, _ENTRIES))
+        levels.append(entries.where(~F.col("is_dir")))
+        frontier = entries.where(
+            F.col("is_dir") & ~tx.path_name(F.col("path")).isin(*(prune or [""]))
+        ).select("path")
+        if frontier.isEmpty():
+            return reduce(DataFrame.unionByName, levels).drop("is_dir")
+
+
 def read_tree(
-    spark: SparkSession, folder: str, project_depth: int = 1, root: str = ""
+    spark: SparkSession,
+    folder: str,
+    project_depth: int = 1,
+    root: str = "",
+    prune: Sequence[str] = (),
 ) -> DataFrame:
     """Read a folder tree of projects into a ``files`` table.
 
     The first ``project_depth`` path parts below ``folder`` name the project;
-    the rest is the path inside it. Listing many small files is slow: read a
-    tree once, store it with :func:`write_files`, scan the table.
+    the rest is the path inside it. Texts are read for root-level and source
+    files only; other files are listed with an empty text. Reading many small
+    files is slow: read a tree once, store it with :func:`write_files`, scan the
+    table.
     """
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
+    relative = F.split(F.substring("path", len(folder.rstrip("/")) + 2, 1 << 30), "/")
+    listed = list_tree(spark, folder, prune).withColumn("_parts", relative)
+    inside = F.array_join(F.slice("_parts", project_depth + 1, F.size("_parts")), "/")
+    listed = listed.where(F.size("_parts") > project_depth).select(
+        F.array_join(F.slice("_parts", 1, project_depth), "/").alias("project"),
+        inside.alias("inner"), "path", "size", "mtime_us",
     )
-    base = folder.rstrip("/").removeprefix("file://").removeprefix("file:")
-    # binaryFile reports absolute URIs; drop the scheme and the folder
-    local = F.regexp_replace(F.col("path"), r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
-    relative = F.split(
-        F.substring(local, F.length(F.lit(base.split("://")[-1])) + 2, F.length(local)), "/"
+    name = tx.path_name(F.col("inner"))
+    lane = lane_of(F.col("inner"), name, tx.path_suffix(name))
+    wanted = listed.withColumn("wanted", lane != "other")
+    schema = (
+        "project string, inner string, path string, size bigint, mtime_us bigint, "
+        "wanted boolean, content string"
     )
-    return raw.select(
-        F.array_join(F.slice(relative, 1, project_depth), "/").alias("project"),
-        F.lit(root).alias("root"),
-        F.array_join(
-            F.slice(relative, project_depth + 1, F.size(relative)), "/"
-        ).alias("path"),
-        tx.valid_text(F.col("content")).alias("content"),
-        F.col("modificationTime").cast("timestamp_ntz").alias("mtime"),
+    texts = wanted.repartition(
+        max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ).mapInPandas(_read_texts, schema)
+    return texts.select(
+        "project", F.lit(root).alias("root"), F.col("inner").alias("path"), "content",
+        (F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(
+            F.lit(0), F.lit(0), F.lit(0), F.col("mtime_us") / F.lit(1e6))).alias("mtime"),
     )
 
 

@@ -13,7 +13,7 @@ LINE_TOOLS = ["clippy", "mypy", "tsc"]
 
 def read_reports(spark: SparkSession, folder: str) -> DataFrame:
     """Read ``<folder>/<project>/<tool>.<ext>`` report files, one row per file."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(folder)
+    raw = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
     parts = F.split(F.input_file_name(), "/")
     return raw.select(
         F.element_at(parts, -2).alias("project"),
