@@ -18,7 +18,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Salts per key. Adaptive skew handling splits what is still too large.
 SALT_BUCKETS = 16
+# Rows up to which a key-only side counts as small enough to broadcast.
+MAX_BROADCAST_ROWS = 500_000
 
 
 def salted_lookup(
@@ -44,6 +47,23 @@ def salted_lookup(
     )
 
 
+def checked_lookup(
+    facts: DataFrame,
+    dim: DataFrame,
+    keys: Sequence[str],
+    spread_by: Sequence[str],
+    how: str = "left",
+) -> DataFrame:
+    """Lookup for facts with large values (texts, payloads).
+
+    A dimension that is counted as small is broadcast, so the large values are
+    not shuffled; a larger one is joined salted.
+    """
+    if dim.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        return facts.join(F.broadcast(dim), list(keys), how)
+    return salted_lookup(facts, dim, keys, spread_by, how)
+
+
 def salted_filter(
     facts: DataFrame,
     dim: DataFrame,
@@ -80,9 +100,6 @@ def spread(table: DataFrame) -> DataFrame:
     return table.repartition(cores) if splits * 2 <= cores else table
 
 
-MAX_BROADCAST_ROWS = 500_000
-
-
 def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if a count shows that ``df`` is small; else leave it alone.
 

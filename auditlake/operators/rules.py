@@ -290,8 +290,11 @@ def _scan_units(
             f"THEN array(struct({ENV_FILE}, 1, ''{blanks})) END"
         )
     if NAMES_RULE in rules or SCOPES_RULE in rules:
+        # only this column, not every text, travels to the explode
+        package = F.when(F.col("name") == "package.json", F.col("content"))
+        df = df.withColumn("_package", package)
         groups.append(
-            f"CASE WHEN name = 'package.json' THEN array(struct({PACKAGE}, 0, content{blanks})) END"
+            f"CASE WHEN _package IS NOT NULL THEN array(struct({PACKAGE}, 0, _package{blanks})) END"
         )
     units = ", ".join(
         f"coalesce(cast({g} AS {unit_type}), cast(array() AS {unit_type}))" for g in groups

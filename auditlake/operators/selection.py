@@ -37,7 +37,13 @@ def is_source(name: Column, suffix: Column) -> Column:
 def eligible_files(
     files: DataFrame, skipped_dirs: Sequence[str] = tuple(catalog.SKIPPED_DIRS)
 ) -> DataFrame:
+    """Files the text and dependency rules read."""
     files = with_path_columns(files)
+    if "lane" in files.columns:  # a stored table: prune partitions
+        lanes = ["root", "source"]
+        if not set(catalog.SKIPPED_DIRS) <= set(skipped_dirs):
+            lanes.append("skipped")
+        files = files.where(F.col("lane").isin(*lanes))
     name, suffix = F.col("name"), F.col("suffix")
     return files.where(
         is_source(name, suffix)

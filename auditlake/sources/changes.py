@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.functions.scale import salted_lookup, small_side
+from auditlake.functions.scale import checked_lookup, small_side
 from auditlake.functions.text import SPACE
 
 UNCOMMITTED = ["staged", "unstaged", "untracked"]
@@ -70,9 +70,9 @@ def in_scope(
     if empty_scope == "none":
         return only_paths(files, paths)
     changed = small_side(paths.withColumn("_changed", F.lit(True)))
-    projects = small_side(paths.select("project").distinct().withColumn("_scoped", F.lit(True)))
+    projects = paths.select("project").distinct().withColumn("_scoped", F.lit(True))
     marked = files.join(changed, ["project", "path"], "left")
-    marked = salted_lookup(marked, projects, ["project"], ["path"])
+    marked = checked_lookup(marked, projects, ["project"], ["path"])
     return marked.where(F.col("_changed").isNotNull() | F.col("_scoped").isNull()).select(
         *files.columns
     )

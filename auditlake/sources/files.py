@@ -87,13 +87,14 @@ def read_tree(
     project_depth: int = 1,
     root: str = "",
     prune: Sequence[str] = (),
+    lanes: Sequence[str] = ("root", "source"),
 ) -> DataFrame:
     """Read a folder tree of projects into a ``files`` table.
 
     The first ``project_depth`` path parts below ``folder`` name the project;
-    the rest is the path inside it. Texts are read for root-level and source
-    files only; other files are listed with an empty text. Reading many small
-    files is slow: read a tree once, store it with :func:`write_files`, scan the
+    the rest is the path inside it. Texts are read for files of the named lanes
+    (see :func:`lane_of`); other files are listed with an empty text. Reading
+    many small files is slow: read a tree once, store it with :func:`write_files`, scan the
     table.
     """
     relative = F.split(F.substring("path", len(folder.rstrip("/")) + 2, 1 << 30), "/")
@@ -105,7 +106,7 @@ def read_tree(
     )
     name = tx.path_name(F.col("inner"))
     lane = lane_of(F.col("inner"), name, tx.path_suffix(name))
-    wanted = listed.withColumn("wanted", lane != "other")
+    wanted = listed.withColumn("wanted", lane.isin(*lanes))
     schema = (
         "project string, inner string, path string, size bigint, mtime_us bigint, "
         "wanted boolean, content string"
@@ -121,10 +122,11 @@ def read_tree(
 
 
 def lane_of(path: Column, name: Column, suffix: Column) -> Column:
-    """Storage lane: files at a project's root, scanned sources, everything else."""
+    """Storage lane: project root files, sources, sources in usually skipped
+    folders, everything else."""
     return (
         F.when(~path.contains("/"), "root")
-        .when(is_source(name, suffix) & ~in_skipped_dir(path), "source")
+        .when(is_source(name, suffix), F.when(in_skipped_dir(path), "skipped").otherwise("source"))
         .otherwise("other")
     )
 
@@ -133,21 +135,13 @@ def write_files(files: DataFrame, folder: str, mode: str = "overwrite") -> None:
     """Store a ``files`` table so that later scans prune.
 
     Partitioned by lane: side-file lookups read the small ``root`` lane, scans
-    skip ``other``. ``name`` and ``suffix`` are stored, so selections on them
-    reach the parquet reader. Rows are clustered by project and path hash, which
-    spreads a huge project over all tasks.
+    skip what they never read. ``name`` and ``suffix`` are stored, so selections on them
+    reach the parquet reader. Every task writes its own rows; no text is
+    shuffled.
     """
     keyed = with_path_columns(files)
-    keyed = keyed.withColumn(
-        "lane", lane_of(F.col("path"), F.col("name"), F.col("suffix"))
-    )
-    (
-        keyed.repartition("lane", F.pmod(F.xxhash64("project", "path"), F.lit(1024)))
-        .sortWithinPartitions("project", "path")
-        .write.mode(mode)
-        .partitionBy("lane")
-        .parquet(folder)
-    )
+    lane = lane_of(F.col("path"), F.col("name"), F.col("suffix"))
+    keyed.withColumn("lane", lane).write.mode(mode).partitionBy("lane").parquet(folder)
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake import catalog
-from auditlake.functions.scale import salted_lookup
+from auditlake.functions.scale import checked_lookup
 
 LINE_TOOLS = ["clippy", "mypy", "tsc"]
 
@@ -48,7 +48,7 @@ def preferred_tools(reports: DataFrame) -> DataFrame:
         .groupBy("project")
         .agg(F.collect_set("tool").alias("_present"))
     )
-    joined = salted_lookup(reports, present, ["project"], ["tool", "payload"])
+    joined = checked_lookup(reports, present, ["project"], ["tool", "target", "payload"])
     has = F.coalesce(F.col("_present"), F.array().cast("array<string>"))
     replaced = F.lit(False)
     for better, other in catalog.TOOL_PREFERENCE:

@@ -38,9 +38,12 @@ def test_read_tree_and_lanes(spark, tmp_path):
     table = fl.read_files(spark, str(tmp_path / "table"))
     lanes = {r.path: r.lane for r in table.collect()}
     assert lanes == {"src/a.js": "source", ".gitignore": "root", "cfg/.env": "source",
-                     "docs/readme.md": "other", "node_modules/q.js": "other", "pkg/__init__.py": "source"}
+                     "docs/readme.md": "other", "node_modules/q.js": "skipped", "pkg/__init__.py": "source"}
     assert sorted((r.rule_id, r.file) for r in rules.scan(table).collect()) == [
         ("SEC-003", "pkg/__init__.py"), ("SEC-003", "src/a.js")]
+    assert rules.scan(table, skipped_dirs=[]).count() == 2  # q.js is listed without its text
+    everything = fl.read_tree(spark, str(tmp_path / "tree"), lanes=("root", "source", "skipped"))
+    assert rules.scan(everything, skipped_dirs=[]).count() == 3
     side = rules.side_inputs(table)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(lane" in side and "= root" in side
 
