@@ -104,8 +104,11 @@ def scan_projects(
                        skipped_dirs=opts.exclude_patterns)
         )
     if reports is not None:
-        chosen = rp.preferred_tools(reports)
-        found = normalise.normalise(chosen)
+        # tool choice is applied to the findings: one lookup instead of one per tool
+        replaced = rp.replaced_tools(reports)
+        found = salted_filter(
+            normalise.normalise(reports), replaced, ["project", "tool"], ["file", "line"], anti=True
+        )
         found = normalise.apply_overrides(
             found,
             opts.tool_overrides.get("lint", {}).get("ruff", {}).get("select", ()),
@@ -114,13 +117,18 @@ def scan_projects(
         if opts.scan_mode != "full" and changes is not None:
             found = normalise.only_changed(found, scoped)
         parts.append(found)
-        with_tool = chosen.select("project", rp.domain_of(F.col("tool")).alias("domain")).distinct()
+        ran = reports.select("project", "tool").distinct().join(
+            replaced, ["project", "tool"], "left_anti"
+        )
+        with_tool = ran.select("project", rp.domain_of(F.col("tool")).alias("domain")).distinct()
         available = available.unionByName(with_tool)
         executed_tools = executed_tools.unionByName(
-            normalise.tools_used(chosen, with_tool).select(
+            normalise.tools_used(ran, with_tool).select(
                 "project", "domain", "tool", F.lit("").alias("version"))
         )
-        errors = errors.unionByName(normalise.report_errors(chosen))
+        errors = errors.unionByName(
+            normalise.report_errors(rp.preferred_tools(reports))
+        )
     for domain in reg.custom():
         if domain.available():
             parts.append(run_domain(domain, scoped, opts))

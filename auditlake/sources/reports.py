@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake import catalog
 from auditlake.functions.scale import checked_lookup
+from auditlake.functions.sql import lookup
 
 LINE_TOOLS = ["clippy", "mypy", "tsc"]
 
@@ -40,17 +41,30 @@ def domain_of(tool: Column) -> Column:
     return F.element_at(F.create_map(*pairs), tool)
 
 
-def preferred_tools(reports: DataFrame) -> DataFrame:
-    """Keep the preferred tool where a project has reports of both of a pair."""
-    preferred = [p for p, _ in catalog.TOOL_PREFERENCE]
-    present = (
-        reports.where(F.col("tool").isin(*preferred))
-        .groupBy("project")
-        .agg(F.collect_set("tool").alias("_present"))
+def replaced_tools(reports: DataFrame) -> DataFrame:
+    """(project, tool) rows whose reports a preferred tool's reports replace."""
+    pairs = {better: other for better, other in catalog.TOOL_PREFERENCE}
+    other = F.expr(lookup(pairs, "tool"))
+    return (
+        reports.select("project", other.alias("tool")).where(F.col("tool").isNotNull()).distinct()
     )
-    joined = checked_lookup(reports, present, ["project"], ["tool", "target", "payload"])
-    has = F.coalesce(F.col("_present"), F.array().cast("array<string>"))
-    replaced = F.lit(False)
-    for better, other in catalog.TOOL_PREFERENCE:
-        replaced = replaced | ((F.col("tool") == other) & F.array_contains(has, better))
-    return joined.where(~replaced).select(*reports.columns)
+
+
+def preferred_tools(reports: DataFrame) -> DataFrame:
+    """Keep the preferred tool where a project has reports of both of a pair.
+
+    Only reports of replaceable tools meet the lookup; the others pass
+    untouched, so a later filter on one tool reaches the stored table.
+    """
+    tool = F.col("tool")
+    replaceable = [other for _, other in catalog.TOOL_PREFERENCE]
+    free = reports.where(~tool.isin(*replaceable))
+    contested = reports.where(tool.isin(*replaceable))
+    voided = replaced_tools(reports).withColumn("_void", F.lit(True))
+    kept = checked_lookup(contested, voided, ["project", "tool"], ["target", "payload"])
+    return free.unionByName(kept.where(F.col("_void").isNull()).select(*reports.columns))
+
+
+def write_reports(reports: DataFrame, folder: str, mode: str = "append") -> None:
+    """Store reports by tool: each normaliser then reads its own tool's files only."""
+    reports.write.mode(mode).partitionBy("tool").parquet(folder)

@@ -297,7 +297,6 @@ versions AS (
 
 # ---------------------------------------------------------------- tool reports
 # Payload templates; each {{...}} is an expression over `part`.
-_BAD = {0: "not json", 1: None}
 REPORTS = {
     "ruff": '[{"code":"{{if(p_size % 2 = 0, \'E\', \'F\')}}{{p_size}}","filename":"src/p{{p_partkey}}.py",'
             '"location":{"row":{{p_size}},"column":1},"message":"{{p_type}}",'
@@ -350,21 +349,21 @@ NULL_LIST = {
 }
 
 
-def _fill(template: str):
-    """Column that fills the ``{{expression}}`` holes of a template."""
+def _fill(template: str) -> str:
+    """SQL text that fills the ``{{expression}}`` holes of a template."""
     pieces = []
     for i, part in enumerate(template.split("{{")):
         text = part
         if i:
-            # the hole ends at its last "}}" that leaves balanced braces
+            # a hole ends at the first "}}" outside quotes
             end = part.index("}}")
-            while part[: end].count("'") % 2:
+            while part[:end].count("'") % 2:
                 end = part.index("}}", end + 1)
-            pieces.append(F.expr(part[:end]).cast("string"))
+            pieces.append(f"cast({part[:end]} AS string)")
             text = part[end + 2:]
         if text:
-            pieces.append(F.lit(text))
-    return F.concat(*pieces)
+            pieces.append(quote(text))
+    return f"concat({', '.join(pieces)})"
 
 
 def reports(spark: SparkSession, sf_dir: str, *tools: str) -> DataFrame:
@@ -372,23 +371,16 @@ def reports(spark: SparkSession, sf_dir: str, *tools: str) -> DataFrame:
     part = table(spark, sf_dir, "part").withColumn(
         "project", F.expr(PROJECT_SQL.format(n="p_partkey % 21"))
     )
-    one = F.array(
-        *[
-            F.struct(
-                F.lit(tool).alias("tool"),
-                F.when(F.col("p_partkey") % 50 == 0, F.lit("not json"))
-                .when(F.col("p_partkey") % 50 == 1, F.lit(NULL_LIST[tool]))
-                .otherwise(_fill(REPORTS[tool]))
-                .alias("payload"),
-            )
-            for tool in (tools or REPORTS)
-        ]
+    one = ", ".join(
+        f"struct({quote(tool)} AS tool, CASE p_partkey % 50 WHEN 0 THEN 'not json' "
+        f"WHEN 1 THEN {quote(NULL_LIST[tool])} ELSE {_fill(REPORTS[tool])} END AS payload)"
+        for tool in (tools or REPORTS)
     )
     return part.select(
         "project",
         F.concat(F.lit("/work/"), "project").alias("root"),
-        F.explode(one).alias("r"),
+        F.expr(f"inline(array({one}))"),
         F.concat(F.lit("docker/Dockerfile."), F.col("p_partkey").cast("string")).alias("target"),
         F.concat(F.lit("stderr of "), "p_name").alias("stderr"),
         (F.col("p_size") % 4).cast("int").alias("returncode"),
-    ).select("project", "root", "r.tool", "target", "r.payload", "stderr", "returncode")
+    ).select("project", "root", "tool", "target", "payload", "stderr", "returncode")

@@ -17,7 +17,8 @@ from auditlake.plans.scan import scan_projects
 from auditlake.sinks import reports as sink
 from auditlake.sources import changes as ch
 from auditlake.sources import files as fl
-from auditlake.sources.reports import read_reports
+from auditlake.operators import normalise
+from auditlake.sources import reports as rp
 from auditlake.streaming import watch
 
 KEY = "sk-" + "ab12" * 12
@@ -51,10 +52,19 @@ def test_read_tree_and_lanes(spark, tmp_path):
 def test_read_reports(spark, tmp_path):
     (tmp_path / "p1").mkdir()
     (tmp_path / "p1" / "ruff.json").write_text("[\n]")
-    row = read_reports(spark, str(tmp_path)).first()
+    row = rp.read_reports(spark, str(tmp_path)).first()
     assert (row.project, row.tool, row.payload) == ("p1", "ruff", "[\n]")
 
 
+def test_stored_reports_are_pruned_by_tool(spark, tmp_path):
+    rows = [("p", "", t, "", "[]", "", 0) for t in ("ruff", "eslint", "biome")]
+    rp.write_reports(spark.createDataFrame(rows, schemas.REPORTS), str(tmp_path / "r"))
+    table = spark.read.parquet(str(tmp_path / "r"))
+    plan = normalise.ruff(rp.preferred_tools(table))._jdf.queryExecution().executedPlan().toString()
+    assert "= ruff)" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert rp.preferred_tools(table).count() == 2
+
+
 @pytest.fixture()
 def change_rows(spark):
     rows = [("p", "", "staged", "b.py", 0), ("p", "", "unstaged", "b.py", 1), ("p", "", "untracked", "a.py", 2),
