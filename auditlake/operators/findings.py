@@ -10,15 +10,14 @@ from pyspark.sql import functions as F
 
 from auditlake import catalog
 from auditlake.functions.scale import stored, top_n
+from auditlake.functions.sql import array
 from auditlake.operators.lines import numbered_context
 from auditlake.schemas import FINDING_COLUMNS, FINDING_ORDER
 
 
 def severity_rank(severity: Column) -> Column:
-    rank = F.lit(None).cast("int")
-    for i, name in reversed(list(enumerate(catalog.SEVERITIES))):
-        rank = F.when(severity == name, i).otherwise(rank)
-    return F.coalesce(rank, F.lit(catalog.UNKNOWN_RANK))
+    place = F.array_position(F.expr(array(catalog.SEVERITIES)), severity)
+    return F.when(place > 0, (place - 1).cast("int")).otherwise(catalog.UNKNOWN_RANK)
 
 
 def order_key() -> Column:

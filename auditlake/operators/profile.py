@@ -12,28 +12,28 @@ from pyspark.sql import functions as F
 
 from auditlake import catalog
 from auditlake.functions import text as tx
+from auditlake.functions.sql import array, array_lookup, lookup
 from auditlake.operators.selection import is_dockerfile, with_path_columns
 from auditlake.sources.files import root_only
 
 
-def _lookup(table: dict[str, str], key: Column) -> Column:
-    """Value of a small fixed table, null if absent (a literal map: no join)."""
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), key)
+def _lookup(table: dict[str, str], key: str) -> Column:
+    """Value of a small fixed table for a column, null if absent."""
+    return F.expr(lookup(table, key))
 
 
 def marker_languages(root_files: DataFrame) -> DataFrame:
     rows = root_only(root_files).select(
-        "project", _lookup(catalog.MARKER_LANGUAGES, F.col("path")).alias("language")
+        "project", _lookup(catalog.MARKER_LANGUAGES, "path").alias("language")
     )
     return rows.where(F.col("language").isNotNull()).distinct()
 
 
 def suffix_languages(files: DataFrame) -> DataFrame:
     parts = tx.path_parts(F.col("path"))
-    skipped = F.arrays_overlap(parts, F.array(*[F.lit(d) for d in catalog.UNPROFILED_DIRS]))
+    skipped = F.arrays_overlap(parts, F.expr(array(catalog.UNPROFILED_DIRS)))
     rows = with_path_columns(files.select("project", "path")).where(~skipped).select(
-        "project", _lookup(catalog.SUFFIX_LANGUAGES, F.col("suffix")).alias("language")
+        "project", _lookup(catalog.SUFFIX_LANGUAGES, "suffix").alias("language")
     )
     return rows.where(F.col("language").isNotNull()).distinct()
 
@@ -72,7 +72,7 @@ def js_frameworks(root_files: DataFrame) -> DataFrame:
     return (
         root_only(root_files).where((F.col("path") == "package.json") & valid)
         .select("project", F.explode(names).alias("_name"))
-        .select("project", _lookup(catalog.JS_FRAMEWORKS, F.col("_name")).alias("framework"))
+        .select("project", _lookup(catalog.JS_FRAMEWORKS, "_name").alias("framework"))
         .where(F.col("framework").isNotNull())
         .distinct()
     )
@@ -80,7 +80,7 @@ def js_frameworks(root_files: DataFrame) -> DataFrame:
 
 def existing_tools(root_files: DataFrame) -> DataFrame:
     roots = root_only(root_files)
-    by_file = roots.select("project", _lookup(catalog.TOOL_CONFIG_FILES, F.col("path")).alias("tool"))
+    by_file = roots.select("project", _lookup(catalog.TOOL_CONFIG_FILES, "path").alias("tool"))
     sections = F.array_compact(
         F.array(
             *[
@@ -144,11 +144,8 @@ def recommended_domains(
 
 def relevant_linters(files: DataFrame) -> DataFrame:
     """Linters that handle at least one suffix of the project (all files count)."""
-    pairs = []
-    for suffix, linters in catalog.LINTERS_BY_SUFFIX.items():
-        pairs += [F.lit(suffix), F.array(*[F.lit(x) for x in linters])]
     named = with_path_columns(files.select("project", "path"))
-    linter = F.explode(F.try_element_at(F.create_map(*pairs), F.col("suffix")))
+    linter = F.explode(F.expr(array_lookup(catalog.LINTERS_BY_SUFFIX, "suffix")))
     return named.select("project", linter.alias("linter")).distinct()
 
 

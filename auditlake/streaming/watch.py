@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from auditlake import catalog
 from auditlake.functions import text as tx
 from auditlake.functions.scale import spread
+from auditlake.functions.sql import array
 from auditlake.operators.rules import scan
 from auditlake.operators.selection import eligible_files, with_path_columns
 from auditlake.schemas import FINDING_COLUMNS
@@ -29,7 +30,7 @@ def is_watched(path: Column) -> Column:
     name = tx.path_name(path)
     parts = tx.path_parts(path)
     folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    pruned = F.arrays_overlap(folders, F.array(*[F.lit(d) for d in catalog.SKIPPED_DIRS]))
+    pruned = F.arrays_overlap(folders, F.expr(array(catalog.SKIPPED_DIRS)))
     return ~pruned & (
         tx.path_suffix(name).isin(*catalog.WATCHED_SUFFIXES) | name.startswith(".env")
     )
