@@ -514,9 +514,10 @@ for _name, _tool in {
     ORACLE[_name] = f"WITH {tool_cte('t', _tool)} SELECT {FINDING}, domain, tool, category, url FROM t"
 _MIXED = """
 mixed AS (
-  SELECT 'proj' || lpad(cast(p_partkey % 21 AS varchar), 2, '0') AS project, tool
-  FROM part, (VALUES ('eslint'), ('biome'), ('mypy'), ('pyright'), ('semgrep')) t(tool)
-  WHERE NOT (tool = 'eslint' AND p_partkey % 21 % 2 = 1) AND NOT (tool = 'mypy' AND p_partkey % 21 % 3 = 1)),
+  SELECT project, CASE WHEN tool = 'eslint' AND p % 2 = 1 THEN 'ruff'
+    WHEN tool = 'mypy' AND p % 3 = 1 THEN 'tsc' ELSE tool END AS tool
+  FROM (SELECT p_partkey % 21 AS p, 'proj' || lpad(cast(p_partkey % 21 AS varchar), 2, '0') AS project FROM part),
+    (VALUES ('eslint'), ('biome'), ('mypy'), ('pyright'), ('semgrep')) t(tool)),
 pref AS (
   SELECT * FROM mixed m WHERE NOT EXISTS (SELECT 1 FROM mixed o WHERE o.project = m.project
     AND (o.tool, m.tool) IN (('eslint', 'biome'), ('mypy', 'pyright'))))"""
@@ -527,9 +528,9 @@ WHERE (tool = 'ruff' AND (rule_id LIKE 'LINT-RUFF-E1%' OR rule_id LIKE 'LINT-RUF
 ORACLE["incremental_tools"] = f"""WITH {tool_cte('t', 'ruff', 'trivy')} SELECT project, rule_id, file, tool FROM t
 WHERE tool = 'trivy' OR file IN (SELECT 'src/p' || p_partkey || '.py' FROM part WHERE p_size % 2 = 0)"""
 ORACLE["domain_tools_used"] = f"""WITH {_MIXED},
-used AS (SELECT DISTINCT project, tool, CASE WHEN tool IN ('eslint', 'biome') THEN 'lint'
+used AS (SELECT DISTINCT project, tool, CASE WHEN tool IN ('ruff', 'eslint', 'biome') THEN 'lint'
   WHEN tool = 'semgrep' THEN 'sast' ELSE 'typecheck' END AS domain FROM pref)
-SELECT p.project, d.domain, coalesce(string_agg(u.tool, ', ' ORDER BY u.tool), 'none') AS tool
+SELECT p.project, d.domain, coalesce(string_agg(u.tool, ', ' ORDER BY list_position({lit_list(list(catalog.TOOL_DOMAIN))}, u.tool)), 'none') AS tool
 FROM (SELECT DISTINCT project FROM pref) p
 CROSS JOIN (VALUES ('lint'), ('typecheck'), ('sast'), ('sca')) d(domain)
 LEFT JOIN used u ON u.project = p.project AND u.domain = d.domain GROUP BY ALL"""
@@ -663,9 +664,9 @@ watched AS (
 _DEPENDS["watched"] = ["named"]
 oracle("watch_snapshot", "watched", "SELECT * FROM watched")
 oracle("snapshot_diff", "watched", """,
-later AS (SELECT project, CASE WHEN length(path) % 7 = 0 THEN path || '.new' ELSE path END AS path,
-  CASE WHEN length(path) % 3 = 0 THEN mtime - INTERVAL 1 HOUR ELSE mtime END AS mtime
-  FROM watched WHERE length(path) % 5 <> 0)
+later AS (SELECT project, CASE WHEN ends_with(path, '.ts') THEN path || 'x' ELSE path END AS path,
+  CASE WHEN ends_with(path, '.py') THEN mtime - INTERVAL 1 HOUR ELSE mtime END AS mtime
+  FROM watched WHERE NOT ends_with(path, '.jsx'))
 SELECT coalesce(o.project, n.project) AS project, coalesce(o.path, n.path) AS path,
   CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'modified' END AS change
 FROM watched o FULL JOIN later n ON o.project = n.project AND o.path = n.path

@@ -341,13 +341,16 @@ for _name, _tool in {
 
 
 def _mixed_tools(spark, sf):
-    """Projects differ in the tools they ran: drop eslint or mypy for some."""
+    """Projects differ in the tools they ran: some have ruff for eslint, tsc for mypy."""
     reports = corpus.reports(spark, sf, "eslint", "biome", "mypy", "pyright", "semgrep")
     number = F.substring("project", 5, 2).cast("int")
-    without = ((F.col("tool") == "eslint") & (number % 2 == 1)) | (
-        (F.col("tool") == "mypy") & (number % 3 == 1)
+    tool = F.col("tool")
+    return reports.withColumn(
+        "tool",
+        F.when((tool == "eslint") & (number % 2 == 1), "ruff")
+        .when((tool == "mypy") & (number % 3 == 1), "tsc")
+        .otherwise(tool),
     )
-    return reports.where(~without)
 
 
 @query
@@ -650,11 +653,12 @@ def watch_snapshot(spark, sf):
 def snapshot_diff(spark, sf):
     """Against a later state: some files gone, some new, some touched."""
     old = watch.snapshot(corpus.files(spark, sf))
-    number = F.xxhash64("path") * 0 + F.length("path")
-    new = old.where(number % 5 != 0).select(
+    path = F.col("path")
+    new = old.where(~path.endswith(".jsx")).select(
         "project",
-        F.when(number % 7 == 0, F.concat("path", F.lit(".new"))).otherwise(F.col("path")).alias("path"),
-        F.when(number % 3 == 0, F.expr("mtime - interval '1' hour")).otherwise(F.col("mtime")).alias("mtime"),
+        F.when(path.endswith(".ts"), F.concat(path, F.lit("x"))).otherwise(path).alias("path"),
+        F.when(path.endswith(".py"), F.expr("mtime - interval '1' hour"))
+        .otherwise(F.col("mtime")).alias("mtime"),
     )
     return watch.snapshot_diff(old, new)
 
