@@ -12,6 +12,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -83,7 +85,7 @@ def stored(df: DataFrame) -> DataFrame:
     table survives lost executors and keeps columnar pruning.
     """
     spark = df.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/auditlake-table-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
@@ -199,15 +201,34 @@ def top_n(
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; set one only where none is given."""
+    """The cluster's shared folder for intermediate tables (``spark.checkpoint.dir``).
+
+    Without that setting only a local session gets a folder of its own: on a
+    cluster a driver-local folder would lose the executors' files, so the call
+    fails there.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return configured or current
-    if configured is None:
-        import tempfile
-
-        # only where no cluster folder is named, as in tests
+    if configured is None and current is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="auditlake-checkpoint-")
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    if current is None:
+        spark.sparkContext.setCheckpointDir(configured)
+    return configured or current
+
+
+def scratch_folder(spark: SparkSession, name: str = "table") -> str:
+    """A new path in the shared folder; what is there goes when the session ends."""
+    folder = f"{ensure_checkpoint_dir(spark)}/auditlake-{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)  # only what exists is noted for deletion
+    fs.deleteOnExit(path)
+    return f"{folder}/rows"
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a scratch folder that is no longer needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
