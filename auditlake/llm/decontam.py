@@ -45,11 +45,11 @@ _UNITS = "|".join(UNITS)
 
 
 def marked(text: Column) -> Column:
-    """Words of the text without punctuation, names prefixed with @, as an array."""
+    """The text with single spaces, without punctuation, names prefixed with @."""
     plain = F.translate(F.coalesce(text, F.lit("")), "@~", "")
-    named = F.regexp_replace(plain, r"(?<=[^.!?:\s]\x20)(\p{Lu}\p{Ll}+)", "@$1")
-    clean = F.regexp_replace(named, r"[^\p{L}\p{M}\p{N}@\x20\x09-\x0D]+", "")
-    return F.trim(clean, F.lit(" \t\n\x0b\x0c\r"))
+    spaced = F.regexp_replace(plain, r"[\x20\x09-\x0D]+", " ")
+    named = F.regexp_replace(spaced, r"(?<=[^.!?: ] )(\p{Lu}\p{Ll}+)", "@$1")
+    return F.regexp_replace(named, r"[^\p{L}\p{M}\p{N}@ ]+", "")
 
 
 def template(marked_text: Column) -> Column:
@@ -59,14 +59,14 @@ def template(marked_text: Column) -> Column:
         named.rlike(r"\p{N}"),
         F.regexp_replace(
             F.regexp_replace(named, r"\p{N}+", NUMBER),
-            rf"(?i)(?<=\b0[\x20\x09-\x0D]?)({_UNITS})(?![\p{{L}}\p{{N}}])", UNIT,
+            rf"(?i)(?<=\b0 ?)({_UNITS})(?![\p{{L}}\p{{N}}])", UNIT,
         ),
     ).otherwise(named)
     return let(numbers, lower_ascii)
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.filter(F.split(text, " "), lambda w: w != "")
 
 
 def _hash(array: Column, at: Column) -> Column:

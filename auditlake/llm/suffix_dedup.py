@@ -255,7 +255,7 @@ def repeated_passages(
     hits = stored(shared_suffixes(kept, partitions).withColumn("head", F.substring("prefix", 1, _HEAD)))
     # left and right as far as the choosing windows reach
     whole = _shared(hits)
-    known = stored(hits.join(whole, ["h1", "h2"], "left").drop("prefix", "h1", "h2"))
+    known = stored(hits.join(whole, ["h1", "h2"], "left").drop("prefix"))
     settled = known.where("low IS NOT NULL")
     rest = known.where("low IS NULL")
     # where that differs: window by window, against two documents of each settled kind
@@ -264,7 +264,13 @@ def repeated_passages(
     )
     single = stored(windows_of(rows, rest.select("id", "w0", "n").unionByName(
         against.select("id", "w0", "n")), min_words))
-    found = single.join(_shared(single), ["h1", "h2"])
+    found = stored(single.join(_shared(single), ["h1", "h2"]).select("id", "w0", "c0", "c1", "low"))
+    # other documents may hold single windows of a settled kind, with smaller ids
+    inside = against.select(
+        "h1", "h2", "id", F.explode(F.sequence("w0", F.col("w0") + F.col("n") - 1)).alias("w0")
+    )
+    smaller = inside.join(found, ["id", "w0"]).groupBy("h1", "h2").agg(F.min("low").alias("smaller"))
+    settled = settled.join(smaller, ["h1", "h2"], "left").withColumn("low", F.least("low", "smaller"))
     spans = settled.select("id", "w0", (F.col("w0") + F.col("n") + (min_words - 1)).alias("w1"),
                            "c0", "c1", "low").unionByName(
         found.select("id", "w0", (F.col("w0") + min_words).alias("w1"), "c0", "c1", "low")
