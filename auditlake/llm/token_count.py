@@ -4,13 +4,13 @@ A text is cut before single spaces into pieces that the tokenizer never joins
 (``_CUT`` names the texts where a cut would change a run of white space; those are
 cut at the start of such runs alone). Lengths come from two tiers: a compact table of
 frequent pre-tokens, broadcast once, which is the vocabulary's own list of words, so
-it is bounded by the vocabulary; and a cache in each worker that encodes what it
-misses with the tokenizer, in batches. Pre-tokens are never shuffled.
+it is bounded by the vocabulary; and a cache in each worker, which encodes what the
+table misses. Pre-tokens are never shuffled.
 
 Defined cases: a null text counts as empty, with no tokens; other columns pass
 unchanged, but ``n_bytes``, ``n_tokens`` and ``over_limit`` are replaced; repeated
 rows are counted each. Memory: a worker's cache holds at most ``CACHE`` pieces of at
-most ``PIECE`` characters and starts anew when full; longer pieces are not kept.
+most ``PIECE`` characters; what it cannot hold is encoded each time.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
+
+from auditlake.llm import bpe
 
 LIMIT = 512
 CACHE = 400_000
@@ -41,41 +42,35 @@ def text_pieces(text: str) -> list[str]:
 
 
 class Lengths(dict):
-    """Token counts of pieces; unknown ones are encoded by :meth:`learn`."""
+    """Token counts of pieces: the broadcast tier, and what this worker met first.
 
-    def __init__(self, tokenizer: Tokenizer, frequent: dict[str, int]):
-        super().__init__(frequent)
-        self.tokenizer, self.frequent = tokenizer, frequent
+    The first ``CACHE`` pieces of at most ``PIECE`` characters stay; frequent ones come early.
+    """
 
-    def learn(self, unknown: list[str]) -> dict[str, int]:
-        got = dict(zip(unknown, map(len, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False))))
-        if len(self) + len(got) > CACHE:
-            self.clear()
-            self.update(self.frequent)
-        self.update((k, n) for k, n in got.items() if len(k) <= PIECE)
-        return got
+    def __init__(self, path: str, frequent: dict[str, int]):
+        super().__init__(frequent)
+        self.tokenizer = bpe.load(path)
+        self.model = self.tokenizer.model
 
-    def count(self, texts: list[str]) -> list[int]:
-        out = []
-        for text in texts:
-            pieces = text_pieces(text)
-            try:
-                out.append(sum(map(self.__getitem__, pieces)))
-            except KeyError:
-                unknown = [p for p in dict.fromkeys(pieces) if p not in self]
-                new = self.learn(unknown)
-                known = self.get
-                out.append(sum(new[p] if p in new else self.of(p) for p in pieces))
-        return out
+    def __missing__(self, piece: str) -> int:
+        n = self.of(piece)
+        if len(self) < CACHE and len(piece) <= PIECE:
+            self[piece] = n
+        return n
 
     def of(self, piece: str) -> int:
-        n = self.get(piece)
-        return self.learn([piece])[piece] if n is None else n
+        if plain := bpe.PLAIN.fullmatch(piece):
+            n = len(self.model.tokenize(bpe.pretoken(plain[1] + plain[2])))
+            return n + len(self.model.tokenize(plain[3])) if plain[3] else n
+        return len(self.tokenizer.encode(piece, add_special_tokens=False))
+
+    def count(self, texts: list[str]) -> list[int]:
+        return [sum(map(self.__getitem__, text_pieces(t))) for t in texts]
 
 
 def frequent_pieces(path: str) -> tuple[str, bytes]:
     """The vocabulary's words, with and without a space before, and their token counts."""
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer = bpe.load(path)
     names = [tokenizer.decode([i], skip_special_tokens=True) for i in range(tokenizer.get_vocab_size())]
     words = sorted({n for n in names if n.strip() and "\n" not in n and "�" not in n
                     and " " not in n[1:]})
@@ -99,8 +94,12 @@ def count_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, lengths = frequent.value
-        table = Lengths(Tokenizer.from_file(tokenizer_path), dict(zip(words.split("\n"), lengths)))
+
+        def make() -> Lengths:
+            words, lengths = frequent.value
+            return Lengths(tokenizer_path, dict(zip(words.split("\n"), lengths)))
+
+        table = bpe.worker_table("lengths", tokenizer_path, make)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))
             texts = [t or "" for t in column.to_pylist()]
