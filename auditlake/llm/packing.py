@@ -35,9 +35,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
 
 from auditlake.functions.scale import stored
+from auditlake.llm import bpe
 
 CAPACITY = 2048
 END_ID = 0
@@ -47,29 +47,38 @@ _ORD_BITS = 44
 
 
 class TokenIds(dict):
-    """Ids of text parts as little-endian 32-bit values; unknown parts are encoded in batches.
+    """Ids of text parts as little-endian 32-bit values.
 
-    For tokenizers that drop white space: parts between spaces and line feeds are
-    encoded on their own. At most ``CACHE`` parts of at most ``PIECE`` characters stay.
+    For lower-casing tokenizers that drop white space: parts between spaces and line
+    feeds are encoded on their own. The first ``CACHE`` parts of at most ``PIECE``
+    characters stay; frequent ones come early.
     """
 
     def __init__(self, path: str):
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = bpe.load(path)
+        self.model = self.tokenizer.model
+        self.names = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.of(part)
+        if len(self) < CACHE and len(part) <= PIECE:
+            self[part] = ids
+        return ids
+
+    def of(self, part: str) -> bytes:
+        names = self.names
+        if plain := bpe.PLAIN.fullmatch(part):
+            word, tail = plain[2].lower(), plain[3]
+            ids = [names[t.id] for t in self.model.tokenize(word if word.isascii() else bpe.pretoken(word))]
+            if tail:
+                ids += [names[t.id] for t in self.model.tokenize(tail)]
+        else:
+            ids = [names[i] for i in self.tokenizer.encode(part, add_special_tokens=False).ids]
+        return b"".join(ids)
 
     def encode(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.__getitem__, parts))
-        except KeyError:
-            unknown = [p for p in dict.fromkeys(parts) if p not in self]
-            found = self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)
-            new = {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(unknown, found)}
-            ids = b"".join(new[p] if p in new else self[p] for p in parts)
-            if len(self) + len(new) > CACHE:
-                self.clear()
-            self.update((p, x) for p, x in new.items() if len(p) <= PIECE)
-            return ids
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def cut_pieces(
@@ -88,7 +97,8 @@ def cut_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        table, task = TokenIds(tokenizer_path), TaskContext.get().partitionId()
+        table = bpe.worker_table("ids", tokenizer_path, lambda: TokenIds(tokenizer_path))
+        task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             texts = batch.column(1).to_pylist()
