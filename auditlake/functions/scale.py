@@ -2,7 +2,6 @@
 
 * ``salted_lookup``: fact-to-dimension join that spreads a hot key over many
   tasks (dimension rows are replicated, fact rows are not).
-* ``small_side``: broadcast hint behind a counted size check.
 * ``running_total``: exclusive running sum whose windows never hold more than a
   fixed number of rows, whatever the key distribution.
 * ``stored``: cut a lineage that is used several times by writing a table.
@@ -22,8 +21,6 @@ from pyspark.sql import functions as F
 
 # Salts per key. Adaptive skew handling splits what is still too large.
 SALT_BUCKETS = 16
-# Rows up to which a key-only side counts as small enough to broadcast.
-MAX_BROADCAST_ROWS = 500_000
 
 
 def salted_lookup(
@@ -49,23 +46,6 @@ def salted_lookup(
     )
 
 
-def checked_lookup(
-    facts: DataFrame,
-    dim: DataFrame,
-    keys: Sequence[str],
-    spread_by: Sequence[str],
-    how: str = "left",
-) -> DataFrame:
-    """Lookup for facts with large values (texts, payloads).
-
-    A dimension that is counted as small is broadcast, so the large values are
-    not shuffled; a larger one is joined salted.
-    """
-    if dim.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
-        return facts.join(F.broadcast(dim), list(keys), how)
-    return salted_lookup(facts, dim, keys, spread_by, how)
-
-
 def salted_filter(
     facts: DataFrame,
     dim: DataFrame,
@@ -90,29 +70,6 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """Spread a stored table over all cores if it has far fewer splits than cores.
-
-    Texts are expensive to scan, so one big row group must not keep a single
-    core busy. Large tables have many more splits than cores and stay as they
-    are, without a shuffle. For plain table reads only.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    splits = table.rdd.getNumPartitions()
-    return table.repartition(cores) if splits * 2 <= cores else table
-
-
-def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if a count shows that ``df`` is small; else leave it alone.
-
-    For key-only sides that meet rows with large texts: a shuffle join would
-    move every text, and adaptive execution learns the small side's size only
-    after the large side was written. The count stops after ``max_rows`` rows.
-    """
-    fits = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if fits else df
-
-
 BLOCK_BITS = 16
 SEQ_BITS = 48
 

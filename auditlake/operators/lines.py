@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import text as tx
-from auditlake.functions.scale import small_side
 
 
 def with_lines(files: DataFrame) -> DataFrame:
@@ -50,36 +49,20 @@ def line_context(files: DataFrame, before: int, after: int) -> DataFrame:
 def numbered_context(
     wanted: DataFrame, files: DataFrame, before: int, after: int, numbered: bool
 ) -> DataFrame:
-    """Context text for (project, path, line) rows: an equi-join per line.
+    """Context text for (project, path, line) rows.
 
-    Each wanted line asks for its at most ``before + after + 1`` neighbours, so
-    no file is copied per finding and no group grows with the data. ``line`` is
-    0 for findings about a whole file. Files nobody asks about are dropped
-    before they are split.
+    The lines wanted of a file meet its row as one array, at most as long as the
+    file; contexts are sliced there and only they are exploded. ``line`` is 0 for
+    findings about a whole file. Lines beyond the file's end have no context. Files
+    nobody asks about are dropped before they are split.
     """
-    wants = wanted.select("project", "path", "line").distinct()
-    asked = wants.select(
-        "project",
-        "path",
-        F.col("line").alias("_for"),
-        F.explode(
-            F.sequence(F.greatest(F.col("line") - before, F.lit(1)),
-                       F.greatest(F.col("line") + after, F.lit(1)))
-        ).alias("line"),
-    )
-    paths = small_side(wants.select("project", "path").distinct())
-    lines = file_lines(files.join(paths, ["project", "path"], "left_semi"))
-    shown = (
-        F.format_string("%4d | %s", F.col("line"), F.col("text")) if numbered else F.col("text")
-    )
-    return (
-        asked.join(lines, ["project", "path", "line"])
-        .groupBy("project", "path", "_for")
-        .agg(F.sort_array(F.collect_list(F.struct("line", shown.alias("shown")))).alias("_ctx"))
-        .select(
-            "project",
-            "path",
-            F.col("_for").alias("line"),
-            F.array_join(F.transform("_ctx", lambda c: c["shown"]), "\n").alias("context"),
-        )
+    wants = wanted.groupBy("project", "path").agg(F.collect_set("line").alias("_wanted"))
+    asked = with_lines(files.select("project", "path", "content").join(wants, ["project", "path"]))
+    first = f"greatest(l - {before}, 1)"
+    last = f"least(greatest(l + {after}, 1), size(_lines))"
+    shown = "format_string('%4d | %s', i, element_at(_lines, i))" if numbered else "element_at(_lines, i)"
+    units = (
+        f"transform(filter(_wanted, l -> {first} <= size(_lines)), l -> struct(l AS line, "
+        f"array_join(transform(sequence({first}, {last}), i -> {shown}), '\n') AS context))"
     )
+    return asked.select("project", "path", F.expr(f"inline({units})"))

@@ -14,10 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake import catalog
-from auditlake.functions.scale import small_side
-from auditlake.functions.text import LINE_BREAK, cut, text_or
+from auditlake.functions.scale import salted_lookup
+from auditlake.functions.text import LINE_BREAK, cut, path_name, path_suffix, text_or
 from auditlake.operators.findings import merge, severity_rank
-from auditlake.operators.selection import with_path_columns
 from auditlake.schemas import FINDING_COLUMNS
 from auditlake.sources.reports import domain_of
 
@@ -490,26 +489,39 @@ SCOPED_TOOLS = {
 }
 
 
-def only_changed(findings: DataFrame, changed: DataFrame) -> DataFrame:
+def only_changed(
+    findings: DataFrame, paths: DataFrame, reports: DataFrame, empty_scope: str = "full"
+) -> DataFrame:
     """Incremental scans: findings of file-scoped tools only on changed files.
 
-    Tools that always look at the whole project keep all their findings.
+    ``paths`` holds the (project, path) in scope. A file is compared as reported and
+    below its report's root, so relative and absolute names both count; the reported
+    name stays. Tools that always look at the whole project keep all their findings,
+    and so does a project without any change, which was scanned in full (none of its
+    file-scoped findings with ``empty_scope='none'``). A report on changed files that
+    also names files they import counts for the changed files alone.
     """
-    paths = with_path_columns(changed.select("project", "path").distinct())
+    changed = paths.select("project", "path").distinct()
+    roots = reports.select("project", "root").where(F.col("root") != "").distinct()
+    below = salted_lookup(changed, roots, ["project"], ["path"], "inner").select(
+        "project", F.concat(F.rtrim("root", F.lit("/")), F.lit("/"), "path").alias("file")
+    )
+    marks = (
+        changed.select("project", F.col("path").alias("file")).unionByName(below).distinct()
+        .withColumn("_changed", F.lit(True))
+    )
     allowed = F.lit(False)
+    suffix = path_suffix(path_name(F.col("file")))
     for tool, suffixes in SCOPED_TOOLS.items():
-        fits = F.col("suffix").isin(*suffixes) if suffixes else F.lit(True)
+        fits = suffix.isin(*suffixes) if suffixes else F.lit(True)
         allowed = allowed | ((F.col("tool") == tool) & fits)
-    marks = small_side(
-        paths.select("project", F.col("path").alias("file"), "suffix").withColumn(
-            "_changed", F.lit(True)
-        )
-    )
     joined = findings.join(marks, ["project", "file"], "left")
-    scoped = F.col("tool").isin(*SCOPED_TOOLS)
-    return joined.where(~scoped | (F.col("_changed").isNotNull() & allowed)).select(
-        *FINDING_COLUMNS
-    )
+    kept = ~F.col("tool").isin(*SCOPED_TOOLS) | (F.col("_changed").isNotNull() & allowed)
+    if empty_scope != "none":
+        scoped = changed.select("project").distinct().withColumn("_scoped", F.lit(True))
+        joined = salted_lookup(joined, scoped, ["project"], ["file", "line"])
+        kept = kept | F.col("_scoped").isNull()
+    return joined.where(kept).select(*FINDING_COLUMNS)
 
 
 def tools_used(reports: DataFrame, domains: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from auditlake import catalog
 from auditlake.functions import text as tx
-from auditlake.functions.scale import small_side, top_n
+from auditlake.functions.scale import top_n
 
 
 def _array_map(table: dict[str, list[str]]):
@@ -97,7 +97,7 @@ def merge_suggestions(changes: DataFrame, suggestions: DataFrame) -> DataFrame:
         .distinct()
     )
     paths = changes.select("project", F.col("path").alias("value")).distinct()
-    touched = small_side(changes.select("project").distinct())
+    touched = changes.select("project").distinct()
     offered = suggestions.join(touched, "project", "left_semi")
     named = offered.select("project", F.col("kind").alias("part"), "value").distinct()
     domains = named.where(F.col("part") == "domain")

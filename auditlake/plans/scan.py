@@ -115,7 +115,8 @@ def scan_projects(
             opts.tool_overrides.get("iac", {}).get("skip", ()),
         )
         if opts.scan_mode != "full" and changes is not None:
-            found = normalise.only_changed(found, scoped)
+            paths = ch.scope_paths(changes, opts.scan_mode, opts.base_ref)
+            found = normalise.only_changed(found, paths, reports, opts.empty_scope)
         parts.append(found)
         ran = reports.select("project", "tool").distinct().join(
             replaced, ["project", "tool"], "left_anti"

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.functions.scale import checked_lookup, small_side
 from auditlake.functions.text import SPACE
 
 UNCOMMITTED = ["staged", "unstaged", "untracked"]
@@ -40,15 +39,19 @@ def pull_request(changes: DataFrame, base_ref: str = "") -> DataFrame:
     )
 
 
+def scope_paths(changes: DataFrame, mode: str, base_ref: str = "") -> DataFrame:
+    """Distinct (project, path) that a scan in this mode looks at."""
+    scope = uncommitted(changes) if mode == "incremental" else pull_request(changes, base_ref)
+    return scope.select("project", "path").distinct()
+
+
 def only_paths(files: DataFrame, paths: DataFrame) -> DataFrame:
     """Files named in ``paths`` (project, path); unknown paths are dropped.
 
-    The path list is broadcast if it is counted as small, so file texts are not
-    shuffled; a longer list joins on (project, path), which is unique in
-    ``files`` and therefore never hot.
+    (project, path) is unique in ``files`` and therefore never hot. Whether the paths
+    are broadcast or both sides are shuffled is left to the planner.
     """
-    wanted = small_side(paths.select("project", "path").distinct())
-    return files.join(wanted, ["project", "path"], "left_semi")
+    return files.join(paths.select("project", "path").distinct(), ["project", "path"], "left_semi")
 
 
 def in_scope(
@@ -61,18 +64,15 @@ def in_scope(
     """Files a scan in this mode reads.
 
     A project without any change in scope is scanned in full; pass
-    ``empty_scope='none'`` to scan nothing of it instead.
+    ``empty_scope='none'`` to scan nothing of it instead. Changed files and the files
+    of such projects are two disjoint reads: the first can drop unchanged files before
+    texts move, the second meets one row a project.
     """
     if mode == "full":
         return files
-    scope = uncommitted(changes) if mode == "incremental" else pull_request(changes, base_ref)
-    paths = scope.select("project", "path").distinct()
+    paths = scope_paths(changes, mode, base_ref)
+    changed = only_paths(files, paths)
     if empty_scope == "none":
-        return only_paths(files, paths)
-    changed = small_side(paths.withColumn("_changed", F.lit(True)))
-    projects = paths.select("project").distinct().withColumn("_scoped", F.lit(True))
-    marked = files.join(changed, ["project", "path"], "left")
-    marked = checked_lookup(marked, projects, ["project"], ["path"])
-    return marked.where(F.col("_changed").isNotNull() | F.col("_scoped").isNull()).select(
-        *files.columns
-    )
+        return changed
+    untouched = files.join(paths.select("project").distinct(), "project", "left_anti")
+    return changed.unionByName(untouched.select(*changed.columns))

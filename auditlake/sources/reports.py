@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake import catalog
-from auditlake.functions.scale import checked_lookup
 from auditlake.functions.sql import lookup
 
 LINE_TOOLS = ["clippy", "mypy", "tsc"]
@@ -60,9 +59,8 @@ def preferred_tools(reports: DataFrame) -> DataFrame:
     replaceable = [other for _, other in catalog.TOOL_PREFERENCE]
     free = reports.where(~tool.isin(*replaceable))
     contested = reports.where(tool.isin(*replaceable))
-    voided = replaced_tools(reports).withColumn("_void", F.lit(True))
-    kept = checked_lookup(contested, voided, ["project", "tool"], ["target", "payload"])
-    return free.unionByName(kept.where(F.col("_void").isNull()).select(*reports.columns))
+    kept = contested.join(replaced_tools(reports), ["project", "tool"], "left_anti")
+    return free.unionByName(kept.select(*reports.columns))
 
 
 def write_reports(reports: DataFrame, folder: str, mode: str = "append") -> None:

@@ -14,7 +14,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from auditlake import catalog
 from auditlake.functions import text as tx
-from auditlake.functions.scale import spread
 from auditlake.functions.sql import array
 from auditlake.operators.rules import scan
 from auditlake.operators.selection import eligible_files, with_path_columns
@@ -82,7 +81,6 @@ def start_rescan(
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = spread(batch)
         log = watched_versions(batch).select("project", "path", "version", "op")
         log.write.mode("overwrite").parquet(f"{folder}/changes/batch_id={batch_id}")
         rescan(batch, root_files).write.mode("overwrite").parquet(

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.functions.scale import spread
 from auditlake.functions.sql import quote
 
 # ------------------------------------------------------------ fixture values
@@ -87,7 +86,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    """The stored test tables are one row group each, which one task would read."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.repartition(spark.sparkContext.defaultParallelism)
 
 
 def _snippet(number: str):

@@ -252,7 +252,7 @@ def tool_cte(name: str, *tools: str) -> str:
   FROM {name}_raw)"""
 
 
-CTES["merged"] = tool_cte("tools3", "ruff", "trivy", "checkov") + """,
+CTES["merged"] = tool_cte("tools3", *TOOL_ROWS) + """,
 merged AS (SELECT * FROM sec UNION ALL SELECT * FROM tools3)"""
 ORDER = "sev_rank, file, line, domain, rule_seq, sub_seq, match_start, rule_id, message, snippet"
 FINDING = "project, rule_id, severity, file, line, message, snippet, fix"
@@ -525,8 +525,13 @@ ORACLE["tool_preference"] = f"WITH {_MIXED} SELECT project, tool, count(*) AS re
 ORACLE["tool_overrides"] = f"""WITH {tool_cte('t', 'ruff', 'checkov')} SELECT project, rule_id, file, line FROM t
 WHERE (tool = 'ruff' AND (rule_id LIKE 'LINT-RUFF-E1%' OR rule_id LIKE 'LINT-RUFF-F%'))
   OR (tool = 'checkov' AND rule_id NOT IN ('IAC-CKV_7', 'IAC-CKV_20'))"""
-ORACLE["incremental_tools"] = f"""WITH {tool_cte('t', 'ruff', 'trivy')} SELECT project, rule_id, file, tool FROM t
-WHERE tool = 'trivy' OR file IN (SELECT 'src/p' || p_partkey || '.py' FROM part WHERE p_size % 2 = 0)"""
+ORACLE["incremental_tools"] = f"""WITH {tool_cte('t', *TOOL_ROWS)},
+changed AS (SELECT 'src/p' || p_partkey || CASE WHEN p_size % 2 = 0 THEN '.py' ELSE '.js' END AS path FROM part),
+n AS (SELECT *, cast(substr(project, 5, 2) AS integer) AS number FROM t)
+SELECT project, rule_id, tool, CASE WHEN number % 2 = 1 AND tool IN ('ruff', 'biome', 'mypy', 'pyright')
+  THEN '/work/' || project || '/' || file ELSE file END AS file
+FROM n WHERE tool NOT IN ('ruff', 'biome', 'mypy', 'pyright', 'eslint') OR number % 5 = 0
+  OR (file IN (SELECT path FROM changed) AND (tool = 'biome' OR (tool = 'eslint') = file LIKE '%.js'))"""
 ORACLE["domain_tools_used"] = f"""WITH {_MIXED},
 used AS (SELECT DISTINCT project, tool, CASE WHEN tool IN ('ruff', 'eslint', 'biome') THEN 'lint'
   WHEN tool = 'semgrep' THEN 'sast' ELSE 'typecheck' END AS domain FROM pref)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from auditlake import catalog
 from auditlake.functions import text as tx
-from auditlake.functions.scale import ensure_checkpoint_dir, spread, stored
+from auditlake.functions.scale import ensure_checkpoint_dir, stored
 from auditlake.operators import findings as fd
 from auditlake.operators import (
     history, lines, normalise, planner, profile, rules, selection, triage, usage,
@@ -183,9 +183,8 @@ def custom_token_rule(spark, sf):
 
 # ------------------------------------------------------ E findings algebra
 def _merged(spark, sf):
-    """Built-in findings plus three tools' findings."""
-    tools = corpus.reports(spark, sf, "ruff", "trivy", "checkov")
-    return fd.merge(_scan(spark, sf), normalise.normalise(tools, ["ruff", "trivy", "checkov"]))
+    """Built-in findings plus the findings of all tools."""
+    return fd.merge(_scan(spark, sf), normalise.normalise(corpus.reports(spark, sf)))
 
 
 def _scanned(spark, sf):
@@ -215,7 +214,7 @@ def gate_by_level(spark, sf):
 
 
 def _executed(spark, sf):
-    tools = corpus.reports(spark, sf, "ruff", "trivy", "checkov")
+    tools = corpus.reports(spark, sf)
     found = tools.select("project", rp.domain_of(F.col("tool")).alias("domain")).distinct()
     used = normalise.tools_used(tools, found)
     builtin = _scanned(spark, sf).select(
@@ -370,15 +369,21 @@ def tool_overrides(spark, sf):
 
 @query
 def incremental_tools(spark, sf):
-    reports = corpus.reports(spark, sf, "ruff", "trivy")
-    found = normalise.normalise(reports, ["ruff", "trivy"])
-    part = corpus.table(spark, sf, "part")
-    changed = part.select(
+    """All tools; odd projects report absolute names, every fifth project has no changes."""
+    number = F.substring("project", 5, 2).cast("int")
+    absolute = F.col("tool").isin("ruff", "biome", "mypy", "pyright") & (number % 2 == 1)
+    reports = corpus.reports(spark, sf).withColumn(
+        "payload",
+        F.when(absolute, F.replace("payload", F.lit("src/p"), F.concat("root", F.lit("/src/p"))))
+        .otherwise(F.col("payload")),
+    )
+    changed = corpus.table(spark, sf, "part").select(
         F.expr(corpus.PROJECT_SQL.format(n="p_partkey % 21")).alias("project"),
         F.expr("concat('src/p', p_partkey, CASE WHEN p_size % 2 = 0 THEN '.py' ELSE '.js' END)")
         .alias("path"),
-    )
-    return normalise.only_changed(found, changed).select("project", "rule_id", "file", "tool")
+    ).where(number % 5 != 0)
+    found = normalise.only_changed(normalise.normalise(reports), changed, reports)
+    return found.select("project", "rule_id", "file", "tool")
 
 
 @query
@@ -664,7 +669,7 @@ def snapshot_diff(spark, sf):
 
 
 def _events_versions(spark, sf):
-    return corpus.versions_of(spread(corpus.table(spark, sf, "events")))
+    return corpus.versions_of(corpus.table(spark, sf, "events"))
 
 
 @query

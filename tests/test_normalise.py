@@ -159,4 +159,30 @@ def test_overrides_and_changed_files(make_findings, spark):
     kept = nm.apply_overrides(df, ["E"], ["C1"])
     assert sorted(r.rule_id for r in kept.collect()) == ["LINT-ESLINT-a", "LINT-RUFF-E1"]
     changed = spark.createDataFrame([("p", "a.py")], "project string, path string")
-    assert sorted(r.rule_id for r in nm.only_changed(df, changed).collect()) == ["IAC-C1", "LINT-RUFF-E1"]
+    none = spark.createDataFrame([], schemas.REPORTS)
+    assert sorted(r.rule_id for r in nm.only_changed(df, changed, none).collect()) == ["IAC-C1", "LINT-RUFF-E1"]
+
+
+@pytest.mark.parametrize("empty_scope", ["full", "none"])
+def test_changed_files_of_absolute_and_unscoped_reports(make_findings, spark, empty_scope):
+    """Absolute names count as changed; a project that fell back to a full scan keeps everything."""
+    scoped = make_findings([
+        ("R1", "LOW", "/work/p/src/a.py", 1, "m", "", "lint", "ruff"),
+        ("R2", "LOW", "/work/p/src/b.py", 1, "m", "", "lint", "ruff"),
+        ("R3", "LOW", "src/a.py", 1, "m", "", "typecheck", "mypy"),
+        ("R4", "LOW", "/work/p/src/a.py", 1, "m", "", "typecheck", "pyright"),
+        ("R5", "LOW", "web/x.js", 1, "m", "", "lint", "eslint"),
+        ("R6", "LOW", "web/y.js", 1, "m", "", "lint", "biome"),
+        ("R7", "LOW", "any", 1, "m", "", "sca", "trivy")])
+    free = make_findings([
+        ("Q1", "LOW", "src/b.pyi", 1, "m", "", "lint", "ruff"),
+        ("Q2", "LOW", "web/App.vue", 1, "m", "", "lint", "eslint"),
+        ("Q3", "LOW", "any", 1, "m", "", "sca", "trivy")], "q")
+    paths = spark.createDataFrame(
+        [("p", "src/a.py"), ("p", "web/x.js"), ("p", "gone.py")], "project string, path string")
+    reports = spark.createDataFrame(
+        [("p", "/work/p/", "ruff", "", "[]", "", 0), ("q", "/work/q", "ruff", "", "[]", "", 0)], schemas.REPORTS)
+    kept = nm.only_changed(scoped.unionByName(free), paths, reports, empty_scope).collect()
+    mine = {"R1", "R3", "R4", "R5", "R7", "Q3"}
+    assert {r.rule_id for r in kept} == (mine | {"Q1", "Q2"} if empty_scope == "full" else mine)
+    assert len(kept) == len({r.rule_id for r in kept})

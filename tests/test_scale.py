@@ -77,13 +77,6 @@ def test_top_n_limits_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2  # partial and final
 
 
-def test_small_side_is_a_counted_broadcast(spark):
-    df = spark.range(10)
-    hinted = scale.small_side(df, 10)._jdf.queryExecution().analyzed().toString()
-    plain = scale.small_side(df, 9)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" in hinted and "ResolvedHint" not in plain
-
-
 def test_stored_round_trip(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     assert sorted(map(tuple, scale.stored(df).collect()), key=str) == [(1, None), (2, "x")]
