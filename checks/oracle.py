@@ -141,9 +141,10 @@ _SECTIONS = " UNION ALL ".join(
     for i, s in enumerate(catalog.DEPENDENCY_SECTIONS)
 )
 _E2, _E12N, _E12S = (catalog.RULE_TEXTS[k] for k in ("SEC-002", "SEC-012/names", "SEC-012/scopes"))
-CTES["sec"] = f"""
+CTES["tlines"] = """
 tlines AS (
-  SELECT c.*, e.name, e.suffix FROM ctx c JOIN elig e USING (project, path) WHERE e.suffix <> '.json'),
+  SELECT c.*, e.name, e.suffix FROM ctx c JOIN elig e USING (project, path) WHERE e.suffix <> '.json')"""
+CTES["deps"] = f"""
 dep_rows AS (
   SELECT *, json_extract_string(content, '$.' || section || '."' || dep || '"') AS version
   FROM ({_SECTIONS})),
@@ -155,32 +156,55 @@ scoped AS (
   SELECT project, path, count(*) AS n, string_agg(dep, ', ' ORDER BY pos) FILTER (rn <= 5) AS names FROM (
     SELECT *, row_number() OVER (PARTITION BY project, path ORDER BY pos) AS rn FROM open_deps
     WHERE starts_with(dep, '@') AND NOT {" AND NOT ".join(f"starts_with(dep, {q(s)})" for s in catalog.PUBLIC_SCOPES)})
-  GROUP BY ALL),
+  GROUP BY ALL)"""
+CTES["ignores"] = """
 ignores AS (
-  SELECT project, trim(unnest(string_split(content, chr(10)))) AS pat FROM files WHERE path = '.gitignore'),
-raw_sec AS (
-{" UNION ALL ".join(
-    _match_rule(p, 1, i + 1, SEC1, label)
-    for i, ((p,), (_, label)) in enumerate(zip(SECRETS, catalog.SECRETS)))}
-UNION ALL {" UNION ALL ".join(_line_rule(*c) for c in LINE_CONDITIONS)}
-UNION ALL SELECT project, path, 1, '', 'SEC-002', {", ".join(q(x) for x in _E2[:2])}, '', {q(_E2[2])}, 2, 0, 0
+  SELECT project, trim(unnest(string_split(content, chr(10)))) AS pat FROM files WHERE path = '.gitignore')"""
+# (rule, place in it) -> the CTEs it needs and its rows
+RULE_ROWS = {
+    **{(1, i + 1): ("tlines", _match_rule(p, 1, i + 1, SEC1, label))
+       for i, ((p,), (_, label)) in enumerate(zip(SECRETS, catalog.SECRETS))},
+    **{(int(key.split("/")[0][-3:]), sub): ("tlines", _line_rule(key, sub, cond))
+       for key, sub, cond in LINE_CONDITIONS},
+    (2, 0): ("named ignores", f"""
+SELECT project, path, 1, '', 'SEC-002', {", ".join(q(x) for x in _E2[:2])}, '', {q(_E2[2])}, 2, 0, 0
   FROM elig e WHERE starts_with(name, '.env') AND suffix NOT IN ('.example', '.json') AND NOT EXISTS (
-    SELECT 1 FROM ignores i WHERE i.project = e.project AND i.pat IN ('.env', '.env*', e.name))
-UNION ALL SELECT project, path, 0, '', 'SEC-012', {q(_E12N[0])},
+    SELECT 1 FROM ignores i WHERE i.project = e.project AND i.pat IN ('.env', '.env*', e.name))"""),
+    (12, 0): ("deps", f"""
+SELECT project, path, 0, '', 'SEC-012', {q(_E12N[0])},
   'Package ''' || dep || ''' looks like an internal package — dependency confusion risk',
   dep || ': ' || version, {q(_E12N[2])}, 12, 0,
   row_number() OVER (PARTITION BY project, path ORDER BY pos) - 1
-  FROM open_deps WHERE NOT starts_with(dep, '@') AND {rx("dep", "-internal|-private|-core-|-infra-")}
-UNION ALL SELECT project, path, 0, '', 'SEC-012', {q(_E12S[0])},
+  FROM open_deps WHERE NOT starts_with(dep, '@') AND {rx("dep", "-internal|-private|-core-|-infra-")}"""),
+    (12, 1): ("deps", f"""
+SELECT project, path, 0, '', 'SEC-012', {q(_E12S[0])},
   'Scoped packages found (' || n || ') but no .npmrc — ensure registry is correct', names,
   {q(_E12S[2])}, 12, 1, 0
-  FROM scoped s WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.project = s.project AND f.path = '.npmrc')),
-sec AS (
+  FROM scoped s WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.project = s.project AND f.path = '.npmrc')"""),
+}
+
+
+def rule_cte(name: str, rules: list[tuple[int, int]]) -> str:
+    """Findings of some rules: a CTE that holds their branches alone."""
+    _DEPENDS[name] = list(dict.fromkeys(d for r in rules for d in RULE_ROWS[r][0].split()))
+    return f"""
+raw_{name}(project, path, line, text, rule_id, severity, message, snippet, fix, rule_seq, sub_seq, match_start) AS (
+{" UNION ALL ".join(RULE_ROWS[r][1] for r in rules)}),
+{name} AS (
   SELECT project, rule_id, severity, list_position({lit_list(catalog.SEVERITIES)}, severity) - 1 AS sev_rank,
     path AS file, cast(line AS integer) AS line, message, snippet, fix, 'security' AS domain,
     'builtin' AS tool, '' AS category, '' AS url, cast(rule_seq AS integer) AS rule_seq,
     cast(sub_seq AS integer) AS sub_seq, cast(match_start AS bigint) AS match_start
-  FROM raw_sec)"""
+  FROM raw_{name})"""
+
+
+_DEPENDS = {
+    "named": ["files"], "lines": ["files"], "merged": ["sec"], "tlines": ["named", "lines"],
+    "deps": ["named"], "ignores": ["files"],
+    "summary": ["sec"], "executed": ["named"], "triaged": ["merged"], "triaged_sec": ["sec"],
+    "profile": ["named"], "plan": ["changes"],
+}
+CTES["sec"] = rule_cte("sec", list(RULE_ROWS))
 
 # -------------------------------------------------------- tool findings from part
 _GOOD = "p_partkey % 50 > 1"
@@ -266,10 +290,13 @@ summary AS (
     coalesce(critical, 0) = 0 AND coalesce(high, 0) = 0 AS passed
   FROM scanned LEFT JOIN sums USING (project))"""
 CTES["executed"] = f"""
-tool_domains(tool, domain) AS (VALUES ('ruff', 'lint'), ('trivy', 'sca'), ('checkov', 'iac')),
+tool_domains(tool, domain, seq) AS (VALUES {", ".join(
+    f"({q(t)}, {q(d)}, {i})" for i, (t, d) in enumerate(catalog.TOOL_DOMAIN.items()) if t != "opengrep")}),
+ran AS (SELECT DISTINCT {_P} AS project, p_partkey % 21 AS number, domain, tool, seq FROM part, tool_domains),
 executed AS (
   SELECT project, 'security' AS domain, 'builtin' AS tool FROM scanned
-  UNION ALL SELECT DISTINCT {_P}, domain, tool FROM part, tool_domains)"""
+  UNION ALL SELECT project, domain, string_agg(tool, ', ' ORDER BY seq) FROM ran
+  WHERE number % 3 > 0 OR domain NOT IN ('typecheck', 'container') GROUP BY ALL)"""
 
 _LOW = "lower(file)"
 
@@ -365,13 +392,6 @@ plan_dom AS (
     AND list_has_any(string_split(lower(path), '/'), {lit_list(catalog.IAC_PLAN_DIRS)})),
 prio AS (SELECT project, path, seq FROM touched WHERE {_SENS})"""
 
-_DEPENDS = {
-    "named": ["files"], "lines": ["files"], "sec": ["named", "lines"], "merged": ["sec"],
-    "summary": ["sec"], "executed": ["named"], "triaged": ["merged"], "triaged_sec": ["sec"],
-    "profile": ["named"], "plan": ["changes"],
-}
-
-
 def build(ctes: str, select: str) -> str:
     names: list[str] = []
 
@@ -421,8 +441,9 @@ oracle("line_context", "lines", "SELECT project, path, line, md5(around) AS cont
 oracle("snippets", "lines", f"SELECT project, path, line, {strip('text')}[1:80] AS snippet FROM flines")
 
 # ----------------------------------------------------------------------- D
-oracle("sec001_secrets", "sec", f"SELECT {FINDING}, sub_seq, match_start FROM sec WHERE rule_id = 'SEC-001'")
-oracle("secrets_by_label", "sec", "SELECT message, count(*) AS findings FROM sec WHERE rule_id = 'SEC-001' GROUP BY 1")
+CTES["found1"] = rule_cte("found1", [r for r in RULE_ROWS if r[0] == 1])
+oracle("sec001_secrets", "found1", f"SELECT {FINDING}, sub_seq, match_start FROM found1")
+oracle("secrets_by_label", "found1", "SELECT message, count(*) AS findings FROM found1 GROUP BY 1")
 for _name, _rule, _sub in [
     ("sec002_env_committed", 2, None), ("sec003_eval", 3, None), ("sec004_sql_injection", 4, None),
     ("sec005_express", 5, 0), ("sec005_fastapi", 5, 1), ("sec006_cors", 6, None),
@@ -430,12 +451,12 @@ for _name, _rule, _sub in [
     ("sec010_console_env", 10, None), ("sec011_service_role", 11, None),
     ("sec012_internal_names", 12, 0), ("sec012_scoped_no_registry", 12, 1),
 ]:
-    _cond = f"rule_seq = {_rule}" + ("" if _sub is None else f" AND sub_seq = {_sub}")
-    oracle(_name, "sec", f"SELECT {FINDING} FROM sec WHERE {_cond}")
+    CTES[_name] = rule_cte(_name, [(_rule, _sub or 0)])
+    oracle(_name, _name, f"SELECT {FINDING} FROM {_name}")
 oracle("all_findings", "sec", f"SELECT {FINDING}, rule_seq, sub_seq, match_start FROM sec")
 _TOKEN = r'(?i)(?:^|[^\p{L}\p{N}_])token\s*=\s*"[0-9a-f]{40}"'
 _CUSTOM = _match_rule(_TOKEN, 13, 1, ("CUSTOM-TOKEN", "HIGH", "Move to environment variables."), "Hex token")
-oracle("custom_token_rule", "sec", f"""SELECT project, rule_id, severity, path AS file, line, message, snippet, fix
+oracle("custom_token_rule", "tlines", f"""SELECT project, rule_id, severity, path AS file, line, message, snippet, fix
  FROM ({_CUSTOM})""")
 
 # ----------------------------------------------------------------------- E
@@ -685,7 +706,8 @@ def _version_sql(select: str, scan_too: bool = False) -> str:
         "files AS (SELECT project, root, 'v' || version || '/' || path AS path, content "
         "FROM versions WHERE op = 'write')"
     )
-    body = ",".join([corpus.VERSIONS_CTE, as_files, CTES["named"], CTES["lines"], CTES["sec"]])
+    body = ",".join([corpus.VERSIONS_CTE, as_files, *(
+        CTES[n] for n in ("named", "lines", "tlines", "deps", "ignores", "sec"))])
     return "WITH " + body + f""",
 rescans AS (
   SELECT project, rule_id, severity, line, message, regexp_replace(file, '^v[0-9]+/', '') AS file,
