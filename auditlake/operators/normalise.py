@@ -1,9 +1,10 @@
-"""Tool reports to findings: a declared schema and one select per tool.
+"""Tool reports to findings: one pass over the reports, whatever their tools.
 
-Every function takes a ``reports`` table (already cut to its tool or not),
-parses the payload once and explodes it inside the row; nothing is shuffled.
-Missing and null fields take the same defaults; unparseable payloads and null
-lists give no findings and never fail the job.
+Every tool has a function from a report's columns to an array of findings: it
+parses the payload with a declared schema and maps the entries inside the row.
+The reports are read once, a CASE over the tool picks the array, and the arrays
+are unnested; nothing is shuffled. Missing and null fields take the same defaults;
+unparseable payloads and null lists give no findings and never fail the job.
 """
 
 from __future__ import annotations
@@ -16,16 +17,19 @@ from pyspark.sql import functions as F
 from auditlake import catalog
 from auditlake.functions.scale import salted_lookup
 from auditlake.functions.text import LINE_BREAK, cut, path_name, path_suffix, text_or
-from auditlake.operators.findings import merge, severity_rank
-from auditlake.schemas import FINDING_COLUMNS
-from auditlake.sources.reports import domain_of
+from auditlake.operators.findings import severity_rank
+from auditlake.schemas import FINDING_COLUMNS, FINDINGS
+from auditlake.sources.reports import LINE_TOOLS, domain_of
 
 # Position of each tool in the order in which a domain runs its tools.
 TOOL_SEQ = {name: i for i, name in enumerate(catalog.TOOL_DOMAIN, 1)}
+_FIELDS = ",".join(f.replace(" ", ":") for f in FINDINGS.split(", ")[1:])
+_ITEMS = f"array<struct<{_FIELDS}>>"
 
 
 def _finding(
     tool: str,
+    pos: Column,
     *,
     rule_id: Column,
     severity: Column,
@@ -37,10 +41,9 @@ def _finding(
     fix: Column | None = None,
     url: Column | None = None,
     label: Column | None = None,
-) -> list[Column]:
+) -> Column:
     none = F.lit("")
-    return [
-        F.col("project"),
+    return F.struct(
         rule_id.alias("rule_id"),
         severity.alias("severity"),
         severity_rank(severity).alias("sev_rank"),
@@ -55,153 +58,151 @@ def _finding(
         (none if url is None else text_or(url)).alias("url"),
         F.lit(TOOL_SEQ[tool]).alias("rule_seq"),
         F.lit(0).alias("sub_seq"),
-        F.col("pos").cast("bigint").alias("match_start"),
-    ]
-
-
-def _of(reports: DataFrame, *tools: str) -> DataFrame:
-    return reports.where(F.col("tool").isin(*tools))
+        pos.cast("bigint").alias("match_start"),
+    )
 
 
 def _id(prefix: str, value: Column, default: str) -> Column:
     return F.concat(F.lit(prefix), text_or(value, default))
 
 
-def ruff(reports: DataFrame) -> DataFrame:
-    item = "struct<code string, filename string, location struct<row int>, message string, fix struct<message string>>"
-    rows = _of(reports, "ruff").select(
-        "project", F.posexplode(F.from_json("payload", f"array<{item}>")).alias("pos", "i")
-    )
-    code = F.col("i.code")
-    return rows.select(
-        *_finding(
-            "ruff",
-            rule_id=_id("LINT-RUFF-", code, "UNKNOWN"),
-            severity=F.when(code.startswith("E"), "MEDIUM").otherwise("LOW"),
-            file=F.col("i.filename"),
-            line=F.col("i.location.row"),
-            message=F.col("i.message"),
-            snippet=code,
-            fix=F.col("i.fix.message"),
-            category="style",
-        )
-    )
+def _parsed(schema: str) -> Column:
+    return F.from_json("payload", schema)
+
+
+def _nested(outer: Column, inner: Callable[[Column, Column], Column]) -> Column:
+    """Arrays of each outer entry, joined; a null one counts as empty.
+
+    ``inner`` gets the entry and the position its first finding has.
+    """
+    none = F.array().cast(_ITEMS)
+    return F.flatten(F.transform(
+        outer, lambda x, i: F.coalesce(inner(x, i.cast("bigint") * F.lit(1 << 31)).cast(_ITEMS), none)
+    ))
 
 
-def eslint(reports: DataFrame) -> DataFrame:
+def _ruff() -> Column:
+    item = "struct<code string, filename string, location struct<row int>, message string, fix struct<message string>>"
+    return F.transform(_parsed(f"array<{item}>"), lambda x, i: _finding(
+        "ruff", i,
+        rule_id=_id("LINT-RUFF-", x["code"], "UNKNOWN"),
+        severity=F.when(x["code"].startswith("E"), "MEDIUM").otherwise("LOW"),
+        file=x["filename"],
+        line=x["location"]["row"],
+        message=x["message"],
+        snippet=x["code"],
+        fix=x["fix"]["message"],
+        category="style",
+    ))
+
+
+def _eslint() -> Column:
     msg = (
         "struct<ruleId variant, severity int, line int, message string, source string, "
         "fix struct<text string>>"
     )
-    files = _of(reports, "eslint").select(
-        "project",
-        "root",
-        F.posexplode(
-            F.from_json("payload", f"array<struct<filePath string, messages array<{msg}>>>")
-        ).alias("fpos", "f"),
-    )
-    rows = files.select(
-        "project", "root", F.col("f.filePath").alias("path"), "fpos",
-        F.posexplode("f.messages").alias("mpos", "m"),
-    ).withColumn("pos", F.col("fpos").cast("bigint") * F.lit(1 << 31) + F.col("mpos"))
-    under = (F.col("root") != "") & F.col("path").startswith(F.concat("root", F.lit("/")))
-    relative = F.substring("path", F.length("root") + 2, F.length("path"))
-    # a rule id that is present but null (a parse error) is shown as None
-    rule = F.when(F.col("m.ruleId").isNull(), "unknown").otherwise(
-        F.coalesce(F.try_variant_get("m.ruleId", "$", "string"), F.lit("None"))
-    )
-    return rows.select(
-        *_finding(
-            "eslint",
-            rule_id=F.concat(F.lit("LINT-ESLINT-"), rule),
-            severity=F.when(F.col("m.severity") == 2, "HIGH").otherwise("MEDIUM"),
-            file=F.when(under, relative).otherwise(F.col("path")),
-            line=F.col("m.line"),
-            message=F.col("m.message"),
-            snippet=cut(F.col("m.source")),
-            fix=F.col("m.fix.text"),
-            category="style",
-        )
-    )
+    root = F.col("root")
 
+    def of_file(f: Column, first: Column) -> Column:
+        path = f["filePath"]
+        under = (root != "") & path.startswith(F.concat(root, F.lit("/")))
+        relative = F.substring(path, F.length(root) + 2, F.length(path))
 
-def biome(reports: DataFrame) -> DataFrame:
+        def of_message(m: Column, i: Column) -> Column:
+            # a rule id that is present but null (a parse error) is shown as None
+            rule = F.when(m["ruleId"].isNull(), "unknown").otherwise(
+                F.coalesce(F.try_variant_get(m["ruleId"], "$", "string"), F.lit("None"))
+            )
+            return _finding(
+                "eslint", first + i,
+                rule_id=F.concat(F.lit("LINT-ESLINT-"), rule),
+                severity=F.when(m["severity"] == 2, "HIGH").otherwise("MEDIUM"),
+                file=F.when(under, relative).otherwise(path),
+                line=m["line"],
+                message=m["message"],
+                snippet=cut(m["source"]),
+                fix=m["fix"]["text"],
+                category="style",
+            )
+
+        return F.transform(f["messages"], of_message)
+
+    return _nested(_parsed(f"array<struct<filePath string, messages array<{msg}>>>"), of_file)
+
+
+def _biome() -> Column:
     """The line is the span's first number (a byte offset), kept as reported."""
     diag = (
         "struct<category string, file struct<path string>, "
         "location struct<span array<int>>, description string>"
     )
-    parsed = F.from_json("payload", f"struct<diagnostics array<{diag}>>")
-    rows = _of(reports, "biome").select("project", F.posexplode(parsed["diagnostics"]).alias("pos", "d"))
-    return rows.select(
-        *_finding(
-            "biome",
-            rule_id=_id("LINT-BIOME-", F.col("d.category"), "unknown"),
-            severity=F.lit("MEDIUM"),
-            file=F.col("d.file.path"),
-            line=F.get("d.location.span", F.lit(0)),
-            message=F.col("d.description"),
-            category="style",
-        )
-    )
+    return F.transform(_parsed(f"struct<diagnostics array<{diag}>>")["diagnostics"], lambda d, i: _finding(
+        "biome", i,
+        rule_id=_id("LINT-BIOME-", d["category"], "unknown"),
+        severity=F.lit("MEDIUM"),
+        file=d["file"]["path"],
+        line=F.get(d["location"]["span"], F.lit(0)),
+        message=d["description"],
+        category="style",
+    ))
 
 
-def _report_lines(reports: DataFrame, tool: str) -> DataFrame:
-    return _of(reports, tool).select(
-        "project", F.posexplode(F.split("payload", LINE_BREAK)).alias("pos", "raw")
+def _lines(kept: Callable[[Column], Column]) -> Column:
+    """(raw, pos) of the payload's lines that ``kept`` accepts."""
+    numbered = F.transform(
+        F.split("payload", LINE_BREAK), lambda raw, i: F.struct(raw.alias("raw"), i.alias("pos"))
     )
+    return F.filter(numbered, lambda x: kept(x["raw"]))
 
 
-def clippy(reports: DataFrame) -> DataFrame:
+def _clippy() -> Column:
     span = "struct<file_name string, line_start int, text array<struct<text string>>>"
     schema = (
         "struct<reason string, message struct<level string, code struct<code string>, "
         f"message string, spans array<{span}>>>"
     )
-    rows = (
-        _report_lines(reports, "clippy")
-        .where(F.col("raw").contains("compiler-message"))
-        .select("project", "pos", F.from_json("raw", schema).alias("r"))
-        .where(
-            (F.col("r.reason") == "compiler-message")
-            & F.col("r.message.level").isin("warning", "error")
-        )
-        .select("project", "pos", F.col("r.message").alias("m"))
-        .withColumn("s", F.get("m.spans", F.lit(0)))
-    )
-    return rows.select(
-        *_finding(
-            "clippy",
-            rule_id=_id("LINT-CLIPPY-", F.col("m.code.code"), "unknown"),
-            severity=F.when(F.col("m.level") == "error", "HIGH").otherwise("MEDIUM"),
-            file=F.col("s.file_name"),
-            line=F.col("s.line_start"),
-            message=F.col("m.message"),
-            snippet=cut(F.get("s.text", F.lit(0))["text"]),
+    parsed = F.transform(
+        _lines(lambda raw: raw.contains("compiler-message")),
+        lambda x: F.struct(x["pos"].alias("pos"), F.from_json(x["raw"], schema).alias("r")),
+    )
+    wanted = F.filter(
+        parsed,
+        lambda x: (x["r"]["reason"] == "compiler-message")
+        & x["r"]["message"]["level"].isin("warning", "error"),
+    )
+
+    def of_line(x: Column) -> Column:
+        m = x["r"]["message"]
+        s = F.get(m["spans"], F.lit(0))
+        return _finding(
+            "clippy", x["pos"],
+            rule_id=_id("LINT-CLIPPY-", m["code"]["code"], "unknown"),
+            severity=F.when(m["level"] == "error", "HIGH").otherwise("MEDIUM"),
+            file=s["file_name"],
+            line=s["line_start"],
+            message=m["message"],
+            snippet=cut(F.get(s["text"], F.lit(0))["text"]),
             category="style",
         )
-    )
+
+    return F.transform(wanted, of_line)
 
 
-def golangci(reports: DataFrame) -> DataFrame:
+def _golangci() -> Column:
     issue = (
         "struct<FromLinter string, Text string, SourceLines array<string>, "
         "Pos struct<Filename string, Line int>>"
     )
-    parsed = F.from_json("payload", f"struct<Issues array<{issue}>>")
-    rows = _of(reports, "golangci-lint").select("project", F.posexplode(parsed["Issues"]).alias("pos", "i"))
-    return rows.select(
-        *_finding(
-            "golangci-lint",
-            rule_id=_id("LINT-GO-", F.col("i.FromLinter"), "unknown"),
-            severity=F.lit("MEDIUM"),
-            file=F.col("i.Pos.Filename"),
-            line=F.col("i.Pos.Line"),
-            message=F.col("i.Text"),
-            snippet=cut(F.get("i.SourceLines", F.lit(0))),
-            category="style",
-        )
-    )
+    return F.transform(_parsed(f"struct<Issues array<{issue}>>")["Issues"], lambda x, i: _finding(
+        "golangci-lint", i,
+        rule_id=_id("LINT-GO-", x["FromLinter"], "unknown"),
+        severity=F.lit("MEDIUM"),
+        file=x["Pos"]["Filename"],
+        line=x["Pos"]["Line"],
+        message=x["Text"],
+        snippet=cut(F.get(x["SourceLines"], F.lit(0))),
+        category="style",
+    ))
 
 
 # Fixed formats of the two text reports.
@@ -209,256 +210,248 @@ MYPY_LINE = r"^(.+?):(\d+):\d+: (error|warning|note): (.+)"
 TSC_LINE = r"^(.+?)\((\d+),\d+\): (error|warning) (TS\d+): (.+)"
 
 
-def mypy(reports: DataFrame) -> DataFrame:
-    rows = _report_lines(reports, "mypy").where(F.col("raw").rlike(MYPY_LINE))
-
-    def group(n: int) -> Column:
-        return F.regexp_extract("raw", MYPY_LINE, n)
+def _text_report(tool: str, pattern: str, prefix: str, rule: int, level: int, message: int) -> Column:
+    def of_line(x: Column) -> Column:
+        def group(n: int) -> Column:
+            return F.regexp_extract(x["raw"], pattern, n)
 
-    return rows.select(
-        *_finding(
-            "mypy",
-            rule_id=F.concat(F.lit("TYPE-MYPY-"), group(3)),
-            severity=F.when(group(3) == "error", "HIGH").otherwise("MEDIUM"),
+        return _finding(
+            tool, x["pos"],
+            rule_id=F.concat(F.lit(prefix), group(rule)),
+            severity=F.when(group(level) == "error", "HIGH").otherwise("MEDIUM"),
             file=group(1),
             line=group(2),
-            message=group(4),
+            message=group(message),
             category="type-error",
         )
-    )
 
+    return F.transform(_lines(lambda raw: raw.rlike(pattern)), of_line)
 
-def pyright(reports: DataFrame) -> DataFrame:
-    """Line numbers stay zero-based, as reported."""
-    diag = (
-        "struct<rule string, severity string, file string, message string, "
-        "range struct<start struct<line int>>>"
-    )
-    parsed = F.from_json("payload", f"struct<generalDiagnostics array<{diag}>>")
-    rows = _of(reports, "pyright").select(
-        "project", F.posexplode(parsed["generalDiagnostics"]).alias("pos", "d")
-    )
-    return rows.select(
-        *_finding(
-            "pyright",
-            rule_id=_id("TYPE-PYRIGHT-", F.col("d.rule"), "unknown"),
-            severity=F.when(F.col("d.severity") == "error", "HIGH").otherwise("MEDIUM"),
-            file=F.col("d.file"),
-            line=F.col("d.range.start.line"),
-            message=F.col("d.message"),
-            category="type-error",
-        )
-    )
 
+def _mypy() -> Column:
+    return _text_report("mypy", MYPY_LINE, "TYPE-MYPY-", rule=3, level=3, message=4)
 
-def tsc(reports: DataFrame) -> DataFrame:
-    rows = _report_lines(reports, "tsc").where(F.col("raw").rlike(TSC_LINE))
 
-    def group(n: int) -> Column:
-        return F.regexp_extract("raw", TSC_LINE, n)
+def _tsc() -> Column:
+    return _text_report("tsc", TSC_LINE, "TYPE-TSC-", rule=4, level=3, message=5)
 
-    return rows.select(
-        *_finding(
-            "tsc",
-            rule_id=F.concat(F.lit("TYPE-TSC-"), group(4)),
-            severity=F.when(group(3) == "error", "HIGH").otherwise("MEDIUM"),
-            file=group(1),
-            line=group(2),
-            message=group(5),
-            category="type-error",
-        )
+
+def _pyright() -> Column:
+    """Line numbers stay zero-based, as reported."""
+    diag = (
+        "struct<rule string, severity string, file string, message string, "
+        "range struct<start struct<line int>>>"
     )
+    parsed = _parsed(f"struct<generalDiagnostics array<{diag}>>")["generalDiagnostics"]
+    return F.transform(parsed, lambda d, i: _finding(
+        "pyright", i,
+        rule_id=_id("TYPE-PYRIGHT-", d["rule"], "unknown"),
+        severity=F.when(d["severity"] == "error", "HIGH").otherwise("MEDIUM"),
+        file=d["file"],
+        line=d["range"]["start"]["line"],
+        message=d["message"],
+        category="type-error",
+    ))
 
 
 def _nonempty(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
-_SAST_SCHEMA = (
-    "struct<results array<struct<check_id string, path string, start struct<line int>, "
-    "extra struct<severity string, message string, lines string, fix string, "
-    "metadata struct<impact string, fix string, references array<string>>>>>, "
-    "errors array<struct<message string>>>"
-)
-
-
-def sast(reports: DataFrame) -> DataFrame:
-    parsed = F.from_json("payload", _SAST_SCHEMA)
-    rows = _of(reports, "opengrep", "semgrep").select(
-        "project", F.col("tool").alias("label"), F.posexplode(parsed["results"]).alias("pos", "r")
-    )
-    impact, level = F.col("r.extra.metadata.impact"), F.col("r.extra.severity")
-    severity = (
-        F.when(impact.isin("HIGH", "MEDIUM", "LOW"), impact)
-        .when(level == "ERROR", "HIGH")
-        .when(level == "INFO", "LOW")
-        .otherwise("MEDIUM")
-    )
-    return rows.select(
-        *_finding(
-            "semgrep",
-            rule_id=_id("SAST-", F.col("r.check_id"), "unknown"),
-            severity=severity,
-            file=F.col("r.path"),
-            line=F.col("r.start.line"),
-            message=F.coalesce("r.extra.message", "r.check_id"),
-            snippet=cut(F.col("r.extra.lines")),
-            fix=F.coalesce(_nonempty(F.col("r.extra.fix")), F.col("r.extra.metadata.fix")),
-            url=F.get("r.extra.metadata.references", F.lit(0)),
+def _sast() -> Column:
+    schema = (
+        "struct<results array<struct<check_id string, path string, start struct<line int>, "
+        "extra struct<severity string, message string, lines string, fix string, "
+        "metadata struct<impact string, fix string, references array<string>>>>>>"
+    )
+
+    def of_result(r: Column, i: Column) -> Column:
+        extra = r["extra"]
+        meta = extra["metadata"]
+        impact, level = meta["impact"], extra["severity"]
+        return _finding(
+            "semgrep", i,
+            rule_id=_id("SAST-", r["check_id"], "unknown"),
+            severity=F.when(impact.isin("HIGH", "MEDIUM", "LOW"), impact)
+            .when(level == "ERROR", "HIGH").when(level == "INFO", "LOW").otherwise("MEDIUM"),
+            file=r["path"],
+            line=r["start"]["line"],
+            message=F.coalesce(extra["message"], r["check_id"]),
+            snippet=cut(extra["lines"]),
+            fix=F.coalesce(_nonempty(extra["fix"]), meta["fix"]),
+            url=F.get(meta["references"], F.lit(0)),
             category="security",
-            label=F.col("label"),
+            label=F.col("tool"),
         )
-    )
+
+    return F.transform(_parsed(schema)["results"], of_result)
 
 
-def sca(reports: DataFrame) -> DataFrame:
+def _sca() -> Column:
     vuln = (
         "struct<VulnerabilityID string, Severity string, PkgName string, "
         "InstalledVersion string, FixedVersion string, Title string, Description string, "
         "PrimaryURL string>"
     )
-    parsed = F.from_json(
-        "payload", f"struct<Results array<struct<Target string, Vulnerabilities array<{vuln}>>>>"
-    )
-    targets = _of(reports, "trivy").select(
-        "project", F.posexplode(parsed["Results"]).alias("tpos", "t")
-    )
-    rows = targets.select(
-        "project", F.col("t.Target").alias("target"), "tpos",
-        F.posexplode("t.Vulnerabilities").alias("vpos", "v"),
-    ).withColumn("pos", F.col("tpos").cast("bigint") * F.lit(1 << 31) + F.col("vpos"))
-    pkg, installed = text_or(F.col("v.PkgName")), text_or(F.col("v.InstalledVersion"))
-    fixed = _nonempty(F.col("v.FixedVersion"))
-    severity = F.when(
-        F.col("v.Severity").isin("CRITICAL", "HIGH", "MEDIUM"), F.col("v.Severity")
-    ).otherwise("LOW")
-    return rows.select(
-        *_finding(
-            "trivy",
-            rule_id=_id("SCA-", F.col("v.VulnerabilityID"), "UNKNOWN"),
-            severity=severity,
-            file=F.col("target"),
-            line=F.lit(0),
-            message=F.concat(
-                pkg, F.lit("@"), installed, F.lit(": "),
-                F.coalesce(F.col("v.Title"), cut(F.col("v.Description"), 120), F.lit("")),
-            ),
-            snippet=F.concat(
-                F.lit("Package: "), pkg, F.lit(", Installed: "), installed,
-                F.lit(", Fixed: "), F.coalesce(fixed, F.lit("N/A")),
-            ),
-            fix=F.when(
-                fixed.isNotNull(),
-                F.concat(F.lit("Update "), pkg, F.lit(" from "), installed, F.lit(" to "), fixed),
-            ).when(
-                pkg != "",
-                F.concat(F.lit("No fix available yet for "), pkg, F.lit("@"), installed),
-            ),
-            url=F.col("v.PrimaryURL"),
-            category="vulnerability",
-        )
-    )
-
 
-def iac(reports: DataFrame) -> DataFrame:
+    def of_target(t: Column, first: Column) -> Column:
+        def of_vulnerability(v: Column, i: Column) -> Column:
+            pkg, installed = text_or(v["PkgName"]), text_or(v["InstalledVersion"])
+            fixed, level = _nonempty(v["FixedVersion"]), v["Severity"]
+            return _finding(
+                "trivy", first + i,
+                rule_id=_id("SCA-", v["VulnerabilityID"], "UNKNOWN"),
+                severity=F.when(level.isin("CRITICAL", "HIGH", "MEDIUM"), level).otherwise("LOW"),
+                file=t["Target"],
+                line=F.lit(0),
+                message=F.concat(
+                    pkg, F.lit("@"), installed, F.lit(": "),
+                    F.coalesce(v["Title"], cut(v["Description"], 120), F.lit("")),
+                ),
+                snippet=F.concat(
+                    F.lit("Package: "), pkg, F.lit(", Installed: "), installed,
+                    F.lit(", Fixed: "), F.coalesce(fixed, F.lit("N/A")),
+                ),
+                fix=F.when(
+                    fixed.isNotNull(),
+                    F.concat(F.lit("Update "), pkg, F.lit(" from "), installed, F.lit(" to "), fixed),
+                ).when(
+                    pkg != "",
+                    F.concat(F.lit("No fix available yet for "), pkg, F.lit("@"), installed),
+                ),
+                url=v["PrimaryURL"],
+                category="vulnerability",
+            )
+
+        return F.transform(t["Vulnerabilities"], of_vulnerability)
+
+    schema = f"struct<Results array<struct<Target string, Vulnerabilities array<{vuln}>>>>"
+    return _nested(_parsed(schema)["Results"], of_target)
+
+
+def _iac() -> Column:
     """The payload is one block or a list of blocks; both parse as a list."""
     check = (
         "struct<check_id string, severity string, file_path string, "
         "file_line_range array<int>, check_name string, resource string, guideline string>"
     )
-    parsed = F.from_json("payload", f"array<struct<results struct<failed_checks array<{check}>>>>")
-    blocks = _of(reports, "checkov").select("project", F.posexplode(parsed).alias("bpos", "b"))
-    rows = blocks.select(
-        "project", "bpos", F.posexplode("b.results.failed_checks").alias("cpos", "c")
-    ).withColumn("pos", F.col("bpos").cast("bigint") * F.lit(1 << 31) + F.col("cpos"))
-    known = F.col("c.severity").isin("CRITICAL", "HIGH", "MEDIUM", "LOW")
-    return rows.select(
-        *_finding(
-            "checkov",
-            rule_id=_id("IAC-", F.col("c.check_id"), "UNKNOWN"),
-            severity=F.when(known, F.col("c.severity")).otherwise("MEDIUM"),
-            file=F.col("c.file_path"),
-            line=F.get("c.file_line_range", F.lit(0)),
-            message=F.col("c.check_name"),
-            snippet=F.col("c.resource"),
-            fix=F.col("c.guideline"),
-            url=F.col("c.guideline"),
-            category="misconfiguration",
-        )
-    )
 
+    def of_block(b: Column, first: Column) -> Column:
+        def of_check(c: Column, i: Column) -> Column:
+            level = c["severity"]
+            return _finding(
+                "checkov", first + i,
+                rule_id=_id("IAC-", c["check_id"], "UNKNOWN"),
+                severity=F.when(level.isin("CRITICAL", "HIGH", "MEDIUM", "LOW"), level).otherwise("MEDIUM"),
+                file=c["file_path"],
+                line=F.get(c["file_line_range"], F.lit(0)),
+                message=c["check_name"],
+                snippet=c["resource"],
+                fix=c["guideline"],
+                url=c["guideline"],
+                category="misconfiguration",
+            )
+
+        return F.transform(b["results"]["failed_checks"], of_check)
+
+    return _nested(_parsed(f"array<struct<results struct<failed_checks array<{check}>>>>"), of_block)
 
-def container(reports: DataFrame) -> DataFrame:
+
+def _container() -> Column:
     """One report per Dockerfile; its path is the report's ``target``."""
     item = (
         "struct<ID string, Severity string, Title string, Message string, Resolution string, "
         "PrimaryURL string, CauseMetadata struct<StartLine int>>"
     )
-    parsed = F.from_json("payload", f"struct<Results array<struct<Misconfigurations array<{item}>>>>")
-    results = _of(reports, "trivy-config").select(
-        "project", "target", F.posexplode(parsed["Results"]).alias("rpos", "r")
-    )
-    rows = results.select(
-        "project", "target", "rpos", F.posexplode("r.Misconfigurations").alias("mpos", "m")
-    ).withColumn("pos", F.col("rpos").cast("bigint") * F.lit(1 << 31) + F.col("mpos"))
-    level = F.col("m.Severity")
-    severity = (
-        F.when(level.isin("CRITICAL", "HIGH", "MEDIUM", "LOW"), level)
-        .when(level == "UNKNOWN", "LOW")
-        .otherwise("MEDIUM")
-    )
-    return rows.select(
-        *_finding(
-            "trivy-config",
-            rule_id=_id("CONTAINER-", F.col("m.ID"), "UNKNOWN"),
-            severity=severity,
-            file=F.col("target"),
-            line=F.col("m.CauseMetadata.StartLine"),
-            message=F.col("m.Title"),
-            snippet=cut(F.col("m.Message")),
-            fix=F.col("m.Resolution"),
-            url=F.col("m.PrimaryURL"),
-            category="misconfiguration",
-            label=F.lit("trivy"),
-        )
-    )
 
-
-NORMALISERS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "ruff": ruff, "eslint": eslint, "biome": biome, "clippy": clippy,
-    "golangci-lint": golangci, "mypy": mypy, "pyright": pyright, "tsc": tsc,
-    "semgrep": sast, "trivy": sca, "checkov": iac, "trivy-config": container,
+    def of_result(r: Column, first: Column) -> Column:
+        def of_item(m: Column, i: Column) -> Column:
+            level = m["Severity"]
+            return _finding(
+                "trivy-config", first + i,
+                rule_id=_id("CONTAINER-", m["ID"], "UNKNOWN"),
+                severity=F.when(level.isin("CRITICAL", "HIGH", "MEDIUM", "LOW"), level)
+                .when(level == "UNKNOWN", "LOW").otherwise("MEDIUM"),
+                file=F.col("target"),
+                line=m["CauseMetadata"]["StartLine"],
+                message=m["Title"],
+                snippet=cut(m["Message"]),
+                fix=m["Resolution"],
+                url=m["PrimaryURL"],
+                category="misconfiguration",
+                label=F.lit("trivy"),
+            )
+
+        return F.transform(r["Misconfigurations"], of_item)
+
+    return _nested(_parsed(f"struct<Results array<struct<Misconfigurations array<{item}>>>>")["Results"], of_result)
+
+
+PARSERS: dict[str, Callable[[], Column]] = {
+    "ruff": _ruff, "eslint": _eslint, "biome": _biome, "clippy": _clippy,
+    "golangci-lint": _golangci, "mypy": _mypy, "pyright": _pyright, "tsc": _tsc,
+    "semgrep": _sast, "trivy": _sca, "checkov": _iac, "trivy-config": _container,
 }
+# Tools whose reports another tool's parser reads.
+SAME_FORMAT = {"opengrep": "semgrep"}
 
 
 def normalise(reports: DataFrame, tools: Sequence[str] | None = None) -> DataFrame:
-    """Findings of all (or the named) tools' reports."""
-    chosen = [f for t, f in NORMALISERS.items() if tools is None or t in tools]
-    return merge(*[f(reports) for f in chosen])
+    """Findings of all (or the named) tools' reports, in one pass."""
+    chosen = [t for t in PARSERS if tools is None or t in tools]
+    items, known = F.lit(None).cast(_ITEMS), []
+    for tool in chosen:
+        names = [tool, *(other for other, of in SAME_FORMAT.items() if of == tool)]
+        known += names
+        items = F.when(F.col("tool").isin(*names), PARSERS[tool]().cast(_ITEMS)).otherwise(items)
+    return (
+        reports.where(F.col("tool").isin(*known))
+        .select("project", F.inline(items))
+        .select(*FINDING_COLUMNS)
+    )
+
+
+def of_tool(tool: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda reports: normalise(reports, [tool])
+
+
+NORMALISERS: dict[str, Callable[[DataFrame], DataFrame]] = {t: of_tool(t) for t in PARSERS}
 
 
 def report_errors(reports: DataFrame) -> DataFrame:
-    """Error rows: SAST error lists and failed runs of the two trivy/checkov tools."""
-    listed = _sast_errors(reports)
+    """(project, domain, error, failed) rows, in one pass over the reports.
+
+    SAST error lists, failed runs of trivy and checkov, and payloads that cannot be
+    parsed; the last fail their domain. A SAST error without a message is shown whole.
+    """
+    tool, payload = F.col("tool"), F.col("payload")
+    none = F.array().cast("array<string>")
     head = F.substring("stderr", 1, 200)
-    has_text = text_or(F.col("stderr")) != ""
-    failed = _of(reports, "trivy").where(has_text & (F.col("returncode") != 0)).select(
-        "project", F.lit("sca").alias("domain"), F.concat(F.lit("trivy: "), head).alias("error")
+    said = text_or(F.col("stderr")) != ""
+    listed = F.transform(
+        _parsed("struct<errors array<string>>")["errors"],
+        lambda e: F.concat(F.lit("SAST: "), F.coalesce(F.get_json_object(e, "$.message"), e, F.lit(""))),
     )
-    odd = _of(reports, "checkov").where(has_text & ~F.col("returncode").isin(0, 1)).select(
-        "project", F.lit("iac").alias("domain"), F.concat(F.lit("checkov: "), head).alias("error")
+    texts = (
+        F.when(tool.isin("semgrep", *SAME_FORMAT), F.coalesce(listed, none))
+        .when((tool == "trivy") & said & (F.col("returncode") != 0),
+              F.array(F.concat(F.lit("trivy: "), head)))
+        .when((tool == "checkov") & said & ~F.col("returncode").isin(0, 1),
+              F.array(F.concat(F.lit("checkov: "), head)))
+        .otherwise(none)
     )
-    return listed.unionByName(failed).unionByName(odd)
-
-
-def _sast_errors(reports: DataFrame) -> DataFrame:
-    parsed = F.from_json("payload", _SAST_SCHEMA)
-    rows = _of(reports, "opengrep", "semgrep").select(
-        "project", F.explode(parsed["errors"]).alias("e")
+    broken = (
+        ~tool.isin(*LINE_TOOLS) & (text_or(payload) != "") & F.try_parse_json(payload).isNull()
+    )
+    rows = F.concat(
+        F.transform(texts, lambda t: F.struct(t.alias("error"), F.lit(False).alias("failed"))),
+        F.when(broken, F.array(F.struct(
+            F.concat(F.lit("unparseable report of "), tool).alias("error"), F.lit(True).alias("failed")
+        ))).otherwise(F.array().cast("array<struct<error:string,failed:boolean>>")),
     )
-    return rows.select(
-        "project", F.lit("sast").alias("domain"),
-        F.concat(F.lit("SAST: "), text_or(F.col("e.message"))).alias("error"),
+    return (
+        reports.where(tool.isin(*PARSERS, *SAME_FORMAT))
+        .select("project", domain_of(tool).alias("domain"), F.inline(rows))
     )
 
 
@@ -524,18 +517,33 @@ def only_changed(
     return joined.where(kept).select(*FINDING_COLUMNS)
 
 
-def tools_used(reports: DataFrame, domains: DataFrame) -> DataFrame:
-    """Per (project, domain): comma-joined tools in running order, or ``none``."""
+def domain_runs(tools: DataFrame) -> DataFrame:
+    """(project, domain, tool, version, time): tools in running order, comma-joined.
+
+    ``tools`` has (project, tool, version, time); a domain's versions are joined like
+    its tools, its time is their sum.
+    """
     seq = F.create_map(*[F.lit(x) for kv in TOOL_SEQ.items() for x in kv])
-    used = (
-        reports.select("project", "tool").distinct()
-        .select("project", domain_of(F.col("tool")).alias("domain"),
-                F.element_at(seq, F.col("tool")).alias("seq"), "tool")
-        .groupBy("project", "domain")
-        .agg(F.sort_array(F.collect_list(F.struct("seq", "tool"))).alias("_t"))
+    run = F.struct(F.element_at(seq, F.col("tool")).alias("seq"), "tool", "version")
+    # at most one entry a known tool
+    grouped = tools.groupBy("project", domain_of(F.col("tool")).alias("domain")).agg(
+        F.sort_array(F.collect_set(run)).alias("_runs"), F.sum("time").alias("time")
     )
-    label = F.array_join(F.transform("_t", lambda t: t["tool"]), ", ")
-    return domains.select("project", "domain").distinct().join(
-        used, ["project", "domain"], "left"
-    ).select("project", "domain", F.coalesce(F.nullif(label, F.lit("")), F.lit("none")).alias("tool"))
+    versions = F.filter(F.transform("_runs", lambda r: r["version"]), lambda v: v != "")
+    return grouped.select(
+        "project", "domain",
+        F.array_join(F.transform("_runs", lambda r: r["tool"]), ", ").alias("tool"),
+        F.array_join(versions, ", ").alias("version"), "time",
+    )
+
 
+def tools_used(reports: DataFrame, domains: DataFrame) -> DataFrame:
+    """Per (project, domain): comma-joined tools in running order, or ``none``."""
+    tools = reports.select(
+        "project", "tool", F.lit("").alias("version"), F.lit(0.0).alias("time")
+    ).distinct()
+    return (
+        domains.select("project", "domain").distinct()
+        .join(domain_runs(tools), ["project", "domain"], "left")
+        .select("project", "domain", F.coalesce("tool", F.lit("none")).alias("tool"))
+    )

@@ -508,9 +508,11 @@ def _settle_with_side_inputs(findings: DataFrame, side: DataFrame) -> DataFrame:
     )
 
 
-def dependency_errors(files: DataFrame) -> DataFrame:
+def dependency_errors(
+    files: DataFrame, skipped_dirs: Sequence[str] = tuple(catalog.SKIPPED_DIRS)
+) -> DataFrame:
     """One error row per package.json whose shape the rules cannot read."""
-    packages = eligible_files(files).where(F.col("name") == "package.json")
+    packages = eligible_files(files, skipped_dirs).where(F.col("name") == "package.json")
     bad = _unreadable_sections("content")
     error = (
         "CASE WHEN try_parse_json(content) IS NULL THEN null "

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake import __version__, catalog
+from auditlake import __version__
 from auditlake.functions.scale import salted_filter, stored
 from auditlake.operators import findings as fd
 from auditlake.operators import normalise, profile, rules
@@ -21,7 +21,11 @@ from auditlake.sources import reports as rp
 
 @dataclass
 class ScanOutcome:
-    """DataFrames of one scan; nothing runs until one of them is used."""
+    """DataFrames of one scan.
+
+    Findings are computed when one of them is used; :meth:`stored` does so once for
+    all. The domains of each project are settled beforehand and stored.
+    """
 
     findings: DataFrame
     errors: DataFrame
@@ -39,7 +43,9 @@ class ScanOutcome:
 
     @cached_property
     def domain_results(self) -> DataFrame:
-        return fd.domain_summary(self.findings, self.executed)
+        """One row an executed domain; one whose report cannot be read has failed."""
+        failed = self.errors.where("failed").select("project", "domain", "error")
+        return fd.domain_summary(self.findings, self.executed, failed)
 
     @cached_property
     def gate(self) -> DataFrame:
@@ -86,16 +92,20 @@ def scan_projects(
     if opts.scan_mode != "full" and changes is not None:
         scoped = ch.in_scope(files, changes, opts.scan_mode, opts.base_ref, opts.empty_scope)
 
-    asked = requested_domains(files, roots, opts)
+    # few rows a project, used by every part below
+    asked = stored(requested_domains(files, roots, opts).distinct())
+    projects = stored(files.select("project").distinct())
     wanted = asked.where(F.col("domain").isin(*reg.names()))
 
     parts = []
-    available = files.select("project").distinct().withColumn("domain", F.lit("security"))
-    executed_tools = available.select("project", "domain", F.lit("builtin").alias("tool"),
-                                      F.lit(__version__).alias("version"))
-    errors = rules.dependency_errors(scoped).select(
+    available = projects.withColumn("domain", F.lit("security"))
+    ran = available.select(
+        "project", "domain", F.lit("builtin").alias("tool"), F.lit(__version__).alias("version"),
+        F.lit(0.0).alias("time"), F.lit(0).alias("rank"),
+    )
+    errors = rules.dependency_errors(scoped, opts.exclude_patterns).select(
         "project", F.lit("security").alias("domain"),
-        F.concat("file", F.lit(": "), "error").alias("error"),
+        F.concat("file", F.lit(": "), "error").alias("error"), F.lit(False).alias("failed"),
     )
     security = reg.get("security")
     if security is not None and security.scan is None:
@@ -105,7 +115,7 @@ def scan_projects(
         )
     if reports is not None:
         # tool choice is applied to the findings: one lookup instead of one per tool
-        replaced = rp.replaced_tools(reports)
+        replaced = stored(rp.replaced_tools(reports))
         found = salted_filter(
             normalise.normalise(reports), replaced, ["project", "tool"], ["file", "line"], anti=True
         )
@@ -118,27 +128,20 @@ def scan_projects(
             paths = ch.scope_paths(changes, opts.scan_mode, opts.base_ref)
             found = normalise.only_changed(found, paths, reports, opts.empty_scope)
         parts.append(found)
-        ran = reports.select("project", "tool").distinct().join(
-            replaced, ["project", "tool"], "left_anti"
-        )
-        with_tool = ran.select("project", rp.domain_of(F.col("tool")).alias("domain")).distinct()
+        tools = stored(rp.tool_runs(reports).join(replaced, ["project", "tool"], "left_anti"))
+        with_tool = tools.select("project", rp.domain_of(F.col("tool")).alias("domain")).distinct()
         available = available.unionByName(with_tool)
-        executed_tools = executed_tools.unionByName(
-            normalise.tools_used(ran, with_tool).select(
-                "project", "domain", "tool", F.lit("").alias("version"))
-        )
-        errors = errors.unionByName(
-            normalise.report_errors(rp.preferred_tools(reports))
-        )
-    for domain in reg.custom():
+        ran = ran.unionByName(normalise.domain_runs(tools).withColumn("rank", F.lit(1)))
+        errors = errors.unionByName(normalise.report_errors(rp.preferred_tools(reports)))
+    for rank, domain in enumerate(reg.custom(), 2):
         if domain.available():
             parts.append(run_domain(domain, scoped, opts))
-            mine = files.select("project").distinct().withColumn("domain", F.lit(domain.name))
+            mine = projects.withColumn("domain", F.lit(domain.name))
             available = available.unionByName(mine)
-            executed_tools = executed_tools.unionByName(
-                mine.select("project", "domain", F.lit(domain.name).alias("tool"),
-                            F.lit("").alias("version"))
-            )
+            ran = ran.unionByName(mine.select(
+                "project", "domain", F.lit(domain.name).alias("tool"), F.lit("").alias("version"),
+                F.lit(0.0).alias("time"), F.lit(rank).alias("rank"),
+            ))
     found = fd.merge(*parts)
     if opts.domains:
         found = found.where(F.col("domain").isin(*opts.domains))
@@ -150,9 +153,13 @@ def scan_projects(
         if opts.domains:
             found = found.unionByName(fd.unknown_domains(asked, reg.names()))
 
-    executed = executed_tools.dropDuplicates(["project", "domain"]).join(
-        wanted.distinct(), ["project", "domain"], "left_semi"
-    ).withColumn("time", F.lit(0.0))
+    # of several that ran a domain, the built-in one, then report tools, then custom ones
+    executed = (
+        ran.groupBy("project", "domain")
+        .agg(F.min_by(F.struct("tool", "version", "time"), "rank").alias("run"))
+        .join(wanted, ["project", "domain"], "left_semi")
+        .select("project", "domain", "run.*")
+    )
     counted = [
         eligible_files(scoped, opts.exclude_patterns)
         .groupBy("project").agg(F.count("*").alias("scanned_files"))
@@ -165,17 +172,11 @@ def scan_projects(
                 "project", "left_semi",
             )
         )
-    zero = files.select("project").distinct().withColumn(
-        "scanned_files", F.lit(0).cast("bigint")
-    )
+    zero = projects.withColumn("scanned_files", F.lit(0).cast("bigint"))
     return ScanOutcome(
         findings=found,
-        errors=errors,
+        errors=salted_filter(errors, wanted, ["project", "domain"], ["error"]),
         executed=executed,
         scanned=fd.scanned_total(zero, *counted),
         options=opts,
     )
-
-
-def known_domains() -> list[str]:
-    return list(catalog.DOMAINS)

@@ -49,6 +49,21 @@ def replaced_tools(reports: DataFrame) -> DataFrame:
     )
 
 
+def tool_runs(reports: DataFrame) -> DataFrame:
+    """(project, tool, version, time) of the tools that reported.
+
+    ``version`` (the largest) and ``time`` (the sum, seconds) come from the columns of
+    that name where reports have them, else they are empty and 0.
+    """
+    def held(name: str, default: Column) -> Column:
+        return F.coalesce(F.col(name), default) if name in reports.columns else default
+
+    return reports.groupBy("project", "tool").agg(
+        F.max(held("version", F.lit(""))).alias("version"),
+        F.sum(held("time", F.lit(0.0)).cast("double")).alias("time"),
+    )
+
+
 def preferred_tools(reports: DataFrame) -> DataFrame:
     """Keep the preferred tool where a project has reports of both of a pair.
 

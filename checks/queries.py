@@ -274,12 +274,7 @@ def domain_selection(spark, sf):
 @query
 def run_errors(spark, sf):
     reports = corpus.reports(spark, sf, "semgrep", "trivy", "checkov")
-    bad = (
-        rp.parse_status(reports).where(F.col("status") == "unparseable")
-        .select("project", rp.domain_of(F.col("tool")).alias("domain"),
-                F.concat(F.lit("unparseable report of "), "tool").alias("error"))
-    )
-    return normalise.report_errors(reports).unionByName(bad)
+    return normalise.report_errors(reports).select("project", "domain", "error")
 
 
 @query

@@ -60,7 +60,7 @@ def test_stored_reports_are_pruned_by_tool(spark, tmp_path):
     rows = [("p", "", t, "", "[]", "", 0) for t in ("ruff", "eslint", "biome")]
     rp.write_reports(spark.createDataFrame(rows, schemas.REPORTS), str(tmp_path / "r"))
     table = spark.read.parquet(str(tmp_path / "r"))
-    plan = normalise.ruff(rp.preferred_tools(table))._jdf.queryExecution().executedPlan().toString()
+    plan = normalise.NORMALISERS["ruff"](rp.preferred_tools(table))._jdf.queryExecution().executedPlan().toString()
     assert "= ruff)" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert rp.preferred_tools(table).count() == 2
 
@@ -175,6 +175,45 @@ def test_snapshots(spark, make_files):
     assert diff == {"a": "modified", "c": "removed", "d": "added"}
 
 
+# ------------------------------------------------------------------ whole scan
+def test_scan_reports_errors_of_executed_domains(spark, make_files):
+    """Unparseable payloads fail their domain; excluded folders and other domains give no errors."""
+    from auditlake.plans.options import ScanOptions
+    from auditlake.plans.scan import scan_projects
+
+    files = make_files({"a.py": "x = 1", "vendor/package.json": "[]", "pkg/package.json": "[1]", "package-lock.json": "{}"})
+    reports = spark.createDataFrame(
+        [("p", "", "trivy", "", "not json", "", 0, "0.5", 2.0), ("p", "", "ruff", "", "[]", "", 0, "0.9", 1.5)],
+        schemas.REPORTS + ", version string, time double")
+    out = scan_projects(files, ScanOptions(exclude_patterns=("vendor",), domains=("security", "lint", "sca")), reports=reports)
+    assert sorted((r.domain, r.error, r.failed) for r in out.errors.collect()) == [
+        ("sca", "unparseable report of trivy", True), ("security", "pkg/package.json: package.json is not an object", False)]
+    rows = {r.domain: (r.tool, r.version, r.time, r.passed, r.error) for r in out.domain_results.collect()}
+    assert rows["sca"] == ("trivy", "0.5", 2.0, False, "unparseable report of trivy")
+    assert rows["lint"] == ("ruff", "0.9", 1.5, True, "")
+    assert rows["security"][0] == "builtin" and rows["security"][3]
+    out = scan_projects(files, ScanOptions(domains=("lint", "typecheck", "sca")), reports=reports)
+    assert {r.domain for r in out.errors.collect()} == {"sca"}
+
+
+def test_reports_are_read_once_for_findings_and_once_for_errors(spark, make_files, tmp_path):
+    from auditlake.operators import normalise
+
+    spark.createDataFrame([("p", "", "ruff", "", "[]", "", 0)], schemas.REPORTS).write.parquet(str(tmp_path / "r"))
+    reports = spark.read.parquet(str(tmp_path / "r"))
+    for out in (normalise.normalise(reports), normalise.report_errors(reports)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "Exchange" not in plan
+
+
+def test_scope_plans_gather_nothing_in_one_task(spark, change_rows, make_files, tmp_path):
+    make_files({"a.py": "", "c.py": ""}).write.parquet(str(tmp_path / "f"))
+    files = spark.read.parquet(str(tmp_path / "f"))
+    for scope in ("full", "none"):
+        df = ch.in_scope(files, change_rows, "incremental", empty_scope=scope)
+        assert "SinglePartition" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 # ----------------------------------------------------------------------- sinks
 def documents(fragments):
     texts = {}

@@ -37,7 +37,7 @@ def test_bad_payloads_give_nothing_and_never_fail(make_reports, tool, payload):
 
 
 def test_ruff(make_reports):
-    df = nm.ruff(make_reports(("ruff", [
+    df = nm.NORMALISERS["ruff"](make_reports(("ruff", [
         {"code": "E501", "filename": "a.py", "location": {"row": 3}, "message": "long", "fix": None},
         {"code": None, "message": "syntax"},
         {"code": "F401", "filename": "b.py", "location": {"row": 1}, "message": "m", "fix": {"message": "Rm"}},
@@ -52,7 +52,7 @@ def test_ruff(make_reports):
 def test_eslint_paths_and_rule_ids(make_reports):
     msgs = [{"ruleId": "no-x", "severity": 2, "line": 4, "message": "m", "source": "s" * 99},
             {"ruleId": None, "severity": 1, "message": "parse"}, {"message": "none"}]
-    df = nm.eslint(make_reports(("eslint", [
+    df = nm.NORMALISERS["eslint"](make_reports(("eslint", [
         {"filePath": "/w/p/src/a.js", "messages": msgs}, {"filePath": "/w/pq/b.js", "messages": msgs[:1]}])))
     rows = [(r.rule_id, r.severity, r.file, len(r.snippet)) for r in df.orderBy("match_start").collect()]
     assert rows == [("LINT-ESLINT-no-x", "HIGH", "src/a.js", 80), ("LINT-ESLINT-None", "MEDIUM", "src/a.js", 0),
@@ -68,7 +68,7 @@ def test_clippy_lines(make_reports):
         {"reason": "build-finished"},
     ]) + "\nbroken {compiler-message"
     rows = [(r.rule_id, r.severity, r.file, r.line, len(r.snippet))
-            for r in nm.clippy(make_reports(("clippy", lines))).orderBy("match_start").collect()]
+            for r in nm.NORMALISERS["clippy"](make_reports(("clippy", lines))).orderBy("match_start").collect()]
     assert rows == [("LINT-CLIPPY-c", "HIGH", "a.rs", 7, 80), ("LINT-CLIPPY-unknown", "MEDIUM", "", 0, 0)]
 
 
@@ -100,7 +100,7 @@ def test_pyright_and_biome_and_go(make_reports):
 def test_sast_severity(make_reports, severity, impact, expected):
     item = {"check_id": "c", "path": "a", "start": {"line": 1},
             "extra": {"severity": severity, "metadata": {"impact": impact, "references": ["u", "v"]}}}
-    row = one(nm.sast(make_reports(("opengrep", {"results": [item]}))))
+    row = one(nm.NORMALISERS["semgrep"](make_reports(("opengrep", {"results": [item]}))))
     assert (row.severity, row.tool, row.url, row.message) == (expected, "opengrep", "u", "c")
 
 
@@ -108,7 +108,7 @@ def test_sca(make_reports):
     vulns = [{"VulnerabilityID": "CVE-1", "Severity": "UNKNOWN", "PkgName": "x", "InstalledVersion": "1",
               "FixedVersion": "2", "Title": "t"},
              {"Severity": "CRITICAL", "Description": "d" * 200}]
-    rows = nm.sca(make_reports(("trivy", {"Results": [{"Target": "lock"}, {"Target": "lock", "Vulnerabilities": vulns}]})))
+    rows = nm.NORMALISERS["trivy"](make_reports(("trivy", {"Results": [{"Target": "lock"}, {"Target": "lock", "Vulnerabilities": vulns}]})))
     a, b = rows.orderBy("match_start").collect()
     assert (a.severity, a.message, a.fix) == ("LOW", "x@1: t", "Update x from 1 to 2")
     assert (b.rule_id, b.severity, b.fix) == ("SCA-UNKNOWN", "CRITICAL", "")
@@ -119,13 +119,13 @@ def test_iac_single_and_list(make_reports):
     block = {"results": {"failed_checks": [{"check_id": "C", "severity": None, "file_line_range": [4, 9],
                                             "guideline": "g"}]}}
     for payload in (block, [block]):
-        row = one(nm.iac(make_reports(("checkov", payload))))
+        row = one(nm.NORMALISERS["checkov"](make_reports(("checkov", payload))))
         assert (row.rule_id, row.severity, row.line, row.fix, row.url) == ("IAC-C", "MEDIUM", 4, "g", "g")
 
 
 def test_container_severity_defaults(make_reports):
     items = [{"ID": "A"}, {"ID": "B", "Severity": "UNKNOWN"}, {"ID": "C", "Severity": "ODD"}]
-    df = nm.container(make_reports(("trivy-config", {"Results": [{"Misconfigurations": items}]}, "d/Dockerfile")))
+    df = nm.NORMALISERS["trivy-config"](make_reports(("trivy-config", {"Results": [{"Misconfigurations": items}]}, "d/Dockerfile")))
     assert [(r.severity, r.file, r.tool) for r in df.orderBy("match_start").collect()] == [
         ("MEDIUM", "d/Dockerfile", "trivy"), ("LOW", "d/Dockerfile", "trivy"), ("MEDIUM", "d/Dockerfile", "trivy")]
 
@@ -133,9 +133,11 @@ def test_container_severity_defaults(make_reports):
 def test_errors_and_status(make_reports):
     df = make_reports(
         ("trivy", "{}", "", "e" * 300, 1), ("trivy", "{}", "", "fine", 0), ("checkov", "{}", "", "x", 1),
-        ("checkov", "{}", "", "x", 2), ("semgrep", {"errors": [{"message": "oops"}]}))
-    errors = sorted(r.error for r in nm.report_errors(df).collect())
-    assert errors == ["SAST: oops", "checkov: x", "trivy: " + "e" * 200]
+        ("checkov", "{}", "", "x", 2), ("semgrep", {"errors": [{"message": "oops"}, {"code": 3}]}),
+        ("biome", "not json"), ("mypy", "not json"), ("opengrep", ""))
+    errors = sorted((r.error, r.domain, r.failed) for r in nm.report_errors(df).collect())
+    assert errors == [('SAST: oops', "sast", False), ('SAST: {"code":3}', "sast", False), ("checkov: x", "iac", False),
+                      ("trivy: " + "e" * 200, "sca", False), ("unparseable report of biome", "lint", True)]
     status = rp.parse_status(make_reports(("ruff", ""), ("ruff", "{"), ("ruff", "[]"), ("mypy", "x")))
     assert [r.status for r in status.collect()] == ["empty", "unparseable", "ok", "ok"]
 
