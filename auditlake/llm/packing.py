@@ -38,10 +38,11 @@ from pyspark.sql import types as T
 
 from auditlake.functions.scale import stored
 from auditlake.llm import bpe
+from auditlake.llm.words import parts
 
 CAPACITY = 2048
 END_ID = 0
-CACHE = 400_000
+CACHE = 150_000
 PIECE = 64
 _ORD_BITS = 44
 
@@ -100,7 +101,7 @@ def cut_pieces(
         table = bpe.worker_table("ids", tokenizer_path, lambda: TokenIds(tokenizer_path))
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(1).to_pylist()
             rows: tuple[list, ...] = ([], [], [], [], [], [], [])
             for i, text in enumerate(texts):

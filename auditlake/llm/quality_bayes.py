@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.scale import salted_lookup, stored
 from auditlake.llm.quality_rules import COUNTS, EXTRA, _statistics
-from auditlake.llm.words import Words, mixed, pieces, texts
+from auditlake.llm.words import Words, mixed, parts, pieces, texts
 
 SAMPLE = 20_000
 BITS = 16
@@ -74,7 +74,7 @@ def feature_counts(taught: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((N_FEATURES + 1, 3), dtype=np.int64)
-        for batch in batches:
+        for batch in parts(batches):
             raw = texts(batch, "text")
             marks = np.stack([np.ones(len(raw), dtype=np.int64),
                               *(batch.column(i).to_numpy() for i in (1, 2))], axis=1)
@@ -125,7 +125,7 @@ def with_evidence(docs: DataFrame, table: np.ndarray, keep: list[str]) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = held.value
-        for batch in batches:
+        for batch in parts(batches):
             raw = texts(batch, "text")
             sums = np.zeros((len(raw), 2))
             for lo, hi in pieces(raw):

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.llm.words import Words, mixed, pieces, texts
+from auditlake.llm.words import Words, mixed, parts, pieces, texts
 
 SAMPLE = 20_000
 WINDOW = 8
@@ -102,7 +102,7 @@ def text_statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | N
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             raw = texts(batch, text_col)
             kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             for lo, hi in pieces(raw):

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlake.functions.scale import salted_filter, stored
-from auditlake.llm.words import texts
+from auditlake.llm.words import parts, texts
 
 SHINGLE = 3
 SEED = 42
@@ -91,7 +91,7 @@ def with_fingerprints(docs: DataFrame, text_col: str, keep: list[str]) -> DataFr
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("simhash", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             prints = np.array([fingerprint(t) for t in texts(batch, text_col)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(batch.schema.get_field_index(c)) for c in keep),

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.scale import salted_filter, stored
-from auditlake.llm.words import Words, mixed, pieces, powers, texts
+from auditlake.llm.words import Words, mixed, parts, pieces, powers, texts
 
 MIN_WORDS = 50
 K = 8
@@ -83,7 +83,7 @@ def suffixes(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
     """Kept suffixes of (id, text), with the words that their windows span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             raw, ids = texts(batch, "text"), batch.column(0).to_numpy()
             for lo, hi in pieces(raw):
                 w = Words(raw[lo:hi])
@@ -199,7 +199,7 @@ def windows_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     lists = wanted.groupBy("id").agg(F.collect_set(F.struct("w0", "n")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             raw, ids = texts(batch, "text"), batch.column(0).to_numpy()
             runs = batch.column(2)
             for lo, hi in pieces(raw):

@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from auditlake.llm import bpe
+from auditlake.llm.words import parts
 
 LIMIT = 512
-CACHE = 400_000
+CACHE = 150_000
 PIECE = 64
 _CUT = re.compile(r"\s (?:\s|\Z)")
 _RUN = re.compile(r"(?<=\S)(?= )")
@@ -100,7 +101,7 @@ def count_tokens(
             return Lengths(tokenizer_path, dict(zip(words.split("\n"), lengths)))
 
         table = bpe.worker_table("lengths", tokenizer_path, make)
-        for batch in batches:
+        for batch in parts(batches):
             column = batch.column(batch.schema.get_field_index(text_col))
             texts = [t or "" for t in column.to_pylist()]
             n = pa.array(table.count(texts), pa.int64())

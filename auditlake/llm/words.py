@@ -1,7 +1,8 @@
 """Words of many texts as arrays, for tasks that run over Arrow batches.
 
-Words are runs of bytes other than ``[\\x20\\x09-\\x0D]``. Texts are handled in
-pieces of about two megabytes, so memory follows the longest text, not the batch.
+Words are runs of bytes other than ``[\\x20\\x09-\\x0D]``. Batches are cut into
+small parts and these into pieces of about half a megabyte, so memory follows the
+longest text, not the batch.
 """
 
 from __future__ import annotations
@@ -11,13 +12,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
+PART_ROWS = 512
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in parts of at most ``rows``."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """The column's texts as UTF-8; null is empty."""
     values = batch.column(batch.schema.get_field_index(column))
