@@ -58,10 +58,11 @@ def snapshots(findings: DataFrame, runs: DataFrame) -> DataFrame:
 def read_history(lines: DataFrame) -> DataFrame:
     """Snapshots from JSON lines (project, run_seq, payload).
 
-    Missing fields become 0; a history that cannot be read is empty.
+    Missing numbers become 0, a missing time null, missing domains an empty map; a
+    history that cannot be read is empty.
     """
     schema = (
-        "struct<scanned_files bigint, total_findings bigint, critical bigint, high bigint, "
+        "struct<timestamp string, domains map<string,bigint>, scanned_files bigint, total_findings bigint, critical bigint, high bigint, "
         "medium bigint, low bigint, health_score double, passed boolean>"
     )
     numbers = ["scanned_files", "total_findings", "critical", "high", "medium", "low"]
@@ -71,8 +72,10 @@ def read_history(lines: DataFrame) -> DataFrame:
         .select("project", "run_seq", F.from_json("payload", schema).alias("s"))
         .select(
             "project", "run_seq",
+            F.col("s.timestamp").try_cast("timestamp_ntz").alias("ts"),
             *[F.coalesce(f"s.{n}", zero).alias(n) for n in numbers],
             F.coalesce("s.health_score", F.lit(0.0)).alias("health_score"),
+            F.coalesce("s.domains", F.create_map().cast("map<string,bigint>")).alias("domains"),
             F.coalesce("s.passed", F.lit(False)).alias("passed"),
         )
     )

@@ -524,3 +524,14 @@ def dependency_errors(
     return packages.select(
         "project", F.col("path").alias("file"), F.expr(error).alias("error")
     ).where(F.col("error").isNotNull())
+
+
+def unread_files(
+    files: DataFrame, skipped_dirs: Sequence[str] = tuple(catalog.SKIPPED_DIRS)
+) -> DataFrame:
+    """One error row per file that the rules should look at but whose text is null."""
+    reason = F.col("unread") if "unread" in files.columns else F.lit(None).cast("string")
+    return eligible_files(files, skipped_dirs).where(F.col("content").isNull()).select(
+        "project", F.col("path").alias("file"),
+        F.coalesce(reason, F.lit("no text")).alias("error"),
+    )

@@ -106,6 +106,11 @@ def scan_projects(
     errors = rules.dependency_errors(scoped, opts.exclude_patterns).select(
         "project", F.lit("security").alias("domain"),
         F.concat("file", F.lit(": "), "error").alias("error"), F.lit(False).alias("failed"),
+    ).unionByName(
+        rules.unread_files(scoped, opts.exclude_patterns).select(
+            "project", F.lit("security").alias("domain"),
+            F.concat("file", F.lit(": "), "error").alias("error"), F.lit(True).alias("failed"),
+        )
     )
     security = reg.get("security")
     if security is not None and security.scan is None:

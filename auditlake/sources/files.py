@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
+from functools import partial, reduce
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -19,13 +19,21 @@ _ENTRIES = "path string, is_dir boolean, size bigint, mtime_us bigint"
 _READ_BATCH_BYTES = 64 << 20
 
 
-def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Entries of each folder in the batches, one listing call per folder."""
+NOT_READ = "not read"
+
+
+def _list_folders(
+    batches: Iterator[pd.DataFrame], missing_ok: bool = True
+) -> Iterator[pd.DataFrame]:
+    """Entries of each folder in the batches, one listing call per folder.
+
+    A folder below the root may go between two rounds; a missing root is an error.
+    """
     for batch in batches:
         for folder in batch["path"]:
             filesystem, inner = pafs.FileSystem.from_uri(folder)
             prefix = folder[: len(folder) - len(inner)] if folder.endswith(inner) else ""
-            found = filesystem.get_file_info(pafs.FileSelector(inner, allow_not_found=True))
+            found = filesystem.get_file_info(pafs.FileSelector(inner, allow_not_found=missing_ok))
             yield pd.DataFrame(
                 {
                     "path": [prefix + i.path for i in found],
@@ -37,26 +45,29 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _read_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts of the listed files, in batches of bounded size."""
+    """Texts of the listed files, in batches of bounded size; null with the reason where unread."""
     for batch in batches:
         start = held = 0
-        texts: list[str] = []
+        texts: list[str | None] = []
+        reasons: list[str | None] = []
         for i, (path, wanted, size) in enumerate(zip(batch["path"], batch["wanted"], batch["size"])):
-            text = ""
+            text, reason = None, NOT_READ
             if wanted:
                 try:
                     filesystem, inner = pafs.FileSystem.from_uri(path)
                     with filesystem.open_input_file(inner) as handle:
                         text = handle.read().decode("utf-8", errors="replace")
-                except OSError:
-                    pass  # an unreadable file counts as empty
+                    reason = None
+                except OSError as error:
+                    reason = f"read error: {error}"
             texts.append(text)
+            reasons.append(reason)
             held += size if wanted else 0
             if held >= _READ_BATCH_BYTES:
-                yield batch.iloc[start : i + 1].assign(content=texts)
-                start, held, texts = i + 1, 0, []
+                yield batch.iloc[start : i + 1].assign(content=texts, unread=reasons)
+                start, held, texts, reasons = i + 1, 0, [], []
         if texts:
-            yield batch.iloc[start:].assign(content=texts)
+            yield batch.iloc[start:].assign(content=texts, unread=reasons)
 
 
 def list_tree(spark: SparkSession, folder: str, prune: Sequence[str] = ()) -> DataFrame:
@@ -70,9 +81,10 @@ def list_tree(spark: SparkSession, folder: str, prune: Sequence[str] = ()) -> Da
     """
     parallel = spark.sparkContext.defaultParallelism
     frontier = spark.createDataFrame([(folder.rstrip("/"),)], "path string")
-    levels = []
+    levels: list[DataFrame] = []
     while True:
-        entries = stored(frontier.repartition(parallel).mapInPandas(_list_folders, _ENTRIES))
+        listing = partial(_list_folders, missing_ok=bool(levels))
+        entries = stored(frontier.repartition(parallel).mapInPandas(listing, _ENTRIES))
         levels.append(entries.where(~F.col("is_dir")))
         frontier = entries.where(
             F.col("is_dir") & ~tx.path_name(F.col("path")).isin(*(prune or [""]))
@@ -93,9 +105,10 @@ def read_tree(
 
     The first ``project_depth`` path parts below ``folder`` name the project;
     the rest is the path inside it. Texts are read for files of the named lanes
-    (see :func:`lane_of`); other files are listed with an empty text. Reading
-    many small files is slow: read a tree once, store it with :func:`write_files`, scan the
-    table.
+    (see :func:`lane_of`). The text of any other file, and of one that cannot be read,
+    is null and ``unread`` names the reason; a scan that would look at it gives an error
+    row. A missing folder raises. Reading many small files is slow: read a tree once,
+    store it with :func:`write_files`, scan the table.
     """
     relative = F.split(F.substring("path", len(folder.rstrip("/")) + 2, 1 << 30), "/")
     listed = list_tree(spark, folder, prune).withColumn("_parts", relative)
@@ -109,7 +122,7 @@ def read_tree(
     wanted = listed.withColumn("wanted", lane.isin(*lanes))
     schema = (
         "project string, inner string, path string, size bigint, mtime_us bigint, "
-        "wanted boolean, content string"
+        "wanted boolean, content string, unread string"
     )
     texts = wanted.repartition(
         max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -118,6 +131,7 @@ def read_tree(
         "project", F.lit(root).alias("root"), F.col("inner").alias("path"), "content",
         (F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(
             F.lit(0), F.lit(0), F.lit(0), F.col("mtime_us") / F.lit(1e6))).alias("mtime"),
+        "unread",
     )
 
 

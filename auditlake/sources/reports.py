@@ -12,17 +12,37 @@ LINE_TOOLS = ["clippy", "mypy", "tsc"]
 
 
 def read_reports(spark: SparkSession, folder: str) -> DataFrame:
-    """Read ``<folder>/<project>/<tool>.<ext>`` report files, one row per file."""
+    """Read report files, one row per report.
+
+    A report is ``<project>/<tool>.<ext>``, or ``<project>/<tool>/<name>.<ext>`` where a
+    tool has several, such as one for each Dockerfile. A file beside it with the same
+    name and the ending ``.run`` may hold what a payload lacks, as a JSON object:
+    ``root``, ``target``, ``stderr``, ``returncode``, ``version``, ``time``.
+    """
     raw = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
-    parts = F.split(F.input_file_name(), "/")
-    return raw.select(
-        F.element_at(parts, -2).alias("project"),
-        F.lit("").alias("root"),
-        F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "").alias("tool"),
-        F.lit("").alias("target"),
+    path = F.input_file_name()
+    named = raw.select(
+        F.regexp_replace(path, r"\.[^./]*$", "").alias("stem"),
+        path.endswith(".run").alias("is_run"), "value",
+    )
+    run = (
+        "struct<root string, target string, stderr string, returncode int, version string, "
+        "time double>"
+    )
+    runs = named.where("is_run").select("stem", F.from_json("value", run).alias("run"))
+    parts = F.split("stem", "/")
+    last, above = F.element_at(parts, -1), F.element_at(parts, -2)
+    several = above.isin(*catalog.TOOL_DOMAIN)
+    return named.where("NOT is_run").join(runs, "stem", "left").select(
+        F.when(several, F.element_at(parts, -3)).otherwise(above).alias("project"),
+        F.coalesce("run.root", F.lit("")).alias("root"),
+        F.when(several, above).otherwise(last).alias("tool"),
+        F.coalesce("run.target", F.when(several, last).otherwise("")).alias("target"),
         F.col("value").alias("payload"),
-        F.lit("").alias("stderr"),
-        F.lit(0).alias("returncode"),
+        F.coalesce("run.stderr", F.lit("")).alias("stderr"),
+        F.coalesce("run.returncode", F.lit(0)).alias("returncode"),
+        F.coalesce("run.version", F.lit("")).alias("version"),
+        F.coalesce("run.time", F.lit(0.0)).alias("time"),
     )
 
 

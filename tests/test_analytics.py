@@ -48,10 +48,13 @@ def test_snapshots_with_clean_run(spark):
 
 
 def test_unreadable_history_is_empty(spark):
-    lines = spark.createDataFrame([("p", 1, "{"), ("p", 2, '{"critical": 2}')],
+    full = '{"timestamp": "2024-05-01T10:00:00", "domains": {"lint": 3}, "low": 3}'
+    lines = spark.createDataFrame([("p", 1, "{"), ("p", 2, '{"critical": 2}'), ("p", 3, full)],
                                   "project string, run_seq bigint, payload string")
-    (row,) = history.read_history(lines).collect()
+    row, last = history.read_history(lines).orderBy("run_seq").collect()
     assert (row.critical, row.health_score, row.passed) == (2, 0.0, False)
+    assert (row.ts, row.domains) == (None, {})
+    assert (str(last.ts), last.domains, last.low) == ("2024-05-01 10:00:00", {"lint": 3}, 3)
 
 
 # -------------------------------------------------------------------- profiles

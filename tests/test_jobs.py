@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,7 +35,9 @@ def test_read_tree_and_lanes(spark, tmp_path):
         target.write_bytes(data)
     files = fl.read_tree(spark, str(tmp_path / "tree"))
     rows = {(r.project, r.path): r.content for r in files.collect()}
-    assert rows["web", "src/a.js"] == "eval(x)\ufffd\n" and rows["api", "docs/readme.md"] == ""
+    assert rows["web", "src/a.js"] == "eval(x)\ufffd\n" and rows["api", "docs/readme.md"] is None
+    with pytest.raises(Exception, match="missing"):
+        fl.read_tree(spark, str(tmp_path / "missing"))
     fl.write_files(files, str(tmp_path / "table"))
     table = fl.read_files(spark, str(tmp_path / "table"))
     lanes = {r.path: r.lane for r in table.collect()}
@@ -42,7 +45,12 @@ def test_read_tree_and_lanes(spark, tmp_path):
                      "docs/readme.md": "other", "node_modules/q.js": "skipped", "pkg/__init__.py": "source"}
     assert sorted((r.rule_id, r.file) for r in rules.scan(table).collect()) == [
         ("SEC-003", "pkg/__init__.py"), ("SEC-003", "src/a.js")]
-    assert rules.scan(table, skipped_dirs=[]).count() == 2  # q.js is listed without its text
+    assert rules.scan(table, skipped_dirs=[]).count() == 2  # q.js is listed without its text,
+    unread = rules.unread_files(table, skipped_dirs=[]).collect()  # which is said
+    assert [(r.project, r.file, r.error) for r in unread] == [("api", "node_modules/q.js", "not read")]
+    assert rules.unread_files(table).count() == 0
+    (broken,) = fl._read_texts(iter([pd.DataFrame({"path": [str(tmp_path / "gone.js")], "wanted": [True], "size": [1]})]))
+    assert broken["content"][0] is None and broken["unread"][0].startswith("read error")
     everything = fl.read_tree(spark, str(tmp_path / "tree"), lanes=("root", "source", "skipped"))
     assert rules.scan(everything, skipped_dirs=[]).count() == 3
     side = rules.side_inputs(table)._jdf.queryExecution().executedPlan().toString()
@@ -54,6 +62,18 @@ def test_read_reports(spark, tmp_path):
     (tmp_path / "p1" / "ruff.json").write_text("[\n]")
     row = rp.read_reports(spark, str(tmp_path)).first()
     assert (row.project, row.tool, row.payload) == ("p1", "ruff", "[\n]")
+    (tmp_path / "p1" / "trivy-config").mkdir()
+    body = '{"Results": [{"Misconfigurations": [{"ID": "X", "Severity": "HIGH"}]}]}'
+    for name in ("api", "web"):
+        (tmp_path / "p1" / "trivy-config" / f"{name}.json").write_text(body)
+        (tmp_path / "p1" / "trivy-config" / f"{name}.run").write_text('{"target": "%s/Dockerfile", "version": "0.5"}' % name)
+    (tmp_path / "p1" / "trivy.json").write_text("{}")
+    (tmp_path / "p1" / "trivy.run").write_text('{"stderr": "no db", "returncode": 2, "root": "/w", "time": 1.5}')
+    reports = rp.read_reports(spark, str(tmp_path))
+    assert sorted(r.file for r in normalise.normalise(reports).collect()) == ["api/Dockerfile", "web/Dockerfile"]
+    assert [r.error for r in normalise.report_errors(reports).collect()] == ["trivy: no db"]
+    assert {(r.tool, r.root, r.version, r.time) for r in reports.collect()} == {
+        ("ruff", "", "", 0.0), ("trivy", "/w", "", 1.5), ("trivy-config", "", "0.5", 0.0)}
 
 
 def test_stored_reports_are_pruned_by_tool(spark, tmp_path):
