@@ -47,11 +47,6 @@ def cut(text: Column, n: int = SNIPPET_CHARS) -> Column:
     return F.substring(text, 1, n)
 
 
-def starts_with_mark(text: Column, *marks: str) -> Column:
-    """Does the trimmed text start with one of the (regex-escaped) marks?"""
-    return text.rlike(f"^{SPACE}*(?:{'|'.join(marks)})")
-
-
 def unify_breaks(content: Column) -> Column:
     """Turn every line break into ``\\n``; rewrites only texts that need it."""
     return F.when(
@@ -72,11 +67,6 @@ def split_lines(content: Column) -> Column:
     return lines_of(unify_breaks(content))
 
 
-def valid_text(raw: Column) -> Column:
-    """UTF-8 bytes to text, bad bytes replaced by U+FFFD."""
-    return F.make_valid_utf8(raw.cast("string"))
-
-
 def contains_any(text: Column, words: list[str]) -> Column:
     cond = F.lit(False)
     for word in words:

@@ -496,8 +496,17 @@ def scan(
 
 
 def _settle_with_side_inputs(findings: DataFrame, side: DataFrame) -> DataFrame:
-    """Drop findings that a root ``.gitignore`` or ``.npmrc`` makes void."""
-    joined = salted_lookup(findings, side, ["project"], ["file", "line"])
+    """Drop findings that a root ``.gitignore`` or ``.npmrc`` makes void.
+
+    Only the two rules that need it meet their project's row; other findings carry a
+    null key, spread over all tasks by their salt.
+    """
+    asked = F.col("rule_id").isin("SEC-002", "SEC-012")
+    key = F.when(asked, F.col("project"))
+    joined = salted_lookup(
+        findings.withColumn("_side_project", key),
+        side.withColumnRenamed("project", "_side_project"), ["_side_project"], ["file", "line"],
+    ).drop("_side_project")
     ignored = (
         "arrays_overlap(coalesce(ignored_env, cast(array() AS array<string>)), "
         f"array({strings(catalog.ENV_IGNORE_LINES)}, name))"

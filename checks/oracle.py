@@ -803,3 +803,24 @@ everything AS (SELECT project, domain, severity FROM sec UNION ALL SELECT projec
 SELECT project, domain, severity, count(*) AS findings FROM everything
 WHERE (project, domain) IN (SELECT (project, domain) FROM wanted) GROUP BY ALL""")
 ORACLE["scan_all_domains"] = ORACLE["scan_all_domains"].replace("\n,\nwanted", ",\nwanted")
+
+_ALL_ERRORS = f"""
+SELECT {_P} AS project, 'sast' AS domain, 'SAST: skipped ' || p_partkey AS error, false AS failed FROM part WHERE {_GOOD}
+UNION ALL SELECT {_P}, 'sca', 'trivy: stderr of ' || p_name, false FROM part WHERE p_size % 4 <> 0
+UNION ALL SELECT {_P}, 'iac', 'checkov: stderr of ' || p_name, false FROM part WHERE p_size % 4 > 1
+UNION ALL SELECT {_P}, domain, 'unparseable report of ' || tool, true
+  FROM part, (VALUES ('ruff', 'lint'), ('eslint', 'lint'), ('biome', 'lint'), ('golangci-lint', 'lint'),
+    ('pyright', 'typecheck'), ('semgrep', 'sast'), ('trivy', 'sca'), ('checkov', 'iac'),
+    ('trivy-config', 'container')) t(tool, domain)
+  WHERE p_partkey % 50 = 0"""
+ORACLE["first_errors"] = f"""
+SELECT project, cast(rn AS integer) AS position, domain, error FROM (
+  SELECT *, row_number() OVER (PARTITION BY project ORDER BY domain, error) AS rn FROM ({_ALL_ERRORS}))
+WHERE rn <= 10"""
+ORACLE["scan_errors"] = f"""
+SELECT * FROM ({_ALL_ERRORS}) WHERE error NOT IN ('unparseable report of biome', 'unparseable report of pyright')"""
+oracle("findings_table", "merged", """
+SELECT project, domain, severity, count(*) AS findings FROM merged GROUP BY ALL""")
+oracle("custom_domain", "files", """
+SELECT project, path AS file, 'DOC-001' AS rule_id, 'LOW' AS severity, 'docs' AS tool
+FROM files WHERE path LIKE '%.md'""")

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from auditlake import catalog
 from auditlake.functions import text as tx
-from auditlake.functions.scale import ensure_checkpoint_dir, stored
+from auditlake.functions.scale import ensure_checkpoint_dir, scratch_folder, stored
 from auditlake.operators import findings as fd
 from auditlake.operators import (
     history, lines, normalise, planner, profile, rules, selection, triage, usage,
 )
 from auditlake.plans import scan as plan
 from auditlake.plans.options import ScanOptions
+from auditlake.plans.registry import Domain, Registry
 from auditlake.sinks import reports as sink
 from auditlake.sources import changes as ch
 from auditlake.sources import files as fl
@@ -277,6 +278,13 @@ def run_errors(spark, sf):
     return normalise.report_errors(reports).select("project", "domain", "error")
 
 
+@query
+def first_errors(spark, sf):
+    """The first ten errors of each project."""
+    errors = normalise.report_errors(corpus.reports(spark, sf)).select("project", "domain", "error")
+    return fd.first_errors(errors).select("project", "position", "domain", "error")
+
+
 @query
 def scanned_total(spark, sf):
     files = corpus.files(spark, sf)
@@ -775,3 +783,53 @@ def scan_all_domains(spark, sf):
     return outcome.findings.groupBy("project", "domain", "severity").agg(
         F.count("*").alias("findings")
     )
+
+
+@query
+def findings_table(spark, sf):
+    """Findings written as a table by domain, and read back."""
+    folder = scratch_folder(spark, "findings")
+    sink.write_table(_merged(spark, sf), folder, by=("domain",))
+    return spark.read.parquet(folder).groupBy("project", "domain", "severity").agg(
+        F.count("*").alias("findings")
+    )
+
+
+@query
+def scan_errors(spark, sf):
+    """Errors of a scan over all domains; broken payloads fail theirs."""
+    outcome = plan.scan_projects(
+        corpus.files(spark, sf),
+        ScanOptions(domains=tuple(catalog.DOMAINS)),
+        reports=corpus.reports(spark, sf),
+        root_files=corpus.root_files(spark, sf),
+    )
+    return outcome.errors.select("project", "domain", "error", "failed")
+
+
+def _undocumented(files, options):
+    """A custom domain: every Markdown file is a finding."""
+    found = files.where(F.col("path").endswith(".md"))
+    fixed = {
+        "rule_id": "DOC-001", "severity": "LOW", "message": "Unreviewed document", "snippet": "",
+        "fix": "", "domain": "docs", "tool": "docs", "category": "style", "url": "",
+    }
+    numbers = {"sev_rank": ("int", 3), "line": ("int", 0), "rule_seq": ("int", 0),
+               "sub_seq": ("int", 0), "match_start": ("bigint", 0)}
+    return found.select(
+        "project", F.col("path").alias("file"),
+        *[F.lit(v).alias(k) for k, v in fixed.items()],
+        *[F.lit(v).cast(t).alias(k) for k, (t, v) in numbers.items()],
+    )
+
+
+@query
+def custom_domain(spark, sf):
+    """A registered domain of one's own within a scan."""
+    registry = Registry()
+    registry.register(Domain("docs", scan=_undocumented))
+    outcome = plan.scan_projects(
+        corpus.files(spark, sf), ScanOptions(domains=("docs", "security")),
+        root_files=corpus.root_files(spark, sf), registry=registry,
+    )
+    return outcome.findings.where("domain = 'docs'").select("project", "file", "rule_id", "severity", "tool")
