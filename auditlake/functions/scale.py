@@ -11,10 +11,13 @@
 
 from __future__ import annotations
 
+import io
 import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -189,3 +192,28 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     """Delete a scratch folder that is no longer needed."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver found it.
+
+    The sources go as a zip through the shared folder, once a Spark context.
+    """
+    import auditlake
+
+    context = spark.sparkContext
+    root = Path(auditlake.__file__).parent
+    if getattr(context, "_auditlake_shipped", False) or not root.is_dir():
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, f"auditlake/{source.relative_to(root)}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(
+        scratch_folder(spark, "package").removesuffix("/rows"), "auditlake.zip"
+    )
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    out.write(packed.getvalue())
+    out.close()
+    context.addPyFile(target.toString())
+    context._auditlake_shipped = True
