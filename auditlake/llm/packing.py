@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from auditlake.functions.scale import stored
 from auditlake.llm import bpe
-from auditlake.llm.words import parts
+from auditlake.llm.words import map_batches, parts
 
 CAPACITY = 2048
 END_ID = 0
@@ -124,7 +124,7 @@ def cut_pieces(
                 names=schema.names,
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return map_batches(docs.select(id_col, text_col), run, schema)
 
 
 @dataclass
@@ -292,4 +292,4 @@ def pack_documents(
                 names=schema.names,
             )
 
-    return numbered.mapInArrow(run, schema)
+    return map_batches(numbered, run, schema)

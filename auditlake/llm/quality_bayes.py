@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.scale import salted_lookup, stored
 from auditlake.llm.quality_rules import COUNTS, EXTRA, _statistics
-from auditlake.llm.words import Words, mixed, parts, pieces, texts
+from auditlake.llm.words import Words, map_batches, mixed, parts, pieces, texts
 
 SAMPLE = 20_000
 BITS = 16
@@ -91,8 +91,7 @@ def feature_counts(taught: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         )
 
     rows = (
-        taught.select("text", "bad", "toxic")
-        .mapInArrow(run, "feature long, n long, bad long, toxic long")
+        map_batches(taught.select("text", "bad", "toxic"), run, "feature long, n long, bad long, toxic long")
         .groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("toxic").alias("toxic"))
         .toPandas()
     )
@@ -138,7 +137,7 @@ def with_evidence(docs: DataFrame, table: np.ndarray, keep: list[str]) -> DataFr
                 names=schema.names,
             )
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), run, schema)
 
 
 def calibrate(evidence: np.ndarray, label: np.ndarray) -> tuple[float, float]:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.llm.words import Words, mixed, parts, pieces, texts
+from auditlake.llm.words import Words, map_batches, mixed, parts, pieces, texts
 
 SAMPLE = 20_000
 WINDOW = 8
@@ -113,7 +113,7 @@ def text_statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | N
                 )
 
     wanted = list(dict.fromkeys([*keep, text_col]))
-    return docs.select(*(f"`{c}`" for c in wanted)).mapInArrow(run, schema)
+    return map_batches(docs.select(*(f"`{c}`" for c in wanted)), run, schema)
 
 
 def features() -> dict[str, Column]:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlake.functions.scale import salted_filter, stored
-from auditlake.llm.words import parts, texts
+from auditlake.llm.words import map_batches, parts, texts
 
 SHINGLE = 3
 SEED = 42
@@ -100,7 +100,7 @@ def with_fingerprints(docs: DataFrame, text_col: str, keep: list[str]) -> DataFr
             )
 
     wanted = list(dict.fromkeys([*keep, text_col]))
-    return docs.select(*(f"`{c}`" for c in wanted)).mapInArrow(run, schema)
+    return map_batches(docs.select(*(f"`{c}`" for c in wanted)), run, schema)
 
 
 def covering_masks(positions: list[int], radius: int = RADIUS) -> list[int]:
@@ -191,7 +191,7 @@ def bucket_links(rows: DataFrame, radius: int) -> DataFrame:
 
     lists = rows.groupBy("mask", "key").agg(F.collect_list("simhash").alias("prints")).select("prints")
     lists = lists.where(F.size("prints") > 1)
-    return lists.mapInArrow(run, "a long, b long")
+    return map_batches(lists, run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.scale import salted_filter, stored
-from auditlake.llm.words import Words, mixed, parts, pieces, powers, texts
+from auditlake.llm.words import Words, map_batches, mixed, parts, pieces, powers, texts
 
 MIN_WORDS = 50
 K = 8
@@ -114,7 +114,7 @@ def suffixes(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
                     names=["prefix", "id", "w0", "n", "c0", "c1", "h1", "h2"],
                 )
 
-    return docs.select("id", "text").mapInArrow(run, SUFFIX)
+    return map_batches(docs.select("id", "text"), run, SUFFIX)
 
 
 def shared_suffixes(kept: DataFrame, partitions: int) -> DataFrame:
@@ -181,9 +181,8 @@ def shared_suffixes(kept: DataFrame, partitions: int) -> DataFrame:
                 .append_column("high", pa.nulls(len(b), pa.int64())))
 
     order = ["prefix", "id", "w0"]
-    out = stored(
-        kept.repartitionByRange(partitions, *order).sortWithinPartitions(*order).mapInArrow(run, schema)
-    )
+    placed = kept.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    out = stored(map_batches(placed, run, schema))
     edges = (
         out.where("low IS NOT NULL").groupBy("head").agg(F.min("low").alias("low"), F.max("high").alias("high"))
         .where("low <> high").select("head")
@@ -226,7 +225,7 @@ def windows_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 )
 
     joined = docs.select("id", "text").join(lists, "id")
-    return joined.mapInArrow(run, "id long, w0 int, c0 int, c1 int, h1 long, h2 long")
+    return map_batches(joined, run, "id long, w0 int, c0 int, c1 int, h1 long, h2 long")
 
 
 def _shared(rows: DataFrame) -> DataFrame:

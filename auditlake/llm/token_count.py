@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from auditlake.llm import bpe
-from auditlake.llm.words import parts
+from auditlake.llm.words import map_batches, parts
 
 LIMIT = 512
 CACHE = 150_000
@@ -113,4 +113,4 @@ def count_tokens(
             )
 
     wanted = list(dict.fromkeys([*keep, text_col]))
-    return docs.select(*(f"`{c}`" for c in wanted)).mapInArrow(run, schema)
+    return map_batches(docs.select(*(f"`{c}`" for c in wanted)), run, schema)

@@ -7,10 +7,14 @@ longest text, not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
+
+from auditlake.functions.scale import ship_package
 
 PIECE_BYTES = 1 << 19
 PART_ROWS = 512
@@ -27,6 +31,12 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = PART_ROWS) -> Iterator[
             yield batch.slice(at, rows)
 
 
+def map_batches(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` with this package at hand in the workers."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """The column's texts as UTF-8; null is empty."""
     values = batch.column(batch.schema.get_field_index(column))
