@@ -16,7 +16,7 @@ import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -73,6 +73,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def storing(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """Like :func:`stored`, with a function that deletes the table when it was used."""
+    spark = df.sparkSession
+    folder = scratch_folder(spark)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder), lambda: remove_folder(spark, folder)
+
+
 BLOCK_BITS = 16
 SEQ_BITS = 48
 
