@@ -3,7 +3,8 @@
 1. Evidence. Every text becomes a set of features: hashed lower-cased words and binned
    statistics. Labelled documents give, for each feature, counts of documents with and
    without the trait, added up within tasks; features whose log odds are clearly not
-   zero weigh in, and a text's evidence is the sum over its features, calibrated by a
+   zero weigh in. A text's evidence is the sum of its ``STRONGEST`` largest weights of
+   each sign, so that a long text does not gather many weak ones; it is calibrated by a
    logistic curve on at most ``SAMPLE`` labelled documents.
 2. Sites. Labelled documents are counted by host and by path. A host's rate is shrunk
    toward the global rate, a path's toward its host's; how strongly follows from how
@@ -34,16 +35,19 @@ from auditlake.llm.quality_rules import COUNTS, EXTRA, _statistics
 from auditlake.llm.words import Words, map_batches, mixed, parts, pieces, texts
 
 SAMPLE = 20_000
-BITS = 16
+BITS = 20
 BINS = 8
 Z = 4.0
+LEAST = 1.0
+SEEN = 5
+STRONGEST = 1
 TRAITS = ("bad", "toxic")
 _SHARES = (
     ("n_symbols", "n_words"), ("word_chars", "n_words"), ("n_repeat_words", "n_words"),
-    ("n_dup_lines", "n_lines"), ("n_distinct", "n_words"), ("n_top", "n_words"),
+    ("n_dup_lines", "n_lines"), ("n_top", "n_words"),
     ("n_capital", "n_words"), ("n_short", "n_words"),
 )
-N_FEATURES = (1 << BITS) + (len(_SHARES) + 1) * (BINS + 1)
+N_FEATURES = (1 << BITS) + len(_SHARES) * (BINS + 1)
 
 
 def _features(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,9 +63,6 @@ def _features(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             share = share / 16
         docs.append(every)
         features.append((1 << BITS) + i * (BINS + 1) + np.minimum(np.ceil(share * BINS), BINS).astype(np.int64))
-    size = np.minimum(np.log2(found["n_words"] + 1) / 2, BINS).astype(np.int64)
-    docs.append(every)
-    features.append((1 << BITS) + len(_SHARES) * (BINS + 1) + size)
     key = np.unique(np.concatenate(docs) * N_FEATURES + np.concatenate(features))
     return key // N_FEATURES, key % N_FEATURES
 
@@ -69,7 +70,9 @@ def _features(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def feature_counts(taught: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Documents with each feature by trait: (features + 1) x 3, the last row for all.
 
-    Columns: all, bad, toxic. Tasks add up their own; N_FEATURES rows reach the driver.
+    Columns: all, bad, toxic. Tasks add up their own. Features of fewer than ``SEEN``
+    documents cannot be clear of chance and are left out, so at most N_FEATURES rows
+    (about a million, whatever the input) reach the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,9 +84,7 @@ def feature_counts(taught: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             total[-1] += marks.sum(axis=0)
             for lo, hi in pieces(raw):
                 doc, feature = _features(raw[lo:hi])
-                for k in range(3):
-                    total[:-1, k] += np.bincount(
-                        feature, weights=marks[lo + doc, k], minlength=N_FEATURES).astype(np.int64)
+                np.add.at(total, feature, marks[lo + doc])
         at = np.flatnonzero(total[:, 0])
         yield pa.RecordBatch.from_arrays(
             [pa.array(at), *(pa.array(total[at, k]) for k in range(3))],
@@ -93,6 +94,7 @@ def feature_counts(taught: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = (
         map_batches(taught.select("text", "bad", "toxic"), run, "feature long, n long, bad long, toxic long")
         .groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("toxic").alias("toxic"))
+        .where((F.col("n") >= SEEN) | (F.col("feature") == N_FEATURES))
         .toPandas()
     )
     out = np.zeros((N_FEATURES + 1, 3))
@@ -101,7 +103,10 @@ def feature_counts(taught: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def weights(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """Log odds a feature adds, by trait; zero unless clear of chance."""
+    """Log odds a feature adds, by trait; zero unless large and clear of chance.
+
+    Long texts have many features: what is weak or due to chance would add up there.
+    """
     out = np.zeros((N_FEATURES, 2), dtype=np.float32)
     for k in (1, 2):
         pos, neg = counts[:, k], counts[:, 0] - counts[:, k]
@@ -110,27 +115,43 @@ def weights(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
             continue
         log_odds = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
         error = np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-        out[:, k - 1] = np.where(np.abs(log_odds) > Z * error, log_odds, 0)
+        out[:, k - 1] = np.where(
+            np.abs(log_odds) > np.maximum(Z * error, LEAST), log_odds, 0)
+    return out
+
+
+def strongest(doc: np.ndarray, weight: np.ndarray, n_docs: int) -> np.ndarray:
+    """By text, the sum of the largest weights above zero and of those below."""
+    out = np.zeros(n_docs)
+    for sign in (1, -1):
+        at = np.flatnonzero(weight * sign > 0)
+        at = at[np.lexsort((-sign * weight[at], doc[at]))]
+        own = doc[at]
+        rank = np.arange(len(at)) - np.searchsorted(own, own)
+        top = at[rank < STRONGEST]
+        out += np.bincount(doc[top], weights=weight[top], minlength=n_docs)
     return out
 
 
 def with_evidence(docs: DataFrame, table: np.ndarray, keep: list[str]) -> DataFrame:
     """``keep`` with the summed weights ``e_bad`` and ``e_toxic``."""
-    held = docs.sparkSession.sparkContext.broadcast(table)  # N_FEATURES x 2 whatever the input
+    used = np.flatnonzero(table.any(axis=1))
+    held = docs.sparkSession.sparkContext.broadcast((used, table[used]))  # part of N_FEATURES rows
     from pyspark.sql import types as T
 
     schema = T.StructType([*(docs.schema[c] for c in keep),
                            *(T.StructField(f"e_{t}", T.DoubleType()) for t in TRAITS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = held.value
+        w = np.zeros((N_FEATURES, 2), dtype=np.float32)
+        w[held.value[0]] = held.value[1]
         for batch in parts(batches):
             raw = texts(batch, "text")
             sums = np.zeros((len(raw), 2))
             for lo, hi in pieces(raw):
                 doc, feature = _features(raw[lo:hi])
                 for k in range(2):
-                    sums[lo:hi, k] = np.bincount(doc, weights=w[feature, k], minlength=hi - lo)
+                    sums[lo:hi, k] = strongest(doc, w[feature, k], hi - lo)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(batch.schema.get_field_index(c)) for c in keep),
                  *(pa.array(sums[:, k]) for k in range(2))],

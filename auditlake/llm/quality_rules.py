@@ -38,7 +38,7 @@ MIN_COVER = 5
 MAX_RULES = 12
 MAX_CONDITIONS = 4
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-EXTRA = ("n_lines", "n_chars_all", "n_distinct", "n_top", "n_capital", "n_short")
+EXTRA = ("n_lines", "n_top", "n_capital", "n_short")
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -85,8 +85,6 @@ def _statistics(raw: list[bytes]) -> dict[str, np.ndarray]:
         "n_dup_lines": dup,
         "n_repeat_words": per_doc(covered),
         "n_lines": lines,
-        "n_chars_all": points[ends] - points[w.doc_start] - 1,
-        "n_distinct": np.bincount(run_doc, minlength=n).astype(np.int64),
         "n_top": top,
         "n_capital": per_doc((first >= 65) & (first <= 90)),
         "n_short": per_doc(chars <= 3),
@@ -117,20 +115,21 @@ def text_statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | N
 
 
 def features() -> dict[str, Column]:
-    """What rules may test, from the statistics."""
+    """What rules may test, from the statistics: shares that do not follow from a text's length.
+
+    Labelled texts are mostly short, so a threshold on length, or on a share that falls
+    with length such as that of different words, would reject long clean texts.
+    """
     c = F.col
     share = lambda a, b: c(a) / F.greatest(c(b), F.lit(1))
     return {
-        "n_words": c("n_words").cast("double"),
         "symbols_per_word": share("n_symbols", "n_words"),
         "chars_per_word": share("word_chars", "n_words"),
         "repeat_share": share("n_repeat_words", "n_words"),
         "dup_line_share": share("n_dup_lines", "n_lines"),
-        "distinct_share": share("n_distinct", "n_words"),
         "top_share": share("n_top", "n_words"),
         "capital_share": share("n_capital", "n_words"),
         "short_share": share("n_short", "n_words"),
-        "words_per_line": share("n_words", "n_lines"),
     }
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditlake.llm import quality_rules
-from auditlake.llm.quality_bayes import N_FEATURES, calibrate, classify, weights
+from auditlake.llm.quality_bayes import N_FEATURES, calibrate, classify, strongest, weights
 from auditlake.llm.quality_rules import COUNTS, judge, learn, learn_rules, rule_column, text_statistics
 
 SF = "/root/testdata/sf0.1"
@@ -67,12 +67,12 @@ def test_covering_finds_planted_conjunctions():
 def test_first_rule_names_the_verdict(spark):
     from auditlake.llm.quality_rules import Condition
 
-    rules = [(Condition("n_words", True, 10.0), Condition("symbols_per_word", False, 0.5)),
-             (Condition("n_words", True, 5.0),)]
-    row = dict.fromkeys([*COUNTS, *quality_rules.EXTRA], 0)
-    df = spark.createDataFrame([row | {"n_words": 20}, row | {"n_words": 7}, row], ", ".join(f"{c} long" for c in row))
+    rules = [(Condition("short_share", True, 0.5), Condition("symbols_per_word", False, 0.5)),
+             (Condition("short_share", True, 0.2),)]
+    row = dict.fromkeys([*COUNTS, *quality_rules.EXTRA], 0) | {"n_words": 10}
+    df = spark.createDataFrame([row | {"n_short": 9}, row | {"n_short": 4}, row], ", ".join(f"{c} long" for c in row))
     assert [r[0] for r in df.select(rule_column(rules)).collect()] == [
-        "n_words > 10 AND symbols_per_word <= 0.5", "n_words > 5", None]
+        "short_share > 0.5 AND symbols_per_word <= 0.5", "short_share > 0.2", None]
 
 
 @tables
@@ -87,6 +87,15 @@ def test_rules_on_held_out_labels(spark):
     assert judged.loc[~bad & ~judged["base_failed"], "kept"].mean() > 0.97
 
 
+def test_long_clean_texts_are_kept(spark, make_docs, prose):
+    """Labels on short texts teach nothing against long ones."""
+    pairs = [(i, prose(i, 60, 3000)) for i in range(200)] + [(1000 + i, "%% " * 5 + prose(i, 60, 3000)) for i in range(100)]
+    labels = spark.createDataFrame([(i, 0 if i >= 1000 else 1) for i, _ in pairs], "doc_id bigint, quality int")
+    rules = learn(make_docs(pairs), labels)
+    got = judge(make_docs([*pairs, *((5000 + i, prose(i, 20_000, 5000)) for i in range(5))]), rules).collect()
+    assert {r.doc_id for r in got if not r.kept} == {i for i, _ in pairs if i >= 1000}
+
+
 @tables
 def test_classifier_on_held_out_labels(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -129,3 +138,5 @@ def test_weights_and_calibration():
     slope, offset = calibrate(x, (x > 1).astype(float))
     assert slope > 1 and abs(offset / slope + 1) < 0.05
     assert calibrate(x, np.ones(2001)) == (0.0, 0.0)
+    doc, weight = np.array([0, 0, 0, 2, 2]), np.array([1.0, 3.0, -2.0, -1.0, 0.0])
+    assert strongest(doc, weight, 3).tolist() == [1.0, 0.0, -1.0]
