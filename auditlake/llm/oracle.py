@@ -57,7 +57,47 @@ FROM spans s JOIN words a ON a.doc_id = s.doc_id AND a.w = w0
 JOIN words b ON b.doc_id = s.doc_id AND b.w = w1
 """
 
+_ASSIGN = (
+    r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+)
+
+
+def _kind(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return f"""
+  SELECT doc_id, {rank} AS rank, '{kind}' AS kind, whole, gaps, held, unnest(range(1, len(whole) + 1)) AS i,
+         {least} AS least
+  FROM (SELECT doc_id, regexp_extract_all(text, {quoted}) AS whole,
+               string_split_regex(text, {quoted}) AS gaps,
+               regexp_extract_all(text, {quoted}, {group}) AS held FROM texts)"""
+
+
+# a run of hex digits or an access id is matched with its least length at once
+SECRET_SCAN = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+matches AS ({" UNION ALL ".join((
+    _kind(0, "assign", _ASSIGN, 2, 6), _kind(1, "access", "AKIA[A-Z0-9]{16,}", 0, 20),
+    _kind(2, "hex", "[0-9a-f]{24,}", 0, 24)))}),
+placed AS (
+  SELECT doc_id, rank, kind, length(whole[i]) AS n,
+         list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+         + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM matches WHERE length(held[i]) >= least
+), joined AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign,
+         count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + n AS BIGINT), ','
+                    ORDER BY start, rank) AS spans
+  FROM placed GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+       coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256,
+       coalesce(spans, '') AS spans
+FROM texts LEFT JOIN joined USING (doc_id)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_suffix_dedup": SUFFIX_DEDUP,
     "op2_line_dedup": LINE_DEDUP,
+    "op5_secret_scan": SECRET_SCAN,
 }
