@@ -127,7 +127,8 @@ def merge_verdicts(triaged: DataFrame, external: DataFrame) -> DataFrame:
             for c in ("tp", "confidence", "reason")
         ]
     )
-    numbered = ordinals(triaged, ["project"], FINDING_ORDER, out="number")
+    # stored first: range partitioning samples its input, which would scan all texts again
+    numbered = ordinals(stored(triaged), ["project"], FINDING_ORDER, out="number")
     return (
         numbered.join(last, ["project", "number"], "left")
         .withColumn("is_true_positive", F.coalesce("_tp", "is_true_positive"))
