@@ -245,14 +245,24 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: that of the smallest id, once."""
+    """One document of each component: that of the smallest id, once.
+
+    Documents without id whose component has no id at all stay once for each
+    fingerprint.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                        F.xxhash64(text_col).alias("row_hash"))
     found = near_duplicates(rows, "id", "text", keep=["id", "row_hash"])
-    first = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(
-        F.col("id").alias("stay_id")).agg(F.min("row_hash").alias("stay_hash"))
-    return docs.join(
+    first = (
+        found.where(F.col("id").eqNullSafe(F.col("component_id")))
+        .groupBy(F.col("id").alias("stay_id"), F.when(F.col("id").isNull(), F.col("fingerprint")))
+        .agg(F.min("row_hash").alias("stay_hash"))
+        .select("stay_id", "stay_hash")
+    )
+    tag = max(docs.columns, key=len) + "_hash"  # longer than any other name
+    tagged = docs.withColumn(tag, F.xxhash64(text_col))
+    return tagged.join(
         first,
-        F.col(id_col).eqNullSafe(F.col("stay_id")) & (F.xxhash64(text_col) == F.col("stay_hash")),
+        F.col(id_col).eqNullSafe(F.col("stay_id")) & (F.col(tag) == F.col("stay_hash")),
         "left_semi",
-    ).dropDuplicates([id_col])
+    ).dropDuplicates([id_col, tag]).drop(tag)

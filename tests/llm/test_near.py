@@ -129,9 +129,9 @@ def test_simhash_of_nulls_and_empty_tables(make_docs):
     docs = make_docs([(None, None), (None, ""), (4, "")])
     assert {(r.doc_id, r.component_id) for r in near_duplicates(docs, keep=["doc_id"]).collect()} == {(None, 4), (4, 4)}
     assert near_duplicates(docs.where("doc_id > 9")).collect() == []
-    only = make_docs([(None, "a b c"), (2, "something else altogether different")])
+    only = make_docs([(None, "a b c"), (None, "A b c"), (None, "q r s t u"), (2, "something else altogether different")])
     assert {(r.doc_id, r.component_id) for r in near_duplicates(only, keep=["doc_id"]).collect()} == {(None, None), (2, 2)}
-    assert sorted(str(r.doc_id) for r in keep_one(only).collect()) == ["2", "None"]
+    assert sorted(str(r.doc_id) for r in keep_one(only).collect()) == ["2", "None", "None"]
 
 
 def brute_passages(pairs, size=50):
