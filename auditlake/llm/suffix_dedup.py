@@ -23,14 +23,14 @@ gives no rows; only the id and the text are read, so other columns cannot clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.scale import salted_filter, stored
+from auditlake.functions.scale import salted_filter, stored, storing
 from auditlake.llm.words import Words, map_batches, mixed, parts, pieces, powers, texts
 
 MIN_WORDS = 50
@@ -117,13 +117,14 @@ def suffixes(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
     return map_batches(docs.select("id", "text"), run, SUFFIX)
 
 
-def shared_suffixes(kept: DataFrame, partitions: int) -> DataFrame:
+def shared_suffixes(kept: DataFrame, partitions: int) -> tuple[DataFrame, Callable[[], None]]:
     """Kept suffixes that agree in ``K`` words with one of another document.
 
     Reads sorted partitions as streams. A run is a sequence of neighbours with equal
     heads; its rows go on once two ids were seen. A run at the edge of a partition may
     continue in the next one, so rows that wait there go on with their head, and each
-    such run leaves its smallest and largest id.
+    such run leaves its smallest and largest id. Also returns a function that deletes
+    the table behind the result.
     """
     schema = SUFFIX + ", head binary, low long, high long"
 
@@ -182,15 +183,16 @@ def shared_suffixes(kept: DataFrame, partitions: int) -> DataFrame:
 
     order = ["prefix", "id", "w0"]
     placed = kept.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    out = stored(map_batches(placed, run, schema))
+    out, done = storing(map_batches(placed, run, schema))
     edges = (
         out.where("low IS NOT NULL").groupBy("head").agg(F.min("low").alias("low"), F.max("high").alias("high"))
         .where("low <> high").select("head")
     )
     columns = kept.columns
-    return out.where("head IS NULL").select(*columns).unionByName(
+    hits = out.where("head IS NULL").select(*columns).unionByName(
         out.where("head IS NOT NULL AND low IS NULL").join(edges, "head", "left_semi").select(*columns)
     )
+    return hits, done
 
 
 def windows_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -249,21 +251,31 @@ def repeated_passages(
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")
     ).where("id IS NOT NULL")
-    kept = stored(suffixes(rows, min_words))
+    # tables that are no longer read are deleted at once: each is as large as a shuffle
+    kept, drop_kept = storing(suffixes(rows, min_words))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hits = stored(shared_suffixes(kept, partitions).withColumn("head", F.substring("prefix", 1, _HEAD)))
+    found, drop_found = shared_suffixes(kept, partitions)
+    drop_kept()
     # left and right as far as the choosing windows reach
-    whole = _shared(hits)
-    known = stored(hits.join(whole, ["h1", "h2"], "left").drop("prefix"))
+    whole, drop_whole = storing(_shared(found))
+    known = stored(
+        found.withColumn("head", F.substring("prefix", 1, _HEAD)).drop("prefix")
+        .join(whole, ["h1", "h2"], "left")
+    )
+    drop_found()
+    drop_whole()
     settled = known.where("low IS NOT NULL")
     rest = known.where("low IS NULL")
     # where that differs: window by window, against two documents of each settled kind
     against = salted_filter(
         settled.where("id = low OR id = high"), rest.select("head"), ["head"], ["id", "w0"]
     )
-    single = stored(windows_of(rows, rest.select("id", "w0", "n").unionByName(
+    single, drop_single = storing(windows_of(rows, rest.select("id", "w0", "n").unionByName(
         against.select("id", "w0", "n")), min_words))
-    found = stored(single.join(_shared(single), ["h1", "h2"]).select("id", "w0", "c0", "c1", "low"))
+    twice, drop_twice = storing(_shared(single).drop("high"))
+    found = stored(single.join(twice, ["h1", "h2"]).select("id", "w0", "c0", "c1", "low"))
+    drop_single()
+    drop_twice()
     # other documents may hold single windows of a settled kind, with smaller ids
     inside = against.select(
         "h1", "h2", "id", F.explode(F.sequence("w0", F.col("w0") + F.col("n") - 1)).alias("w0")
