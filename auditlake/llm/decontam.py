@@ -1,8 +1,9 @@
 """Benchmark decontamination by template windows.
 
 Texts become templates: numbers, names and units turn into typed placeholders,
-punctuation goes, A-Z is lower-cased. Windows of five template words of an item are
-hashed; documents are cut into windows at every ``stride``-th word and hash-joined
+punctuation goes, letters are lower-cased. Windows of five template words of an item are
+hashed, a name both as placeholder and as the word it is, so copies in another case or
+punctuation match; documents are cut into windows at every ``stride``-th word and hash-joined
 with them. The stride is the length of a run of matching windows that any text of
 the wanted similarity must have (``safe_stride``), so no such text is missed. The
 documents found are then compared window by window, and the slot values of
@@ -10,8 +11,9 @@ matched windows are checked: an item's value must stand for one value of the doc
 throughout. So a question with other numbers or names is found, and a text that
 merely has the same pattern is not.
 
-Names are capitalised words after a word that does not end a sentence. A unit is one
-of ``UNITS`` right after a number.
+An item's names are capitalised words after a word that does not end a sentence; in
+documents any capitalised word may stand for one. A name changed to a word without
+capital counts as a changed word. A unit is one of ``UNITS`` right after a number.
 
 Defined cases: null and empty texts match nothing; items of fewer than five words
 match nothing; repeated item rows count once an id, repeated documents each; only
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.scale import stored
-from auditlake.llm.line_dedup import let, lower_ascii
+from auditlake.llm.line_dedup import let
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -44,33 +46,54 @@ NUMBER, NAME, UNIT = "0", "@", "~"
 _UNITS = "|".join(UNITS)
 
 
-def marked(text: Column) -> Column:
-    """The text with single spaces, without punctuation, names prefixed with @."""
+def marked(text: Column, item: bool = False) -> Column:
+    """The text with single spaces, without punctuation, what may be a name prefixed with @.
+
+    In documents that is every capitalised word, as case and punctuation may differ
+    from the item's; ``_variants`` leaves open whether it is one.
+    """
     plain = F.translate(F.coalesce(text, F.lit("")), "@~", "")
     spaced = F.regexp_replace(plain, r"[\x20\x09-\x0D]+", " ")
-    named = F.regexp_replace(spaced, r"(?<=[^.!?: ] )(\p{Lu}\p{Ll}+)", "@$1")
-    return F.regexp_replace(named, r"[^\p{L}\p{M}\p{N}@ ]+", "")
+    if item:
+        named = F.regexp_replace(spaced, r"(?<=[^.!?: ] )(\p{Lu}\p{Ll}+)", "@$1")
+        return F.regexp_replace(named, r"[^\p{L}\p{M}\p{N}@ ]+", "")
+    clean = F.regexp_replace(spaced, r"[^\p{L}\p{M}\p{N} ]+", "")
+    return F.regexp_replace(clean, r"(?<![^ ])(\p{Lu}\p{Ll})", "@$1")
 
 
 def template(marked_text: Column) -> Column:
-    """Placeholders for names, numbers and units; the number of words stays."""
-    named = F.regexp_replace(marked_text, r"@\p{L}+", NAME)
+    """Lower case, placeholders for numbers and units; names stay marked words."""
     numbers = F.when(
-        named.rlike(r"\p{N}"),
+        marked_text.rlike(r"\p{N}"),
         F.regexp_replace(
-            F.regexp_replace(named, r"\p{N}+", NUMBER),
-            rf"(?i)(?<=\b0 ?)({_UNITS})(?![\p{{L}}\p{{N}}])", UNIT,
+            F.regexp_replace(marked_text, r"\p{N}+", NUMBER),
+            rf"(?i)(?<=\b0 ?)@?({_UNITS})(?![\p{{L}}\p{{N}}])", UNIT,
         ),
-    ).otherwise(named)
-    return let(numbers, lower_ascii)
+    ).otherwise(marked_text)
+    return F.lower(numbers)
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
-def _hash(array: Column, at: Column) -> Column:
-    return F.xxhash64(*(F.get(array, at + i) for i in range(WORDS)))
+def _variants(form: Column, at: Column) -> Column:
+    """Hashes of a window, every marked word both as it is and as a name."""
+
+    def both(done: Column, w: Column) -> Column:
+        literal = F.transform(done, lambda a: F.concat(a, F.lit(" "), F.translate(w, NAME, "")))
+        return F.when(
+            w.startswith(NAME), F.concat(literal, F.transform(done, lambda a: F.concat(a, F.lit(f" {NAME}"))))
+        ).otherwise(literal)
+
+    def hashed(joined: Column) -> Column:
+        return F.when(~joined.contains(NAME), F.array(F.xxhash64(joined))).otherwise(
+            F.transform(
+                F.aggregate(F.slice(form, at + 1, WORDS), F.array(F.lit("")), both), lambda a: F.xxhash64(a)
+            )
+        )
+
+    return let(F.concat(F.lit(" "), F.array_join(F.slice(form, at + 1, WORDS), " ")), hashed)
 
 
 def _starts(n: Column, stride: int = 1) -> Column:
@@ -80,29 +103,32 @@ def _starts(n: Column, stride: int = 1) -> Column:
     )
 
 
-def windows(text: Column) -> Column:
-    """Every window of a text: its first word, hash, and slot values."""
+def windows(text: Column, item: bool = False) -> Column:
+    """Every window of a text: its first word, hashes, and words with their forms."""
 
     def all_windows(both: Column) -> Column:
         raw, form = both["raw"], both["form"]
+        return F.transform(
+            _starts(F.size(form)),
+            lambda i: F.struct(
+                i.alias("at"), _variants(form, i).alias("hashes"),
+                F.slice(raw, i + 1, WORDS).alias("raw"), F.slice(form, i + 1, WORDS).alias("form"),
+            ),
+        )
 
-        def window(i: Column) -> Column:
-            slots = F.filter(
-                F.arrays_zip(F.slice(raw, i + 1, WORDS).alias("raw"),
-                             F.slice(form, i + 1, WORDS).alias("form")),
-                lambda x: x["form"].rlike(f"[{NUMBER}{NAME}{UNIT}]"),
-            )
-            return F.struct(
-                i.alias("at"), _hash(form, i).alias("hash"),
-                F.transform(slots, lambda x: F.lower(x["raw"])).alias("slots"),
-            )
+    def words_of(clean: Column) -> Column:
+        raw = words(F.lower(F.translate(clean, NAME, "")))
+        return let(F.struct(raw.alias("raw"), words(template(clean)).alias("form")), all_windows)
 
-        return F.transform(_starts(F.size(form)), window)
+    return let(marked(text, item), words_of)
 
-    def words_of(clean: Column) -> Column:
-        return let(F.struct(words(clean).alias("raw"), words(template(clean)).alias("form")), all_windows)
 
-    return let(marked(text), words_of)
+def _slots(raw: Column, form: Column, theirs: Column) -> Column:
+    """(mine, theirs) of the item's numbers, names and units in a matched window."""
+    return F.filter(
+        F.arrays_zip(raw.alias("mine"), theirs.alias("theirs"), form.alias("form")),
+        lambda x: x["form"].rlike(f"[{NUMBER}{NAME}{UNIT}]"),
+    )
 
 
 def safe_stride(n_windows: Column, similarity: float) -> Column:
@@ -117,14 +143,14 @@ def safe_stride(n_windows: Column, similarity: float) -> Column:
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, n_windows, at, hash, slots), stored."""
+    """(item_id, n_windows, at, hash, raw, form), stored; a window has a row for each variant."""
     once = items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).where(
         "item_id IS NOT NULL"
     ).groupBy("item_id").agg(F.min("text").alias("text"))
     return stored(
-        once.select("item_id", windows(F.col("text")).alias("w"))
+        once.select("item_id", windows(F.col("text"), item=True).alias("w"))
         .select("item_id", F.size("w").alias("n_windows"), F.explode("w").alias("w"))
-        .select("item_id", "n_windows", "w.at", "w.hash", "w.slots")
+        .select("item_id", "n_windows", "w.at", F.explode("w.hashes").alias("hash"), "w.raw", "w.form")
     )
 
 
@@ -152,7 +178,7 @@ def find_leaks(
     )
     hashes = let(
         words(template(marked(F.col("text")))),
-        lambda form: F.transform(_starts(F.size(form), stride), lambda i: _hash(form, i)),
+        lambda form: F.flatten(F.transform(_starts(F.size(form), stride), lambda i: _variants(form, i))),
     )
     probes = rows.select("id", "row_hash", F.explode(hashes).alias("hash"))
     # a stored table of hashes: broadcast by the planner if it is small, else hash-joined
@@ -166,28 +192,29 @@ def find_leaks(
     ).dropDuplicates(["id", "row_hash"])
     matched = (
         suspects.select("id", "row_hash", F.explode(windows(F.col("text"))).alias("w"))
-        .select("id", "row_hash", F.col("w.at").alias("doc_at"), F.col("w.hash").alias("hash"),
-                F.col("w.slots").alias("doc_slots"))
+        .select("id", "row_hash", F.col("w.at").alias("doc_at"), F.explode("w.hashes").alias("hash"),
+                F.col("w.raw").alias("doc_raw"))
         .join(wins, "hash")
         .withColumn("shift", F.col("doc_at") - F.col("at"))
     )
     pair = ["id", "row_hash", "item_id"]
-    # at most one row for each window of the item
+    # at most one row for each window of the item, whatever variants match
     line = matched.groupBy(*pair, "n_windows", "shift", "at").agg(
-        F.first("slots").alias("slots"), F.first("doc_slots").alias("doc_slots")
+        F.first("raw").alias("raw"), F.first("form").alias("form"), F.first("doc_raw").alias("doc_raw")
     ).withColumn("run", F.count("*").over(Window.partitionBy(*pair, "shift")))
     # of the places that match a window, the one where most of the item matches
     best = stored(
         line.groupBy(*pair, "n_windows", "at").agg(
-            F.max_by(F.struct("slots", "doc_slots"), F.struct("run", -F.col("shift"))).alias("m")
+            F.max_by(F.struct("raw", "form", "doc_raw"), F.struct("run", -F.col("shift"))).alias("m")
         )
     )
     covered = best.groupBy(*pair, "n_windows").agg(F.count("*").alias("n_matched")).where(
         F.col("n_matched") >= similarity * F.col("n_windows")
     )
     slots = (
-        best.select(*pair, F.explode(F.arrays_zip("m.slots", "m.doc_slots")).alias("s"))
-        .groupBy(*pair, F.col("s.slots").alias("mine"), F.col("s.doc_slots").alias("theirs"))
+        best.select(*pair, F.explode(
+            _slots(F.col("m.raw"), F.col("m.form"), F.col("m.doc_raw"))).alias("s"))
+        .groupBy(*pair, F.col("s.mine").alias("mine"), F.col("s.theirs").alias("theirs"))
         .agg(F.count("*").alias("n"))
         .groupBy(*pair, "mine")
         .agg(F.sum("n").alias("n"), F.max("n").alias("agreed"),

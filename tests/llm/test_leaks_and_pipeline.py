@@ -47,6 +47,20 @@ def test_variants(make_docs, items, prose):
     assert found[(1, 1)][1] > 0 and found[(0, 1)][1] == 0
 
 
+def test_other_case_and_punctuation(make_docs, items, prose):
+    text = ("The old mill stands by the river. Every spring the miller paints its wheel. Then Anna counts 12 boats. "
+            "Some boats carry flour to Prague. Others bring apples back. How many boats did Anna see in the year?")
+    item = items.sparkSession.createDataFrame([(9, text)], "item_id bigint, text string")
+    texts = [text.replace(".", ""), text.replace(". ", " - "), text.title(), text.upper(), text.lower(),
+             text.replace(". ", " - ").replace("12", "31"), text.title().replace("12", "31"),
+             text.replace(". ", " - ").replace("Anna", "Peter").replace("Prague", "Lyon")]
+    plain = set(leaks(make_docs, item, texts))
+    around = [prose(i, 30) + " " + t + " " + prose(i, 20) for i, t in enumerate(texts)]
+    assert plain == set(leaks(make_docs, item, around)) == {(i, 9) for i in range(len(texts))}
+    lower = items.sparkSession.createDataFrame([(9, text.lower())], "item_id bigint, text string")
+    assert set(leaks(make_docs, lower, texts[:5])) == {(i, 9) for i in range(5)}
+
+
 def test_slots_must_agree(make_docs, items):
     """The same item value never stands for many values."""
     base = "put 5 apples and then 5 pears and then 5 plums and then 5 grapes in it"
