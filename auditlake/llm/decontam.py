@@ -11,9 +11,9 @@ matched windows are checked: an item's value must stand for one value of the doc
 throughout. So a question with other numbers or names is found, and a text that
 merely has the same pattern is not.
 
-An item's names are capitalised words after a word that does not end a sentence; in
-documents any capitalised word may stand for one. A name changed to a word without
-capital counts as a changed word. A unit is one of ``UNITS`` right after a number.
+A name is a capitalised word that another capitalised word may stand for; so is one
+that opens a sentence, and half of the matched words must be no replaced names. A name
+changed to a word without capital counts as a changed word. A unit is one of ``UNITS`` right after a number.
 
 Defined cases: null and empty texts match nothing; items of fewer than five words
 match nothing; repeated item rows count once an id, repeated documents each; only
@@ -32,6 +32,7 @@ from auditlake.llm.line_dedup import let
 WORDS = 5
 SIMILARITY = 0.8
 SLOT_SHARE = 0.8
+KEPT_SHARE = 0.5
 MAX_STRIDE = 8
 # Units that count as such after a number.
 UNITS = (
@@ -42,21 +43,22 @@ UNITS = (
     "gallons dollar dollars euro euros cent cents percent degree degrees kmh mph hz khz mhz ghz "
     "b kb mb gb tb w kw v a c f k"
 ).split()
-NUMBER, NAME, UNIT = "0", "@", "~"
+NUMBER, NAME, OPENER, UNIT = "0", "@", "^", "~"
 _UNITS = "|".join(UNITS)
 
 
 def marked(text: Column, item: bool = False) -> Column:
     """The text with single spaces, without punctuation, what may be a name prefixed with @.
 
-    In documents that is every capitalised word, as case and punctuation may differ
-    from the item's; ``_variants`` leaves open whether it is one.
+    That is every capitalised word; ``_variants`` leaves open whether it is one. In
+    items those that may be capitalised for opening a sentence are prefixed with ^.
     """
-    plain = F.translate(F.coalesce(text, F.lit("")), "@~", "")
+    plain = F.translate(F.coalesce(text, F.lit("")), f"{NAME}{OPENER}{UNIT}", "")
     spaced = F.regexp_replace(plain, r"[\x20\x09-\x0D]+", " ")
     if item:
         named = F.regexp_replace(spaced, r"(?<=[^.!?: ] )(\p{Lu}\p{Ll}+)", "@$1")
-        return F.regexp_replace(named, r"[^\p{L}\p{M}\p{N}@ ]+", "")
+        clean = F.regexp_replace(named, r"[^\p{L}\p{M}\p{N}@ ]+", "")
+        return F.regexp_replace(clean, r"(?<![^ ])(\p{Lu}\p{Ll})", f"{OPENER}$1")
     clean = F.regexp_replace(spaced, r"[^\p{L}\p{M}\p{N} ]+", "")
     return F.regexp_replace(clean, r"(?<![^ ])(\p{Lu}\p{Ll})", "@$1")
 
@@ -67,7 +69,7 @@ def template(marked_text: Column) -> Column:
         marked_text.rlike(r"\p{N}"),
         F.regexp_replace(
             F.regexp_replace(marked_text, r"\p{N}+", NUMBER),
-            rf"(?i)(?<=\b0 ?)@?({_UNITS})(?![\p{{L}}\p{{N}}])", UNIT,
+            rf"(?i)(?<=\b0 ?)[@^]?({_UNITS})(?![\p{{L}}\p{{N}}])", UNIT,
         ),
     ).otherwise(marked_text)
     return F.lower(numbers)
@@ -81,13 +83,14 @@ def _variants(form: Column, at: Column) -> Column:
     """Hashes of a window, every marked word both as it is and as a name."""
 
     def both(done: Column, w: Column) -> Column:
-        literal = F.transform(done, lambda a: F.concat(a, F.lit(" "), F.translate(w, NAME, "")))
+        literal = F.transform(done, lambda a: F.concat(a, F.lit(" "), F.translate(w, NAME + OPENER, "")))
         return F.when(
-            w.startswith(NAME), F.concat(literal, F.transform(done, lambda a: F.concat(a, F.lit(f" {NAME}"))))
+            w.startswith(NAME) | w.startswith(OPENER),
+            F.concat(literal, F.transform(done, lambda a: F.concat(a, F.lit(f" {NAME}"))))
         ).otherwise(literal)
 
     def hashed(joined: Column) -> Column:
-        return F.when(~joined.contains(NAME), F.array(F.xxhash64(joined))).otherwise(
+        return F.when(~(joined.contains(NAME) | joined.contains(OPENER)), F.array(F.xxhash64(joined))).otherwise(
             F.transform(
                 F.aggregate(F.slice(form, at + 1, WORDS), F.array(F.lit("")), both), lambda a: F.xxhash64(a)
             )
@@ -117,20 +120,28 @@ def windows(text: Column, item: bool = False) -> Column:
         )
 
     def words_of(clean: Column) -> Column:
-        raw = words(F.lower(F.translate(clean, NAME, "")))
+        raw = words(F.lower(F.translate(clean, NAME + OPENER, "")))
         return let(F.struct(raw.alias("raw"), words(template(clean)).alias("form")), all_windows)
 
     return let(marked(text, item), words_of)
 
 
 def _slots(raw: Column, form: Column, theirs: Column) -> Column:
-    """(mine, theirs) of the item's numbers, names and units in a matched window."""
+    """(mine, theirs) of the item's numbers, names and units in a matched window.
+
+    A sentence's first word is a name here only if it was replaced.
+    """
     return F.filter(
         F.arrays_zip(raw.alias("mine"), theirs.alias("theirs"), form.alias("form")),
-        lambda x: x["form"].rlike(f"[{NUMBER}{NAME}{UNIT}]"),
+        lambda x: x["form"].rlike(f"[{NUMBER}{NAME}{UNIT}]")
+        | (x["form"].startswith(OPENER) & (x["mine"] != x["theirs"])),
     )
 
 
+def _is_word_kept(mine: Column, theirs: Column, form: Column) -> Column:
+    return (mine == theirs) | form.rlike(f"[{NUMBER}{UNIT}]")
+
+
 def safe_stride(n_windows: Column, similarity: float) -> Column:
     """Matching windows in a row that an item of ``n_windows`` surely has at this similarity.
 
@@ -208,8 +219,16 @@ def find_leaks(
             F.max_by(F.struct("raw", "form", "doc_raw"), F.struct("run", -F.col("shift"))).alias("m")
         )
     )
-    covered = best.groupBy(*pair, "n_windows").agg(F.count("*").alias("n_matched")).where(
-        F.col("n_matched") >= similarity * F.col("n_windows")
+    kept = F.size(F.filter(
+        F.arrays_zip(F.col("m.raw").alias("mine"), F.col("m.doc_raw").alias("theirs"), F.col("m.form").alias("form")),
+        lambda x: _is_word_kept(x["mine"], x["theirs"], x["form"]),
+    ))
+    # where every word has a capital, replaced names alone would make any two texts alike
+    covered = best.groupBy(*pair, "n_windows").agg(
+        F.count("*").alias("n_matched"), F.sum(kept).alias("n_kept")
+    ).where(
+        (F.col("n_matched") >= similarity * F.col("n_windows"))
+        & (F.col("n_kept") >= KEPT_SHARE * WORDS * F.col("n_matched"))
     )
     slots = (
         best.select(*pair, F.explode(

@@ -61,6 +61,21 @@ def test_other_case_and_punctuation(make_docs, items, prose):
     assert set(leaks(make_docs, lower, texts[:5])) == {(i, 9) for i in range(5)}
 
 
+def test_names_that_open_sentences(make_docs, items, prose):
+    text = ("Natalia sold 48 clips to her friends in the morning. Natalia then sold half as many clips in the "
+            "afternoon. How many clips did Natalia sell in the whole day?")
+    item = items.sparkSession.createDataFrame([(9, text)], "item_id bigint, text string")
+    other = text.replace("48", "62").replace("Natalia", "Peter")
+    once = text.replace("did Natalia", "did she")
+    texts = [text, other, prose(1, 30) + ". " + other + " " + prose(2, 9), other.replace(". ", " - "),
+             other.replace("Peter", "Anna", 1).replace("Peter", "Carl", 1)]  # one name for three
+    assert set(leaks(make_docs, item, texts)) == {(i, 9) for i in range(4)}
+    item = items.sparkSession.createDataFrame([(9, once), (8, text.title())], "item_id bigint, text string")
+    changed = prose(3, 7) + " " + once.replace("48", "62").replace("Natalia", "Peter")
+    clean = " ".join(f"Word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(90))
+    assert {d for d, _ in leaks(make_docs, item, [changed, clean])} == {0}
+
+
 def test_slots_must_agree(make_docs, items):
     """The same item value never stands for many values."""
     base = "put 5 apples and then 5 pears and then 5 plums and then 5 grapes in it"
