@@ -1,7 +1,7 @@
 """Quality classifier: document evidence within hierarchical empirical Bayes.
 
-1. Evidence. Every text becomes a set of features: hashed lower-cased words and binned
-   statistics. Labelled documents give, for each feature, counts of documents with and
+1. Evidence. Every text becomes a set of features: lower-cased words by their whole 64-bit
+   hash, so no word stands for another, and binned statistics. Labelled documents give, for each feature, counts of documents with and
    without the trait, added up within tasks; features whose log odds are clearly not
    zero weigh in. A text's evidence is the sum of its ``STRONGEST`` largest weights of
    each sign, so that a long text does not gather many weak ones; it is calibrated by a
@@ -35,7 +35,6 @@ from auditlake.llm.quality_rules import COUNTS, EXTRA, _statistics
 from auditlake.llm.words import Words, map_batches, mixed, parts, pieces, texts
 
 SAMPLE = 20_000
-BITS = 20
 BINS = 8
 Z = 4.0
 LEAST = 1.0
@@ -47,59 +46,97 @@ _SHARES = (
     ("n_dup_lines", "n_lines"), ("n_top", "n_words"),
     ("n_capital", "n_words"), ("n_short", "n_words"),
 )
-N_FEATURES = (1 << BITS) + len(_SHARES) * (BINS + 1)
+N_FEATURES = len(_SHARES) * (BINS + 1)
+# beside word hashes: binned statistics below N_FEATURES, and ALL, which counts every text
+ALL = N_FEATURES
+COUNTED = 1 << 18
 
 
 def _features(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) pairs, each once."""
+    """(text, feature) pairs, each once; words are whole 64-bit hashes."""
     w = Words([t.lower() for t in raw])
-    words = (w.hashes() >> np.uint64(64 - BITS)).astype(np.int64)
     found = _statistics(raw)
-    docs, features = [w.doc.astype(np.int64)], [words]
+    docs, features = [w.doc.astype(np.int64)], [w.hashes().view(np.int64)]
     every = np.arange(len(raw))
     for i, (a, b) in enumerate(_SHARES):
         share = found[a] / np.maximum(found[b], 1)
         if a == "word_chars":
             share = share / 16
         docs.append(every)
-        features.append((1 << BITS) + i * (BINS + 1) + np.minimum(np.ceil(share * BINS), BINS).astype(np.int64))
-    key = np.unique(np.concatenate(docs) * N_FEATURES + np.concatenate(features))
-    return key // N_FEATURES, key % N_FEATURES
+        features.append(i * (BINS + 1) + np.minimum(np.ceil(share * BINS), BINS).astype(np.int64))
+    doc, feature = np.concatenate(docs), np.concatenate(features)
+    order = np.lexsort((feature, doc))
+    doc, feature = doc[order], feature[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (feature[1:] != feature[:-1])
+    return doc[new], feature[new]
 
 
-def feature_counts(taught: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Documents with each feature by trait: (features + 1) x 3, the last row for all.
+def _added_up(feature: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every feature once, with the sums of its rows."""
+    order = np.argsort(feature, kind="stable")
+    feature = feature[order]
+    start = np.flatnonzero(np.concatenate([[True], feature[1:] != feature[:-1]])[: len(feature)])
+    return feature[start], np.add.reduceat(marks[order], start, axis=0) if len(start) else marks[:0]
 
-    Columns: all, bad, toxic. Tasks add up their own. Features of fewer than ``SEEN``
-    documents cannot be clear of chance and are left out, so at most N_FEATURES rows
-    (about a million, whatever the input) reach the driver.
+
+def clear_features(taught: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(features, weights by trait) of the features that are clear of chance, sorted.
+
+    Tasks add up their own counts and pass them on whenever they hold ``COUNTED``
+    features. What is clear is found where the counts are, so the driver takes only the
+    features with a weight, of which a labelled text has few.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((N_FEATURES + 1, 3), dtype=np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            at, sums = _added_up(*(np.concatenate(x) for x in zip(*held)))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(at), *(pa.array(sums[:, k]) for k in range(3))],
+                names=["feature", "n", "bad", "toxic"],
+            )
+
         for batch in parts(batches):
             raw = texts(batch, "text")
             marks = np.stack([np.ones(len(raw), dtype=np.int64),
                               *(batch.column(i).to_numpy() for i in (1, 2))], axis=1)
-            total[-1] += marks.sum(axis=0)
+            held.append((np.array([ALL]), marks.sum(axis=0)[None, :]))
             for lo, hi in pieces(raw):
                 doc, feature = _features(raw[lo:hi])
-                np.add.at(total, feature, marks[lo + doc])
-        at = np.flatnonzero(total[:, 0])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at), *(pa.array(total[at, k]) for k in range(3))],
-            names=["feature", "n", "bad", "toxic"],
-        )
-
-    rows = (
+                held.append(_added_up(feature, marks[lo + doc]))
+                size += len(held[-1][0])
+                if size >= COUNTED:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    counts = stored(
         map_batches(taught.select("text", "bad", "toxic"), run, "feature long, n long, bad long, toxic long")
         .groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("toxic").alias("toxic"))
-        .where((F.col("n") >= SEEN) | (F.col("feature") == N_FEATURES))
-        .toPandas()
+        .where((F.col("n") >= SEEN) | (F.col("feature") == ALL))
     )
-    out = np.zeros((N_FEATURES + 1, 3))
-    out[rows["feature"].to_numpy()] = rows[["n", "bad", "toxic"]].to_numpy()
-    return out[:-1], out[-1]
+    total = counts.where(F.col("feature") == ALL).select("n", "bad", "toxic").first()
+    if total is None:
+        return np.empty(0, dtype=np.int64), np.empty((0, 2), dtype=np.float32)
+    whole = np.array(total, dtype=float)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i).to_numpy() for i in range(4)]
+            w = weights(np.stack(columns[1:], axis=1).astype(float), whole)
+            use = w.any(axis=1) & (columns[0] != ALL)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0][use]), *(pa.array(w[use, k]) for k in range(2))],
+                names=["feature", "bad", "toxic"],
+            )
+
+    rows = map_batches(counts, weigh, "feature long, bad float, toxic float").toPandas()
+    rows = rows.sort_values("feature")
+    return rows["feature"].to_numpy(np.int64), rows[["bad", "toxic"]].to_numpy(np.float32)
 
 
 def weights(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -107,7 +144,7 @@ def weights(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
 
     Long texts have many features: what is weak or due to chance would add up there.
     """
-    out = np.zeros((N_FEATURES, 2), dtype=np.float32)
+    out = np.zeros((len(counts), 2), dtype=np.float32)
     for k in (1, 2):
         pos, neg = counts[:, k], counts[:, 0] - counts[:, k]
         n_pos, n_neg = total[k], total[0] - total[k]
@@ -133,25 +170,28 @@ def strongest(doc: np.ndarray, weight: np.ndarray, n_docs: int) -> np.ndarray:
     return out
 
 
-def with_evidence(docs: DataFrame, table: np.ndarray, keep: list[str]) -> DataFrame:
+def with_evidence(
+    docs: DataFrame, clear: tuple[np.ndarray, np.ndarray], keep: list[str]
+) -> DataFrame:
     """``keep`` with the summed weights ``e_bad`` and ``e_toxic``."""
-    used = np.flatnonzero(table.any(axis=1))
-    held = docs.sparkSession.sparkContext.broadcast((used, table[used]))  # part of N_FEATURES rows
+    held = docs.sparkSession.sparkContext.broadcast(clear)
     from pyspark.sql import types as T
 
     schema = T.StructType([*(docs.schema[c] for c in keep),
                            *(T.StructField(f"e_{t}", T.DoubleType()) for t in TRAITS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = np.zeros((N_FEATURES, 2), dtype=np.float32)
-        w[held.value[0]] = held.value[1]
+        used, w = held.value
         for batch in parts(batches):
             raw = texts(batch, "text")
             sums = np.zeros((len(raw), 2))
             for lo, hi in pieces(raw):
                 doc, feature = _features(raw[lo:hi])
+                at = np.searchsorted(used, feature)
+                known = at < len(used)
+                known[known] = used[at[known]] == feature[known]
                 for k in range(2):
-                    sums[lo:hi, k] = strongest(doc, w[feature, k], hi - lo)
+                    sums[lo:hi, k] = strongest(doc[known], w[at[known], k], hi - lo)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(batch.schema.get_field_index(c)) for c in keep),
                  *(pa.array(sums[:, k]) for k in range(2))],
@@ -234,8 +274,8 @@ def classify(
         F.col(label_id_col).alias("id"), (F.col(quality_col) == 0).cast("bigint").alias("bad"),
         (F.col(toxic_col) == 1).cast("bigint").alias("toxic"),
     ).dropna()
-    table = weights(*feature_counts(rows.select("id", "text").join(marks, "id")))
-    judged = stored(with_evidence(rows, table, ["id", "host", "path"]))
+    clear = clear_features(rows.select("id", "text").join(marks, "id"))
+    judged = stored(with_evidence(rows, clear, ["id", "host", "path"]))
     taught = stored(judged.join(marks, "id"))
     seen = taught.orderBy(F.xxhash64("id"), "id").limit(sample).select("e_bad", "e_toxic", *TRAITS).toPandas()
     paths, hosts, rates = site_rates(taught)

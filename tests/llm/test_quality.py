@@ -129,6 +129,23 @@ def test_classifier_defined_cases(spark, make_docs, odd_texts):
     assert classify(docs.where("doc_id > 99"), none, F.col("source"), F.col("lang")).collect() == []
 
 
+def test_a_word_does_not_stand_for_another(spark, make_docs, prose):
+    """A word whose hash begins with the same 20 bits as a toxic word's."""
+    from auditlake.llm.words import Words
+
+    bucket = lambda raw: Words(raw).hashes() >> np.uint64(44)
+    wanted = bucket([b"nastyword"])[0]
+    twin = next(
+        f"v{lo + int(at[0])}" for lo in range(0, 40_000_000, 200_000)
+        if len(at := np.flatnonzero(bucket([b" ".join(b"v%d" % i for i in range(lo, lo + 200_000))]) == wanted))
+    )
+    pairs = [(i, prose(i, 60) + (" nastyword" if i < 100 else "")) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i < 100)) for i, _ in pairs], "doc_id bigint, quality int, toxic int")
+    new = [(1000, prose(7, 60) + " nastyword"), (1001, prose(8, 60) + f" {twin}"), (1002, prose(9, 60))]
+    got = classify(make_docs([*pairs, *new]), labels, F.lit("h"), F.lit("p")).where("doc_id >= 1000").collect()
+    assert {r.doc_id: r.kept for r in got} == {1000: False, 1001: True, 1002: True}
+
+
 def test_weights_and_calibration():
     counts = np.zeros((N_FEATURES, 3))
     counts[0], counts[1] = (100, 90, 0), (100, 11, 0)
