@@ -224,9 +224,12 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS,
-    keep: list[str] | None = None,
+    keep: list[str] | None = None, label_col: str | None = None,
 ) -> DataFrame:
-    """``keep`` (default: all columns) with ``fingerprint`` and ``component_id``."""
+    """``keep`` (default: all columns) with ``fingerprint`` and ``component_id``.
+
+    ``label_col`` names a further column, the component's smallest fingerprint.
+    """
     new = ("simhash", "fingerprint", "component_id")
     keep = [c for c in (keep or docs.columns) if c not in new]
     tagged = stored(with_fingerprints(docs, text_col, keep))
@@ -238,9 +241,11 @@ def near_duplicates(
         "simhash", "first", F.coalesce("label", "simhash").alias("label")
     )
     first = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_print = stored(named.join(first, "label").select("simhash", "component_id"))
+    own = [F.col("label").alias(label_col)] if label_col else []
+    by_print = stored(named.join(first, "label").select("simhash", "component_id", *own))
     return tagged.join(by_print, "simhash").select(
-        *keep, F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id"
+        *keep, F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id",
+        *([label_col] if label_col else []),
     )
 
 
@@ -248,16 +253,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One document of each component: that of the smallest id, once.
 
     Documents without id whose component has no id at all stay once for each
-    fingerprint.
+    fingerprint. Components are told apart by their label, as ids may repeat.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                        F.xxhash64(text_col).alias("row_hash"))
-    found = near_duplicates(rows, "id", "text", keep=["id", "row_hash"])
+    found = near_duplicates(rows, "id", "text", keep=["id", "row_hash"], label_col="group")
     first = (
         found.where(F.col("id").eqNullSafe(F.col("component_id")))
-        .groupBy(F.col("id").alias("stay_id"), F.when(F.col("id").isNull(), F.col("fingerprint")))
+        .groupBy("group", F.col("id").alias("stay_id"), F.when(F.col("id").isNull(), F.col("fingerprint")))
         .agg(F.min("row_hash").alias("stay_hash"))
-        .select("stay_id", "stay_hash")
+        .select("stay_id", "stay_hash").distinct()
     )
     tag = max(docs.columns, key=len) + "_hash"  # longer than any other name
     tagged = docs.withColumn(tag, F.xxhash64(text_col))

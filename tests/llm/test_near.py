@@ -209,3 +209,11 @@ def test_minimisers_are_sparse_and_shared(prose):
     one = {a for a in at if a < 4000}
     two = {a - 4003 for a in at if a >= 4003}
     assert len(one & two) >= 0.98 * len(one)
+
+
+def test_repeated_id_stays_for_each_of_its_components(make_docs, prose):
+    from auditlake.llm.simhash import keep_one
+
+    one, two = prose(1, 60), prose(2, 60)
+    docs = make_docs([(1, one), (1, two), (2, one), (3, two), (4, two)])
+    assert sorted((r.doc_id, r.text) for r in keep_one(docs).collect()) == sorted([(1, one), (1, two)])
