@@ -96,8 +96,49 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM texts LEFT JOIN joined USING (doc_id)
 """
 
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), worded AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM pieces
+), grams AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2),
+                                        lambda i: array_to_string(ws[i : i + m - 1], ' '))) AS p
+  FROM worded, (VALUES (1), (2), (3), (4)) AS lengths(m) WHERE len(ws) >= m
+), counts AS (
+  SELECT lang, m, p, count(*) AS f FROM grams GROUP BY ALL
+), candidates AS (
+  SELECT lang, m, p, f AS a, string_split(p, ' ') AS ws FROM counts WHERE m > 1 AND f >= 30
+), cuts AS (
+  SELECT lang, m, p, a, k, array_to_string(ws[1 : k], ' ') AS head, array_to_string(ws[k + 1 : m], ' ') AS rest
+  FROM candidates, (VALUES (1), (2), (3)) AS cut(k) WHERE k < m
+), scored AS (
+  SELECT c.lang, c.p, c.a, x.f AS l, y.f AS r, CAST(2000000 AS HUGEINT) * c.a // (x.f + y.f) AS score,
+         row_number() OVER (PARTITION BY c.lang, c.p
+                            ORDER BY CAST(2000000 AS HUGEINT) * c.a // (x.f + y.f), c.k) AS place
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.m = c.k AND x.p = c.head
+  JOIN counts y ON y.lang = c.lang AND y.m = c.m - c.k AND y.p = c.rest
+), inside AS (
+  SELECT lang, array_to_string(ws[i : i + n - 1], ' ') AS p, max(a) AS longer
+  FROM candidates, (VALUES (2), (3)) AS size(n), (VALUES (1), (2), (3)) AS first(i)
+  WHERE n < m AND i + n - 1 <= m GROUP BY ALL
+), ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, p) AS rank
+  FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.p = s.p
+  WHERE place = 1 AND NOT coalesce(100 * longer >= 80 * a, false)
+), totals AS (
+  SELECT lang, sum(len(ws)) AS n FROM worded GROUP BY lang
+)
+SELECT lang, rank, p AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 ORACLE: dict[str, str] = {
     "op1_suffix_dedup": SUFFIX_DEDUP,
     "op2_line_dedup": LINE_DEDUP,
     "op5_secret_scan": SECRET_SCAN,
+    "op13_collocations": COLLOCATIONS,
 }

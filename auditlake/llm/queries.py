@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import (
-    decontam, line_dedup, packing, quality_bayes, quality_rules, secret_scan, sharding, simhash,
-    suffix_dedup, token_count,
+    chosen_path, collocations, decontam, line_dedup, packing, quality_bayes, quality_rules,
+    secret_scan, sharding, simhash, spelling, suffix_dedup, token_count,
 )
 
 
@@ -84,11 +84,24 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_line_dedup, op3_token_counts, op4_best_fit_packing, op5_secret_scan,
         op6_benchmark_decontamination, op7_quality_rules, op8_histogram_sharding,
-        op9_quality_classifier, op10_simhash_near_dedup,
+        op9_quality_classifier, op10_simhash_near_dedup, op11_minhash_near_dedup,
+        op12_spelling_variants, op13_collocations,
     )
 }
