@@ -55,7 +55,7 @@ class Limits:
     """Sizes that decide how the work is cut, never what comes out."""
 
     batch_bytes: int = 6 << 20
-    route_words: int = 1 << 22
+    route_words: int = 1 << 21
     #: a prefix is hot from this part of a batch's suffixes on
     hot_part: int = 1000
     #: different words that 16 bits can tell apart, the end included
@@ -70,7 +70,7 @@ class Suffixes:
     """Words of some sections of texts: ``token`` is the hash of (language, word), ``piece``
     tells pieces apart."""
 
-    def __init__(self, sections: list[tuple[str, bytes]]):
+    def __init__(self, sections: list[tuple[str, bytes]], spelling: bool):
         self.names = sorted({lang for lang, _ in sections})
         place = {name: i for i, name in enumerate(self.names)}
         salts = np.array([_lang_salt(name) for name in self.names], dtype=np.uint64)
@@ -81,7 +81,8 @@ class Suffixes:
         for a, b in pieces(raw):
             words = Words(raw[a:b])
             breaks = np.cumsum(words.data == 10)
-            self.blocks.append(words)
+            if spelling:
+                self.blocks.append(words)
             lang.append(langs[a:b][words.doc])
             token.append(np.maximum(mixed(words.hashes() + salts[lang[-1]]), np.uint64(1)))
             piece.append(breaks[words.start] + before)
@@ -100,15 +101,15 @@ class Suffixes:
             out.append(words.data[words.start[i] : words.end[i]].tobytes())
         return out
 
-    def windows(self, stays: np.ndarray) -> np.ndarray:
-        """The next ``DEPTH`` words of each position, 0 once the piece or the run of words
-        that stay has ended."""
-        run = self.piece + np.cumsum(~stays)
+    def windows(self, stays: np.ndarray, values: np.ndarray, depth: int = DEPTH, at: slice = slice(None)) -> np.ndarray:
+        """The values of the next ``depth`` words of each position in ``at``, 0 once the piece
+        or the run of words that stay has ended; ``values`` are those of ``at``."""
+        run, stays = (self.piece + np.cumsum(~stays))[at], stays[at]
         n = len(run)
-        out = np.zeros((DEPTH, n), dtype=np.uint64)
-        for j in range(min(DEPTH, n)):
+        out = np.zeros((depth, n), dtype=np.uint64)
+        for j in range(min(depth, n)):
             same = (run[: n - j] == run[j:]) & stays[: n - j] & stays[j:]
-            out[j, : n - j] = np.where(same, self.token[j:], 0)
+            out[j, : n - j] = np.where(same, values[j:], 0)
         return out
 
 
@@ -135,7 +136,7 @@ def sections(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
         yield lang, text[at:]
 
 
-def batches_of(batches: Iterable[pa.RecordBatch], size_limit: int) -> Iterator[Suffixes]:
+def batches_of(batches: Iterable[pa.RecordBatch], size_limit: int, spelling: bool = False) -> Iterator[Suffixes]:
     """Suffixes of consecutive texts, ``size_limit`` bytes or a little more at once."""
     held: list[tuple[str, bytes]] = []
     size = 0
@@ -144,10 +145,10 @@ def batches_of(batches: Iterable[pa.RecordBatch], size_limit: int) -> Iterator[S
             held.append(section)
             size += len(section[1])
             if size > size_limit:
-                yield Suffixes(held)
+                yield Suffixes(held, spelling)
                 held, size = [], 0
     if held:
-        yield Suffixes(held)
+        yield Suffixes(held, spelling)
 
 
 def prefix_hash(columns: np.ndarray) -> np.ndarray:
@@ -172,9 +173,10 @@ def count_words(docs: DataFrame, text_col: str, lang_col: str, limits: Limits) -
     ``token`` is the prefix' hash and ``length`` its number of words, without lang and word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in batches_of(batches, limits.batch_bytes):
+        for found in batches_of(batches, limits.batch_bytes, spelling=True):
             token, at, n = np.unique(found.token, return_index=True, return_counts=True)
-            hot = list(hot_prefixes(found.windows(np.ones(len(found.token), dtype=bool)), limits.hot_part))
+            every = np.ones(len(found.token), dtype=bool)
+            hot = list(hot_prefixes(found.windows(every, found.token, 3), limits.hot_part))
             none = [None] * len(hot)
             yield pa.RecordBatch.from_arrays([
                 pa.array([found.names[i] for i in found.lang[at].tolist()] + none, pa.string()),
@@ -217,32 +219,47 @@ def pack(codes: np.ndarray, n: np.ndarray, words: np.ndarray) -> bytes:
         n.astype(np.uint32).tobytes()]))
 
 
-def unpack(value: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(words of each suffix in columns, numbers)."""
-    body = zstandard.ZstdDecompressor().decompress(value)
-    k, m = np.frombuffer(body, dtype=np.uint32, count=2).tolist()
-    words = np.frombuffer(body, dtype=np.uint64, count=k, offset=8)
-    codes = np.frombuffer(body, dtype=np.uint16, count=DEPTH * m, offset=8 + 8 * k)
-    n = np.frombuffer(body, dtype=np.uint32, count=m, offset=8 + 8 * k + 2 * DEPTH * m)
-    return words[codes].reshape(DEPTH, m), n.astype(np.int64)
+def unpack(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(words of each suffix in columns, numbers) of packed suffixes."""
+    bodies = [zstandard.ZstdDecompressor().decompress(v) for v in values]
+    heads = [np.frombuffer(body, dtype=np.uint32, count=2).tolist() for body in bodies]
+    total = sum(m for _, m in heads)
+    columns, n = np.empty((DEPTH, total), dtype=np.uint64), np.empty(total, dtype=np.uint32)
+    at = 0
+    for i, (k, m) in enumerate(heads):
+        body, bodies[i] = bodies[i], b""
+        words = np.frombuffer(body, dtype=np.uint64, count=k, offset=8)
+        codes = np.frombuffer(body, dtype=np.uint16, count=DEPTH * m, offset=8 + 8 * k)
+        columns[:, at : at + m] = words[codes].reshape(DEPTH, m)
+        n[at : at + m] = np.frombuffer(body, dtype=np.uint32, count=m, offset=8 + 8 * k + 2 * DEPTH * m)
+        at += m
+    return columns, n
 
 
 def chunks(
-    columns: np.ndarray, routes: int, hot: dict[int, np.ndarray], most: int,
+    found: Suffixes, stays: np.ndarray, routes: int, hot: dict[int, np.ndarray], most: int,
+    low: int = 0, high: int | None = None,
 ) -> Iterator[tuple[int, int, bytes]]:
-    """(route, words that route, packed suffixes); equal suffixes once with their number."""
-    words, codes = np.unique(columns, return_inverse=True)
-    if len(words) >= most:
-        half = columns.shape[1] // 2
-        yield from chunks(columns[:, :half], routes, hot, most)
-        yield from chunks(columns[:, half:], routes, hot, most)
+    """(route, words that route, packed suffixes) of the suffixes from ``low`` to ``high``;
+    equal ones once with their number."""
+    high = len(found.token) if high is None else high
+    reach = slice(low, high + DEPTH - 1)  # the last ones' words too
+    words, codes = np.unique(found.token[reach] * stays[reach], return_inverse=True)
+    if len(words) >= most and high - low > 1:
+        middle = (low + high) // 2
+        yield from chunks(found, stays, routes, hot, most, low, middle)
+        yield from chunks(found, stays, routes, hot, most, middle, high)
         return
+    if not len(words) or words[0]:  # 0 is the end of a suffix
+        words, codes = np.concatenate([[np.uint64(0)], words]), codes + 1
+    columns = found.windows(stays, codes, at=reach)[:, : high - low]
+    columns = columns[:, columns[1] > 0]  # a phrase has two words at least
     if not columns.shape[1]:
         return
-    codes = codes.reshape(columns.shape).astype(np.uint64)
     packed = np.zeros(columns.shape[1], dtype=np.uint64)
-    for column in codes:
+    for column in columns:
         packed = packed << np.uint64(16) | column
+    del columns
     packed, n = np.unique(packed, return_counts=True)
     codes = np.stack([packed >> np.uint64(16 * (DEPTH - 1 - j)) & np.uint64(0xFFFF) for j in range(DEPTH)])
     codes = codes.astype(np.int64)
@@ -264,30 +281,25 @@ def quicksort(columns: np.ndarray, n: np.ndarray, by: int, min_count: int) -> It
     Suffixes were routed by ``by`` words, so counts of shorter phrases are partial: these
     are all reported, and no partition is abandoned before that depth.
     """
-    # words as ranks compare faster than hashes; 0 stays the end
-    words, ranks = np.unique(columns, return_inverse=True)
-    ranks = ranks.reshape(columns.shape).astype(np.int32)
-    end = 0 if len(words) and words[0] == 0 else -1
-    signed = words.view(np.int64).tolist()
-    todo: list[tuple[np.ndarray, int]] = [(np.arange(columns.shape[1]), 0)]
+    todo: list[tuple[np.ndarray, int]] = [(np.arange(columns.shape[1], dtype=np.int32), 0)]
     while todo:
         at, depth = todo.pop()
         if not len(at) or (depth + 1 >= by and int(n[at].sum()) < min_count):
             continue
-        key = ranks[depth][at]
+        key = columns[depth][at]
         low, middle, high = sorted((int(key[0]), int(key[len(key) // 2]), int(key[-1])))
         equal = key == middle
         below = key < middle
         todo.append((at[below], depth))
         todo.append((at[~(equal | below)], depth))
-        if middle == end:
+        if not middle:  # the suffixes end here
             continue
         same = at[equal]
         count = int(n[same].sum())
         length = depth + 1
         if length < by or count >= min_count:
             if length > 1:
-                yield [signed[r] for r in ranks[:length, same[0]].tolist()], count
+                yield columns[:length, same[0]].view(np.int64).tolist(), count
             if length < DEPTH:
                 todo.append((same, length))
 
@@ -308,9 +320,7 @@ def count_phrases(
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in batches_of(batches, limits.batch_bytes):
-            columns = found.windows(passes(often, found.token))
-            # a phrase has two words at least
-            rows = list(chunks(columns[:, columns[1] > 0], routes, hot, limits.codes))
+            rows = list(chunks(found, passes(often, found.token), routes, hot, limits.codes))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), t) for c, t in zip(
                     zip(*rows) if rows else ((), (), ()), (pa.int64(), pa.int32(), pa.binary()))],
@@ -318,12 +328,9 @@ def count_phrases(
             )
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for by, chunks in zip(batch.column(0).to_pylist(), batch.column(1)):
-                got = [unpack(c.as_py()) for c in chunks.values]
-                columns = np.concatenate([g[0] for g in got], axis=1)
-                n = np.concatenate([g[1] for g in got])
-                del got
+        for batch in parts(batches, 1):
+            for by, values in zip(batch.column(0).to_pylist(), batch.column(1)):
+                columns, n = unpack(values.values.to_pylist())
                 found = list(quicksort(columns, n, by, min_count))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([p for p, _ in found], pa.list_(pa.int64())),
