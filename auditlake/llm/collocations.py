@@ -327,20 +327,31 @@ def count_phrases(
                 names=["route", "by", "suffixes"],
             )
 
+    def routes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+        """(words that route, packed suffixes) of one route after the other."""
+        now, held = None, []
+        for batch in batches:
+            for r, by, value in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2)):
+                if (r, by) != now:
+                    if held:
+                        yield now[1], held
+                    now, held = (r, by), []
+                held.append(value.as_py())
+        if held:
+            yield now[1], held
+
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, 1):
-            for by, values in zip(batch.column(0).to_pylist(), batch.column(1)):
-                columns, n = unpack(values.values.to_pylist())
-                found = list(quicksort(columns, n, by, min_count))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([p for p, _ in found], pa.list_(pa.int64())),
-                    pa.array([c for _, c in found], pa.int64()),
-                ], names=["phrase", "a"])
+        for by, held in routes_of(batches):
+            found = list(quicksort(*unpack(held), by, min_count))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([p for p, _ in found], pa.list_(pa.int64())),
+                pa.array([c for _, c in found], pa.int64()),
+            ], names=["phrase", "a"])
 
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     routed = map_batches(rows, route, "route long, by int, suffixes binary")
-    grouped = routed.groupBy("route", "by").agg(F.collect_list("suffixes").alias("chunks"))
-    counted = map_batches(grouped.select("by", "chunks"), sort, "phrase array<bigint>, a long")
+    placed = routed.repartition(routes, "route").sortWithinPartitions("route", "by")
+    counted = map_batches(placed, sort, "phrase array<bigint>, a long")
     return counted.groupBy("phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= min_count)
 
 
