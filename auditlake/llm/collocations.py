@@ -10,7 +10,8 @@ piece. Everything is counted within a language.
 2. Suffixes are routed globally by their two leading words. A pair or triple that
    holds a thousandth of some batch's suffixes or more is hot and is routed by one word more, so its
    suffixes spread; the list of hot prefixes is bounded by that share. A task sends
-   equal suffixes once with their number, packed by route.
+   equal suffixes once with their number, packed by route; of the most frequent words, a broadcast table of bounded size, two
+   bytes each are enough.
 3. A route sorts its suffix pointers by multikey three-way quicksort to ``DEPTH``
    words: pointers equal to the pivot are one phrase and their number is its count;
    a partition with fewer than ``min_count`` suffixes is abandoned, together with all
@@ -54,12 +55,14 @@ FILTER_BITS = 1 << 25
 class Limits:
     """Sizes that decide how the work is cut, never what comes out."""
 
-    batch_bytes: int = 6 << 20
+    batch_bytes: int = 4 << 20
     route_words: int = 1 << 21
     #: a prefix is hot from this part of a batch's suffixes on
     hot_part: int = 1000
     #: different words that 16 bits can tell apart, the end included
     codes: int = 1 << 16
+    #: most frequent words that are broadcast, below 2**16
+    common: int = (1 << 16) - 1
 
 
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\n" * 10)
@@ -210,35 +213,49 @@ def passes(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def pack(codes: np.ndarray, n: np.ndarray, words: np.ndarray) -> bytes:
-    """Suffixes as one binary value: the words used, their places a column, then numbers."""
+def pack(codes: np.ndarray, n: np.ndarray, words: np.ndarray, common: np.ndarray) -> bytes:
+    """Suffixes as one binary value: the words used, a place in them for each word of each
+    suffix, and numbers. Of words in ``common`` (sorted) their steps there are enough."""
     used, places = np.unique(codes, return_inverse=True)
-    head = np.array([len(used), len(n)], dtype=np.uint32)
+    used = words[used]
+    at = np.searchsorted(common, used)
+    known = at < len(common)
+    known[known] = common[at[known]] == used[known]
+    # known words first, both parts ascending
+    order = np.argsort(~known, kind="stable")
+    places = np.argsort(order)[places]
+    steps = np.diff(at[known], prepend=0).astype(np.uint16)
+    head = np.array([len(steps), len(used) - len(steps), len(n)], dtype=np.uint32)
+    # low and high bytes apart compress better
     return zstandard.ZstdCompressor(level=1).compress(b"".join([
-        head.tobytes(), words[used].tobytes(), places.astype(np.uint16).tobytes(),
-        n.astype(np.uint32).tobytes()]))
+        head.tobytes(), steps.tobytes(), used[~known].tobytes(),
+        places.astype(np.uint16).view(np.uint8).reshape(-1, 2).T.tobytes(), n.astype(np.uint32).tobytes()]))
 
 
-def unpack(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def unpack(values: list[bytes], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words of each suffix in columns, numbers) of packed suffixes."""
     bodies = [zstandard.ZstdDecompressor().decompress(v) for v in values]
-    heads = [np.frombuffer(body, dtype=np.uint32, count=2).tolist() for body in bodies]
-    total = sum(m for _, m in heads)
+    heads = [np.frombuffer(body, dtype=np.uint32, count=3).tolist() for body in bodies]
+    total = sum(m for *_, m in heads)
     columns, n = np.empty((DEPTH, total), dtype=np.uint64), np.empty(total, dtype=np.uint32)
     at = 0
-    for i, (k, m) in enumerate(heads):
+    for i, (k, rare, m) in enumerate(heads):
         body, bodies[i] = bodies[i], b""
-        words = np.frombuffer(body, dtype=np.uint64, count=k, offset=8)
-        codes = np.frombuffer(body, dtype=np.uint16, count=DEPTH * m, offset=8 + 8 * k)
-        columns[:, at : at + m] = words[codes].reshape(DEPTH, m)
-        n[at : at + m] = np.frombuffer(body, dtype=np.uint32, count=m, offset=8 + 8 * k + 2 * DEPTH * m)
+        known = common[np.cumsum(np.frombuffer(body, dtype=np.uint16, count=k, offset=12).astype(np.int64))]
+        rest = 12 + 2 * k
+        words = np.concatenate([known, np.frombuffer(body[rest : rest + 8 * rare], dtype=np.uint64)])
+        rest += 8 * rare
+        places = np.frombuffer(body, dtype=np.uint8, count=2 * DEPTH * m, offset=rest).reshape(2, -1)
+        places = places[0] | places[1].astype(np.uint16) << 8
+        columns[:, at : at + m] = words[places].reshape(DEPTH, m)
+        n[at : at + m] = np.frombuffer(body[rest + 2 * DEPTH * m :], dtype=np.uint32)
         at += m
     return columns, n
 
 
 def chunks(
-    found: Suffixes, stays: np.ndarray, routes: int, hot: dict[int, np.ndarray], most: int,
-    low: int = 0, high: int | None = None,
+    found: Suffixes, stays: np.ndarray, routes: int, hot: dict[int, np.ndarray], common: np.ndarray,
+    most: int, low: int = 0, high: int | None = None,
 ) -> Iterator[tuple[int, int, bytes]]:
     """(route, words that route, packed suffixes) of the suffixes from ``low`` to ``high``;
     equal ones once with their number."""
@@ -247,8 +264,8 @@ def chunks(
     words, codes = np.unique(found.token[reach] * stays[reach], return_inverse=True)
     if len(words) >= most and high - low > 1:
         middle = (low + high) // 2
-        yield from chunks(found, stays, routes, hot, most, low, middle)
-        yield from chunks(found, stays, routes, hot, most, middle, high)
+        yield from chunks(found, stays, routes, hot, common, most, low, middle)
+        yield from chunks(found, stays, routes, hot, common, most, middle, high)
         return
     if not len(words) or words[0]:  # 0 is the end of a suffix
         words, codes = np.concatenate([[np.uint64(0)], words]), codes + 1
@@ -272,7 +289,7 @@ def chunks(
     route = (mixed(key) % np.uint64(routes)).astype(np.int64) * 8 + by
     order = np.argsort(route, kind="stable")
     for at in np.split(order, np.flatnonzero(np.diff(route[order])) + 1):
-        yield int(route[at[0]]) // 8, int(by[at[0]]), pack(codes[:, at], n[at], words)
+        yield int(route[at[0]]) // 8, int(by[at[0]]), pack(codes[:, at], n[at], words, common)
 
 
 def quicksort(columns: np.ndarray, n: np.ndarray, by: int, min_count: int) -> Iterator[tuple[list[int], int]]:
@@ -317,10 +334,13 @@ def count_phrases(
         for k in (2, 3)
     }
     routes = max(16, -(-total // limits.route_words))
+    # words that are sent as a step of 16 bits, the end of a suffix among them
+    first = words.where(F.col("length") == 1).orderBy(F.desc("n"), "token").limit(limits.common).select("token")
+    common = np.unique(np.concatenate([[0], first.toArrow()["token"].to_numpy()]).astype(np.int64).view(np.uint64))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in batches_of(batches, limits.batch_bytes):
-            rows = list(chunks(found, passes(often, found.token), routes, hot, limits.codes))
+            rows = list(chunks(found, passes(often, found.token), routes, hot, common, limits.codes))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), t) for c, t in zip(
                     zip(*rows) if rows else ((), (), ()), (pa.int64(), pa.int32(), pa.binary()))],
@@ -342,7 +362,7 @@ def count_phrases(
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for by, held in routes_of(batches):
-            found = list(quicksort(*unpack(held), by, min_count))
+            found = list(quicksort(*unpack(held, common), by, min_count))
             yield pa.RecordBatch.from_arrays([
                 pa.array([p for p, _ in found], pa.list_(pa.int64())),
                 pa.array([c for _, c in found], pa.int64()),
@@ -377,7 +397,7 @@ def mine(
         " struct(1 AS side, slice(phrase, k + 1, size(phrase)) AS part))")).alias("p"),
     ).select("phrase", "a", "k", "p.side", "p.part")
     known = phrases.select(F.col("phrase").alias("part"), F.col("a").alias("f"))
-    looked = salted_lookup(sides, known, ["part"], ["phrase", "k"], "inner")
+    looked = salted_lookup(sides, known, ["part"], ["phrase", "k"], "inner", buckets=4)
     scored = (
         looked.groupBy("phrase", "a", "k")
         .agg(F.sum(F.expr("if(side = 0, f, 0)")).alias("l"), F.sum(F.expr("if(side = 1, f, 0)")).alias("r"))
@@ -410,9 +430,10 @@ def mine(
         .select("phrase", "lang", F.expr(
             "array_join(transform(words, w -> decode(w.word, 'utf-8')), ' ')").alias("spelled"))
     )
-    best = top_n(
-        left.join(spelled, "phrase").select("lang", F.col("spelled").alias("phrase"), "a", "l", "r", "score"),
-        ["lang"], [F.desc("score"), F.desc("a"), F.asc("phrase")], top, "rank",
-    )
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    named = left.join(spelled, "phrase").select("lang", F.col("spelled").alias("phrase"), "a", "l", "r", "score")
+    # a language's phrases meet in one task only after parts of them were cut to the first ones
+    part = F.pmod(F.xxhash64("phrase"), F.lit(16)).alias("part")
+    best = top_n(top_n(named.select("*", part), ["lang", "part"], order, top), ["lang"], order, top, "rank")
     return best.join(sizes, "lang").select(
         "lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -237,7 +237,7 @@ def phrase_docs(spark, odd_texts):
 
 
 @pytest.mark.parametrize("limits", [
-    collocations.Limits(), collocations.Limits(batch_bytes=4000, route_words=300, hot_part=40, codes=8)])
+    collocations.Limits(), collocations.Limits(batch_bytes=4000, route_words=300, hot_part=40, codes=8, common=5)])
 def test_phrases_equal_brute_force(spark, phrase_docs, limits):
     """Also with many batches and routes, hot prefixes, and batches cut for lack of codes."""
     docs = spark.createDataFrame(
