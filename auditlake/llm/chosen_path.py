@@ -313,8 +313,9 @@ def exact_links(rows: DataFrame) -> DataFrame:
     return map_batches(_grouped(rows, "shingles"), run, "a binary, b binary").distinct()
 
 
-def near_pivot(rows: DataFrame) -> DataFrame:
-    """(a, b): members whose sketch is near that of the node's pivot; ``rows`` holds both."""
+def nearest_pivots(rows: DataFrame) -> DataFrame:
+    """(a, b): each member with that of its pivots whose sketch is nearest, if near at all;
+    ``rows`` is (sid, n, sketch, p_sid, p_n, p_sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,12 +323,15 @@ def near_pivot(rows: DataFrame) -> DataFrame:
                 np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, FUNCTIONS)
                 for i in (2, 5))
             m, n = batch.column(1).to_numpy(), batch.column(4).to_numpy()
-            near = pa.array((_equal_bytes(one, two) >= ENOUGH) & _sizes_fit(m, n))
+            equal = _equal_bytes(one, two)
+            near = pa.array((equal >= ENOUGH) & _sizes_fit(m, n))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(near), batch.column(3).filter(near)], names=["a", "b"])
+                [batch.column(0).filter(near), batch.column(3).filter(near), pa.array(equal, pa.int64()).filter(near)],
+                names=["a", "b", "equal"])
 
     chosen = rows.select("sid", "n", "sketch", "p_sid", "p_n", "p_sketch")
-    return map_batches(chosen, run, "a binary, b binary").distinct()
+    met = map_batches(chosen, run, "a binary, b binary, equal long")
+    return met.groupBy("a").agg(F.max(F.struct("equal", "b")).alias("p")).select("a", F.col("p.b").alias("b"))
 
 
 class Join:
@@ -337,7 +341,6 @@ class Join:
         self.docs, self.id_col, self.text_col = docs, id_col, text_col
         self.tagged = stored(with_sets(docs, id_col, text_col))
         self.sets = stored(self.tagged.where("n > 0").dropDuplicates(["sid"]))
-        self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
     def shingles(self, sids: DataFrame) -> DataFrame:
@@ -368,23 +371,28 @@ class Join:
     def add(self, links: DataFrame) -> None:
         links = stored(links)
         if not links.isEmpty():
-            self.links = links if self.links is None else self.links.unionByName(links)
-            self.labels = connected(self.links).select(F.col("node").alias("sid"), "label")
-
-    def labelled(self, rows: DataFrame) -> DataFrame:
+            # the components so far stand for the links they came from
+            if self.labels is not None:
+                links = links.unionByName(self.labels.select(F.col("sid").alias("a"), F.col("label").alias("b")))
+            self.labels = connected(links).select(F.col("node").alias("sid"), "label")
+
+    def known(self) -> DataFrame:
+        """(sid, n, sketch, label) of each set."""
+        sets = self.sets.select("sid", "n", "sketch")
         if self.labels is None:
-            return rows.withColumn("label", F.col("sid"))
-        return salted_lookup(rows, self.labels, ["sid"], ["node"]).withColumn("label", F.coalesce("label", "sid"))
+            return sets.withColumn("label", F.col("sid"))
+        return sets.join(self.labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
 
     def run(self, compared: int, members: int, block: int) -> DataFrame | None:
-        """(sid, label) of the sets that are linked with others."""
-        rows = stored(self.sets.select(F.explode("roots").alias("node"), "sid", "n", "sketch"))
+        """(sid, label) of the sets that are linked with others. Trees are (node, sid) alone;
+        sketches come in only where sets are compared."""
+        rows = stored(self.sets.select(F.explode("roots").alias("node"), "sid"))
         small = None
         while True:
-            sizes = rows.groupBy("node").agg(F.count("*").alias("k")).where("k > 1")
+            sizes = stored(rows.groupBy("node").agg(F.count("*").alias("k")).where("k > 1"))
             few = (F.col("k") * (F.col("k") - 1) <= 2 * compared) & (F.col("k") <= members)
-            large = stored(sizes.where(~few))
             keep = salted_filter(rows, sizes.where(few), ["node"], ["sid"])
+            large = sizes.where(~few)
             rest = None
             if not large.isEmpty():
                 rest = stored(salted_lookup(rows, large, ["node"], ["sid"], "inner"))
@@ -399,30 +407,34 @@ class Join:
         return self.labels
 
     def _pivots(self, rest: DataFrame) -> None:
-        """Compares the members of large nodes with two of them: the most typical one, and one
-        that differs from node to node."""
+        """Compares the members of large nodes with the nearest of their nodes' pivots. A node
+        has two: the most typical member, and one that differs from node to node."""
         typical = rest.groupBy("sid").agg(F.sum("k").alias("weight"))
         chosen = (
             rest.select("node", "sid").join(typical, "sid").groupBy("node")
             .agg(F.max(F.struct("weight", "sid")).alias("p"),
                  F.max(F.struct(F.xxhash64("node", "sid"), "sid")).alias("q"))
-            .select("node", F.explode(F.array("p.sid", "q.sid")).alias("sid"))
+            .select("node", F.array_distinct(F.array("p.sid", "q.sid")).alias("p"))
+        )
+        pairs = (
+            salted_lookup(rest.select("node", "sid"), chosen, ["node"], ["sid"], "inner")
+            .select("sid", F.explode("p").alias("p_sid")).distinct()
         )
-        pivots = self.labelled(chosen.join(self.sets.select("sid", "n", "sketch"), "sid")).select(
-            "node", *(F.col(c).alias(f"p_{c}") for c in ("sid", "n", "sketch", "label")))
-        met = salted_lookup(self.labelled(rest), pivots, ["node"], ["sid"], "inner")
-        self.confirm(near_pivot(met.where(F.col("label") != F.col("p_label"))))
+        known = stored(self.known())
+        pivots = known.join(pairs.select(F.col("p_sid").alias("sid")).distinct(), "sid", "left_semi").select(
+            *(F.col(c).alias(f"p_{c}") for c in known.columns))
+        met = salted_lookup(pairs, pivots, ["p_sid"], ["sid"], "inner").join(known, "sid")
+        self.confirm(nearest_pivots(met.where(F.col("label") != F.col("p_label"))))
 
     def _unsettled(self, rest: DataFrame, compared: int, members: int) -> tuple[DataFrame, DataFrame]:
         """Rows of nodes to branch, and of nodes that have become small; nodes whose members
         are connected go."""
-        rest = stored(self.labelled(rest))
-        counts = rest.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node").agg(
+        labels = self.known().select("sid", "label")
+        counts = rest.join(labels, "sid").groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node").agg(
             F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("squares"))
         cross = F.col("k") * F.col("k") - F.col("squares")
         counts = stored(counts.select("node", cross.alias("cross"), "k").where("cross > 0"))
         few = (F.col("cross") <= 2 * compared) & (F.col("k") <= members)
-        rest = rest.drop("label")
         return (stored(salted_filter(rest, counts.where(~few), ["node"], ["sid"])),
                 salted_filter(rest, counts.where(few), ["node"], ["sid"]))
 
@@ -430,24 +442,26 @@ class Join:
         """Each row's children: the path selects the functions, their minima the nodes."""
         function = F.expr(f"cast(pmod(xxhash64(node) + 41 * branch, {FUNCTIONS}) AS int)")
         return (
-            rows.withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1))))
+            rows.join(self.sets.select("sid", "sketch"), "sid")
+            .withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1))))
             .withColumn("byte", F.substring("sketch", function + 1, F.lit(1)))
-            .select(F.xxhash64("node", "branch", "byte").alias("node"), "sid", "n", "sketch")
+            .select(F.xxhash64("node", "branch", "byte").alias("node"), "sid")
         )
 
     def _small(self, small: DataFrame, block: int) -> None:
-        met = stored(star_pairs(self.labelled(small)))
+        met = stored(star_pairs(small.join(self.known(), "sid")))
         self.confirm(met.where(F.col("node").isNull()).select("a", "b"))
         further = met.where(F.col("node").isNotNull()).select("node")
         if further.isEmpty():
             return
         rest = salted_filter(small, further, ["node"], ["sid"])
-        left = stored(suspects(self.labelled(rest), block))
+        known = stored(self.known())
+        left = stored(suspects(rest.join(known, "sid"), block))
         if left.isEmpty():
             return
-        sets = self.sets.select("sid", "n", "sketch").join(self.shingles(left.select("sid")), "sid")
+        sets = known.join(self.shingles(left.select("sid")), "sid")
         whole = left.select(F.xxhash64("node", "part").alias("node"), "sid").join(sets, "sid")
-        self.add(exact_links(self.labelled(whole)))
+        self.add(exact_links(whole))
 
 
 def near_duplicates(
