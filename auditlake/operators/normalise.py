@@ -508,7 +508,8 @@ def only_changed(
     for tool, suffixes in SCOPED_TOOLS.items():
         fits = suffix.isin(*suffixes) if suffixes else F.lit(True)
         allowed = allowed | ((F.col("tool") == tool) & fits)
-    joined = findings.join(marks, ["project", "file"], "left")
+    # a lock file may hold very many findings
+    joined = salted_lookup(findings, marks, ["project", "file"], ["rule_id", "line", "message"])
     kept = ~F.col("tool").isin(*SCOPED_TOOLS) | (F.col("_changed").isNotNull() & allowed)
     if empty_scope != "none":
         scoped = changed.select("project").distinct().withColumn("_scoped", F.lit(True))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from auditlake import catalog
 from auditlake.functions import text as tx
-from auditlake.functions.scale import salted_lookup
+from auditlake.functions.scale import SALT_BUCKETS
 from auditlake.functions.sql import all_of, any_of, array, has_any, matches, quote, strings
 from auditlake.operators.selection import eligible_files
 from auditlake.schemas import FINDING_COLUMNS
@@ -498,15 +498,18 @@ def scan(
 def _settle_with_side_inputs(findings: DataFrame, side: DataFrame) -> DataFrame:
     """Drop findings that a root ``.gitignore`` or ``.npmrc`` makes void.
 
-    Only the two rules that need it meet their project's row; other findings carry a
-    null key, spread over all tasks by their salt.
+    Only the two rules that need it meet their project's row, salted; other findings have a
+    null key and a salt of their own each, so they spread over all tasks.
     """
     asked = F.col("rule_id").isin("SEC-002", "SEC-012")
-    key = F.when(asked, F.col("project"))
-    joined = salted_lookup(
-        findings.withColumn("_side_project", key),
-        side.withColumnRenamed("project", "_side_project"), ["_side_project"], ["file", "line"],
-    ).drop("_side_project")
+    place = F.xxhash64("file", "line", "match_start")
+    salted = findings.withColumn("_side_project", F.when(asked, F.col("project"))).withColumn(
+        "_side_salt", F.when(asked, F.pmod(place, F.lit(SALT_BUCKETS))).otherwise(place))
+    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT_BUCKETS - 1).cast("bigint")))
+    joined = salted.join(
+        side.withColumnRenamed("project", "_side_project").withColumn("_side_salt", salts),
+        ["_side_project", "_side_salt"], "left",
+    ).drop("_side_project", "_side_salt")
     ignored = (
         "arrays_overlap(coalesce(ignored_env, cast(array() AS array<string>)), "
         f"array({strings(catalog.ENV_IGNORE_LINES)}, name))"

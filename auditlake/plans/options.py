@@ -26,6 +26,7 @@ class ScanOptions:
     tool_overrides: dict[str, Any] = field(default_factory=dict)
     public_scopes: tuple[str, ...] = tuple(catalog.PUBLIC_SCOPES)
     empty_scope: str = "full"  # full | none: what an empty change set scans
+    measured: bool = False  # run every domain now, behind its own boundary, and time it
 
     def __post_init__(self) -> None:
         for name, allowed in (

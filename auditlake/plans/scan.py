@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,11 +14,15 @@ from auditlake.functions.scale import salted_filter, stored
 from auditlake.operators import findings as fd
 from auditlake.operators import normalise, profile, rules
 from auditlake.operators.selection import eligible_files
+from auditlake.plans.isolate import reason, run_isolated
 from auditlake.plans.options import ScanOptions
 from auditlake.plans.registry import Registry, run_domain
+from auditlake.schemas import FINDINGS
 from auditlake.sources import changes as ch
 from auditlake.sources import reports as rp
 
+#: The job that reads all tools' reports in one pass.
+TOOL_REPORTS = "tool reports"
 
 @dataclass
 class ScanOutcome:
@@ -84,7 +89,13 @@ def scan_projects(
     root_files: DataFrame | None = None,
     registry: Registry | None = None,
 ) -> ScanOutcome:
-    """Scan many projects over all their domains."""
+    """Scan many projects over all their domains.
+
+    Custom domains run at once, each behind a failure boundary of its own
+    (:mod:`auditlake.plans.isolate`): one that raises gives an error row and a failed
+    domain row, and all other findings stay. With ``options.measured`` the built-in scan and
+    the tool reports run that way too, so that times and failures are known for them.
+    """
     opts = options or ScanOptions()
     reg = registry or Registry()
     roots = files if root_files is None else root_files
@@ -97,6 +108,7 @@ def scan_projects(
     projects = stored(files.select("project").distinct())
     wanted = asked.where(F.col("domain").isin(*reg.names()))
 
+    jobs: dict[str, Callable[[], DataFrame]] = {}
     parts = []
     available = projects.withColumn("domain", F.lit("security"))
     ran = available.select(
@@ -114,39 +126,72 @@ def scan_projects(
     )
     security = reg.get("security")
     if security is not None and security.scan is None:
-        parts.append(
-            rules.scan(scoped, roots, public_scopes=opts.public_scopes,
-                       skipped_dirs=opts.exclude_patterns)
+        jobs["security"] = lambda: rules.scan(
+            scoped, roots, public_scopes=opts.public_scopes, skipped_dirs=opts.exclude_patterns
         )
     if reports is not None:
         # tool choice is applied to the findings: one lookup instead of one per tool
         replaced = stored(rp.replaced_tools(reports))
-        found = salted_filter(
+        by_tools = salted_filter(
             normalise.normalise(reports), replaced, ["project", "tool"], ["file", "line"], anti=True
         )
-        found = normalise.apply_overrides(
-            found,
+        by_tools = normalise.apply_overrides(
+            by_tools,
             opts.tool_overrides.get("lint", {}).get("ruff", {}).get("select", ()),
             opts.tool_overrides.get("iac", {}).get("skip", ()),
         )
         if opts.scan_mode != "full" and changes is not None:
             paths = ch.scope_paths(changes, opts.scan_mode, opts.base_ref)
-            found = normalise.only_changed(found, paths, reports, opts.empty_scope)
-        parts.append(found)
+            by_tools = normalise.only_changed(by_tools, paths, reports, opts.empty_scope)
+        jobs[TOOL_REPORTS] = lambda: by_tools
         tools = stored(rp.tool_runs(reports).join(replaced, ["project", "tool"], "left_anti"))
         with_tool = tools.select("project", rp.domain_of(F.col("tool")).alias("domain")).distinct()
         available = available.unionByName(with_tool)
         ran = ran.unionByName(normalise.domain_runs(tools).withColumn("rank", F.lit(1)))
         errors = errors.unionByName(normalise.report_errors(rp.preferred_tools(reports)))
+    if not opts.measured:
+        parts += [build() for build in jobs.values()]
+        jobs = {}
+    custom: dict[str, int] = {}
+    crashed: dict[str, str] = {}
     for rank, domain in enumerate(reg.custom(), 2):
-        if domain.available():
-            parts.append(run_domain(domain, scoped, opts))
-            mine = projects.withColumn("domain", F.lit(domain.name))
-            available = available.unionByName(mine)
-            ran = ran.unionByName(mine.select(
-                "project", "domain", F.lit(domain.name).alias("tool"), F.lit("").alias("version"),
-                F.lit(0.0).alias("time"), F.lit(rank).alias("rank"),
-            ))
+        try:
+            there = domain.available()
+        except Exception as exc:
+            crashed[domain.name] = reason(exc)
+            there = True
+        if there:
+            custom[domain.name] = rank
+            if domain.name not in crashed:
+                jobs[domain.name] = partial(run_domain, domain, scoped, opts)
+    seconds: dict[str, float] = {}
+    for run in run_isolated(files.sparkSession, jobs):
+        seconds[run.name] = run.seconds
+        if run.error is not None:
+            crashed[run.name] = run.error
+        else:
+            parts.append(run.found)
+    if seconds.get("security"):
+        ran = ran.withColumn(
+            "time", F.when(F.col("rank") == 0, F.lit(seconds["security"])).otherwise(F.col("time")))
+    for name, rank in custom.items():
+        mine = projects.withColumn("domain", F.lit(name))
+        available = available.unionByName(mine)
+        ran = ran.unionByName(mine.select(
+            "project", "domain", F.lit(name).alias("tool"), F.lit("").alias("version"),
+            F.lit(0.0 if name in crashed else seconds[name]).alias("time"), F.lit(rank).alias("rank"),
+        ))
+    for name, error in crashed.items():
+        lost = projects.withColumn("domain", F.lit(name))
+        if name == TOOL_REPORTS:  # all domains whose tools reported
+            lost = with_tool
+        errors = errors.unionByName(lost.select(
+            "project", "domain",
+            F.concat(F.lit("Domain '"), F.col("domain"), F.lit(f"' crashed: {error}")).alias("error"),
+            F.lit(True).alias("failed"),
+        ))
+    if not parts:
+        parts.append(files.sparkSession.createDataFrame([], FINDINGS))
     found = fd.merge(*parts)
     if opts.domains:
         found = found.where(F.col("domain").isin(*opts.domains))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.functions.scale import salted_filter
 from auditlake.functions.text import SPACE
 
 UNCOMMITTED = ["staged", "unstaged", "untracked"]
@@ -74,5 +75,5 @@ def in_scope(
     changed = only_paths(files, paths)
     if empty_scope == "none":
         return changed
-    untouched = files.join(paths.select("project").distinct(), "project", "left_anti")
+    untouched = salted_filter(files, paths, ["project"], ["path"], anti=True)
     return changed.unionByName(untouched.select(*changed.columns))

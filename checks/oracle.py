@@ -142,7 +142,7 @@ _SECTIONS = " UNION ALL ".join(
 )
 _E2, _E12N, _E12S = (catalog.RULE_TEXTS[k] for k in ("SEC-002", "SEC-012/names", "SEC-012/scopes"))
 CTES["tlines"] = """
-tlines AS (
+tlines AS MATERIALIZED (
   SELECT c.*, e.name, e.suffix FROM ctx c JOIN elig e USING (project, path) WHERE e.suffix <> '.json')"""
 CTES["deps"] = f"""
 dep_rows AS (
@@ -824,3 +824,13 @@ SELECT project, domain, severity, count(*) AS findings FROM merged GROUP BY ALL"
 oracle("custom_domain", "files", """
 SELECT project, path AS file, 'DOC-001' AS rule_id, 'LOW' AS severity, 'docs' AS tool
 FROM files WHERE path LIKE '%.md'""")
+oracle("isolated_domains", "sec", """
+SELECT p.project, d.domain, d.tool, d.crash = '' AS timed,
+  CASE d.domain WHEN 'security' THEN coalesce(s.n, 0) WHEN 'docs' THEN coalesce(m.n, 0) ELSE 0 END AS findings,
+  d.crash = '' AND (d.domain <> 'security' OR coalesce(s.bad, 0) = 0) AS passed, d.crash
+FROM (SELECT DISTINCT project FROM files) p
+CROSS JOIN (VALUES ('security', 'builtin', ''), ('docs', 'docs', ''), ('badbuild', 'badbuild', 'no configuration'),
+  ('badtask', 'badtask', 'no rules loaded'), ('badprobe', 'badprobe', 'tool not answering')) d(domain, tool, crash)
+LEFT JOIN (SELECT project, count(*) AS n, count(*) FILTER (severity IN ('CRITICAL', 'HIGH')) AS bad
+  FROM sec GROUP BY 1) s ON s.project = p.project
+LEFT JOIN (SELECT project, count(*) AS n FROM files WHERE path LIKE '%.md' GROUP BY 1) m ON m.project = p.project""")

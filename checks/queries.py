@@ -833,3 +833,38 @@ def custom_domain(spark, sf):
         root_files=corpus.root_files(spark, sf), registry=registry,
     )
     return outcome.findings.where("domain = 'docs'").select("project", "file", "rule_id", "severity", "tool")
+
+
+def _broken_task(files, options):
+    """A custom domain that fails inside its tasks."""
+    return _undocumented(files, options).withColumn(
+        "message", F.when(F.length("file") > 0, F.raise_error("no rules loaded")).otherwise(F.lit("")))
+
+
+def _broken_build(files, options):
+    """A custom domain that fails before it has a plan."""
+    raise RuntimeError("no configuration")
+
+
+def _broken_probe():
+    raise OSError("tool not answering")
+
+
+@query
+def isolated_domains(spark, sf):
+    """Domains that fail at build, in a task and when probed, beside ones that work."""
+    registry = Registry()
+    registry.register(Domain("docs", scan=_undocumented))
+    registry.register(Domain("badbuild", scan=_broken_build))
+    registry.register(Domain("badtask", scan=_broken_task))
+    registry.register(Domain("badprobe", scan=_undocumented, available=_broken_probe))
+    outcome = plan.scan_projects(
+        corpus.files(spark, sf),
+        ScanOptions(domains=("security", "docs", "badbuild", "badtask", "badprobe"), measured=True),
+        root_files=corpus.root_files(spark, sf), registry=registry,
+    )
+    crash = F.regexp_extract("error", "crashed: .*?(no configuration|no rules loaded|tool not answering)", 1)
+    return outcome.domain_results.select(
+        "project", "domain", "tool", (F.col("time") > 0).alias("timed"), "findings", "passed",
+        crash.alias("crash"),
+    )
