@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditlake.functions.scale import top_n
+from auditlake.schemas import SNAPSHOTS
+from auditlake.sinks.store import LogStore
 
 MAX_SNAPSHOTS = 90
 DEFAULT_LAST = 10
@@ -105,3 +108,18 @@ def trend(history: DataFrame) -> DataFrame:
         .otherwise("→ stable")
     )
     return pair.select("project", "latest", "previous", text.alias("trend"))
+
+
+def history_store(spark: SparkSession, folder: str, keep: int = MAX_SNAPSHOTS, buckets: int = 16) -> LogStore:
+    """Snapshots of which a project keeps its last ``keep``, on disk as well once compacted.
+
+    Append order is ``run_seq``; a run that is appended again replaces itself.
+    """
+
+    def merge(base: DataFrame, delta: DataFrame) -> DataFrame:
+        key = ["project", "run_seq"]
+        fields = F.struct(*(c for c in delta.columns if c not in (*key, "_delta")))
+        new = delta.groupBy(*key).agg(F.max_by(fields, "_delta").alias("run")).select(*key, "run.*")
+        return retain(base.join(new.select(*key), key, "left_anti").unionByName(new), keep)
+
+    return LogStore(spark, folder, T.StructType.fromDDL(SNAPSHOTS), ["project"], merge, buckets)

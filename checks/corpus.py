@@ -276,7 +276,7 @@ VERSION_PATH_SQL = "concat('src/f', cast(user_id % 50 as varchar(20)), '.js')"
 VERSION_OP_SQL = "CASE WHEN event_type = 'signup' THEN 'remove' ELSE 'write' END"
 
 
-def versions_of(events: DataFrame) -> DataFrame:
+def versions_of(events: DataFrame, *more: str) -> DataFrame:
     """File versions from an events table or stream: one version per event."""
     snippet = _snippet("event_id")
     return events.select(
@@ -286,6 +286,7 @@ def versions_of(events: DataFrame) -> DataFrame:
         F.col("event_id").alias("version"),
         F.expr(VERSION_OP_SQL).alias("op"),
         snippet.alias("content"),
+        *more,
     )
 
 

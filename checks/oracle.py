@@ -834,3 +834,7 @@ CROSS JOIN (VALUES ('security', 'builtin', ''), ('docs', 'docs', ''), ('badbuild
 LEFT JOIN (SELECT project, count(*) AS n, count(*) FILTER (severity IN ('CRITICAL', 'HIGH')) AS bad
   FROM sec GROUP BY 1) s ON s.project = p.project
 LEFT JOIN (SELECT project, count(*) AS n FROM files WHERE path LIKE '%.md' GROUP BY 1) m ON m.project = p.project""")
+ORACLE["maintained_findings"] = ORACLE["current_findings"]
+ORACLE["stream_rescan_once"] = ORACLE["stream_rescan"]
+ORACLE["published_totals"] = ORACLE["stream_scanned_total"]
+ORACLE["history_store_retention"] = ORACLE["history_retention"]

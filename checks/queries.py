@@ -19,6 +19,7 @@ from auditlake.plans import scan as plan
 from auditlake.plans.options import ScanOptions
 from auditlake.plans.registry import Domain, Registry
 from auditlake.sinks import reports as sink
+from auditlake.sinks.store import Published
 from auditlake.sources import changes as ch
 from auditlake.sources import files as fl
 from auditlake.sources import reports as rp
@@ -868,3 +869,65 @@ def isolated_domains(spark, sf):
         "project", "domain", "tool", (F.col("time") > 0).alias("timed"), "findings", "passed",
         crash.alias("crash"),
     )
+
+
+# -------------------------------------------------- stores that are kept up to date
+def _scratch(spark, name):
+    return scratch_folder(spark, name).removesuffix("/rows")
+
+
+@query
+def maintained_findings(spark, sf):
+    """The current view from a store: first scan, a stream of changes, compaction, an old batch again."""
+    folder = _scratch(spark, "current")
+    view = watch.CurrentFindings(spark, f"{folder}/view")
+    view.start(_scan(spark, sf))
+    roots = corpus.root_files(spark, sf)
+    started = view.follow(
+        corpus.versions_of(_event_stream(spark, sf)), roots, f"{folder}/checkpoint", available_now=True)
+    started.awaitTermination()
+    view.store.compact()
+    view.change(_events_versions(spark, sf), roots, batch_id=0)
+    return view.read().select("project", "rule_id", "severity", "file", "line", "message")
+
+
+@query
+def stream_rescan_once(spark, sf):
+    """Every event is delivered twice; findings are those of one delivery."""
+    twice = _event_stream(spark, sf)
+    twice = twice.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    versions = corpus.versions_of(twice, "ts")
+    folder = _scratch(spark, "once")
+    started = watch.start_rescan(
+        watch.delivered_once(versions, "ts"), corpus.root_files(spark, sf), folder,
+        f"{folder}/checkpoint", available_now=True,
+    )
+    started.awaitTermination()
+    return spark.read.parquet(f"{folder}/findings").select(
+        "project", "file", "version", "rule_id", "line", "message"
+    )
+
+
+@query
+def published_totals(spark, sf):
+    """Running totals, read as the latest published version."""
+    folder = _scratch(spark, "published")
+    started = watch.start_published_total(
+        corpus.versions_of(_event_stream(spark, sf)), f"{folder}/totals", f"{folder}/checkpoint",
+        available_now=True,
+    )
+    started.awaitTermination()
+    return Published(spark, f"{folder}/totals").read().select("project", "scanned_files")
+
+
+@query
+def history_store_retention(spark, sf):
+    """History appended to its store in two halves, trimmed on disk, read back."""
+    kept = history.history_store(spark, _scratch(spark, "history"))
+    runs = stored(_snapshots(spark, sf))
+    late = F.col("run_seq") > F.lit(45)
+    kept.append(runs.where(~late))
+    kept.compact()
+    kept.append(runs.where(late))
+    kept.compact()
+    return kept.read().select("project", "run_seq", "health_score")
