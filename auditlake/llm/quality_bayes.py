@@ -1,12 +1,15 @@
 """Quality classifier: document evidence within hierarchical empirical Bayes.
 
-1. Evidence. Every text becomes a set of features: lower-cased words by their whole 64-bit
-   hash, so no word stands for another, and binned statistics. Labelled documents give, for each feature, counts of documents with and
-   without the trait, added up within tasks; features whose log odds are clearly not
-   zero weigh in. A text's evidence is the sum of its ``STRONGEST`` largest weights of
+1. Evidence. Every text becomes a set of features: lower-cased words without punctuation, by
+   their whole 64-bit hash, so no word stands for another, and binned statistics. At most
+   ``SAMPLE`` labelled documents, chosen by hash, give for each feature counts of documents
+   with and without the trait, added up within tasks; the sample is broadcast to the
+   texts, which stay where they are. Features whose log odds are clearly not
+   zero weigh in; they are features of the sample, so their number is bounded with it. A
+   text's evidence is the sum of its ``STRONGEST`` largest weights of
    each sign, so that a long text does not gather many weak ones; it is calibrated by a
    logistic curve on at most ``SAMPLE`` labelled documents.
-2. Sites. Labelled documents are counted by host and by path. A host's rate is shrunk
+2. Sites. All labelled documents are counted by host and by path. A host's rate is shrunk
    toward the global rate, a path's toward its host's; how strongly follows from how
    much rates differ between sites beyond chance (method of moments), so sparse sites
    stay near their parent.
@@ -17,7 +20,7 @@ neither.
 
 Defined cases: null and empty texts have the features of an empty text; a null host or
 path is a site of its own; repeated rows are each judged; several labels of a document
-count each, null labels not; without labels of both kinds a trait has no evidence and
+count each; a document with one label counts for that trait alone; without labels of both kinds a trait has no evidence and
 the rate 0; other columns than the id, text, host and path are not read.
 """
 
@@ -36,16 +39,18 @@ from auditlake.llm.words import Words, map_batches, mixed, parts, pieces, texts
 
 SAMPLE = 20_000
 BINS = 8
-Z = 4.0
+Z = 5.0
 LEAST = 1.0
 SEEN = 5
 STRONGEST = 1
 TRAITS = ("bad", "toxic")
+_COUNTS = ("n_bad", "bad", "n_toxic", "toxic")
 _SHARES = (
     ("n_symbols", "n_words"), ("word_chars", "n_words"), ("n_repeat_words", "n_words"),
     ("n_dup_lines", "n_lines"), ("n_top", "n_words"),
     ("n_capital", "n_words"), ("n_short", "n_words"),
 )
+_MARKS = bytes.maketrans(b".,;:!?\"()[]{}#*$%&|<>", b" " * 21)
 N_FEATURES = len(_SHARES) * (BINS + 1)
 # beside word hashes: binned statistics below N_FEATURES, and ALL, which counts every text
 ALL = N_FEATURES
@@ -54,7 +59,7 @@ COUNTED = 1 << 18
 
 def _features(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) pairs, each once; words are whole 64-bit hashes."""
-    w = Words([t.lower() for t in raw])
+    w = Words([t.lower().translate(_MARKS) for t in raw])
     found = _statistics(raw)
     docs, features = [w.doc.astype(np.int64)], [w.hashes().view(np.int64)]
     every = np.arange(len(raw))
@@ -80,6 +85,14 @@ def _added_up(feature: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.nd
     return feature[start], np.add.reduceat(marks[order], start, axis=0) if len(start) else marks[:0]
 
 
+def _known_marks() -> list[Column]:
+    """Documents with a label and with the trait, for each trait; a null label is neither."""
+    return [
+        F.coalesce(c, F.lit(0)).cast("bigint").alias(name)
+        for t in TRAITS for name, c in ((f"n_{t}", F.col(t).isNotNull().cast("int")), (t, F.col(t)))
+    ]
+
+
 def clear_features(taught: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(features, weights by trait) of the features that are clear of chance, sorted.
 
@@ -95,14 +108,12 @@ def clear_features(taught: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         def flush() -> pa.RecordBatch:
             at, sums = _added_up(*(np.concatenate(x) for x in zip(*held)))
             return pa.RecordBatch.from_arrays(
-                [pa.array(at), *(pa.array(sums[:, k]) for k in range(3))],
-                names=["feature", "n", "bad", "toxic"],
+                [pa.array(at), *(pa.array(sums[:, k]) for k in range(4))], names=["feature", *_COUNTS],
             )
 
         for batch in parts(batches):
             raw = texts(batch, "text")
-            marks = np.stack([np.ones(len(raw), dtype=np.int64),
-                              *(batch.column(i).to_numpy() for i in (1, 2))], axis=1)
+            marks = np.stack([batch.column(i).to_numpy() for i in range(1, 5)], axis=1)
             held.append((np.array([ALL]), marks.sum(axis=0)[None, :]))
             for lo, hi in pieces(raw):
                 doc, feature = _features(raw[lo:hi])
@@ -115,19 +126,22 @@ def clear_features(taught: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield flush()
 
     counts = stored(
-        map_batches(taught.select("text", "bad", "toxic"), run, "feature long, n long, bad long, toxic long")
-        .groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("toxic").alias("toxic"))
-        .where((F.col("n") >= SEEN) | (F.col("feature") == ALL))
+        map_batches(taught.select("text", *_known_marks()), run,
+                    "feature long, " + ", ".join(f"{c} long" for c in _COUNTS))
+        .groupBy("feature").agg(*(F.sum(c).alias(c) for c in _COUNTS))
+        .where((F.greatest("n_bad", "n_toxic") >= SEEN) | (F.col("feature") == ALL))
     )
-    total = counts.where(F.col("feature") == ALL).select("n", "bad", "toxic").first()
+    total = counts.where(F.col("feature") == ALL).select(*_COUNTS).first()
     if total is None:
         return np.empty(0, dtype=np.int64), np.empty((0, 2), dtype=np.float32)
     whole = np.array(total, dtype=float)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(4)]
-            w = weights(np.stack(columns[1:], axis=1).astype(float), whole)
+            columns = [batch.column(i).to_numpy() for i in range(5)]
+            c = np.stack(columns[1:], axis=1).astype(float)
+            # each trait over the documents that have its label
+            w = np.stack([weights(c[:, [k, k + 1, k + 1]], whole[[k, k + 1, k + 1]])[:, 0] for k in (0, 2)], axis=1)
             use = w.any(axis=1) & (columns[0] != ALL)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0][use]), *(pa.array(w[use, k]) for k in range(2))],
@@ -151,9 +165,11 @@ def weights(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
         if not n_pos or not n_neg:
             continue
         log_odds = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
-        error = np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-        out[:, k - 1] = np.where(
-            np.abs(log_odds) > np.maximum(Z * error, LEAST), log_odds, 0)
+        # likelihood ratio against the global rate: also right for few documents
+        rate, n = total[k] / total[0], np.maximum(counts[:, 0], 1)
+        deviance = 2 * (pos * np.log(np.maximum(pos, 1) / (n * rate))
+                        + neg * np.log(np.maximum(neg, 1) / (n * (1 - rate))))
+        out[:, k - 1] = np.where((deviance > Z * Z) & (np.abs(log_odds) > LEAST), log_odds, 0)
     return out
 
 
@@ -221,7 +237,8 @@ def calibrate(evidence: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 def _strength(groups: DataFrame, parent: str, trait: str) -> float:
     """How many documents a parent's rate counts for, from the spread between sites."""
-    n, k, p = F.col("n"), F.col(f"n_{trait}"), F.col(parent)
+    groups = groups.where(F.col(f"n_{trait}") > 0)
+    n, k, p = F.col(f"n_{trait}"), F.col(trait), F.col(parent)
     r = groups.agg(
         F.sum(n).alias("N"), F.sum(n * n).alias("NN"), F.count("*").alias("G"),
         F.sum(n * (k / n - p) * (k / n - p)).alias("S"), F.sum(n * p * (1 - p)).alias("V"),
@@ -235,23 +252,23 @@ def _strength(groups: DataFrame, parent: str, trait: str) -> float:
     return float(min(max(chance / between - 1, 1.0), 1e6))
 
 
-def site_rates(taught: DataFrame) -> tuple[DataFrame, dict[str, float]]:
-    """(host, path, r_bad, r_toxic): path rates shrunk to hosts' and those to the global ones."""
-    sums = [F.count("*").alias("n"), *(F.sum(t).alias(f"n_{t}") for t in TRAITS)]
-    paths = stored(taught.groupBy("host", "path").agg(*sums))
-    again = [F.sum(c).alias(c) for c in ("n", *(f"n_{t}" for t in TRAITS))]
-    hosts = stored(paths.groupBy("host").agg(*again))
-    total = hosts.agg(*again).first()
-    rates = {t: (total[f"n_{t}"] or 0) / total.n if total.n else 0.0 for t in TRAITS}
+def site_rates(taught: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, float]]:
+    """Rates of paths shrunk to hosts' (host, path, r_bad, r_toxic), of hosts shrunk to the
+    global ones (host, h_bad, h_toxic), and the global ones; each trait over its own labels."""
+    sums = [F.sum(c).alias(c) for c in _COUNTS]
+    paths = stored(taught.select("host", "path", *_known_marks()).groupBy("host", "path").agg(*sums))
+    hosts = stored(paths.groupBy("host").agg(*sums))
+    total = hosts.agg(*sums).first()
+    rates = {t: (total[t] or 0) / total[f"n_{t}"] if total[f"n_{t}"] else 0.0 for t in TRAITS}
     for t in TRAITS:
         m = _strength(hosts.withColumn("g", F.lit(rates[t])), "g", t)
-        hosts = hosts.withColumn(f"h_{t}", (F.col(f"n_{t}") + m * rates[t]) / (F.col("n") + m))
+        hosts = hosts.withColumn(f"h_{t}", (F.col(t) + m * rates[t]) / (F.col(f"n_{t}") + m))
     shrunk = hosts.select(F.col("host").alias("h"), *(f"h_{t}" for t in TRAITS))
     paths = paths.join(shrunk, F.col("host").eqNullSafe(F.col("h")))
     out = stored(paths)
     for t in TRAITS:
         m = _strength(out, f"h_{t}", t)
-        out = out.withColumn(f"r_{t}", (F.col(f"n_{t}") + m * F.col(f"h_{t}")) / (F.col("n") + m))
+        out = out.withColumn(f"r_{t}", (F.col(t) + m * F.col(f"h_{t}")) / (F.col(f"n_{t}") + m))
     return out.select("host", "path", *(f"r_{t}" for t in TRAITS)), hosts, rates
 
 
@@ -273,8 +290,10 @@ def classify(
     marks = labels.select(
         F.col(label_id_col).alias("id"), (F.col(quality_col) == 0).cast("bigint").alias("bad"),
         (F.col(toxic_col) == 1).cast("bigint").alias("toxic"),
-    ).dropna()
-    clear = clear_features(rows.select("id", "text").join(marks, "id"))
+    ).where("id IS NOT NULL AND (bad IS NOT NULL OR toxic IS NOT NULL)")
+    chosen = marks.orderBy(F.xxhash64("id"), "id", "bad", "toxic").limit(sample)
+    # at most ``sample`` narrow rows are sent, so no text moves
+    clear = clear_features(rows.select("id", "text").join(F.broadcast(chosen), "id"))
     judged = stored(with_evidence(rows, clear, ["id", "host", "path"]))
     taught = stored(judged.join(marks, "id"))
     seen = taught.orderBy(F.xxhash64("id"), "id").limit(sample).select("e_bad", "e_toxic", *TRAITS).toPandas()
@@ -282,7 +301,8 @@ def classify(
     hosts = hosts.select("host", *(f"h_{t}" for t in TRAITS))
     sited = salted_lookup(salted_lookup(judged, hosts, ["host"], ["id"]), paths, ["host", "path"], ["id"])
     for t in TRAITS:
-        slope, offset = calibrate(seen[f"e_{t}"].to_numpy(float), seen[t].to_numpy(float))
+        known = seen[seen[t].notna()]
+        slope, offset = calibrate(known[f"e_{t}"].to_numpy(float), known[t].to_numpy(float))
         rate = F.coalesce(f"r_{t}", f"h_{t}", F.lit(rates[t]))
         odds = F.col(f"e_{t}") * slope + offset + _logit(rate) - _logit(F.lit(rates[t]))
         p = 1 / (1 + F.exp(-odds)) if 0 < rates[t] < 1 else F.lit(rates[t])

@@ -157,3 +157,104 @@ def test_weights_and_calibration():
     assert calibrate(x, np.ones(2001)) == (0.0, 0.0)
     doc, weight = np.array([0, 0, 0, 2, 2]), np.array([1.0, 3.0, -2.0, -1.0, 0.0])
     assert strongest(doc, weight, 3).tolist() == [1.0, 0.0, -1.0]
+
+
+# --- classifier: bounded sample, labels apart, sites --------------------------------
+
+
+@tables
+def test_toxic_documents_are_caught(spark):
+    """On held-out labels, from the 2,000 others: 0.88 of the toxic documents, nearly all that
+    have a word which the others show in 20 toxic documents and no clean one, and hardly a
+    clean document."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    part = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(2))
+    judged = classify(docs, labels.where(part == 0), F.col("source"), F.col("lang")).join(
+        labels.where(part == 1), "doc_id").withColumn("found", (F.col("p_toxic") >= 0.5).cast("int"))
+    rate = {r.toxic: r.rate for r in judged.groupBy("toxic").agg(F.avg("found").alias("rate")).collect()}
+    assert rate[1] >= 0.85 and rate[0] <= 0.02
+    words = F.explode(F.array_distinct(F.split(F.lower("text"), r'[\s.,;:!?"()\[\]{}#*$%&|<>]+')))
+    nasty = (
+        docs.join(labels.where(part == 0), "doc_id").select("toxic", words.alias("word")).groupBy("word")
+        .agg(F.count("*").alias("n"), F.avg("toxic").alias("share")).where("n >= 20 AND share = 1")
+    )
+    truly = docs.select("doc_id", words.alias("word")).join(F.broadcast(nasty), "word").select("doc_id").distinct()
+    assert judged.join(truly, "doc_id").agg(F.avg("found")).first()[0] >= 0.99
+
+
+def test_labels_of_one_trait_alone_teach_it(spark, make_docs, prose):
+    pairs = [(i, prose(i, 60) + (" nastyword," if i % 4 == 0 else "") + (" junkword" if i % 4 == 1 else ""))
+             for i in range(800)]
+    labels = spark.createDataFrame(
+        [(i, None if i % 2 else int(i % 4 != 1), int(i % 4 == 0) if i % 2 == 0 else None) for i, _ in pairs[:400]]
+        + [(i, int(i % 4 != 1), None) for i, _ in pairs[:400] if i % 2],
+        "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r for r in classify(make_docs(pairs), labels, F.lit("h"), F.lit("p")).collect()}
+    held = range(400, 800)
+    assert all((got[i].p_toxic > 0.5) == (i % 4 == 0) for i in held)
+    assert all((got[i].p_bad > 0.5) == (i % 4 == 1) for i in held)
+
+
+def test_few_labelled_rows_are_sent_and_no_text_moves(spark, make_docs, prose):
+    from auditlake.llm import quality_bayes
+
+    pairs = [(i, prose(i, 40) + (" nastyword" if i % 2 else "")) for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in pairs], "doc_id bigint, quality int, toxic int")
+    seen = []
+    inner = quality_bayes.clear_features
+
+    def spy(taught):
+        seen.append((taught.count(), taught._jdf.queryExecution().executedPlan().toString()))
+        return inner(taught)
+
+    quality_bayes.clear_features = spy
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = classify(make_docs(pairs), labels, F.lit("h"), F.lit("p"), sample=100).collect()
+    finally:
+        quality_bayes.clear_features = inner
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert seen[0][0] == 100 and "BroadcastHashJoin" in seen[0][1] and "SortMergeJoin" not in seen[0][1]
+    assert all((r.p_toxic > 0.5) == (r.doc_id % 2 == 1) for r in rows)
+
+
+def test_site_rates_equal_brute_force(spark):
+    from auditlake.llm.quality_bayes import site_rates
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for host, rate in (("a", 0.1), ("b", 0.5), ("c", 0.9), ("", 0.3)):
+        for path in range(5):
+            for _ in range(int(rng.integers(1, 60))):
+                bad = None if rng.random() < 0.2 else int(rng.random() < rate)
+                rows.append((host, f"p{path}", bad, None if rng.random() < 0.5 else int(rng.random() < 0.05)))
+    paths, hosts, rates = site_rates(spark.createDataFrame(rows, "host string, path string, bad int, toxic int"))
+    got = {(r.host, r.path): r for r in paths.collect()}
+
+    def strength(groups):
+        groups = [g for g in groups if g[0]]
+        n = np.array([g[0] for g in groups], float)
+        k, p = np.array([g[1] for g in groups], float), np.array([g[2] for g in groups], float)
+        chance = (n * p * (1 - p)).sum() / n.sum()
+        between = ((n * (k / n - p) ** 2).sum() - (len(n) - 1) * chance) / max(n.sum() - (n * n).sum() / n.sum(), 1e-9)
+        return 1e6 if between <= 0 or chance <= 0 else min(max(chance / between - 1, 1.0), 1e6)
+
+    for column, trait in ((2, "bad"), (3, "toxic")):
+        def tally(keep):
+            known = [r[column] for r in rows if r[column] is not None and keep(r)]
+            return len(known), sum(known)
+
+        n, k = tally(lambda r: True)
+        assert rates[trait] == pytest.approx(k / n)
+        names = sorted({r[0] for r in rows})
+        of_host = {h: tally(lambda r: r[0] == h) for h in names}
+        m = strength([(*of_host[h], k / n) for h in names])
+        h_rate = {h: (of_host[h][1] + m * k / n) / (of_host[h][0] + m) for h in names}
+        sites = sorted({r[:2] for r in rows})
+        of_path = {s: tally(lambda r: r[:2] == s) for s in sites}
+        m = strength([(*of_path[s], h_rate[s[0]]) for s in sites])
+        for s in sites:
+            want = (of_path[s][1] + m * h_rate[s[0]]) / (of_path[s][0] + m)
+            assert got[s][f"r_{trait}"] == pytest.approx(want)
