@@ -59,8 +59,9 @@ ENOUGH = 80
 LIKELY = 102
 #: The same margin for the first bytes alone.
 HEAD, HEAD_ENOUGH = 32, 12
-COMPARED = 1 << 20
+COMPARED = 1 << 22
 BLOCK = 1 << 21
+STAR = 128
 MEMBERS = 1 << 14
 _ODD = np.random.default_rng(20250611).integers(1, 1 << 63, FUNCTIONS, dtype=np.uint64) | np.uint64(1)
 _XOR = np.random.default_rng(20250612).integers(1, 1 << 63, FUNCTIONS, dtype=np.uint64)
@@ -141,7 +142,7 @@ def with_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(sid, shingles) of the ``wanted`` (id, row_hash) rows."""
+    """(sid, shingles) of the ``wanted`` (id, row_hash) rows, repeated rows as often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 64):
@@ -158,8 +159,7 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) ->
     wanted = wanted.select(F.col("id").alias("want_id"), F.col("row_hash").alias("want_hash"))
     found = rows.join(
         wanted, rows["id"].eqNullSafe(wanted["want_id"]) & (rows["row_hash"] == wanted["want_hash"]), "left_semi")
-    sets = map_batches(found.select("text"), run, "sid binary, shingles array<bigint>")
-    return sets.dropDuplicates(["sid"])  # repeated rows
+    return map_batches(found.select("text"), run, "sid binary, shingles array<bigint>")
 
 
 def _sizes_fit(m, n):
@@ -342,31 +342,31 @@ class Join:
         self.tagged = stored(with_sets(docs, id_col, text_col))
         self.sets = stored(self.tagged.where("n > 0").dropDuplicates(["sid"]))
         self.labels: DataFrame | None = None
-
-    def shingles(self, sids: DataFrame) -> DataFrame:
-        """(sid, shingles) of these sets, from one document each."""
-        wanted = self.sets.select("sid", "id", "row_hash").join(sids.distinct(), "sid", "left_semi")
-        return stored(full_sets(self.docs, self.id_col, self.text_col, wanted))
+        again = self.tagged.groupBy("id", "row_hash").agg(F.count("*").alias("k")).where("k > 1")
+        self.repeated = not again.isEmpty()
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Adds those of the (a, b) pairs that are links on their full sets."""
+        """Adds the links among (a, b) pairs: all a of one b meet it with their full sets, in
+        groups of about ``STAR`` of them."""
         pairs = stored(pairs)
         if pairs.isEmpty():
             return
-        full = self.shingles(pairs.select(F.explode(F.array("a", "b")).alias("sid")))
-        # a pivot may be in very many pairs: it is replicated as often as that takes
-        often = stored(pairs.groupBy("b").agg((F.floor(F.count("*") / 256) + 1).cast("int").alias("salts")))
+        often = pairs.groupBy("b").agg((F.floor(F.count("*") / STAR) + 1).cast("int").alias("salts"))
         spread = salted_lookup(pairs, often, ["b"], ["a"], "inner").select(
-            "a", "b", F.expr("cast(pmod(xxhash64(a), salts) AS int) AS salt"))
-        right = full.withColumnRenamed("sid", "b").join(often, "b").select(
-            "b", F.col("shingles").alias("right"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
-        left = full.select(F.col("sid").alias("a"), F.col("shingles").alias("left"))
-        inter = F.size(F.array_intersect("left", "right"))
-        union = F.size("left") + F.size("right") - F.col("inter")
-        self.add(
-            spread.join(left, "a").join(right, ["b", "salt"]).withColumn("inter", inter)
-            .where(F.col("inter").cast("bigint") * 100 >= union.cast("bigint") * SHARE).select("a", "b")
-        )
+            F.xxhash64("b", F.expr("pmod(xxhash64(a), salts)")).alias("node"), "a", "b")
+        self.meet(
+            spread.select("node", F.col("a").alias("sid")).unionByName(
+                spread.select("node", F.col("b").alias("sid"))).distinct())
+
+    def meet(self, rows: DataFrame) -> None:
+        """Adds the links that the members of (node, sid) groups have in them."""
+        rows = stored(rows)
+        wanted = self.sets.select("sid", "id", "row_hash").join(rows.select("sid").distinct(), "sid", "left_semi")
+        full = full_sets(self.docs, self.id_col, self.text_col, wanted)
+        if self.repeated:
+            full = full.dropDuplicates(["sid"])
+        sets = self.known().join(stored(full), "sid")
+        self.add(exact_links(rows.join(sets, "sid")))
 
     def add(self, links: DataFrame) -> None:
         links = stored(links)
@@ -455,13 +455,8 @@ class Join:
         if further.isEmpty():
             return
         rest = salted_filter(small, further, ["node"], ["sid"])
-        known = stored(self.known())
-        left = stored(suspects(rest.join(known, "sid"), block))
-        if left.isEmpty():
-            return
-        sets = known.join(self.shingles(left.select("sid")), "sid")
-        whole = left.select(F.xxhash64("node", "part").alias("node"), "sid").join(sets, "sid")
-        self.add(exact_links(whole))
+        left = suspects(rest.join(self.known(), "sid"), block)
+        self.meet(left.select(F.xxhash64("node", "part").alias("node"), "sid"))
 
 
 def near_duplicates(
