@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlake.functions.scale import salted_filter, salted_lookup, stored
+from auditlake.llm.collocations import bitmap, passes
 from auditlake.llm.components import connected
 from auditlake.llm.words import Words, map_batches, mixed, parts, pieces, texts
 
@@ -156,6 +157,16 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) ->
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                        F.xxhash64(text_col).alias("row_hash"))
+    # texts that cannot be wanted are passed over before any text moves
+    bits = bitmap(wanted.select(F.xxhash64("id", "row_hash").alias("token")))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token = batch.column(batch.schema.get_field_index("token")).to_numpy().view(np.uint64)
+            yield batch.filter(pa.array(passes(bits, token)))
+
+    rows = rows.withColumn("token", F.xxhash64("id", "row_hash"))
+    rows = map_batches(rows, likely, rows.schema)
     wanted = wanted.select(F.col("id").alias("want_id"), F.col("row_hash").alias("want_hash"))
     found = rows.join(
         wanted, rows["id"].eqNullSafe(wanted["want_id"]) & (rows["row_hash"] == wanted["want_hash"]), "left_semi")
@@ -365,7 +376,7 @@ class Join:
         full = full_sets(self.docs, self.id_col, self.text_col, wanted)
         if self.repeated:
             full = full.dropDuplicates(["sid"])
-        sets = self.known().join(stored(full), "sid")
+        sets = self.known(rows).join(stored(full), "sid")
         self.add(exact_links(rows.join(sets, "sid")))
 
     def add(self, links: DataFrame) -> None:
@@ -376,9 +387,11 @@ class Join:
                 links = links.unionByName(self.labels.select(F.col("sid").alias("a"), F.col("label").alias("b")))
             self.labels = connected(links).select(F.col("node").alias("sid"), "label")
 
-    def known(self) -> DataFrame:
-        """(sid, n, sketch, label) of each set."""
+    def known(self, sids: DataFrame | None = None) -> DataFrame:
+        """(sid, n, sketch, label) of each set, or of these."""
         sets = self.sets.select("sid", "n", "sketch")
+        if sids is not None:
+            sets = sets.join(sids.select("sid").distinct(), "sid", "left_semi")
         if self.labels is None:
             return sets.withColumn("label", F.col("sid"))
         return sets.join(self.labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
@@ -420,20 +433,26 @@ class Join:
             salted_lookup(rest.select("node", "sid"), chosen, ["node"], ["sid"], "inner")
             .select("sid", F.explode("p").alias("p_sid")).distinct()
         )
-        known = stored(self.known())
+        known = self.sets.select("sid", "n", "sketch")
         pivots = known.join(pairs.select(F.col("p_sid").alias("sid")).distinct(), "sid", "left_semi").select(
             *(F.col(c).alias(f"p_{c}") for c in known.columns))
         met = salted_lookup(pairs, pivots, ["p_sid"], ["sid"], "inner").join(known, "sid")
-        self.confirm(nearest_pivots(met.where(F.col("label") != F.col("p_label"))))
+        self.confirm(nearest_pivots(met.where(F.col("sid") != F.col("p_sid"))))
 
     def _unsettled(self, rest: DataFrame, compared: int, members: int) -> tuple[DataFrame, DataFrame]:
         """Rows of nodes to branch, and of nodes that have become small; nodes whose members
         are connected go."""
-        labels = self.known().select("sid", "label")
-        counts = rest.join(labels, "sid").groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node").agg(
-            F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("squares"))
-        cross = F.col("k") * F.col("k") - F.col("squares")
-        counts = stored(counts.select("node", cross.alias("cross"), "k").where("cross > 0"))
+        sizes = rest.groupBy("node").agg(F.count("*").alias("k"))
+        if self.labels is None:
+            same = sizes.select("node", F.lit(0).cast("bigint").alias("same"))
+        else:
+            # pairs of members of one component; a set without links is one of its own
+            same = (
+                rest.join(self.labels, "sid").groupBy("node", "label").agg(F.count("*").alias("c"))
+                .groupBy("node").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("same"))
+            )
+        cross = F.col("k") * (F.col("k") - 1) - F.coalesce("same", F.lit(0))
+        counts = stored(sizes.join(same, "node", "left").select("node", cross.alias("cross"), "k").where("cross > 0"))
         few = (F.col("cross") <= 2 * compared) & (F.col("k") <= members)
         return (stored(salted_filter(rest, counts.where(~few), ["node"], ["sid"])),
                 salted_filter(rest, counts.where(few), ["node"], ["sid"]))
