@@ -8,7 +8,11 @@ to all paths. A copied text, a later run, or a path that returns to an old versi
 costs no second scan; a new rule version scans all blobs again.
 
 Finding positions come from the texts between the matches: a match starts where
-all earlier gaps and matches end. Positions are code points.
+all earlier gaps and matches end. Positions are code points. They are added up in blocks of
+``BLOCK`` matches, so a text with very many matches does not cost their square.
+
+The rule version follows from the rules: changed rules never meet the findings of
+others. A (blob, version) that two overlapping runs noted twice counts once.
 
 Defined cases: a null text is the empty blob; repeated rows and equal texts share
 one scan and each get its findings; empty tables give none; other columns pass
@@ -17,7 +21,9 @@ unchanged, except that ``blob``, ``findings`` and ``rule_version`` are replaced.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+from collections.abc import Iterable
+from dataclasses import astuple, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +53,13 @@ RULES = (
     SecretRule("access", r"AKIA[A-Z0-9]{16,}", 0, 20, "AKIA"),
     SecretRule("hex", r"[0-9a-f]{24,}", 0, 24, "[0-9a-f]{24}"),
 )
-RULE_VERSION = "1"
 FINDINGS = "array<struct<kind:string,rank:int,start:bigint,end:bigint>>"
+BLOCK = 256
+
+
+def rule_version(rules: tuple[SecretRule, ...] = RULES) -> str:
+    """A name that all parts of the rules, and their order, go into."""
+    return hashlib.sha256(repr([astuple(r) for r in rules]).encode()).hexdigest()[:16]
 
 
 def _spans(text: Column, rule: SecretRule, rank: int) -> Column:
@@ -76,7 +87,25 @@ def _spans(text: Column, rule: SecretRule, rank: int) -> Column:
         )
 
     start = F.struct(F.lit(0).cast("bigint").alias("pos"), none.alias("out"))
-    return F.when(text.rlike(rule.guard), F.aggregate(matches, start, step)["out"]).otherwise(none)
+    # positions inside each block, then the blocks' own
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor(F.size(matches) / BLOCK).cast("int")),
+        lambda b: F.aggregate(F.slice(matches, b * BLOCK + 1, F.lit(BLOCK)), start, step),
+    )
+
+    def joined(done: Column) -> Column:
+        starts = F.aggregate(
+            done, F.array(F.lit(0).cast("bigint")),
+            lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["pos"])),
+        )
+        moved = F.transform(done, lambda b, i: F.transform(b["out"], lambda f: F.struct(
+            f["kind"].alias("kind"), f["rank"].alias("rank"),
+            (f["start"] + F.get(starts, i)).alias("start"), (f["end"] + F.get(starts, i)).alias("end"),
+        )))
+        return F.flatten(moved)
+
+    found = F.element_at(F.transform(F.array(blocks), joined), 1)
+    return F.when(text.rlike(rule.guard), found).otherwise(none)
 
 
 def find_secrets(text: Column, rules: tuple[SecretRule, ...] = RULES) -> Column:
@@ -102,7 +131,8 @@ class BlobLedger:
         if not fs.exists(path):
             return None
         held = self.spark.read.schema(f"blob binary, rule_version string, findings {FINDINGS}").parquet(self.folder)
-        return held.where(F.col("rule_version") == rule_version)
+        # overlapping runs may have noted a blob twice
+        return held.where(F.col("rule_version") == rule_version).dropDuplicates(["blob"])
 
     def append(self, found: DataFrame) -> None:
         found.write.mode("append").parquet(self.folder)
@@ -112,26 +142,39 @@ def blob_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
+def note_versions(
+    texts: DataFrame, ledger: BlobLedger, rules: tuple[SecretRule, ...] = RULES, version: str | None = None
+) -> None:
+    """Scans the blobs of (blob, text) rows that the ledger does not hold, and notes them."""
+    version = version or rule_version(rules)
+    known = ledger.entries(version)
+    if known is not None:
+        texts = texts.join(known.select("blob"), "blob", "left_anti")
+    fresh = texts.groupBy("blob").agg(F.min("text").alias("text"))
+    ledger.append(fresh.select(
+        "blob", F.lit(version).alias("rule_version"), find_secrets(F.col("text"), rules).alias("findings")))
+
+
 def scan_secrets(
     versions: DataFrame,
     ledger: BlobLedger,
     text_col: str = "text",
     rules: tuple[SecretRule, ...] = RULES,
-    rule_version: str = RULE_VERSION,
+    version: str | None = None,
+    batches: Iterable[DataFrame] | None = None,
 ) -> DataFrame:
-    """Every row of ``versions`` with ``blob``, ``rule_version`` and ``findings``; grows the ledger."""
+    """Every row of ``versions`` with ``blob``, ``rule_version`` and ``findings``; grows the ledger.
+
+    ``batches`` are parts of ``versions`` that arrive one after the other: each meets
+    the ledger of those before it. ``version`` names the rules if they have a name already.
+    """
+    version = version or rule_version(rules)
     blob = blob_of(F.col(text_col))
-    texts = versions.select(blob.alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    fresh = texts
-    known = ledger.entries(rule_version)
-    if known is not None:
-        fresh = texts.join(known.select("blob"), "blob", "left_anti")
-    fresh = fresh.groupBy("blob").agg(F.min("text").alias("text"))
-    ledger.append(
-        fresh.select("blob", F.lit(rule_version).alias("rule_version"),
-                     find_secrets(F.col("text"), rules).alias("findings"))
-    )
-    hits = ledger.entries(rule_version).where(F.size("findings") > 0).select("blob", "findings")
+    for batch in [versions] if batches is None else batches:
+        note_versions(
+            batch.select(blob.alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text")),
+            ledger, rules, version)
+    hits = ledger.entries(version).where(F.size("findings") > 0).select("blob", "findings")
     replaced = {"blob", "findings", "rule_version"}
     paths = versions.select(
         *(F.col(f"`{c}`") for c in versions.columns if c not in replaced), blob.alias("blob")
@@ -139,7 +182,7 @@ def scan_secrets(
     return (
         paths.join(hits, "blob", "left")
         .withColumn("findings", F.coalesce("findings", F.array().cast(FINDINGS)))
-        .withColumn("rule_version", F.lit(rule_version))
+        .withColumn("rule_version", F.lit(version))
     )
 
 

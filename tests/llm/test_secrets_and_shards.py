@@ -15,6 +15,9 @@ from auditlake.llm.secret_scan import BlobLedger, scan_secrets, spans_text
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
+FIRST = secret_scan.rule_version()
+
+
 def brute(text):
     text = text or ""
     found = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -46,14 +49,45 @@ def test_spans_equal_brute_force(spark, make_docs, texts):
 def test_only_unseen_pairs_are_scanned(spark, make_docs, texts):
     ledger = BlobLedger(spark)
     scan_secrets(make_docs(list(enumerate(texts))), ledger).count()
-    n = ledger.entries("1").count()
+    n = ledger.entries(FIRST).count()
     assert n == len({t or "" for t in texts})
     again = scan_secrets(make_docs([(1, texts[-1]), (2, "new token=abcdef")]), ledger)
     assert scanned(again) == [(1, brute(texts[-1])), (2, "assign:4:16")]
-    assert ledger.entries("1").count() == n + 1
+    assert ledger.entries(FIRST).count() == n + 1
     other = (secret_scan.SecretRule("hex", "[0-9a-f]{30,}", 0, 30, "[0-9a-f]{30}"),)
-    scan_secrets(make_docs(list(enumerate(texts))), ledger, rules=other, rule_version="2").count()
-    assert ledger.entries("2").count() == n and ledger.entries("1").count() == n + 1
+    scan_secrets(make_docs(list(enumerate(texts))), ledger, rules=other).count()
+    assert ledger.entries(secret_scan.rule_version(other)).count() == n and ledger.entries(FIRST).count() == n + 1
+
+
+def test_changed_rules_never_meet_old_findings(spark, make_docs, texts):
+    docs, ledger = make_docs(list(enumerate(texts))), BlobLedger(spark)
+    scan_secrets(docs, ledger).count()
+    fewer = secret_scan.RULES[1:]
+    found = scanned(scan_secrets(docs, ledger, rules=fewer))
+    assert found == scanned(scan_secrets(docs, BlobLedger(spark), rules=fewer))
+    assert not any("assign" in s for _, s in found)
+
+
+def test_overlapping_runs_double_nothing(spark, make_docs, texts):
+    pairs = list(enumerate(texts))
+    docs, ledger = make_docs(pairs), BlobLedger(spark)
+    scan_secrets(docs, ledger).count()
+    ledger.append(spark.read.parquet(ledger.folder))  # what a second run at the same time appends
+    assert scanned(scan_secrets(docs, ledger)) == sorted(((i, brute(t)) for i, t in pairs), key=repr)
+
+
+def test_batches_meet_the_ledger_of_those_before(spark, make_docs, texts):
+    pairs = [*enumerate(texts), *((100 + i, t) for i, t in enumerate(texts))]
+    docs, ledger = make_docs(pairs), BlobLedger(spark)
+    halves = [docs.where("doc_id < 100"), docs.where("doc_id >= 100")]
+    df = scan_secrets(docs, ledger, batches=halves)
+    assert scanned(df) == sorted(((i, brute(t)) for i, t in pairs), key=repr)
+    assert spark.read.parquet(ledger.folder).count() == len({t or "" for t in texts})
+
+
+def test_very_many_matches_in_one_text(spark, make_docs):
+    text = "".join(f"é token=abcdef{i} x" for i in range(1500)) + " secret=ab"
+    assert scanned(scan_secrets(make_docs([(1, text)]), BlobLedger(spark))) == [(1, brute(text))]
 
 
 def test_secrets_of_an_empty_table(spark, make_docs):
