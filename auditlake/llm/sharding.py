@@ -1,7 +1,8 @@
 """Shards of nearly equal bytes by histogram sort.
 
-Rows are ordered by (text hash, id hash), both as unsigned 64-bit numbers. The
-128-bit key is read in digits, 12 bits first and then 8: a round counts exact bytes and rows for
+Rows are ordered by (text hash, id hash, row number), all as unsigned 64-bit numbers; the
+number of a row in its writing task tells repeated rows apart and is frozen in a stored
+table. The 192-bit key is read in digits, 12 bits first and then 8: a round counts exact bytes and rows for
 every value of the next digit under each prefix that holds an unsettled splitter,
 on all partitions at once, and sends only these counts (4,096 at most, then 256 a
 prefix) to the driver. A splitter whose nearest cell border is within the tolerance is
@@ -15,8 +16,8 @@ neighbours in the order and share a shard except where a splitter falls inside
 their group.
 
 Defined cases: a null text counts as empty (1 byte); repeated
-rows are placed each on its own; ties in the key (equal text and id) stay in one
-part; an empty table gives no rows; only the named columns and ``keep`` are carried.
+rows are placed each on its own, and a group of them is cut where a splitter falls
+inside it, null ids included; an empty table gives no rows; only the named columns and ``keep`` are carried.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.scale import stored
 
+KEY = ("k1", "k2", "k3")
 # digits of the key from the top: column, bits below the digit, bits of the digit
-DIGITS = [(c, s, b) for c in ("k1", "k2")
+DIGITS = [(c, s, b) for c in KEY
           for s, b in ((52, 12), (44, 8), (36, 8), (28, 8), (20, 8), (12, 8), (4, 8), (0, 4))]
 TOLERANCE = 0.001
 PARTS = 8
@@ -60,7 +62,7 @@ class Splitters:
 
 
 def find_splitters(rows: DataFrame, n: int, tolerance: int) -> Splitters:
-    """Borders that cut the bytes of (k1, k2, size) into ``n`` parts, each within ``tolerance``."""
+    """Borders that cut the bytes of (k1, k2, k3, size) into ``n`` parts, each within ``tolerance``."""
     out = Splitters()
     targets: dict[tuple[int, ...], list[tuple[int, int]]] | None = None  # prefix -> (target, bytes before)
     for depth in range(len(DIGITS)):
@@ -102,20 +104,20 @@ def find_splitters(rows: DataFrame, n: int, tolerance: int) -> Splitters:
     return out
 
 
-def _key(border: tuple[int, ...]) -> tuple[int, int] | None:
-    """A border as two signed 64-bit numbers in the order of the digits; None above all keys."""
-    halves = []
+def _key(border: tuple[int, ...]) -> tuple[int, ...] | None:
+    """A border as signed 64-bit numbers in the order of the digits; None above all keys."""
+    words = []
     carry = 0
-    for c in ("k2", "k1"):
+    for c in reversed(KEY):
         value = carry + sum(d << s for d, (k, s, _) in zip(border, DIGITS) if k == c)
         carry, value = value >> 64, value & ((1 << 64) - 1)
-        halves.append(value - (1 << 63))
-    return None if carry else (halves[1], halves[0])
+        words.append(value - (1 << 63))
+    return None if carry else tuple(reversed(words))
 
 
 def place(rows: DataFrame, shards: int = 16, parts: int = PARTS,
           tolerance: float = TOLERANCE) -> DataFrame:
-    """Add ``shard``, and ``slot`` gapless from 0 in a shard, to stored (k1, k2, size, ...).
+    """Add ``shard``, and ``slot`` gapless from 0 in a shard, to stored (k1, k2, k3, size, ...).
 
     ``tolerance`` is a share of a shard's bytes. A shard's bytes differ from an even
     share by at most twice that, or by one row.
@@ -124,24 +126,24 @@ def place(rows: DataFrame, shards: int = 16, parts: int = PARTS,
     found = find_splitters(rows, shards * parts, int(tolerance * total / shards))
     step = total / (shards * parts) if total else 1
     # how many bytes lie below each border decides which part begins there
-    signed = [F.col(c).bitwiseXOR(F.lit(-(1 << 63))).alias(c) for c in ("k1", "k2")]
+    signed = [F.col(c).bitwiseXOR(F.lit(-(1 << 63))).alias(c) for c in KEY]
     borders = [k for b in found.borders if (k := _key(b))]
-    others = [c for c in rows.columns if c not in ("k1", "k2")]
+    others = [c for c in rows.columns if c not in KEY]
     keyed = rows.select(*signed, *others)
     spark = rows.sparkSession
     # borders by their top digit: a row compares itself with those under its own alone
-    cells: dict[int, list[tuple[int, int]]] = {}
-    for k1, k2 in borders:
-        cells.setdefault((k1 + (1 << 63)) >> 52, []).append((k1, k2))
+    cells: dict[int, list[tuple[int, ...]]] = {}
+    for border in borders:
+        cells.setdefault((border[0] + (1 << 63)) >> 52, []).append(border)
     table, before = [], 0
     for cell in range(1 << 12):
         own = cells.get(cell, [])
-        table.append((cell, before, [{"k1": a, "k2": b} for a, b in own]))
+        table.append((cell, before, own))
         before += len(own)
     lookup = spark.createDataFrame(
-        table, "cell int, before int, own array<struct<k1:bigint,k2:bigint>>"
+        table, "cell int, before int, own array<struct<k1:bigint,k2:bigint,k3:bigint>>"
     )
-    here = F.struct("k1", "k2")
+    here = F.struct(*KEY)
     placed = (
         keyed.withColumn(
             "cell",
@@ -163,7 +165,7 @@ def place(rows: DataFrame, shards: int = 16, parts: int = PARTS,
         counts[shard] += n
         below += size
     starts_df = spark.createDataFrame(starts, "part int, shard int, start bigint")
-    order = Window.partitionBy("part").orderBy("k1", "k2")
+    order = Window.partitionBy("part").orderBy(*KEY)
     return (
         placed.withColumn("rn", F.row_number().over(order))
         .join(F.broadcast(starts_df), "part")  # one row a part
@@ -183,6 +185,7 @@ def shard_rows(
     rows = docs.select(
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("k1"),
         F.xxhash64(id_col).alias("k2"),
+        F.monotonically_increasing_id().alias("k3"),
         F.col(id_col),
         text_bytes(F.col(text_col)).alias("size"),
         *(c.alias(name) for name, c in (keep or {}).items()),

@@ -118,6 +118,17 @@ def test_bytes_law(make_docs, prose, odd_texts, hot):
     assert all(abs(s - even) <= 0.01 * even + longest for s in sizes.values())
 
 
+@pytest.mark.parametrize("repeated", [7, None])
+def test_law_among_repeated_rows(make_docs, prose, repeated):
+    pairs = [(repeated, "the same row") if i % 3 == 0 else (i, prose(i, 4)) for i in range(6000)]
+    rows, sizes = shards_of(sharding.shard_rows(make_docs(pairs, 5)))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == sorted((i is None, i or 0) for i, _ in pairs)
+    even = sum(sizes.values()) / 16
+    longest = max(r.size for r in rows)
+    assert set(sizes) == set(range(16))
+    assert all(abs(s - even) <= 0.01 * even + longest for s in sizes.values())
+
+
 def test_equal_texts_are_neighbours(make_docs, prose):
     pairs = [(i, prose(i % 50, 30)) for i in range(2000)]
     rows, _ = shards_of(sharding.shard_rows(make_docs(pairs), keep={"text": F.col("text")}))
