@@ -23,7 +23,7 @@ Comparisons first use ``FUNCTIONS`` one-byte sketches, with a margin of 4.7 stan
 deviations below the threshold; every link is then confirmed on the full sets, as exact
 64-bit shingle hashes. A small node first gives a star forest of likely pairs, each of
 which is confirmed once. Members that still have a candidate in another component then
-meet in their node with their full sets, in parts of bounded size, and links are confirmed
+meet in their node with their texts, in parts of bounded size, and links are confirmed
 there until all that is linked is connected. So no link between components is lost, and a group
 of k near copies costs about k confirmations, not k squared.
 
@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.functions.scale import salted_filter, salted_lookup, stored
+from auditlake.functions.scale import salted_filter, salted_lookup, stored, storing
 from auditlake.llm.collocations import bitmap, passes
 from auditlake.llm.components import connected
 from auditlake.llm.words import Words, map_batches, mixed, parts, pieces, texts
@@ -63,6 +63,7 @@ HEAD, HEAD_ENOUGH = 32, 12
 COMPARED = 1 << 22
 BLOCK = 1 << 21
 STAR = 128
+LISTED = 1024
 MEMBERS = 1 << 14
 _ODD = np.random.default_rng(20250611).integers(1, 1 << 63, FUNCTIONS, dtype=np.uint64) | np.uint64(1)
 _XOR = np.random.default_rng(20250612).integers(1, 1 << 63, FUNCTIONS, dtype=np.uint64)
@@ -142,19 +143,17 @@ def with_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_batches(rows, run, schema)
 
 
-def full_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(sid, shingles) of the ``wanted`` (id, row_hash) rows, repeated rows as often."""
+def split_sets(raw: list[bytes]) -> list[np.ndarray]:
+    """The shingles of each text, sorted."""
+    out = []
+    for a, b in pieces(raw):
+        hashes, first = shingle_sets(raw[a:b])
+        out += [hashes[i:j] for i, j in zip(first[:-1].tolist(), first[1:].tolist())]
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, 64):
-            raw = texts(batch, "text")
-            for a, b in pieces(raw):
-                hashes, first = shingle_sets(raw[a:b])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(set_ids(hashes, first), pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(hashes.view(np.int64))),
-                ], names=["sid", "shingles"])
 
+def with_texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """The ``wanted`` rows with the ``text`` of their (id, row_hash), repeated rows as often."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                        F.xxhash64(text_col).alias("row_hash"))
     # texts that cannot be wanted are passed over before any text moves
@@ -167,10 +166,10 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) ->
 
     rows = rows.withColumn("token", F.xxhash64("id", "row_hash"))
     rows = map_batches(rows, likely, rows.schema)
-    wanted = wanted.select(F.col("id").alias("want_id"), F.col("row_hash").alias("want_hash"))
-    found = rows.join(
-        wanted, rows["id"].eqNullSafe(wanted["want_id"]) & (rows["row_hash"] == wanted["want_hash"]), "left_semi")
-    return map_batches(found.select("text"), run, "sid binary, shingles array<bigint>")
+    wanted = wanted.withColumnsRenamed({"id": "want_id", "row_hash": "want_hash"})
+    same = rows["id"].eqNullSafe(wanted["want_id"]) & (rows["row_hash"] == wanted["want_hash"])
+    return rows.join(wanted, same).select(
+        *(c for c in wanted.columns if c not in ("want_id", "want_hash")), "text")
 
 
 def _sizes_fit(m, n):
@@ -311,17 +310,17 @@ def suspects(rows: DataFrame, block: int) -> DataFrame:
 
 
 def exact_links(rows: DataFrame) -> DataFrame:
-    """(a, b): forests of confirmed links; ``rows`` has the members' ``shingles`` as well."""
+    """(a, b): forests of confirmed links; ``rows`` has the members' ``text`` as well. Texts
+    are smaller than their hashed shingles, so sets are made where they meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 1):
             for _, node, members in _nodes(batch):
-                sets = [x.values.to_numpy() for x in members.field(4)]
-                found = node.links(sets)
+                found = node.links(split_sets(members.field(4).cast(pa.binary()).to_pylist()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    return map_batches(_grouped(rows, "shingles"), run, "a binary, b binary").distinct()
+    return map_batches(_grouped(rows, "text"), run, "a binary, b binary").distinct()
 
 
 def nearest_pivots(rows: DataFrame) -> DataFrame:
@@ -359,7 +358,7 @@ class Join:
     def confirm(self, pairs: DataFrame) -> None:
         """Adds the links among (a, b) pairs: all a of one b meet it with their full sets, in
         groups of about ``STAR`` of them."""
-        pairs = stored(pairs)
+        pairs, drop_pairs = storing(pairs)
         if pairs.isEmpty():
             return
         often = pairs.groupBy("b").agg((F.floor(F.count("*") / STAR) + 1).cast("int").alias("salts"))
@@ -368,16 +367,29 @@ class Join:
         self.meet(
             spread.select("node", F.col("a").alias("sid")).unionByName(
                 spread.select("node", F.col("b").alias("sid"))).distinct())
+        drop_pairs()
 
     def meet(self, rows: DataFrame) -> None:
-        """Adds the links that the members of (node, sid) groups have in them."""
-        rows = stored(rows)
-        wanted = self.sets.select("sid", "id", "row_hash").join(rows.select("sid").distinct(), "sid", "left_semi")
-        full = full_sets(self.docs, self.id_col, self.text_col, wanted)
+        """Adds the links that the members of (node, sid) groups have in them. A text is
+        fetched once for up to about ``LISTED`` of its set's nodes."""
+        rows, drop_rows = storing(rows)
+        many = (
+            rows.groupBy("sid").agg((F.floor(F.count("*") / LISTED) + 1).cast("int").alias("salts"))
+            .where("salts > 1")
+        )
+        lists = (
+            salted_lookup(rows, many, ["sid"], ["node"])
+            .groupBy("sid", F.pmod(F.xxhash64("node"), F.coalesce("salts", F.lit(1))).alias("list"))
+            .agg(F.collect_list("node").alias("nodes"))
+        )
+        wanted, drop_wanted = storing(
+            self.known(rows).join(self.sets.select("sid", "id", "row_hash"), "sid").join(lists, "sid"))
+        met = with_texts(self.docs, self.id_col, self.text_col, wanted)
         if self.repeated:
-            full = full.dropDuplicates(["sid"])
-        sets = self.known(rows).join(stored(full), "sid")
-        self.add(exact_links(rows.join(sets, "sid")))
+            met = met.dropDuplicates(["sid", "list"])
+        self.add(exact_links(met.withColumn("node", F.explode("nodes"))))
+        drop_wanted()
+        drop_rows()
 
     def add(self, links: DataFrame) -> None:
         links = stored(links)

@@ -79,6 +79,14 @@ def test_sets_equal_brute_force(make_docs, similar_pairs, compared, members, blo
     assert sorted(map(tuple, rows.collect()), key=repr) == brute_sets(similar_pairs)
 
 
+def test_texts_are_fetched_once_for_some_nodes(make_docs, similar_pairs, monkeypatch):
+    """A set in more nodes than one list takes."""
+    monkeypatch.setattr(chosen_path, "LISTED", 2)
+    monkeypatch.setattr(chosen_path, "STAR", 3)
+    rows = chosen_path.near_duplicates(make_docs(similar_pairs), block=300)
+    assert sorted(map(tuple, rows.collect()), key=repr) == brute_sets(similar_pairs)
+
+
 def test_sets_of_no_rows(make_docs, spark):
     empty = make_docs([(1, "a")]).where("doc_id > 1")
     assert chosen_path.near_duplicates(empty).collect() == []
