@@ -4,17 +4,23 @@ A project may hold a third of all findings, so a document is never built in
 one value. It is a sequence of text fragments (project, section, number,
 text); joined in order they are the document. :func:`write_documents` writes
 them range-partitioned, so a large document spans many part files, in order.
+:func:`pack_documents` puts the documents of very many projects into a few files
+with an index, from which :func:`read_documents` reads single ones.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake import __version__
-from auditlake.functions.scale import ordinals
+from auditlake.functions.scale import ordinals, storing
 from auditlake.operators.findings import rule_catalogue, sarif_level
 from auditlake.schemas import FINDING_ORDER
 
@@ -163,6 +169,82 @@ def write_documents(
     )
 
 
+INDEX = "project string, piece int, file string, start bigint, length bigint"
+_READ_BYTES = 16 << 20
+
+
+def pack_documents(fragments: DataFrame, folder: str, partitions: int | None = None) -> None:
+    """All documents in a few packed part files, with an index of where each one lies.
+
+    Fragments are range-partitioned in document order, so a file holds many small documents,
+    or a piece of a large one, and the number of files does not follow the number of
+    projects. ``folder/texts/part=N`` has one file, ``folder/index`` the rows of ``INDEX``:
+    the bytes of each project in each file, its pieces numbered from 0. Places follow from
+    the byte lengths of the fragments, so no text is read again. A folder that holds
+    documents is an error. Fragments are lines of the file; a line break between two is white space in JSON.
+    """
+    spark = fragments.sparkSession
+    keys = ["project", "section", "number"]
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the partition number is frozen: sampled range bounds may differ between two runs
+    placed, drop = storing(
+        fragments.repartitionByRange(n, *keys).select(
+            *keys, F.coalesce("text", F.lit("")).alias("text"), F.spark_partition_id().alias("part"))
+    )
+    texts = f"{folder}/texts"
+    (
+        placed.repartition(n, "part").sortWithinPartitions("part", *keys)
+        .select("part", "text").write.mode("error").partitionBy("part").text(texts)
+    )
+    inside = Window.partitionBy("part").orderBy("project").rowsBetween(Window.unboundedPreceding, -1)
+    own = (
+        placed.groupBy("part", "project").agg(F.sum(F.octet_length("text") + 1).alias("length"))
+        .withColumn("start", F.coalesce(F.sum("length").over(inside), F.lit(0)))
+    )
+    # the content column is pruned: this lists files
+    files = spark.read.format("binaryFile").load(texts).select("part", F.col("path").alias("file"))
+    piece = F.row_number().over(Window.partitionBy("project").orderBy("part")) - 1
+    own.join(files, "part").select(
+        "project", piece.alias("piece"), "file", F.col("start").cast("bigint"), F.col("length").cast("bigint"),
+    ).repartitionByRange(max(1, n // 16), "project").sortWithinPartitions("project").write.mode("error").parquet(
+        f"{folder}/index")
+    drop()
+
+
+def document_index(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(INDEX).parquet(f"{folder}/index")
+
+
+def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(project, piece, block, bytes) of each index row, read in blocks of bounded size."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            # Hadoop writes local paths with one slash
+            uri = re.sub("^file:/+", "/", row["file"])
+            filesystem, inner = pafs.FileSystem.from_uri(uri)
+            with filesystem.open_input_file(inner) as handle:
+                for block, at in enumerate(range(0, row["length"], _READ_BYTES)):
+                    held = handle.read_at(min(_READ_BYTES, row["length"] - at), row["start"] + at)
+                    yield pa.RecordBatch.from_pydict({
+                        "project": [row["project"]], "piece": pa.array([row["piece"]], pa.int32()),
+                        "block": pa.array([block], pa.int32()), "bytes": pa.array([held], pa.binary()),
+                    })
+
+
+def read_documents(wanted: DataFrame) -> DataFrame:
+    """(project, piece, block, bytes) of the index rows in ``wanted``, one ranged read each.
+
+    In the order of ``piece`` and ``block`` the bytes of a project are its document. Filter
+    :func:`document_index` by project first: it is sorted by project, so few of its row groups
+    are read, and of the packed files only the wanted bytes.
+    """
+    spark = wanted.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # salted by file and place: pieces of one project are read by many tasks
+    spread = wanted.repartition(tasks, "file", "start")
+    return spread.mapInArrow(_read_ranges, "project string, piece int, block int, bytes binary")
+
+
 def write_table(df: DataFrame, folder: str, mode: str = "append", by: tuple[str, ...] = ()) -> None:
     """Findings, snapshots or usage as a parquet table."""
     writer = df.write.mode(mode)

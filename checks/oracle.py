@@ -543,6 +543,30 @@ pref AS (
   SELECT * FROM mixed m WHERE NOT EXISTS (SELECT 1 FROM mixed o WHERE o.project = m.project
     AND (o.tool, m.tool) IN (('eslint', 'biome'), ('mypy', 'pyright'))))"""
 ORACLE["tool_preference"] = f"WITH {_MIXED} SELECT project, tool, count(*) AS reports FROM pref GROUP BY ALL"
+_EVERY = f"""
+every AS (
+  SELECT project, tool FROM (
+    SELECT p_partkey % 21 AS p, 'proj' || lpad(cast(p_partkey % 21 AS varchar), 2, '0') AS project FROM part),
+    (SELECT unnest({lit_list(list(TOOL_ROWS) + ["opengrep"])}) AS tool)
+  WHERE NOT (tool = 'eslint' AND p % 2 = 1) AND NOT (tool = 'mypy' AND p % 3 = 1)
+    AND NOT (tool = 'opengrep' AND p % 2 = 1)),
+chosen AS (
+  SELECT * FROM every m WHERE NOT EXISTS (SELECT 1 FROM every o WHERE o.project = m.project
+    AND (o.tool, m.tool) IN (('eslint', 'biome'), ('mypy', 'pyright'), ('opengrep', 'semgrep'))))"""
+_DOMAINS = ", ".join(f"('{t}', '{d}')" for t, d in catalog.TOOL_DOMAIN.items())
+ORACLE["tool_preference_all"] = f"WITH {_EVERY} SELECT project, tool, count(*) AS reports FROM chosen GROUP BY ALL"
+ORACLE["domain_tools_used_all"] = f"""WITH {_EVERY},
+known AS (SELECT * FROM (VALUES {_DOMAINS}) t(tool, domain)),
+used AS (SELECT DISTINCT project, tool, domain FROM chosen JOIN known USING (tool))
+SELECT p.project, d.domain, coalesce(string_agg(u.tool, ', ' ORDER BY list_position({lit_list(list(catalog.TOOL_DOMAIN))}, u.tool)), 'none') AS tool
+FROM (SELECT DISTINCT project FROM chosen) p CROSS JOIN (SELECT DISTINCT domain FROM known) d
+LEFT JOIN used u ON u.project = p.project AND u.domain = d.domain GROUP BY ALL"""
+ORACLE["preferred_findings"] = f"""WITH {tool_cte('t', *TOOL_ROWS)}, {_EVERY},
+known AS (SELECT DISTINCT project, tool FROM chosen),
+named AS (SELECT project, domain, tool FROM t
+  UNION ALL SELECT project, domain, 'opengrep' FROM t WHERE tool = 'semgrep')
+SELECT n.project, n.domain, n.tool, count(*) AS findings
+FROM named n JOIN known k ON k.project = n.project AND k.tool = n.tool GROUP BY ALL"""
 ORACLE["tool_overrides"] = f"""WITH {tool_cte('t', 'ruff', 'checkov')} SELECT project, rule_id, file, line FROM t
 WHERE (tool = 'ruff' AND (rule_id LIKE 'LINT-RUFF-E1%' OR rule_id LIKE 'LINT-RUFF-F%'))
   OR (tool = 'checkov' AND rule_id NOT IN ('IAC-CKV_7', 'IAC-CKV_20'))"""
@@ -742,6 +766,9 @@ UNION ALL SELECT project, 1, number, CASE WHEN number > 1 THEN ',' ELSE '' END |
   cast(to_json(fix) AS varchar) || '}}'
   FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY {ORDER}) AS number FROM sec)
 UNION ALL SELECT project, 2, 0, ']}}' FROM summary""")
+ORACLE["report_index"] = f"""SELECT project, cast(sum(strlen(text) + 1) AS bigint) AS bytes,
+  cast(sum(strlen(text) + 1) AS bigint) AS bytes_read, count(*) AS fragments
+FROM ({ORACLE["report_json"]}) GROUP BY 1"""
 oracle("report_sarif", "summary", f"""
 SELECT project, 0 AS section, 0::bigint AS number, '{{"$schema":"https://schemastore.azurewebsites.net/schemas/json/sarif-2.1.0-rtm.5.json","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"auditlake","version":"0.1.0","rules":[' AS text FROM summary
 UNION ALL SELECT project, 1, number, CASE WHEN number > 1 THEN ',' ELSE '' END || '{{"id":"' || rule_id ||

@@ -367,6 +367,40 @@ def tool_preference(spark, sf):
     )
 
 
+def _every_tool(spark, sf):
+    """Reports of all tools; even projects have opengrep beside semgrep, some lack eslint or mypy."""
+    number = F.substring("project", 5, 2).cast("int")
+    tool = F.col("tool")
+    reports = corpus.reports(spark, sf)
+    both = reports.where((tool == "semgrep") & (number % 2 == 0)).withColumn("tool", F.lit("opengrep"))
+    return reports.where(
+        ~((tool == "eslint") & (number % 2 == 1)) & ~((tool == "mypy") & (number % 3 == 1))
+    ).unionByName(both)
+
+
+@query
+def tool_preference_all(spark, sf):
+    """All three pairs: eslint before biome, mypy before pyright, opengrep before semgrep."""
+    return rp.preferred_tools(_every_tool(spark, sf)).groupBy("project", "tool").agg(
+        F.count("*").alias("reports")
+    )
+
+
+@query
+def domain_tools_used_all(spark, sf):
+    reports = rp.preferred_tools(_every_tool(spark, sf))
+    names = F.explode(F.array(*[F.lit(d) for d in dict.fromkeys(catalog.TOOL_DOMAIN.values())]))
+    asked = reports.select("project").distinct().select("project", names.alias("domain"))
+    return normalise.tools_used(reports, asked)
+
+
+@query
+def preferred_findings(spark, sf):
+    """Findings a domain of the preferred tools' reports, opengrep among them."""
+    found = normalise.normalise(rp.preferred_tools(_every_tool(spark, sf)))
+    return found.groupBy("project", "domain", "tool").agg(F.count("*").alias("findings"))
+
+
 @query
 def tool_overrides(spark, sf):
     reports = corpus.reports(spark, sf, "ruff", "checkov")
@@ -759,6 +793,19 @@ def report_compact(spark, sf):
     return sink.compact_report(merged, summary, domains)
 
 
+@query
+def report_index(spark, sf):
+    """Packed JSON documents, read back by ranges: bytes by the index and as read."""
+    folder = scratch_folder(spark, "packed")
+    sink.pack_documents(_documents(sink.json_report, spark, sf), folder)
+    index = sink.document_index(spark, folder)
+    read = sink.read_documents(index).groupBy("project").agg(
+        F.sum(F.octet_length("bytes")).alias("bytes_read"),
+        F.sum(F.regexp_count(F.col("bytes").cast("string"), F.lit("\n"))).alias("fragments"),
+    )
+    return index.groupBy("project").agg(F.sum("length").alias("bytes")).join(read, "project")
+
+
 # -------------------------------------------------------- N, compositions
 @query
 def scan_pr(spark, sf):

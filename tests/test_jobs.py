@@ -6,6 +6,7 @@ import json
 
 import pandas as pd
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from auditlake import schemas
@@ -287,6 +288,40 @@ def test_written_document_spans_part_files(spark, make_findings, tmp_path):
     assert len(parts) > 1 and [f["line"] for f in doc["findings"]] == list(range(500))
 
 
+def test_packed_documents_are_read_by_ranges(spark, make_findings, tmp_path):
+    df = make_findings([(f"R{i % 7}", "LOW", f"f{i:04d}é", i) for i in range(500)])
+    names = F.explode(F.sequence(F.lit(1), F.lit(40))).alias("copy")
+    small = make_findings([("A", "HIGH", "a\\nb", 3)]).select("*", names).withColumn(
+        "project", F.format_string("q%02d", "copy")).drop("copy")
+    found = df.unionByName(small)
+    scanned = found.groupBy("project").agg(F.lit(1).cast("bigint").alias("scanned_files")).unionByName(
+        spark.createDataFrame([("empty", 0)], "project string, scanned_files bigint"))
+    folder = str(tmp_path / "packed")
+    report = sink.json_report(found, fd.severity_summary(found, scanned))
+    sink.pack_documents(report, folder, partitions=5)
+    assert len(list((tmp_path / "packed" / "texts").glob("part=*/part-*"))) <= 5
+    index = sink.document_index(spark, folder)
+    rows = index.collect()
+    # a large document has several pieces, small ones share a file
+    assert sorted(r.piece for r in rows if r.project == "p") == list(range(sum(r.project == "p" for r in rows)))
+    assert sum(r.project == "p" for r in rows) > 1 and len({r.file for r in rows}) <= 5
+
+    def read(where):
+        got = sink.read_documents(index.where(where)).orderBy("project", "piece", "block").collect()
+        docs = {}
+        for r in got:
+            docs[r.project] = docs.get(r.project, b"") + bytes(r.bytes)
+        return {p: json.loads(d) for p, d in docs.items()}
+
+    assert [f["line"] for f in read("project = 'p'")["p"]["findings"]] == list(range(500))
+    one = read("project = 'q17'")
+    assert list(one) == ["q17"] and [f["line"] for f in one["q17"]["findings"]] == [3]
+    everything = read("true")
+    assert len(everything) == 42 and everything["empty"]["findings"] == []
+    with pytest.raises(AnalysisException):
+        sink.pack_documents(report, folder)
+
+
 def test_table_sink(make_findings, spark, tmp_path):
     folder = str(tmp_path / "t")
     sink.write_table(make_findings([("A", "LOW", "a", 1)]), folder, by=("domain",))
