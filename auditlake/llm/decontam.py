@@ -154,14 +154,15 @@ def safe_stride(n_windows: Column, similarity: float) -> Column:
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, n_windows, at, hash, raw, form), stored; a window has a row for each variant."""
+    """(item_id, item_hash, n_windows, at, hash, raw, form), stored; a window has a row for each
+    variant. Each different text under an id is an item of its own, told apart by its hash."""
     once = items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).where(
         "item_id IS NOT NULL"
-    ).groupBy("item_id").agg(F.min("text").alias("text"))
+    ).distinct()
     return stored(
-        once.select("item_id", windows(F.col("text"), item=True).alias("w"))
-        .select("item_id", F.size("w").alias("n_windows"), F.explode("w").alias("w"))
-        .select("item_id", "n_windows", "w.at", F.explode("w.hashes").alias("hash"), "w.raw", "w.form")
+        once.select("item_id", F.xxhash64("text").alias("item_hash"), windows(F.col("text"), item=True).alias("w"))
+        .select("item_id", "item_hash", F.size("w").alias("n_windows"), F.explode("w").alias("w"))
+        .select("item_id", "item_hash", "n_windows", "w.at", F.explode("w.hashes").alias("hash"), "w.raw", "w.form")
     )
 
 
@@ -208,7 +209,7 @@ def find_leaks(
         .join(wins, "hash")
         .withColumn("shift", F.col("doc_at") - F.col("at"))
     )
-    pair = ["id", "row_hash", "item_id"]
+    pair = ["id", "row_hash", "item_id", "item_hash"]
     # at most one row for each window of the item, whatever variants match
     line = matched.groupBy(*pair, "n_windows", "shift", "at").agg(
         F.first("raw").alias("raw"), F.first("form").alias("form"), F.first("doc_raw").alias("doc_raw")
@@ -243,15 +244,22 @@ def find_leaks(
              F.sum("changed").alias("n_changed"))
     )
     same = [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in pair]
-    return (
+    leaked = (
         covered.alias("c").join(slots.alias("s"), same, "left")
         .where(F.col("agreed").isNull() | (F.col("agreed") >= slot_share * F.col("n_slots")))
         .select(
-            F.col("c.id").alias(id_col), "c.row_hash", "c.item_id", "n_windows", "n_matched",
+            "c.id", "c.row_hash", "c.item_id", "c.item_hash", "n_windows", "n_matched",
             F.coalesce("n_slots", F.lit(0)).cast("bigint").alias("n_slots"),
             F.coalesce("n_changed", F.lit(0)).cast("bigint").alias("n_changed"),
         )
     )
+    # of several texts under one id, the one that is found best
+    figures = F.struct("n_windows", "n_matched", "n_slots", "n_changed")
+    found_best = F.struct(F.col("n_matched") / F.col("n_windows"), "n_windows", "item_hash")
+    return (
+        leaked.groupBy("id", "row_hash", "item_id").agg(F.max_by(figures, found_best).alias("f"))
+        .select(F.col("id").alias(id_col), "row_hash", "item_id", "f.*")
+    )
 
 
 def drop_leaked(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

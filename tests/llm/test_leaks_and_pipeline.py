@@ -47,6 +47,15 @@ def test_variants(make_docs, items, prose):
     assert found[(1, 1)][1] > 0 and found[(0, 1)][1] == 0
 
 
+def test_several_texts_under_one_id(make_docs, spark, prose):
+    mine = [ITEMS[0][1], ITEMS[1][1], ITEMS[1][1]]
+    item = spark.createDataFrame([(7, t) for t in mine] + [(7, None), (8, ITEMS[0][1])], "item_id bigint, text string")
+    texts = [ITEMS[0][1], prose(3, 40) + " " + ITEMS[1][1], ITEMS[0][1] + " " + ITEMS[1][1], prose(4, 40)]
+    rows = find_leaks(make_docs(list(enumerate(texts))), item).collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == [(0, 7), (0, 8), (1, 7), (2, 7), (2, 8)]
+    assert all(r.n_matched == r.n_windows for r in rows)
+
+
 def test_other_case_and_punctuation(make_docs, items, prose):
     text = ("The old mill stands by the river. Every spring the miller paints its wheel. Then Anna counts 12 boats. "
             "Some boats carry flour to Prague. Others bring apples back. How many boats did Anna see in the year?")
