@@ -130,6 +130,7 @@ def scan_projects(
             scoped, roots, public_scopes=opts.public_scopes, skipped_dirs=opts.exclude_patterns
         )
     if reports is not None:
+        reports = rp.of_rulesets(reports, opts.tool_overrides.get("sast", {}).get("rulesets", ()))
         # tool choice is applied to the findings: one lookup instead of one per tool
         replaced = stored(rp.replaced_tools(reports))
         by_tools = salted_filter(

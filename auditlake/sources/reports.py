@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ def read_reports(spark: SparkSession, folder: str) -> DataFrame:
     A report is ``<project>/<tool>.<ext>``, or ``<project>/<tool>/<name>.<ext>`` where a
     tool has several, such as one for each Dockerfile. A file beside it with the same
     name and the ending ``.run`` may hold what a payload lacks, as a JSON object:
-    ``root``, ``target``, ``stderr``, ``returncode``, ``version``, ``time``.
+    ``root``, ``target``, ``stderr``, ``returncode``, ``version``, ``time``, ``ruleset``.
     """
     raw = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
     path = F.input_file_name()
@@ -27,7 +29,7 @@ def read_reports(spark: SparkSession, folder: str) -> DataFrame:
     )
     run = (
         "struct<root string, target string, stderr string, returncode int, version string, "
-        "time double>"
+        "time double, ruleset string>"
     )
     runs = named.where("is_run").select("stem", F.from_json("value", run).alias("run"))
     parts = F.split("stem", "/")
@@ -43,6 +45,7 @@ def read_reports(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce("run.returncode", F.lit(0)).alias("returncode"),
         F.coalesce("run.version", F.lit("")).alias("version"),
         F.coalesce("run.time", F.lit(0.0)).alias("time"),
+        F.col("run.ruleset").alias("ruleset"),
     )
 
 
@@ -84,6 +87,19 @@ def tool_runs(reports: DataFrame) -> DataFrame:
     )
 
 
+def of_rulesets(reports: DataFrame, rulesets: Sequence[str]) -> DataFrame:
+    """Static analysers' reports on the named rulesets alone; other tools' reports all stay.
+
+    ``ruleset`` says what a report was run with; one that does not say was run with the
+    default set ``auto``. Without names, or without that column, all reports stay.
+    """
+    if not rulesets or "ruleset" not in reports.columns:
+        return reports
+    analysers = [t for t, d in catalog.TOOL_DOMAIN.items() if d == "sast"]
+    used = F.coalesce("ruleset", F.lit("auto"))
+    return reports.where(~F.col("tool").isin(*analysers) | used.isin(*rulesets))
+
+
 def preferred_tools(reports: DataFrame) -> DataFrame:
     """Keep the preferred tool where a project has reports of both of a pair.
 

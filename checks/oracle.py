@@ -567,6 +567,9 @@ named AS (SELECT project, domain, tool FROM t
   UNION ALL SELECT project, domain, 'opengrep' FROM t WHERE tool = 'semgrep')
 SELECT n.project, n.domain, n.tool, count(*) AS findings
 FROM named n JOIN known k ON k.project = n.project AND k.tool = n.tool GROUP BY ALL"""
+ORACLE["sast_rulesets"] = f"""WITH {tool_cte('t', 'semgrep', 'trivy')}
+SELECT project, tool, count(*) AS findings FROM t
+WHERE tool <> 'semgrep' OR cast(substr(project, 5, 2) AS integer) % 4 <> 2 GROUP BY ALL"""
 ORACLE["tool_overrides"] = f"""WITH {tool_cte('t', 'ruff', 'checkov')} SELECT project, rule_id, file, line FROM t
 WHERE (tool = 'ruff' AND (rule_id LIKE 'LINT-RUFF-E1%' OR rule_id LIKE 'LINT-RUFF-F%'))
   OR (tool = 'checkov' AND rule_id NOT IN ('IAC-CKV_7', 'IAC-CKV_20'))"""

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from auditlake import schemas
 from auditlake.operators import normalise as nm
@@ -188,3 +189,12 @@ def test_changed_files_of_absolute_and_unscoped_reports(make_findings, spark, em
     mine = {"R1", "R3", "R4", "R5", "R7", "Q3"}
     assert {r.rule_id for r in kept} == (mine | {"Q1", "Q2"} if empty_scope == "full" else mine)
     assert len(kept) == len({r.rule_id for r in kept})
+
+
+def test_rulesets_choose_reports_of_analysers(make_reports):
+    reports = make_reports(("semgrep", "{}"), ("opengrep", "{}"), ("ruff", "[]"))
+    assert rp.of_rulesets(reports, ["p/ci"]).count() == 3  # no column says what was run
+    tagged = reports.withColumn("ruleset", F.when(F.col("tool") == "semgrep", "p/ci"))
+    kept = lambda names: sorted(r.tool for r in rp.of_rulesets(tagged, names).collect())
+    assert kept([]) == ["opengrep", "ruff", "semgrep"]
+    assert kept(["p/ci"]) == ["ruff", "semgrep"] and kept(["auto"]) == ["opengrep", "ruff"]
