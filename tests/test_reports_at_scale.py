@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
+from auditlake.operators import findings as fd
 from auditlake.operators import normalise
+from auditlake.sinks import reports as sink
 from checks import corpus
 
 PART = "p_partkey int, p_name string, p_brand string, p_type string, p_size int"
@@ -36,3 +40,20 @@ def test_equal_and_null_keys_spread_too_and_stay(spark, tmp_path):
     held = _spread(reports)
     assert sum(held) == 2000 and len(held) >= 16 and max(held) <= 250
     assert reports.where("project IS NULL").count() == 1000
+
+
+def test_a_compact_report_counts_its_summary_once(spark, make_findings):
+    counted = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def once(n):
+        counted.add(1)
+        return n
+
+    findings = make_findings([("A", "HIGH", "a.py", 1), ("B", "LOW", "b.py", 2)])
+    scanned = spark.createDataFrame([("p", 5)], "project string, scanned_files bigint")
+    summary = fd.severity_summary(findings, scanned)
+    rows = sink.compact_report(findings, summary.withColumn("total", once("total"))).orderBy("section", "number").collect()
+    said = json.loads("".join(r.text for r in rows))
+    assert said["scanned"] == 5 and [f["rule"] for f in said["findings"]] == ["A", "B"]
+    assert counted.value == 1
